@@ -185,7 +185,9 @@ def requester_label(name: str | Column = "requester_name",
 
 # X16 ------------------------------------------------------------------------
 def one_decimal_abs(x: str | Column) -> Column:
-    return F.format_string("%.1f", F.abs(_c(x).cast("double")))
+    """``f"{abs(x):.1f}"``: half-to-even on the exact binary value, which is
+    what ``format_number`` (DecimalFormat) does; grouping commas removed."""
+    return F.regexp_replace(F.format_number(F.abs(_c(x).cast("double")), 1), ",", "")
 
 
 # X17 ------------------------------------------------------------------------

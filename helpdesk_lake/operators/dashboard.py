@@ -64,7 +64,7 @@ def recurrence(model: TicketModel, filters: AnalyticsFilters) -> DataFrame:
     total_gap = F.sum(X.seconds_between("last_at", "first_at"))
     intervals = F.sum(F.col("n") - 1)
     return spans.agg(
-        X.round2(total_gap / intervals).alias("average_recurrence_seconds"),
+        X.round2(F.try_divide(total_gap, intervals)).alias("average_recurrence_seconds"),
         F.coalesce(intervals, F.lit(0)).cast("long").alias("recurrence_sample_intervals"),
         F.count(F.lit(1)).alias("customers_with_recurrence"),
     )

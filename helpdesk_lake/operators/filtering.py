@@ -18,13 +18,19 @@ from ..filters import AnalyticsFilters
 from ..model import TicketModel
 
 
+def ts_literal(value) -> Column:
+    """A naive datetime as a timestamp_ntz literal (built from text, so no
+    time zone of the driver or the session is involved)."""
+    return F.lit(value.isoformat(sep=" ")).cast("timestamp_ntz")
+
+
 def period_predicate(filters: AnalyticsFilters, col: str = "source_created_at") -> Column | None:
     """inclusive on both ends."""
     conds = []
     if filters.from_at is not None:
-        conds.append(F.col(col) >= F.lit(filters.from_at).cast("timestamp_ntz"))
+        conds.append(F.col(col) >= ts_literal(filters.from_at))
     if filters.to_at is not None:
-        conds.append(F.col(col) <= F.lit(filters.to_at).cast("timestamp_ntz"))
+        conds.append(F.col(col) <= ts_literal(filters.to_at))
     return reduce(lambda a, b: a & b, conds) if conds else None
 
 

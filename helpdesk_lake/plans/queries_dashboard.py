@@ -81,3 +81,232 @@ FROM (SELECT customer_id, count(*) AS ticket_count FROM m_tickets WHERE {P} GROU
 JOIN m_customers c ON c.customer_id = x.customer_id
 ORDER BY x.ticket_count DESC, c.requester_name ASC, c.customer_id ASC LIMIT 5"""))(
     lambda m: D.top_customers(m, PERIOD))
+
+
+# --- period comparison (D4-D13) ----------------------------------------------
+from ..operators import comparison as C  # noqa: E402
+from .catalog import COMPARE  # noqa: E402
+
+CUR = period_sql(COMPARE)
+PREV = period_sql(COMPARE.previous())
+
+
+def _d(x: str) -> str:
+    return f"CAST({x} AS DOUBLE)"
+
+
+def _chg(cur: str, prev: str) -> str:
+    return (f"CASE WHEN {cur} IS NOT NULL AND {prev} IS NOT NULL AND {prev} <> 0 "
+            f"THEN round(({_d(cur)} - {_d(prev)}) / abs({_d(prev)}) * 100.0, 2) END")
+
+
+def _pts(cur: str, prev: str) -> str:
+    return f"CASE WHEN {cur} IS NOT NULL AND {prev} IS NOT NULL THEN round(({_d(cur)} - {_d(prev)}) * 100.0, 2) END"
+
+
+def _rate(n: str, d: str) -> str:
+    return f"CASE WHEN {d} <> 0 THEN {_d(n)} / {_d(d)} END"
+
+
+def _summary_cte(where: str) -> str:
+    return f"""SELECT count(*) AS total, CAST(coalesce(sum({RESOLVED}), 0) AS BIGINT) AS resolved,
+        round(avg({VALID_SECONDS}), 2) AS resp,
+        CAST(coalesce(sum(CASE WHEN {VALID_RESPONSE} THEN 1 ELSE 0 END), 0) AS BIGINT) AS responded,
+        CAST(coalesce(sum({GOOD}), 0) AS BIGINT) AS good, CAST(coalesce(sum({BAD}), 0) AS BIGINT) AS bad
+      FROM m_rated WHERE {where}"""
+
+
+def _recurrence_cte(where: str) -> str:
+    return f"""SELECT round(avg({secs('cur_at', 'prev_at')}), 2) AS rec, count(prev_at) AS intervals,
+        count(DISTINCT customer_id) AS rec_customers
+      FROM (SELECT customer_id, source_created_at AS cur_at,
+                   lag(source_created_at) OVER (PARTITION BY customer_id ORDER BY source_created_at, ticket_id) AS prev_at
+            FROM m_tickets WHERE {where}) x WHERE prev_at IS NOT NULL"""
+
+
+COMPARISON_CTES = {
+    "s_cur": _summary_cte(CUR), "s_prev": _summary_cte(PREV),
+    "r_cur": _recurrence_cte(CUR), "r_prev": _recurrence_cte(PREV),
+    "metrics": f"""SELECT
+      c.total AS ticket_volume, p.total AS previous_ticket_volume,
+      {_chg('c.total', 'p.total')} AS ticket_volume_change_percent,
+      rc.rec AS average_recurrence_seconds, CAST(rc.intervals AS BIGINT) AS recurrence_sample_intervals,
+      rc.rec_customers AS customers_with_recurrence, rp.rec AS previous_average_recurrence_seconds,
+      {_chg('rc.rec', 'rp.rec')} AS recurrence_change_percent,
+      {_rate('c.resolved', 'c.total')} AS resolution_rate, c.resolved AS resolved_tickets,
+      {_rate('p.resolved', 'p.total')} AS previous_resolution_rate,
+      {_chg(_rate('c.resolved', 'c.total'), _rate('p.resolved', 'p.total'))} AS resolution_change_percent,
+      {_pts(_rate('c.resolved', 'c.total'), _rate('p.resolved', 'p.total'))} AS resolution_change_points,
+      {_rate('c.good', 'c.good + c.bad')} AS satisfaction_rate, c.good AS good_ratings, c.bad AS bad_ratings,
+      c.good + c.bad AS rated_total,
+      {_rate('p.good', 'p.good + p.bad')} AS previous_satisfaction_rate,
+      {_chg(_rate('c.good', 'c.good + c.bad'), _rate('p.good', 'p.good + p.bad'))} AS satisfaction_change_percent,
+      {_pts(_rate('c.good', 'c.good + c.bad'), _rate('p.good', 'p.good + p.bad'))} AS satisfaction_change_points,
+      c.resp AS average_first_response_seconds, c.responded AS responded_tickets,
+      greatest(c.total - c.responded, 0) AS unanswered_tickets,
+      p.resp AS previous_average_first_response_seconds,
+      {_chg('c.resp', 'p.resp')} AS first_response_change_percent
+    FROM s_cur c, s_prev p, r_cur rc, r_prev rp""",
+}
+
+register("metrics_comparison", "D4 D5 D1 D2 D3 A1 A2", with_model(
+    "SELECT * FROM metrics", COMPARISON_CTES))(lambda m: C.metrics_comparison(m, COMPARE))
+
+
+register("status_distribution_compare", "D6 J6 A3", with_model(f"""
+SELECT c.label, c.value, coalesce(p.value, 0) AS previous_value,
+       {_chg('c.value', 'coalesce(p.value, 0)')} AS change_percent
+FROM (SELECT status AS label, count(*) AS value FROM m_tickets WHERE {CUR} GROUP BY 1) c
+LEFT JOIN (SELECT status AS label, count(*) AS value FROM m_tickets WHERE {PREV} GROUP BY 1) p
+  ON p.label = c.label"""))(lambda m: C.status_distribution(m, COMPARE))
+
+
+register("priority_breakdown", "D7 A4 J6", with_model(f"""
+SELECT c.priority, c.ticket_count, {_rate('c.ticket_count', 'sum(c.ticket_count) OVER ()')} AS share,
+       c.resolved_tickets, {_rate('c.resolved_tickets', 'c.ticket_count')} AS resolution_rate,
+       c.average_first_response_seconds, coalesce(p.n, 0) AS previous_ticket_count,
+       {_chg('c.ticket_count', 'coalesce(p.n, 0)')} AS change_percent
+FROM (SELECT priority, count(*) AS ticket_count, CAST(sum({RESOLVED}) AS BIGINT) AS resolved_tickets,
+             round(avg({VALID_SECONDS}), 2) AS average_first_response_seconds
+      FROM m_tickets WHERE {CUR} GROUP BY 1) c
+LEFT JOIN (SELECT priority, count(*) AS n FROM m_tickets WHERE {PREV} GROUP BY 1) p
+  ON p.priority = c.priority"""))(lambda m: C.priority_breakdown(m, COMPARE))
+
+
+def _topics_sql(where: str, k: int = 10) -> str:
+    return f"""SELECT tag, count(DISTINCT t.ticket_id) AS ticket_count, CAST(sum({RESOLVED}) AS BIGINT) AS resolved_tickets,
+        round(avg({VALID_SECONDS}), 2) AS average_first_response_seconds
+      FROM m_tickets t JOIN m_links l ON l.ticket_id = t.ticket_id WHERE {where}
+      GROUP BY tag ORDER BY ticket_count DESC, tag ASC LIMIT {k}"""
+
+
+TOPIC_CTES = {
+    "tc": _topics_sql(CUR), "tp": _topics_sql(PREV),
+    "total": f"SELECT count(*) AS n FROM m_tickets WHERE {CUR}",
+    "topics": f"""SELECT tc.tag, tc.ticket_count, {_rate('tc.ticket_count', '(SELECT n FROM total)')} AS share,
+        tc.resolved_tickets, {_rate('tc.resolved_tickets', 'tc.ticket_count')} AS resolution_rate,
+        tc.average_first_response_seconds,
+        CAST(row_number() OVER (ORDER BY tc.ticket_count DESC, tc.tag ASC) AS INTEGER) AS rank,
+        coalesce(tp.ticket_count, 0) AS previous_ticket_count,
+        {_chg('tc.ticket_count', 'coalesce(tp.ticket_count, 0)')} AS change_percent
+      FROM tc LEFT JOIN tp ON tp.tag = tc.tag""",
+}
+
+register("top_topics", "D8 A5 T1 W3 J6 Q1", with_model("SELECT * FROM topics", TOPIC_CTES))(
+    lambda m: C.topic_breakdown(m, COMPARE, 10))
+
+
+TIMELINE_SQL = f"""SELECT * FROM (
+  SELECT CAST(source_created_at AS DATE) AS date, count(*) AS opened,
+         CAST(sum({RESOLVED}) AS BIGINT) AS resolved,
+         round(avg({VALID_SECONDS}), 2) AS average_first_response_seconds,
+         CAST(sum({GOOD}) AS BIGINT) AS good_ratings, CAST(sum({BAD}) AS BIGINT) AS bad_ratings
+  FROM m_rated WHERE {P} GROUP BY 1 ORDER BY 1 DESC LIMIT 90) x"""
+
+register("timeline", "D9 A6 T2 D1", with_model(f"""
+SELECT date, opened, resolved, {_rate('resolved', 'opened')} AS resolution_rate,
+       average_first_response_seconds, {_rate('good_ratings', 'good_ratings + bad_ratings')} AS satisfaction_rate,
+       good_ratings + bad_ratings AS rated_tickets
+FROM tl""", {"tl": TIMELINE_SQL}))(lambda m: C.operation_timeseries(D.timeline(m, PERIOD, 90)))
+
+register("tickets_over_time", "D10 A6", with_model("SELECT date, opened AS value FROM tl", {"tl": TIMELINE_SQL}))(
+    lambda m: C.tickets_over_time(D.timeline(m, PERIOD, 90)))
+
+register("priority_distribution", "D10 A4", with_model(f"""
+SELECT priority AS label, count(*) AS value FROM m_tickets WHERE {P} GROUP BY 1"""))(
+    lambda m: C.priority_distribution(D.priority_aggregates(m, PERIOD)))
+
+
+BUCKET_DOMAIN = """SELECT * FROM (VALUES (1, 'up_to_15m', 'Até 15 min'), (2, '15_to_30m', '15 a 30 min'),
+  (3, '30_to_60m', '30 a 60 min'), (4, '1_to_4h', '1 a 4 h'), (5, 'over_4h', 'Acima de 4 h'),
+  (6, 'unanswered', 'Sem resposta válida')) v(bucket_order, bucket, label)"""
+
+register("response_distribution", "D11 A7 J9 D1", with_model(f"""
+SELECT d.bucket, d.label, coalesce(c.n, 0) AS ticket_count,
+       {_rate('coalesce(c.n, 0)', 'sum(coalesce(c.n, 0)) OVER ()')} AS share, d.bucket_order
+FROM dom d LEFT JOIN (SELECT {BUCKET} AS bucket, count(*) AS n FROM m_tickets WHERE {P} GROUP BY 1) c
+  ON c.bucket = d.bucket""", {"dom": BUCKET_DOMAIN}))(lambda m: C.first_response_distribution(m, PERIOD))
+
+
+def _one_dec(x: str) -> str:
+    return f"printf('%.1f', abs({x}))"
+
+
+def _move(label: str, x: str, neutral: bool = False) -> str:
+    suffix = "" if neutral else " no período"
+    return (f"CASE WHEN {x} IS NULL THEN '{label} não tem base anterior comparável.' "
+            f"WHEN abs({x}) < 0.05 THEN '{label} permaneceu estável.' "
+            f"ELSE '{label} ' || CASE WHEN {x} > 0 THEN 'aumentou' ELSE 'caiu' END || ' ' || {_one_dec(x)} || '%{suffix}.' END")
+
+
+def _move_pts(label: str, x: str) -> str:
+    return (f"CASE WHEN {x} IS NULL THEN '{label} não tem base anterior comparável.' "
+            f"WHEN abs({x}) < 0.05 THEN '{label} permaneceu estável.' "
+            f"ELSE '{label} ' || CASE WHEN {x} > 0 THEN 'subiu' ELSE 'caiu' END || ' ' || {_one_dec(x)} || ' p.p.' END")
+
+
+def _move_dur(label: str, x: str) -> str:
+    return (f"CASE WHEN {x} IS NULL THEN '{label} não tem base anterior comparável.' "
+            f"WHEN abs({x}) < 0.05 THEN '{label} permaneceu estável.' "
+            f"ELSE '{label} ficou ' || {_one_dec(x)} || '% ' || CASE WHEN {x} > 0 THEN 'mais lento' ELSE 'mais rápido' END || '.' END")
+
+
+SUMMARY_CTES = dict(COMPARISON_CTES)
+SUMMARY_CTES.update(TOPIC_CTES)
+SUMMARY_CTES["cands"] = """
+  SELECT 'alert' AS kind, abs(resolution_change_points) AS m,
+         'Resolução ' || CASE WHEN resolution_change_points > 0 THEN 'subiu' ELSE 'caiu' END || ' '
+           || printf('%.1f', abs(resolution_change_points)) || ' p.p.' AS t
+    FROM metrics WHERE resolution_change_points IS NOT NULL AND resolution_change_points <= 0
+  UNION ALL
+  SELECT 'improvement', abs(resolution_change_points),
+         'Resolução subiu ' || printf('%.1f', abs(resolution_change_points)) || ' p.p.'
+    FROM metrics WHERE resolution_change_points > 0
+  UNION ALL
+  SELECT CASE WHEN first_response_change_percent > 0 THEN 'alert' ELSE 'improvement' END,
+         abs(first_response_change_percent),
+         'Primeira resposta ficou ' || printf('%.1f', abs(first_response_change_percent)) || '% '
+           || CASE WHEN first_response_change_percent > 0 THEN 'mais lenta' ELSE 'mais rápida' END || '.'
+    FROM metrics WHERE first_response_change_percent IS NOT NULL
+  UNION ALL
+  SELECT CASE WHEN satisfaction_change_points > 0 THEN 'improvement' ELSE 'alert' END,
+         abs(satisfaction_change_points),
+         'Satisfação ' || CASE WHEN satisfaction_change_points > 0 THEN 'subiu' ELSE 'caiu' END || ' '
+           || printf('%.1f', abs(satisfaction_change_points)) || ' p.p.'
+    FROM metrics WHERE satisfaction_change_points IS NOT NULL"""
+
+register("dashboard_summary", "D13 Q4 X16", with_model(f"""
+SELECT
+  concat_ws(' ', {_move('O volume', 'm.ticket_volume_change_percent', True)},
+                 {_move_pts('A taxa de resolução', 'm.resolution_change_points')},
+                 {_move_dur('O tempo médio até a primeira resposta', 'm.first_response_change_percent')}) AS headline,
+  coalesce((SELECT t FROM cands WHERE kind = 'alert' ORDER BY m DESC, t DESC LIMIT 1),
+           'Nenhuma deterioração relevante foi detectada.') AS primary_alert,
+  coalesce((SELECT t FROM cands WHERE kind = 'improvement' ORDER BY m DESC, t DESC LIMIT 1),
+           'Nenhuma melhora relevante foi detectada.') AS primary_improvement,
+  (SELECT tag FROM topics WHERE rank = 1) AS top_driver_label,
+  (SELECT ticket_count FROM topics WHERE rank = 1) AS top_driver_ticket_count,
+  (SELECT share FROM topics WHERE rank = 1) AS top_driver_share,
+  (SELECT change_percent FROM topics WHERE rank = 1) AS top_driver_change_percent
+FROM metrics m""", SUMMARY_CTES))(
+    lambda m: C.dashboard_summary(C.metrics_comparison(m, COMPARE), C.topic_breakdown(m, COMPARE, 10)))
+
+
+register("trend_summary", "D16 A6", with_model("""
+SELECT round(CAST(coalesce(sum(opened), 0) AS DOUBLE), 2) AS trend_value,
+       arg_min(date, (-opened, date)) AS peak_date, max(opened) AS peak_value
+FROM tl""", {"tl": TIMELINE_SQL}))(
+    lambda m: C.trend_summary(D.timeline(m, PERIOD, 90), "opened"))
+
+register("trend_summary_averaged", "D16 A6", with_model("""
+SELECT round(coalesce(avg(CASE WHEN average_first_response_seconds > 0 THEN average_first_response_seconds END), 0.0), 2)
+         AS trend_value,
+       arg_min(date, (-average_first_response_seconds, date)) AS peak_date,
+       max(average_first_response_seconds) AS peak_value
+FROM tl""", {"tl": TIMELINE_SQL}))(
+    lambda m: C.trend_summary(D.timeline(m, PERIOD, 90), "average_first_response_seconds", averaged=True))
+
+register("label_share", "D17 A3", with_model(f"""
+SELECT label, value, {_rate('value', 'sum(value) OVER ()')} AS share
+FROM (SELECT status AS label, count(*) AS value FROM m_tickets WHERE {P} GROUP BY 1) x"""))(
+    lambda m: C.label_share(D.status_counts(m, PERIOD)))
