@@ -59,8 +59,9 @@ def map_score(k, return_flag):
             .when(return_flag == "N", F.when(even, "OFFERED").otherwise("UNOFFERED")))
 
 
-def tickets_from_orders(orders: DataFrame) -> DataFrame:
-    """Narrow projection of orders: no join, no shuffle."""
+def tickets_from_orders(orders: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Narrow projection of orders: no join, no shuffle. ``keep`` carries
+    extra order columns through."""
     k = F.col("o_orderkey")
     created = _created(k)
     assignee = F.when(k % ASSIGNEE_MODULUS != 0, F.lit(ASSIGNEE_BASE) + k % ASSIGNEE_MODULUS)
@@ -79,6 +80,7 @@ def tickets_from_orders(orders: DataFrame) -> DataFrame:
         created.alias("source_created_at"),
         F.timestamp_add("HOUR", F.lit(1), created).alias("source_updated_at"),
         first_response.alias("first_response_at"),
+        *keep,
     )
 
 
