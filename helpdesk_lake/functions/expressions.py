@@ -220,7 +220,10 @@ def duration_text(seconds: str | Column) -> Column:
 
 # X19 ------------------------------------------------------------------------
 def whole_minutes_between(end: str | Column, start: str | Column) -> Column:
-    return F.greatest(F.lit(0), F.round(seconds_between(end, start) / 60.0, 0).cast("long"))
+    """Whole minutes from start to end, never negative; null when either is
+    missing (``greatest`` alone would turn null into 0)."""
+    secs = seconds_between(end, start)
+    return F.when(secs.isNotNull(), F.greatest(F.lit(0), F.round(secs / 60.0, 0).cast("long")))
 
 
 # T10 ------------------------------------------------------------------------
