@@ -43,58 +43,64 @@ def validate(src: DataFrame) -> DataFrame:
     """Normalise every record and list its rule violations in ``errors``.
 
     Input: the source columns (strings for times) plus ``seq``; optional
-    ``record_error`` / ``file_error`` columns from the reader are folded in."""
-    status = F.upper(F.col("status"))
-    priority = F.upper(F.col("priority"))
+    ``record_error`` / ``file_error`` columns from the reader are folded in.
+    Two projections: times are parsed once, then every rule reads the
+    parsed columns (parsing is the costly part)."""
     r = F.col("satisfaction_rating")
-    score = F.upper(r["score"])
-    created = X.to_naive_utc("created_at")
-    updated = X.to_naive_utc("updated_at")
-    first_resp = X.to_naive_utc("first_response_at")
-    offered = X.to_naive_utc(r["offered_at"])
-    rated = X.to_naive_utc(r["rated_at"])
+    extra = [c for c in ("record_error", "file_error") if c in src.columns]
+    parsed = src.select(
+        "seq", "ticket_id", "subject", "description", "requester_id", "requester_name",
+        F.col("requester_email").alias("raw_email"), "assignee_id", "assignee_name", "tags",
+        F.upper("status").alias("status"),
+        F.upper("priority").alias("priority"),
+        F.col("first_response_at").alias("raw_first_response"),
+        X.to_naive_utc("created_at").alias("created"),
+        X.to_naive_utc("updated_at").alias("updated"),
+        X.to_naive_utc("first_response_at").alias("first_resp"),
+        r.isNotNull().alias("has_rating"),
+        F.upper(r["score"]).alias("score"),
+        r["offered_at"].alias("raw_offered"),
+        r["rated_at"].alias("raw_rated"),
+        X.to_naive_utc(r["offered_at"]).alias("offered"),
+        X.to_naive_utc(r["rated_at"]).alias("rated"),
+        F.coalesce(r["comment"], F.lit("")).alias("comment"),
+        *extra,
+    )
+    c = F.col
     checks = [
-        (F.col("ticket_id").isNull(), "ticket_id: required"),
-        (~_len_between(F.col("subject"), 1, SUBJECT_MAX), "subject: length must be 1..500"),
-        (~_len_between(F.col("description"), 1, None), "description: must not be empty"),
-        (F.coalesce(~status.isin(*STATUSES), F.lit(True)), "status: invalid value"),
-        (F.coalesce(~priority.isin(*PRIORITIES), F.lit(True)), "priority: invalid value"),
-        (F.col("requester_id").isNull(), "requester_id: required"),
-        (~_len_between(F.col("requester_name"), 1, NAME_MAX), "requester_name: length must be 1..255"),
-        (~_len_between(F.col("requester_email"), EMAIL_MIN, EMAIL_MAX), "requester_email: length must be 3..255"),
-        (F.col("assignee_name").isNotNull() & (F.char_length("assignee_name") > NAME_MAX),
+        (c("ticket_id").isNull(), "ticket_id: required"),
+        (~_len_between(c("subject"), 1, SUBJECT_MAX), "subject: length must be 1..500"),
+        (~_len_between(c("description"), 1, None), "description: must not be empty"),
+        (F.coalesce(~c("status").isin(*STATUSES), F.lit(True)), "status: invalid value"),
+        (F.coalesce(~c("priority").isin(*PRIORITIES), F.lit(True)), "priority: invalid value"),
+        (c("requester_id").isNull(), "requester_id: required"),
+        (~_len_between(c("requester_name"), 1, NAME_MAX), "requester_name: length must be 1..255"),
+        (~_len_between(c("raw_email"), EMAIL_MIN, EMAIL_MAX), "requester_email: length must be 3..255"),
+        (c("assignee_name").isNotNull() & (F.char_length("assignee_name") > NAME_MAX),
          "assignee_name: at most 255 characters"),
-        (created.isNull(), "created_at: invalid datetime"),
-        (updated.isNull(), "updated_at: invalid datetime"),
-        (F.col("first_response_at").isNotNull() & first_resp.isNull(), "first_response_at: invalid datetime"),
-        (r.isNotNull() & F.coalesce(~score.isin(*SCORES), F.lit(True)), "satisfaction_rating.score: invalid value"),
-        (r.isNotNull() & r["offered_at"].isNotNull() & offered.isNull(), "satisfaction_rating.offered_at: invalid"),
-        (r.isNotNull() & r["rated_at"].isNotNull() & rated.isNull(), "satisfaction_rating.rated_at: invalid"),
+        (c("created").isNull(), "created_at: invalid datetime"),
+        (c("updated").isNull(), "updated_at: invalid datetime"),
+        (c("raw_first_response").isNotNull() & c("first_resp").isNull(), "first_response_at: invalid datetime"),
+        (c("has_rating") & F.coalesce(~c("score").isin(*SCORES), F.lit(True)),
+         "satisfaction_rating.score: invalid value"),
+        (c("has_rating") & c("raw_offered").isNotNull() & c("offered").isNull(),
+         "satisfaction_rating.offered_at: invalid"),
+        (c("has_rating") & c("raw_rated").isNotNull() & c("rated").isNull(), "satisfaction_rating.rated_at: invalid"),
     ]
-    extra = []
-    if "record_error" in src.columns:
-        extra.append(F.col("record_error"))
-    if "file_error" in src.columns:
-        extra.append(F.col("file_error"))
-    errors = F.array_compact(F.array(*[F.when(cond, F.lit(msg)) for cond, msg in checks], *extra))
-    rating = F.when(r.isNotNull(), F.struct(
-        score.alias("score"), offered.alias("offered_at"), rated.alias("rated_at"),
-        F.coalesce(r["comment"], F.lit("")).alias("comment")))
-    return src.select(
-        "seq",
-        F.col("ticket_id"),
-        F.col("subject"),
-        F.col("description"),
-        status.alias("status"),
-        priority.alias("priority"),
-        F.col("requester_id").alias("external_requester_id"),
-        F.col("requester_name"),
-        F.lower(F.trim(F.col("requester_email"))).alias("requester_email"),
-        F.col("assignee_id").alias("assignee_external_id"),
-        F.col("assignee_name"),
-        created.alias("source_created_at"),
-        updated.alias("source_updated_at"),
-        first_resp.alias("first_response_at"),
+    errors = F.array_compact(F.array(*[F.when(cond, F.lit(msg)) for cond, msg in checks], *[c(e) for e in extra]))
+    rating = F.when(c("has_rating"), F.struct(
+        c("score").alias("score"), c("offered").alias("offered_at"), c("rated").alias("rated_at"),
+        c("comment").alias("comment")))
+    return parsed.select(
+        "seq", "ticket_id", "subject", "description", "status", "priority",
+        c("requester_id").alias("external_requester_id"),
+        "requester_name",
+        F.lower(F.trim(c("raw_email"))).alias("requester_email"),
+        c("assignee_id").alias("assignee_external_id"),
+        "assignee_name",
+        c("created").alias("source_created_at"),
+        c("updated").alias("source_updated_at"),
+        c("first_resp").alias("first_response_at"),
         X.normalize_tag_array("tags").alias("tags"),
         rating.alias("rating"),
         errors.alias("errors"),
