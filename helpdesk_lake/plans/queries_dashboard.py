@@ -294,14 +294,15 @@ FROM metrics m""", SUMMARY_CTES))(
 
 register("trend_summary", "D16 A6", with_model("""
 SELECT round(CAST(coalesce(sum(opened), 0) AS DOUBLE), 2) AS trend_value,
-       arg_min(date, (-opened, date)) AS peak_date, max(opened) AS peak_value
+       arg_min(date, (-opened, date)) FILTER (WHERE opened IS NOT NULL) AS peak_date, max(opened) AS peak_value
 FROM tl""", {"tl": TIMELINE_SQL}))(
     lambda m: C.trend_summary(D.timeline(m, PERIOD, 90), "opened"))
 
 register("trend_summary_averaged", "D16 A6", with_model("""
 SELECT round(coalesce(avg(CASE WHEN average_first_response_seconds > 0 THEN average_first_response_seconds END), 0.0), 2)
          AS trend_value,
-       arg_min(date, (-average_first_response_seconds, date)) AS peak_date,
+       arg_min(date, (-average_first_response_seconds, date))
+         FILTER (WHERE average_first_response_seconds IS NOT NULL) AS peak_date,
        max(average_first_response_seconds) AS peak_value
 FROM tl""", {"tl": TIMELINE_SQL}))(
     lambda m: C.trend_summary(D.timeline(m, PERIOD, 90), "average_first_response_seconds", averaged=True))
