@@ -116,11 +116,19 @@ def to_naive_utc(text: str | Column) -> Column:
 
     Zoned text is shifted to UTC and the zone dropped; zone-less text is kept
     as written. Unparseable text gives null (never an error), so validation
-    can report it.
+    can report it. With the session zone at UTC (the library's sessions) a
+    parse and a cast do both; otherwise zoned text is shifted from the
+    session zone (a literal read when the plan is built) to UTC.
     """
+    from pyspark.sql import SparkSession
+
     t = F.trim(_c(text))
     session_wall = F.try_to_timestamp(t).cast("timestamp_ntz")
-    utc_wall = F.convert_timezone(F.current_timezone(), F.lit("UTC"), session_wall)
+    active = SparkSession.getActiveSession()
+    zone = active.conf.get("spark.sql.session.timeZone", "UTC") if active else "UTC"
+    if zone in ("UTC", "Etc/UTC", "Z", "+00:00", "GMT"):
+        return session_wall
+    utc_wall = F.convert_timezone(F.lit(zone), F.lit("UTC"), session_wall)
     return F.when(t.rlike(ZONE_SUFFIX), utc_wall).otherwise(session_wall)
 
 
