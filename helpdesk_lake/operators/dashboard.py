@@ -70,14 +70,34 @@ def recurrence(model: TicketModel, filters: AnalyticsFilters) -> DataFrame:
     )
 
 
-def ticket_gaps(tickets: DataFrame) -> DataFrame:
-    """W1 as a per-ticket listing: previous creation instant of the same
-    customer by (source_created_at, ticket_id). Used for drill-down only; the
-    aggregates above avoid the per-customer window."""
-    w = Window.partitionBy("customer_id").orderBy("source_created_at", "ticket_id")
-    return tickets.select(
-        "customer_id", "ticket_id", "source_created_at",
-        F.lag("source_created_at").over(w).alias("previous_at"),
+def ticket_gaps(tickets: DataFrame, partitions: int | None = None) -> DataFrame:
+    """W1 per ticket: the previous creation instant of the same customer by
+    (source_created_at, ticket_id), and the gap in seconds.
+
+    Skew-safe: rows are range-partitioned on (customer, created, id), so a
+    customer holding a large share of the tickets spans many balanced
+    slices instead of one task. The lag is taken inside each (slice,
+    customer) group; the first row of a group then takes the last row of the
+    nearest earlier non-empty slice when that row belongs to the same
+    customer. The boundary frame has one row per slice (bounded by
+    ``partitions``), so it is broadcast."""
+    spark = tickets.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = ["customer_id", "source_created_at", "ticket_id"]
+    ranged = (tickets.select(*keys).repartitionByRange(n, *keys)
+              .withColumn("slice", F.spark_partition_id()))
+    w = Window.partitionBy("slice", "customer_id").orderBy("source_created_at", "ticket_id")
+    local = ranged.withColumn("previous_at", F.lag("source_created_at").over(w))
+    last_of_slice = ranged.groupBy("slice").agg(
+        F.max_by(F.struct("customer_id", "source_created_at"), F.struct(*keys)).alias("last"))
+    boundary = last_of_slice.select(
+        F.col("slice"),
+        F.lag("last").over(Window.orderBy("slice")).alias("before"))  # one row per slice
+    joined = local.join(F.broadcast(boundary), "slice", "left")
+    carried = F.when(F.col("previous_at").isNull() & (F.col("before.customer_id") == F.col("customer_id")),
+                     F.col("before.source_created_at")).otherwise(F.col("previous_at"))
+    return joined.select(
+        "customer_id", "ticket_id", "source_created_at", carried.alias("previous_at"),
     ).withColumn("gap_seconds", X.seconds_between("source_created_at", "previous_at"))
 
 

@@ -30,6 +30,14 @@ FROM (SELECT customer_id, source_created_at AS current_at,
 WHERE previous_at IS NOT NULL"""))(lambda m: D.recurrence(m, PERIOD))
 
 
+register("ticket_gaps", "W1 X1", with_model(f"""
+SELECT customer_id, ticket_id, source_created_at, previous_at,
+       {secs('source_created_at', 'previous_at')} AS gap_seconds
+FROM (SELECT customer_id, ticket_id, source_created_at,
+             lag(source_created_at) OVER (PARTITION BY customer_id ORDER BY source_created_at, ticket_id) AS previous_at
+      FROM m_tickets WHERE {P}) x"""))(lambda m: D.ticket_gaps(D.filtered_tickets(m, PERIOD)))
+
+
 register("status_distribution", "A3", with_model(f"""
 SELECT status AS label, count(*) AS value FROM m_tickets WHERE {P} GROUP BY status"""))(
     lambda m: D.status_counts(m, PERIOD))

@@ -245,3 +245,20 @@ def test_same_batch_versions_and_ties(spark):
     df = spark.createDataFrame(rows, "seq long, ticket_id long, source_updated_at timestamp_ntz")
     flags = [r.applied for r in I.apply_flags(df).orderBy("seq").collect()]
     assert flags == [True, False, True, False]
+
+
+def test_ticket_gaps_hot_customer_spans_slices(spark):
+    from pyspark.sql import Window
+    rows = [(i, 1 if i % 10 else 2 + i % 7, "OPEN", "NORMAL", None, None,
+             datetime(2026, 1, 1) + __import__("datetime").timedelta(minutes=7 * i + (i % 3)), None, None)
+            for i in range(1200)]
+    t = spark.createDataFrame(rows, TICKET_SCHEMA)
+    got = {r.ticket_id: r.previous_at for r in D.ticket_gaps(t, partitions=8).collect()}
+    w = Window.partitionBy("customer_id").orderBy("source_created_at", "ticket_id")
+    want = {r.ticket_id: r.p for r in t.select("ticket_id", F.lag("source_created_at").over(w).alias("p")).collect()}
+    assert got == want
+    # the hot customer really is spread over several slices
+    keys = ["customer_id", "source_created_at", "ticket_id"]
+    slices = (t.repartitionByRange(8, *keys).withColumn("s", F.spark_partition_id())
+              .filter(F.col("customer_id") == 1).select("s").distinct().count())
+    assert slices > 4
