@@ -319,3 +319,24 @@ register("label_share", "D17 A3", with_model(f"""
 SELECT label, value, {_rate('value', 'sum(value) OVER ()')} AS share
 FROM (SELECT status AS label, count(*) AS value FROM m_tickets WHERE {P} GROUP BY 1) x"""))(
     lambda m: C.label_share(D.status_counts(m, PERIOD)))
+
+
+# --- D14: single-pass grouping sets ------------------------------------------
+from .dashboard_bundle import grouped_rows  # noqa: E402
+
+
+def _gs(dim: str, col: str | None) -> str:
+    label = f"CAST({col} AS VARCHAR)" if col else "CAST(NULL AS VARCHAR)"
+    group = f"is_current, {col}" if col else "is_current"
+    return f"""SELECT '{dim}' AS dimension, {label} AS label, is_current, count(*) AS ticket_count,
+      CAST(sum({RESOLVED}) AS BIGINT) AS resolved_tickets, round(avg({VALID_SECONDS}), 2) AS average_first_response_seconds,
+      CAST(sum({GOOD}) AS BIGINT) AS good_ratings, CAST(sum({BAD}) AS BIGINT) AS bad_ratings
+    FROM tw GROUP BY {group}"""
+
+
+GS_CTES = {"tw": f"""SELECT *, ({CUR}) AS is_current, CAST(source_created_at AS DATE) AS day, {BUCKET} AS bucket
+                     FROM m_rated WHERE ({CUR}) OR ({PREV})"""}
+register("dashboard_single_pass", "D14 A1 A3 A4 A6 A7 D5", with_model(
+    " UNION ALL ".join([_gs("all", None), _gs("status", "status"), _gs("priority", "priority"),
+                        _gs("day", "day"), _gs("bucket", "bucket")]), GS_CTES))(
+    lambda m: grouped_rows(m, COMPARE))

@@ -262,3 +262,29 @@ def test_ticket_gaps_hot_customer_spans_slices(spark):
     slices = (t.repartitionByRange(8, *keys).withColumn("s", F.spark_partition_id())
               .filter(F.col("customer_id") == 1).select("s").distinct().count())
     assert slices > 4
+
+
+def test_dashboard_bundle_matches_operators(spark):
+    from helpdesk_lake.plans.catalog import COMPARE
+    from helpdesk_lake.plans.dashboard_bundle import dashboard_overview
+    from helpdesk_lake.sources.fixtures import fixture_model
+    from helpdesk_lake.plans.compare import digest
+
+    m = fixture_model(spark, "/root/testdata/sf0.001")
+    bundle = dashboard_overview(m, COMPARE)
+
+    def same(a, b):
+        cols = sorted(b.columns)
+        ra = [tuple(r) for r in a.select(*cols).collect()]
+        rb = [tuple(r) for r in b.select(*cols).collect()]
+        assert digest(cols, ra)[0] == digest(cols, rb)[0]
+
+    same(bundle["status_distribution"], C.status_distribution(m, COMPARE))
+    same(bundle["priority_breakdown"], C.priority_breakdown(m, COMPARE))
+    same(bundle["first_response_distribution"].drop("share"),
+         C.first_response_distribution(m, COMPARE).drop("share"))
+    same(bundle["operation_timeseries"], C.operation_timeseries(D.timeline(m, COMPARE, 90)))
+    totals = bundle["grouped"].filter("dimension = 'all' AND is_current").first()
+    summary = D.period_summary(m, COMPARE).first()
+    assert totals.ticket_count == summary.total_tickets and totals.good_ratings == summary.good_ratings
+    assert bundle["summary"].count() == 1 and bundle["assignee_options"].count() > 0
