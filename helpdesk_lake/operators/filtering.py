@@ -83,3 +83,12 @@ def apply_filters(model: TicketModel, filters: AnalyticsFilters,
                  .select("ticket_id"))
         df = df.join(rated, "ticket_id", "left_semi")
     return df
+
+
+# F19 ------------------------------------------------------------------------
+def lookup(table: DataFrame, key: str, ids: DataFrame | list) -> DataFrame:
+    """Rows of ``table`` whose ``key`` is among ``ids`` (a frame of keys, or a
+    short list of literal ids): a semi join, never a driver-side loop."""
+    if isinstance(ids, DataFrame):
+        return table.join(ids.select(F.col(ids.columns[0]).alias(key)).distinct(), key, "left_semi")
+    return table.filter(F.col(key).isin(list(ids)))

@@ -82,7 +82,7 @@ LEFT JOIN ({topics_sql(3)}) tp ON tp.customer_id = p.customer_id""", {"aggs": AG
 RANGE_ARGS = CustomerMetricsArgs(filters=PERIOD, page=1, page_size=100, top_topics_limit=2,
                                  ticket_volume_min=3, ticket_volume_max=8,
                                  satisfaction_rate_min=0.25, satisfaction_rate_max=0.75)
-register("customer_metrics_filtered", "F17 D15 T4", with_model(f"""
+register("customer_metrics_filtered", "F17 D15 T4 Q8", with_model(f"""
 SELECT p.*, coalesce(tp.top_topics_json, '[]') AS top_topics_json,
        (SELECT count(*) FROM f) AS total,
        count(*) OVER () < (SELECT count(*) FROM f) AS has_next,

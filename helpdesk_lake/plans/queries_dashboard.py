@@ -38,7 +38,7 @@ FROM (SELECT customer_id, ticket_id, source_created_at,
       FROM m_tickets WHERE {P}) x"""))(lambda m: D.ticket_gaps(D.filtered_tickets(m, PERIOD)))
 
 
-register("status_distribution", "A3", with_model(f"""
+register("status_distribution", "A3 Q2", with_model(f"""
 SELECT status AS label, count(*) AS value FROM m_tickets WHERE {P} GROUP BY status"""))(
     lambda m: D.status_counts(m, PERIOD))
 
@@ -49,7 +49,7 @@ SELECT priority, count(*) AS ticket_count, CAST(sum({RESOLVED}) AS BIGINT) AS re
 FROM m_tickets WHERE {P} GROUP BY priority"""))(lambda m: D.priority_aggregates(m, PERIOD))
 
 
-register("top_topics_raw", "A5 J3 T1", with_model(f"""
+register("top_topics_raw", "A5 J3 T1 Q15", with_model(f"""
 SELECT tag, count(DISTINCT t.ticket_id) AS ticket_count, CAST(sum({RESOLVED}) AS BIGINT) AS resolved_tickets,
        round(avg({VALID_SECONDS}), 2) AS average_first_response_seconds
 FROM m_tickets t JOIN m_links l ON l.ticket_id = t.ticket_id
@@ -57,7 +57,7 @@ WHERE {P}
 GROUP BY tag ORDER BY ticket_count DESC, tag ASC LIMIT 10"""))(lambda m: D.topic_aggregates(m, PERIOD, 10))
 
 
-register("timeline_raw", "A6 T2 X2", with_model(f"""
+register("timeline_raw", "A6 T2 X2 Q3 Q7", with_model(f"""
 SELECT * FROM (
   SELECT CAST(source_created_at AS DATE) AS date, count(*) AS opened,
          CAST(sum({RESOLVED}) AS BIGINT) AS resolved,
@@ -157,7 +157,7 @@ COMPARISON_CTES = {
     FROM s_cur c, s_prev p, r_cur rc, r_prev rp""",
 }
 
-register("metrics_comparison", "D4 D5 D1 D2 D3 A1 A2", with_model(
+register("metrics_comparison", "D4 D5 D1 D2 D3 A1 A2 X4 X5 Q5 Q11", with_model(
     "SELECT * FROM metrics", COMPARISON_CTES))(lambda m: C.metrics_comparison(m, COMPARE))
 
 

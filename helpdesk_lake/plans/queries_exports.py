@@ -160,3 +160,21 @@ register("tag_options", "S7", with_model("SELECT tag_id AS id, name FROM m_tags"
 
 register("customer_options", "S7 S3", with_model(
     "SELECT customer_id AS id, requester_name, requester_email FROM m_customers"))(lambda m: E.customer_options(m))
+
+
+# --- F19 bulk lookup, T8 ordered scan -----------------------------------------
+from ..operators.filtering import apply_filters, lookup  # noqa: E402
+from ..operators.listings import ordered_scan  # noqa: E402
+
+register("lookup_customers", "F19 J11", with_model(f"""
+SELECT customer_id, requester_name, requester_email FROM m_customers c
+WHERE customer_id IN (SELECT customer_id FROM m_tickets t WHERE {P} AND t.priority = 'URGENT')"""))(
+    lambda m: lookup(m.customers, "customer_id",
+                     apply_filters(m, AnalyticsFilters.create(from_at=PERIOD.from_at, to_at=PERIOD.to_at,
+                                                              priorities="urgent")).select("customer_id"))
+    .select("customer_id", "requester_name", "requester_email"))
+
+register("export_ordered_scan", "T8 E1 E2", with_model(f"""
+SELECT ticket_id, status, priority, created_at, tags FROM ({RECORD_SQL} WHERE {P}) x"""))(
+    lambda m: ordered_scan(_json_cols(E.data_export(m, PERIOD, fields="ticket_id,status,priority,created_at,tags")),
+                           "ticket_id"))

@@ -58,7 +58,7 @@ register("ticket_page", "T5 F12 T9", _ticket_page_sql(
     lambda m: L.ticket_page(m, statuses=["open", "new", "pending"], priorities=["urgent", "high"],
                             cursor=CURSOR, page_size=25))
 
-register("ticket_search", "F13 F14 F15 X13 T5", _ticket_page_sql(
+register("ticket_search", "F13 F14 F15 X13 T5 Q12 Q13", _ticket_page_sql(
     f"(t.assignee_name LIKE 'der die%' OR ({_fts_sql(TERMS)}))", 50))(
     lambda m: L.ticket_page(m, search=SEARCH, page_size=50))
 
