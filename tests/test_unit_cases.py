@@ -304,3 +304,21 @@ def test_json_snapshot_and_ordered_scan(spark, tmp_path):
     parts = ordered.rdd.glom().map(lambda rows: [r.id for r in rows]).collect()
     flat = [i for p in parts for i in p]
     assert flat == sorted(flat) == list(range(50))
+
+
+def test_index_search_equals_scan_search(spark, tmp_path):
+    from helpdesk_lake.sources.fixtures import fixture_model
+    m = fixture_model(spark, "/root/testdata/sf0.001")
+    path = str(tmp_path / "idx")
+    L.write_search_index(m, path, partitions=4)
+    idx = spark.read.parquet(path)
+    for search in ("der die", "ch er", "Agent 9103", "12", "zzzzqq"):
+        scan = [r.ticket_id for r in L.ticket_page(m, search=search, page_size=100).collect()]
+        via_index = [r.ticket_id for r in L.ticket_page(m, search=search, page_size=100, index=idx).collect()]
+        assert scan == via_index, search
+    import contextlib
+    import io
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        idx.filter(F.col("token").startswith("der")).explain()
+    assert "StringStartsWith" in buf.getvalue()  # the prefix reaches the Parquet scan
