@@ -48,6 +48,11 @@ class TicketModel:
     """
 
     sources: dict[str, DataFrame | Callable[[], DataFrame]] = field(default_factory=dict)
+    # True when tag_id *is* the tag name and every link's tag exists (both
+    # the fixture model and the ingested store): the bridge then carries the
+    # name itself and no join to ``tags`` is needed — which also removes the
+    # one join where a very popular tag would be a hot key.
+    tag_ids_are_names: bool = False
 
     def _get(self, name: str) -> DataFrame:
         value = self.sources[name]
@@ -106,6 +111,8 @@ class TicketModel:
 
     def topic_links(self) -> DataFrame:
         """J3 bridge: (ticket_id, tag_id, tag) over ticket_tags ⋈ tags."""
+        if self.tag_ids_are_names:
+            return self.ticket_tags.select("ticket_id", "tag_id", F.col("tag_id").alias("tag"))
         tags = self.tags.select("tag_id", F.col("name").alias("tag"))
         return self.ticket_tags.join(tags, "tag_id", "inner")
 

@@ -70,12 +70,20 @@ def apply_filters(model: TicketModel, filters: AnalyticsFilters,
         df = df.join(matching, "customer_id", "left_semi")
 
     if filters.tag_ids or filters.tag_names:  # F8: the same tag satisfies both
-        tags = model.tags
-        if filters.tag_ids:
-            tags = tags.filter(F.col("tag_id").isin(list(filters.tag_ids)))
-        if filters.tag_names:
-            tags = tags.filter(F.col("name").isin(list(filters.tag_names)))
-        links = model.ticket_tags.join(tags.select("tag_id"), "tag_id", "left_semi").select("ticket_id")
+        if model.tag_ids_are_names:
+            links = model.ticket_tags
+            if filters.tag_ids:
+                links = links.filter(F.col("tag_id").isin(list(filters.tag_ids)))
+            if filters.tag_names:
+                links = links.filter(F.col("tag_id").isin(list(filters.tag_names)))
+            links = links.select("ticket_id")
+        else:
+            tags = model.tags
+            if filters.tag_ids:
+                tags = tags.filter(F.col("tag_id").isin(list(filters.tag_ids)))
+            if filters.tag_names:
+                tags = tags.filter(F.col("name").isin(list(filters.tag_names)))
+            links = model.ticket_tags.join(tags.select("tag_id"), "tag_id", "left_semi").select("ticket_id")
         df = df.join(links, "ticket_id", "left_semi")
 
     if filters.satisfaction_scores:  # unrated tickets never match

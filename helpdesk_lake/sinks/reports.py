@@ -136,8 +136,13 @@ def write_xlsx_parts(df: DataFrame, folder: str, columns: list[str] | None = Non
         os.makedirs(target, exist_ok=True)
         ctx = TaskContext.get()
         pid = ctx.partitionId() if ctx else 0
-        path = f"{target}/part-{pid:05d}-{uuid.uuid4().hex[:8]}.xlsx"
-        n = write_workbook(path, cols, batches, sheet)
+        # One name per partition: a retried or speculative attempt writes a
+        # private temp file and atomically replaces the same final part, so
+        # a lost executor never leaves a duplicate workbook behind.
+        path = f"{target}/part-{pid:05d}.xlsx"
+        tmp = f"{path}.tmp-{uuid.uuid4().hex}"
+        n = write_workbook(tmp, cols, batches, sheet)
+        os.replace(tmp, path)
         yield pd.DataFrame({"path": [path], "rows": [n]})
 
     return cells.mapInPandas(write_part, "path string, rows long")

@@ -205,4 +205,4 @@ def fixture_model(spark: SparkSession, sf_dir: str) -> TicketModel:
         "full_tickets": full_tickets,
         "tags": tags,
         "ticket_tags": ticket_tags,
-    })
+    }, tag_ids_are_names=True)

@@ -139,7 +139,7 @@ def store_model(spark: SparkSession, root: str) -> TicketModel:
         "ticket_tags": ticket_tags,
         "rated_tickets": rated_tickets,
         "full_tickets": full_tickets,
-    })
+    }, tag_ids_are_names=True)
 
 
 def _write_log(spark: SparkSession, root: str, batch_id: int, **values) -> None:
