@@ -55,12 +55,16 @@ def ticket_tag_names(model: TicketModel) -> DataFrame:
 
 # E1 -------------------------------------------------------------------------
 def export_records(model: TicketModel, filters: AnalyticsFilters) -> DataFrame:
-    """Denormalised ticket records (typed), ordered by external ticket id."""
-    t = apply_filters(model, filters, model.full_tickets())
+    """Denormalised ticket records (typed), ordered by external ticket id.
+
+    The narrow record (ticket, rating, customer, sorted tags) is assembled
+    first and the text (subject, whole description) is attached last, so the
+    wide text column crosses one shuffle instead of one per join."""
+    t = apply_filters(model, filters, model.rated_tickets(("score", "offered_at", "rated_at", "comment")))
     customers = model.customers.select("customer_id", "external_requester_id",
                                        "requester_name", "requester_email")
-    joined = (t.join(customers, "customer_id", "inner")
-              .join(ticket_tag_names(model), "ticket_id", "left"))
+    joined = model.attach_text(t.join(customers, "customer_id", "inner")
+                               .join(ticket_tag_names(model), "ticket_id", "left"))
     rating = F.when(F.col("score").isNotNull(), F.struct(
         F.col("score"), F.col("offered_at"), F.col("rated_at"),
         F.coalesce(F.col("comment"), F.lit("")).alias("comment")))

@@ -172,6 +172,10 @@ def fixture_model(spark: SparkSession, sf_dir: str) -> TicketModel:
             "subject", F.coalesce(F.col("part_subject"), F.lit(NO_LINES_SUBJECT))
         ).withColumn("description", F.col("text"))
 
+    def attach_text(frame: DataFrame) -> DataFrame:
+        cols = [c for c in frame.columns]
+        return text_frame(frame).select(*[F.col(c) for c in cols], "subject", "description")
+
     def ticket_text() -> DataFrame:
         ids = orders().select(F.col("o_orderkey").alias("ticket_id"))
         return text_frame(ids).select("ticket_id", "subject", "description")
@@ -203,6 +207,7 @@ def fixture_model(spark: SparkSession, sf_dir: str) -> TicketModel:
         "rating_scores": rating_scores,
         "ticket_text": ticket_text,
         "full_tickets": full_tickets,
+        "attach_text": attach_text,
         "tags": tags,
         "ticket_tags": ticket_tags,
     }, tag_ids_are_names=True)

@@ -127,8 +127,13 @@ def store_model(spark: SparkSession, root: str) -> TicketModel:
                         F.col("rating.score").alias("score"), F.col("rating.offered_at").alias("offered_at"),
                         F.col("rating.rated_at").alias("rated_at"), F.col("rating.comment").alias("comment"))
 
-    def full_tickets() -> DataFrame:
-        return rated_tickets().join(ticket_text(), "ticket_id", "left")
+    def full_tickets() -> DataFrame:  # one aggregation, no self-join
+        return versions().select(
+            "ticket_id", "customer_id", "status", "priority", "assignee_external_id", "assignee_name",
+            "source_created_at", "source_updated_at", "first_response_at",
+            F.col("rating.score").alias("score"), F.col("rating.offered_at").alias("offered_at"),
+            F.col("rating.rated_at").alias("rated_at"), F.col("rating.comment").alias("comment"),
+            "subject", "description")
 
     return TicketModel(sources={
         "customers": lambda: current_customers(spark, root),
