@@ -170,13 +170,15 @@ def apply_flags(valid: DataFrame, stored_versions: DataFrame | None = None) -> D
 
 
 def latest_versions(flagged: DataFrame) -> DataFrame:
-    """Final state per changed ticket: the applied record with the greatest
-    updated_at (applied records strictly increase, so it is the last one)."""
-    cols = [c for c in flagged.columns if c not in ("applied", "created", "stored_updated_at", "errors", "is_valid")]
-    applied = flagged.filter("applied")
-    best = applied.groupBy("ticket_id").agg(
-        F.max_by(F.struct(*[F.col(c) for c in cols if c != "ticket_id"]), "source_updated_at").alias("v"))
-    return best.select("ticket_id", "v.*")
+    """Final state per changed ticket: its last applied record (applied
+    records of a ticket strictly increase in updated_at, so the last one in
+    feed order is also the newest). A second window over the same ticket
+    partitioning marks it — no extra shuffle, no wide aggregation buffer."""
+    drop = ("applied", "created", "stored_updated_at", "errors", "is_valid", "_last")
+    last = F.max(F.when(F.col("applied"), F.col("seq"))).over(Window.partitionBy("ticket_id"))
+    marked = flagged.withColumn("_last", last)
+    return marked.filter(F.col("seq") == F.col("_last")).select(
+        *[c for c in flagged.columns if c not in drop])
 
 
 # I5 -------------------------------------------------------------------------
