@@ -41,10 +41,12 @@ def parse_feed_text(files: DataFrame, expected_count: int | None = None) -> Data
     if expected_count is not None:
         file_error = file_error.when(F.col("n_items") != expected_count,
                                      F.lit(f"file must contain exactly {expected_count} records"))
-    # Rank the (few) files of the batch by name for a global record order.
+    # Rank the files of the batch by name for a global record order (one row
+    # per file: the list the driver already enumerated for the scan). The
+    # join is left to AQE, which broadcasts the list when it is small.
     file_rank = F.dense_rank().over(Window.orderBy("source_file"))
     ranked_files = files.select("source_file").distinct().withColumn("file_rank", file_rank)
-    out = parsed.join(F.broadcast(ranked_files), "source_file", "inner")
+    out = parsed.join(ranked_files, "source_file", "inner")
     return out.select(
         "source_file",
         (F.col("pos0") + 1).alias("pos"),

@@ -175,3 +175,14 @@ def test_newer_version_replaces_and_rating_removed(spark, tmp_path):
     assert [r.tag_id for r in m.ticket_tags.collect()] == ["b"]
     assert m.ratings.count() == 0
     assert {r.name for r in m.tags.collect()} == {"a", "b"}
+
+
+def test_stream_replay_processes_nothing(spark, golden_store, tmp_path_factory):
+    """A second run over the same folder and checkpoint finds no new file."""
+    before = ingest_log(spark, golden_store).count()
+    feed = [p for p in tmp_path_factory.getbasetemp().rglob("feed") if (p / "batch-0001.json").exists()][0]
+    q = start_ingestion(spark, str(feed), golden_store, checkpoint=str(feed.parent / "ckpt"), expected_count=1)
+    q.awaitTermination(120)
+    assert q.exception() is None
+    assert ingest_log(spark, golden_store).count() == before
+    assert store_model(spark, golden_store).tickets.count() == 3
