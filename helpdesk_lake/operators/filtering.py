@@ -55,6 +55,10 @@ def column_predicates(filters: AnalyticsFilters) -> list[Column]:
     return preds
 
 
+def _text(col: str, collation: str | None) -> Column:
+    return F.collate(F.col(col), collation) if collation else F.col(col)
+
+
 def apply_filters(model: TicketModel, filters: AnalyticsFilters,
                   tickets: DataFrame | None = None) -> DataFrame:
     """AND of whichever conditions are set, on ``tickets`` (default: the
@@ -65,7 +69,8 @@ def apply_filters(model: TicketModel, filters: AnalyticsFilters,
 
     if filters.requester_emails:  # EXISTS customer with lower(email) in list
         matching = (model.customers
-                    .filter(F.lower(F.col("requester_email")).isin(list(filters.requester_emails)))
+                    .filter((F.collate(F.lower("requester_email"), filters.collation) if filters.collation
+                             else F.lower(F.col("requester_email"))).isin(list(filters.requester_emails)))
                     .select("customer_id"))
         df = df.join(matching, "customer_id", "left_semi")
 
@@ -75,14 +80,14 @@ def apply_filters(model: TicketModel, filters: AnalyticsFilters,
             if filters.tag_ids:
                 links = links.filter(F.col("tag_id").isin(list(filters.tag_ids)))
             if filters.tag_names:
-                links = links.filter(F.col("tag_id").isin(list(filters.tag_names)))
+                links = links.filter(_text("tag_id", filters.collation).isin(list(filters.tag_names)))
             links = links.select("ticket_id")
         else:
             tags = model.tags
             if filters.tag_ids:
                 tags = tags.filter(F.col("tag_id").isin(list(filters.tag_ids)))
             if filters.tag_names:
-                tags = tags.filter(F.col("name").isin(list(filters.tag_names)))
+                tags = tags.filter(_text("name", filters.collation).isin(list(filters.tag_names)))
             links = model.ticket_tags.join(tags.select("tag_id"), "tag_id", "left_semi").select("ticket_id")
         df = df.join(links, "ticket_id", "left_semi")
 

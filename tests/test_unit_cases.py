@@ -322,3 +322,15 @@ def test_index_search_equals_scan_search(spark, tmp_path):
     with contextlib.redirect_stdout(buf):
         idx.filter(F.col("token").startswith("der")).explain()
     assert "StringStartsWith" in buf.getvalue()  # the prefix reaches the Parquet scan
+
+
+def test_optional_collation(spark):
+    tickets = [T(1, 1, "OPEN", "2026-01-01 00:00:00"), T(2, 2, "OPEN", "2026-01-02 00:00:00")]
+    m = make_model(spark, tickets, links=[(1, "Configuração"), (2, "dns")],
+                   customers=[(1, 1, "José Álvares", "alvares@x"), (2, 2, "Maria", "maria@x")])
+    plain = AnalyticsFilters.create(tag_names="configuracao")
+    ci_ai = AnalyticsFilters.create(tag_names="configuracao", collation="UNICODE_CI_AI")
+    assert D.period_summary(m, plain).first().total_tickets == 0
+    assert D.period_summary(m, ci_ai).first().total_tickets == 1
+    assert L.customer_page(m, search="jose").count() == 0
+    assert [r.customer_id for r in L.customer_page(m, search="jose", collation="UNICODE_CI_AI").collect()] == [1]
