@@ -110,28 +110,31 @@ def validate(src: DataFrame) -> DataFrame:
 # I3 / J10 ---------------------------------------------------------------------
 def identity_conflicts(valid: DataFrame, stored_customers: DataFrame | None = None) -> DataFrame:
     """Rows (external_requester_id, requester_email, reason) that break the
-    one-id-one-email rule, inside the batch or against stored customers."""
+    one-id-one-email rule, inside the batch or against stored customers.
+
+    Inside the batch: over the distinct (id, e-mail) pairs, an id with more
+    than one e-mail or an e-mail with more than one id (two window counts).
+    Against stored customers: two left equi joins — by id and by e-mail —
+    never one OR-join."""
     obs = valid.select("external_requester_id", "requester_email").distinct()
-    by_id = (obs.groupBy("external_requester_id").agg(F.count(F.lit(1)).alias("n"))
-             .filter(F.col("n") > 1).select("external_requester_id"))
-    by_email = (obs.groupBy("requester_email").agg(F.count(F.lit(1)).alias("n"))
-                .filter(F.col("n") > 1).select("requester_email"))
-    inside = (obs.join(by_id, "external_requester_id", "left_semi")
-              .unionByName(obs.join(by_email, "requester_email", "left_semi"))
-              .withColumn("reason", F.lit("conflicting identity inside the batch")))
+    counted = (obs.withColumn("_emails", F.count(F.lit(1)).over(Window.partitionBy("external_requester_id")))
+               .withColumn("_ids", F.count(F.lit(1)).over(Window.partitionBy("requester_email"))))
+    inside = (counted.filter((F.col("_emails") > 1) | (F.col("_ids") > 1))
+              .select("external_requester_id", "requester_email",
+                      F.lit("conflicting identity inside the batch").alias("reason")))
     if stored_customers is None:
-        return inside.distinct()
-    stored = stored_customers.select(
-        F.col("external_requester_id").alias("s_id"), F.lower(F.trim("requester_email")).alias("s_email"))
-    id_clash = (obs.join(stored, obs["external_requester_id"] == stored["s_id"], "inner")
-                .filter(F.col("s_email") != F.col("requester_email"))
-                .select("external_requester_id", "requester_email"))
-    email_clash = (obs.join(stored, obs["requester_email"] == stored["s_email"], "inner")
-                   .filter(F.col("s_id") != F.col("external_requester_id"))
-                   .select("external_requester_id", "requester_email"))
-    against = (id_clash.unionByName(email_clash)
-               .withColumn("reason", F.lit("identity conflicts with an existing customer")))
-    return inside.unionByName(against).distinct()
+        return inside
+    by_id = stored_customers.select(F.col("external_requester_id").alias("_sid"),
+                                    F.lower(F.trim("requester_email")).alias("_email_of_id"))
+    by_email = stored_customers.select(F.lower(F.trim("requester_email")).alias("_semail"),
+                                       F.col("external_requester_id").alias("_id_of_email"))
+    j = (obs.join(by_id, obs["external_requester_id"] == by_id["_sid"], "left")
+         .join(by_email, F.col("requester_email") == by_email["_semail"], "left"))
+    clash = ((F.col("_email_of_id").isNotNull() & (F.col("_email_of_id") != F.col("requester_email")))
+             | (F.col("_id_of_email").isNotNull() & (F.col("_id_of_email") != F.col("external_requester_id"))))
+    against = j.filter(clash).select("external_requester_id", "requester_email",
+                                     F.lit("identity conflicts with an existing customer").alias("reason"))
+    return inside.unionByName(against)
 
 
 # I2 -------------------------------------------------------------------------
