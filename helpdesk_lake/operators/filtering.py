@@ -66,6 +66,13 @@ def apply_filters(model: TicketModel, filters: AnalyticsFilters,
     df = model.tickets if tickets is None else tickets
     for pred in column_predicates(filters):
         df = df.filter(pred)
+    # Partitioned layouts (sources/tables.py) add a coarse predicate on their
+    # partition column, implied by the period, so whole partitions are pruned.
+    month = getattr(model, "month_predicate", None)
+    if month is not None and "created_month" in df.columns:
+        coarse = month(filters.from_at, filters.to_at)
+        if coarse is not None:
+            df = df.filter(coarse)
 
     if filters.requester_emails:  # EXISTS customer with lower(email) in list
         matching = (model.customers

@@ -334,3 +334,22 @@ def test_optional_collation(spark):
     assert D.period_summary(m, ci_ai).first().total_tickets == 1
     assert L.customer_page(m, search="jose").count() == 0
     assert [r.customer_id for r in L.customer_page(m, search="jose", collation="UNICODE_CI_AI").collect()] == [1]
+
+
+def test_parquet_layout_prunes_and_agrees(spark, tmp_path):
+    import contextlib
+    import io
+    from helpdesk_lake.sources.fixtures import fixture_model
+    from helpdesk_lake.sources.tables import parquet_model, write_model
+    from helpdesk_lake.plans.catalog import PERIOD
+    src = fixture_model(spark, "/root/testdata/sf0.001")
+    write_model(src, str(tmp_path / "tables"), partitions=4)
+    pm = parquet_model(spark, str(tmp_path / "tables"))
+    a = D.period_summary(src, PERIOD).first()
+    b = D.period_summary(pm, PERIOD).first()
+    assert a == b
+    assert C.topic_breakdown(src, PERIOD).collect() == C.topic_breakdown(pm, PERIOD).collect()
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        D.filtered_tickets(pm, PERIOD).explain()
+    assert "PartitionFilters: [isnotnull(created_month" in buf.getvalue()
