@@ -36,7 +36,8 @@ AGG_SQL = f"""
 
 def topics_sql(k: int, restrict: str = "") -> str:
     return f"""
-  SELECT customer_id, to_json(list({{'tag': tag, 'ticket_count': ticket_count}} ORDER BY rk)) AS top_topics_json
+  SELECT customer_id, CAST(to_json(list({{'tag': tag, 'ticket_count': ticket_count}} ORDER BY rk)) AS VARCHAR)
+         AS top_topics_json
   FROM (SELECT customer_id, tag, ticket_count,
                row_number() OVER (PARTITION BY customer_id ORDER BY ticket_count DESC, tag ASC) AS rk
         FROM (SELECT t.customer_id, l.tag, count(DISTINCT t.ticket_id) AS ticket_count

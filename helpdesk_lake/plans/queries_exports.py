@@ -23,9 +23,9 @@ SELECT t.ticket_id, x.subject, x.description, lower(t.status) AS status, lower(t
        t.assignee_external_id AS assignee_id, t.assignee_name,
        {_iso('t.source_created_at')} AS created_at, {_iso('t.source_updated_at')} AS updated_at,
        {_iso('t.first_response_at')} AS first_response_at,
-       to_json(coalesce(g.tags, CAST([] AS VARCHAR[]))) AS tags,
-       CASE WHEN r.score IS NOT NULL THEN to_json({{'score': lower(r.score), 'offered_at': {_iso('r.offered_at')},
-                                                  'rated_at': {_iso('r.rated_at')}, 'comment': r.comment}}) END
+       CAST(to_json(coalesce(g.tags, CAST([] AS VARCHAR[]))) AS VARCHAR) AS tags,
+       CASE WHEN r.score IS NOT NULL THEN CAST(to_json({{'score': lower(r.score), 'offered_at': {_iso('r.offered_at')},
+                                                  'rated_at': {_iso('r.rated_at')}, 'comment': r.comment}}) AS VARCHAR) END
          AS satisfaction_rating
 FROM m_tickets t
 JOIN m_customers c ON c.customer_id = t.customer_id
