@@ -113,7 +113,7 @@ FROM m_tickets"""))(lambda m: m.tickets.select(
 
 register("priority_display_order", "T10", with_model("""
 SELECT priority, count(*) AS ticket_count,
-       CASE priority WHEN 'URGENT' THEN 1 WHEN 'HIGH' THEN 2 WHEN 'NORMAL' THEN 3 WHEN 'LOW' THEN 4 ELSE 5 END
-         AS display_rank
+       CAST(CASE priority WHEN 'URGENT' THEN 1 WHEN 'HIGH' THEN 2 WHEN 'NORMAL' THEN 3 WHEN 'LOW' THEN 4 ELSE 5 END
+            AS BIGINT) AS display_rank
 FROM m_tickets GROUP BY priority"""))(lambda m: m.tickets.groupBy("priority").agg(
     F.count(F.lit(1)).alias("ticket_count")).withColumn("display_rank", X.priority_display_rank()))
