@@ -72,8 +72,11 @@ def grouped_rows(model: TicketModel, filters: AnalyticsFilters) -> DataFrame:
 
 def dashboard_overview(model: TicketModel, filters: AnalyticsFilters, top_topics_limit: int = 10,
                        timeline_limit: int = 90) -> dict[str, DataFrame]:
-    """Every dashboard result as a named DataFrame (lazy; nothing collected)."""
-    rows = grouped_rows(model, filters)
+    """Every dashboard result as a named DataFrame (lazy; nothing collected).
+
+    The grouped rows are cached: they are small (one row per label and
+    window, days bounded by the period) and every chart below reads them."""
+    rows = grouped_rows(model, filters).cache()
     cur = rows.filter("is_current")
     comparable = filters.previous() is not None
 

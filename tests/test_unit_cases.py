@@ -353,3 +353,10 @@ def test_parquet_layout_prunes_and_agrees(spark, tmp_path):
     with contextlib.redirect_stdout(buf):
         D.filtered_tickets(pm, PERIOD).explain()
     assert "PartitionFilters: [isnotnull(created_month" in buf.getvalue()
+    from helpdesk_lake.plans.catalog import COMPARE
+    t, _ = C.two_period_tickets(pm, COMPARE)
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        t.explain()
+    assert "PartitionFilters: [isnotnull(created_month" in buf.getvalue()
+    assert C.metrics_comparison(src, COMPARE).collect() == C.metrics_comparison(pm, COMPARE).collect()
