@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..filters import AnalyticsFilters
 from ..operators.filtering import apply_filters
 from .catalog import PERIOD, PERIOD_FROM, PERIOD_TO, period_sql, register
@@ -89,4 +87,3 @@ FROM m_rated t
 WHERE t.priority IN ('URGENT', 'HIGH') AND EXISTS (
   SELECT 1 FROM m_links l WHERE l.ticket_id = t.ticket_id AND l.tag IN ('brand#11', 'brand#12'))"""))(
     lambda m: period_summary(m, AnalyticsFilters.create(priorities="urgent,high", tag_names="brand#11,brand#12")))
-_ = F
