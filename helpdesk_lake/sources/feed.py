@@ -41,7 +41,8 @@ def fixture_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     n_customers = customers.select(F.count(F.lit(1))).scalar()
     # Re-sent versions of k % 35 = 0 carry the next customer's e-mail: an
     # identity conflict (I3) inside the feed and against stored customers.
-    next_name = F.concat(F.lit("Customer#"), F.lpad(((F.col("customer_id") + 1) % n_customers).cast("string"), 9, "0"))
+    next_id = F.when(n_customers > 0, (F.col("customer_id") + 1) % n_customers)
+    next_name = F.concat(F.lit("Customer#"), F.lpad(next_id.cast("string"), 9, "0"))
     k = F.col("ticket_id")
     created = F.col("source_created_at")
 

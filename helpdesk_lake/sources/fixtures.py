@@ -166,7 +166,8 @@ def fixture_model(spark: SparkSession, sf_dir: str) -> TicketModel:
         n_docs = docs.select(F.count(F.lit(1))).scalar()
         with_line = base.join(fl, k_col, "left")
         with_part = with_line.join(p, with_line["first_partkey"] == p["p_partkey"], "left")
-        slotted = with_part.withColumn("doc_slot", F.col(k_col) % n_docs)
+        # an empty documents table gives no slot (ANSI mode would fail on % 0)
+        slotted = with_part.withColumn("doc_slot", F.when(n_docs > 0, F.col(k_col) % n_docs))
         with_doc = slotted.join(docs, slotted["doc_slot"] == docs["doc_id"], "left")
         return with_doc.withColumn(
             "subject", F.coalesce(F.col("part_subject"), F.lit(NO_LINES_SUBJECT))

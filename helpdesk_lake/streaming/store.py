@@ -69,6 +69,23 @@ def ingest_log(spark: SparkSession, root: str) -> DataFrame:
     return _read(spark, root, "log")
 
 
+def ingestion_state(spark: SparkSession, root: str) -> DataFrame:
+    """I9 control state as one row: the latest attempt decides the state
+    (IDLE after a success, ERROR after a failure), the cursor counts the
+    committed records, plus the last success time and the last error."""
+    log = ingest_log(spark, root)
+    ok = F.col("state").isin("SUCCESS", "SNAPSHOT")
+    return log.agg(
+        F.max_by("state", "finished_at").alias("last_state"),
+        F.coalesce(F.sum(F.when(ok, F.col("records"))), F.lit(0)).cast("long").alias("cursor_position"),
+        F.max(F.when(ok, F.col("finished_at"))).alias("last_success_at"),
+        F.max_by(F.col("error"), F.when(F.col("state") == "ERROR", F.col("finished_at"))).alias("last_error"),
+        F.max("finished_at").alias("last_heartbeat_at"),
+    ).select(
+        F.when(F.col("last_state") == "ERROR", F.lit("ERROR")).otherwise(F.lit("IDLE")).alias("worker_state"),
+        "cursor_position", "last_success_at", "last_error", "last_heartbeat_at")
+
+
 def _committed(spark: SparkSession, root: str, name: str) -> DataFrame:
     """Rows of committed batches from the latest snapshot on."""
     log = ingest_log(spark, root)

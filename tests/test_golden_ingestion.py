@@ -16,7 +16,8 @@ from helpdesk_lake.operators import dashboard as D
 from helpdesk_lake.operators import exports as E
 from helpdesk_lake.sources.json_feed import read_feed
 from helpdesk_lake.streaming.ingest import start_ingestion
-from helpdesk_lake.streaming.store import IngestionError, ingest_batch, ingest_log, init_store, store_model
+from helpdesk_lake.streaming.store import (IngestionError, ingest_batch, ingest_log, ingestion_state, init_store,
+                                           store_model)
 
 BASE = datetime(2026, 8, 1, 10, 0, tzinfo=timezone.utc)
 
@@ -94,6 +95,8 @@ def test_resend_is_unchanged(spark, golden_store):
     assert second.state == "SUCCESS"
     assert second.tickets_created == 0 and second.tickets_unchanged == 1
     assert second.next_cursor == 4
+    state = ingestion_state(spark, golden_store).first()
+    assert state.worker_state == "IDLE" and state.cursor_position == 4 and state.last_error is None
 
 
 def test_dashboard_numbers(spark, golden_store):
@@ -146,6 +149,8 @@ def test_conflict_batch_leaves_nothing(spark, tmp_path):
     m = store_model(spark, root)
     assert m.customers.count() == 0 and m.tickets.count() == 0
     assert ingest_log(spark, root).first().state == "ERROR"
+    state = ingestion_state(spark, root).first()
+    assert state.worker_state == "ERROR" and state.cursor_position == 0 and "conflict" in state.last_error
 
 
 def test_invalid_record_fails_batch(spark, tmp_path):

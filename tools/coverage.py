@@ -80,7 +80,7 @@ WHERE = {
     "I3": "operators/ingestion.py: identity_conflicts", "I4": "operators/ingestion.py: apply_flags, latest_versions",
     "I5": "operators/ingestion.py: new_tags", "I6": "operators/ingestion.py: replaced_links",
     "I7": "operators/ingestion.py: synced_ratings", "I8": "streaming/store.py: ingest_batch (commit log, idempotent)",
-    "I9": "streaming/store.py: ingest_log", "I10": "operators/ingestion.py: batch_checks",
+    "I9": "streaming/store.py: ingest_log, ingestion_state", "I10": "operators/ingestion.py: batch_checks",
     "I11": "streaming/store.py: ingest_batch stats",
     "E1": "operators/exports.py: export_records", "E2": "operators/exports.py: serialize_records",
     "E3": "operators/exports.py: export_preview", "E4": "operators/exports.py: data_export + sinks/reports.py",
