@@ -161,3 +161,20 @@ def write_json_snapshot(df: DataFrame, folder: str) -> str:
         os.replace(folder, f"{folder.rstrip('/')}.previous-{uuid.uuid4().hex[:8]}")
     os.replace(staging, folder)
     return f"{int(digest['d'] or 0) & ((1 << 64) - 1):016x}-{digest['n']}"
+
+
+# The report format is an argument (no writer registry) ----------------
+REPORT_FORMATS = ("csv", "xlsx")
+
+
+def write_report(df: DataFrame, fmt: str, path: str, columns: list[str] | None = None,
+                 sheet: str = DEFAULT_SHEET_NAME, partitions: int | None = None) -> DataFrame | None:
+    """Write ``df`` as CSV or XLSX parts under ``path``; an unknown format is
+    an error. XLSX returns its manifest frame (path, rows); CSV returns None."""
+    fmt = fmt.lower()
+    if fmt not in REPORT_FORMATS:
+        raise ValueError(f"unknown report format {fmt!r}; expected one of {REPORT_FORMATS}")
+    if fmt == "csv":
+        write_csv(df if not partitions else df.repartition(partitions), path, columns)
+        return None
+    return write_xlsx_parts(df, path, columns, sheet=sheet, partitions=partitions)

@@ -360,3 +360,32 @@ def test_parquet_layout_prunes_and_agrees(spark, tmp_path):
         t.explain()
     assert "PartitionFilters: [isnotnull(created_month" in buf.getvalue()
     assert C.metrics_comparison(src, COMPARE).collect() == C.metrics_comparison(pm, COMPARE).collect()
+
+
+def test_metric_rows_and_report_formats(spark, tmp_path, comparison_model):
+    from helpdesk_lake.sinks.reports import write_report
+    overall = E.metrics_overall(comparison_model, CUR, top_topics_limit=2).collect()
+    codes = [r.metric_code for r in overall]
+    assert codes[:5] == ["ticket_volume", "average_recurrence_seconds", "resolution_rate", "satisfaction_rate",
+                         "average_first_response_seconds"]
+    topics = [r for r in overall if r.metric_code == "top_topics"]
+    assert [r.rank for r in topics] == [1, 2] and {r.dimension for r in topics} == {"dns", "ssl"}
+    resp = [r for r in overall if r.metric_code == "average_first_response_seconds"][0]
+    assert resp.sample_size == 2 and resp.value == 900.0 and resp.period_start == "2026-08-10T00:00:00"
+    per_customer = E.metrics_by_customer(comparison_model, CUR, metrics="average_first_response_seconds,top_topics",
+                                         top_topics_limit=1).collect()
+    resp_rows = [r for r in per_customer if r.metric_code == "average_first_response_seconds"]
+    assert resp_rows and all(r.sample_size is None for r in resp_rows)  # Q9
+    assert resp_rows[0].scope_label == "Cliente 1 <c1@example.com>"
+    assert [r.rank for r in per_customer if r.metric_code == "top_topics"] == [1]
+    with pytest.raises(ValueError):
+        E.metrics_overall(comparison_model, CUR, metrics="nope")
+    with pytest.raises(ValueError):
+        write_report(E.data_export(comparison_model, CUR), "pdf", str(tmp_path / "x"))
+    manifest = write_report(E.data_export(comparison_model, CUR, preset="essential"), "xlsx",
+                            str(tmp_path / "xlsx"), sheet="Tickets", partitions=1).collect()
+    assert sum(r.rows for r in manifest) == 2
+    write_report(E.data_export(comparison_model, CUR, preset="essential"), "csv", str(tmp_path / "csv"), partitions=1)
+    header = next((tmp_path / "csv").glob("part-*.csv")).read_text(encoding="utf-8").splitlines()[0]
+    assert header.split(",") == ["ticket_id", "subject", "status", "priority", "requester_name", "assignee_name",
+                                 "created_at", "first_response_at", "tags", "satisfaction_rating"]
