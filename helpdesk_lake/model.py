@@ -124,6 +124,14 @@ class TicketModel:
         tags = self.tags.select("tag_id", F.col("name").alias("tag"))
         return self.ticket_tags.join(tags, "tag_id", "inner")
 
+    def links_for(self, tickets: DataFrame) -> DataFrame:
+        """The bridge rows of the given tickets only (J11: page first, enrich
+        after). A model that derives the bridge may override it to restrict
+        its sources *before* building it (``sources['links_for']``)."""
+        if "links_for" in self.sources:
+            return self.sources["links_for"](tickets)
+        return self.topic_links().join(tickets.select("ticket_id").distinct(), "ticket_id", "left_semi")
+
     @cached_property
     def table_names(self) -> tuple[str, ...]:
         return ("customers", "tickets", "ticket_text", "ratings", "tags", "ticket_tags")

@@ -74,8 +74,12 @@ def customer_topic_counts(model: TicketModel, args: CustomerMetricsArgs,
     the customers of ``customers`` by a semi join."""
     t = apply_filters(model, args.filters).select("ticket_id", "customer_id")
     if customers is not None:
+        # page first, enrich after: only the page customers' tickets, and only
+        # their bridge rows (the model restricts its sources before building)
         t = t.join(customers.select("customer_id"), "customer_id", "left_semi")
-    links = model.topic_links().select("ticket_id", "tag")
+        links = model.links_for(t).select("ticket_id", "tag")
+    else:
+        links = model.topic_links().select("ticket_id", "tag")
     return (t.join(links, "ticket_id", "inner")
             .groupBy("customer_id", "tag").agg(F.count(F.lit(1)).alias("ticket_count")))
 

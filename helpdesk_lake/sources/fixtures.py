@@ -200,6 +200,17 @@ def fixture_model(spark: SparkSession, sf_dir: str) -> TicketModel:
         return (li.join(p, li["l_partkey"] == p["p_partkey"], "inner")
                 .select(F.col("l_orderkey").alias("ticket_id"), "tag_id").distinct())
 
+    def links_for(tickets: DataFrame) -> DataFrame:
+        # restrict lineitem to the given tickets first (a semi join against a
+        # small key set), then join part and de-duplicate only those lines
+        ids = tickets.select(F.col("ticket_id").alias("l_orderkey")).distinct()
+        li = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").join(
+            ids, "l_orderkey", "left_semi")
+        p = read_table(spark, sf_dir, "part").select("p_partkey", F.lower(F.col("p_brand")).alias("tag_id"))
+        return (li.join(p, li["l_partkey"] == p["p_partkey"], "inner")
+                .select(F.col("l_orderkey").alias("ticket_id"), "tag_id").distinct()
+                .withColumn("tag", F.col("tag_id")))
+
     return TicketModel(sources={
         "customers": customers,
         "tickets": tickets,
@@ -209,6 +220,7 @@ def fixture_model(spark: SparkSession, sf_dir: str) -> TicketModel:
         "ticket_text": ticket_text,
         "full_tickets": full_tickets,
         "attach_text": attach_text,
+        "links_for": links_for,
         "tags": tags,
         "ticket_tags": ticket_tags,
     }, tag_ids_are_names=True)
