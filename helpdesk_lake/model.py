@@ -109,13 +109,13 @@ class TicketModel:
             return self._get("full_tickets")
         return self.rated_tickets(RATING_COLUMNS).join(self.ticket_text, "ticket_id", "left")
 
-    def attach_text(self, frame: DataFrame) -> DataFrame:
-        """Add subject and description to the rows of ``frame`` (by
-        ticket_id). Models that derive text may override it to work on those
-        rows only (``sources['attach_text']``)."""
+    def attach_text(self, frame: DataFrame, columns: tuple[str, ...] = ("subject", "description")) -> DataFrame:
+        """Add text columns (subject, description) to the rows of ``frame``
+        (by ticket_id). Models that derive text may override it to work on
+        those rows only (``sources['attach_text']``)."""
         if "attach_text" in self.sources:
-            return self.sources["attach_text"](frame)
-        return frame.join(self.ticket_text, "ticket_id", "left")
+            return self.sources["attach_text"](frame, columns)
+        return frame.join(self.ticket_text.select("ticket_id", *columns), "ticket_id", "left")
 
     def topic_links(self) -> DataFrame:
         """J3 bridge: (ticket_id, tag_id, tag) over ticket_tags ⋈ tags."""

@@ -54,7 +54,7 @@ def ticket_tag_names(model: TicketModel) -> DataFrame:
 
 
 # E1 -------------------------------------------------------------------------
-def export_records(model: TicketModel, filters: AnalyticsFilters) -> DataFrame:
+def export_records(model: TicketModel, filters: AnalyticsFilters, limit: int | None = None) -> DataFrame:
     """Denormalised ticket records (typed), ordered by external ticket id.
 
     The narrow record (ticket, rating, customer, sorted tags) is assembled
@@ -63,8 +63,10 @@ def export_records(model: TicketModel, filters: AnalyticsFilters) -> DataFrame:
     t = apply_filters(model, filters, model.rated_tickets(("score", "offered_at", "rated_at", "comment")))
     customers = model.customers.select("customer_id", "external_requester_id",
                                        "requester_name", "requester_email")
-    joined = model.attach_text(t.join(customers, "customer_id", "inner")
-                               .join(ticket_tag_names(model), "ticket_id", "left"))
+    narrow = t.join(customers, "customer_id", "inner").join(ticket_tag_names(model), "ticket_id", "left")
+    if limit is not None:  # preview: cut the first rows before any text is attached
+        narrow = narrow.orderBy("ticket_id").limit(limit)
+    joined = model.attach_text(narrow)
     rating = F.when(F.col("score").isNotNull(), F.struct(
         F.col("score"), F.col("offered_at"), F.col("rated_at"),
         F.coalesce(F.col("comment"), F.lit("")).alias("comment")))
@@ -130,7 +132,7 @@ def export_preview(model: TicketModel, filters: AnalyticsFilters, fields=None, p
         raise ValueError("limit must be within 1..100")
     chosen = resolve_fields(fields, preset)
     total = apply_filters(model, filters).select(F.count(F.lit(1))).scalar()
-    first = export_records(model, filters).orderBy("ticket_id").limit(limit)
+    first = export_records(model, filters, limit=limit)
     out = serialize_records(first, chosen if "ticket_id" in chosen else chosen + ["ticket_id"])
     return out.withColumn("total_matching", total)
 

@@ -157,15 +157,17 @@ def fixture_model(spark: SparkSession, sf_dir: str) -> TicketModel:
         docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
         return docs
 
-    def text_frame(base: DataFrame, k_col: str = "ticket_id") -> DataFrame:
+    def text_frame(base: DataFrame, k_col: str = "ticket_id", with_description: bool = True) -> DataFrame:
         """Attach subject (first line's part) and description (a whole document)."""
         fl = first_lines(lineitem())
         p = part().select("p_partkey",
                           F.concat(F.col("p_type"), F.lit(" "), F.col("p_name")).alias("part_subject"))
-        docs = documents_by_slot()
-        n_docs = docs.select(F.count(F.lit(1))).scalar()
         with_line = base.join(fl, k_col, "left")
         with_part = with_line.join(p, with_line["first_partkey"] == p["p_partkey"], "left")
+        if not with_description:
+            return with_part.withColumn("subject", F.coalesce(F.col("part_subject"), F.lit(NO_LINES_SUBJECT)))
+        docs = documents_by_slot()
+        n_docs = docs.select(F.count(F.lit(1))).scalar()
         # an empty documents table gives no slot (ANSI mode would fail on % 0)
         slotted = with_part.withColumn("doc_slot", F.when(n_docs > 0, F.col(k_col) % n_docs))
         with_doc = slotted.join(docs, slotted["doc_slot"] == docs["doc_id"], "left")
@@ -173,9 +175,10 @@ def fixture_model(spark: SparkSession, sf_dir: str) -> TicketModel:
             "subject", F.coalesce(F.col("part_subject"), F.lit(NO_LINES_SUBJECT))
         ).withColumn("description", F.col("text"))
 
-    def attach_text(frame: DataFrame) -> DataFrame:
+    def attach_text(frame: DataFrame, columns=("subject", "description")) -> DataFrame:
         cols = [c for c in frame.columns]
-        return text_frame(frame).select(*[F.col(c) for c in cols], "subject", "description")
+        framed = text_frame(frame, with_description="description" in columns)
+        return framed.select(*[F.col(c) for c in cols], *columns)
 
     def ticket_text() -> DataFrame:
         ids = orders().select(F.col("o_orderkey").alias("ticket_id"))
