@@ -123,6 +123,27 @@ SUMMARY_NO_BASE = "O período não possui uma base anterior comparável."
 SUMMARY_NO_ALERT = "Nenhuma deterioração relevante foi detectada."
 SUMMARY_NO_IMPROVEMENT = "Nenhuma melhora relevante foi detectada."
 
+# --- fixed values: narrative summary texts (D13) ----------------------------
+SUMMARY_VOLUME = "O volume"
+SUMMARY_RESOLUTION = "A taxa de resolução"
+SUMMARY_FIRST_RESPONSE = "O tempo médio até a primeira resposta"
+SUMMARY_NO_COMPARABLE = "não tem base anterior comparável."
+SUMMARY_STABLE = "permaneceu estável."
+SUMMARY_ROSE = "aumentou"
+SUMMARY_FELL = "caiu"
+SUMMARY_WENT_UP = "subiu"
+SUMMARY_IN_PERIOD = " no período"
+SUMMARY_POINTS = " p.p."
+SUMMARY_BECAME = "ficou"
+SUMMARY_SLOWER = "mais lento"
+SUMMARY_FASTER = "mais rápido"
+ALERT_RESOLUTION = "Resolução"
+ALERT_FIRST_RESPONSE = "Primeira resposta ficou"
+ALERT_SLOWER = "mais lenta"
+ALERT_FASTER = "mais rápida"
+ALERT_SATISFACTION = "Satisfação"
+STABLE_THRESHOLD = 0.05
+
 # --- fixed values: argument limits -----------------------------------------
 TOP_TOPICS_LIMIT = (1, 50, 10)       # min, max, default (dashboard, exports)
 TIMELINE_LIMIT = (1, 366, 90)

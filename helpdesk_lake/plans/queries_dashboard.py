@@ -236,62 +236,68 @@ FROM dom d LEFT JOIN (SELECT {BUCKET} AS bucket, count(*) AS n FROM m_tickets WH
   ON c.bucket = d.bucket""", {"dom": BUCKET_DOMAIN}))(lambda m: C.first_response_distribution(m, PERIOD))
 
 
+from .. import constants as K  # noqa: E402
+
+
 def _one_dec(x: str) -> str:
     return f"printf('%.1f', abs({x}))"
 
 
+def _no_base_or_stable(label: str, x: str) -> str:
+    return (f"CASE WHEN {x} IS NULL THEN '{label} {K.SUMMARY_NO_COMPARABLE}' "
+            f"WHEN abs({x}) < {K.STABLE_THRESHOLD} THEN '{label} {K.SUMMARY_STABLE}' ")
+
+
 def _move(label: str, x: str, neutral: bool = False) -> str:
-    suffix = "" if neutral else " no período"
-    return (f"CASE WHEN {x} IS NULL THEN '{label} não tem base anterior comparável.' "
-            f"WHEN abs({x}) < 0.05 THEN '{label} permaneceu estável.' "
-            f"ELSE '{label} ' || CASE WHEN {x} > 0 THEN 'aumentou' ELSE 'caiu' END || ' ' || {_one_dec(x)} || '%{suffix}.' END")
+    suffix = "" if neutral else K.SUMMARY_IN_PERIOD
+    return (_no_base_or_stable(label, x) +
+            f"ELSE '{label} ' || CASE WHEN {x} > 0 THEN '{K.SUMMARY_ROSE}' ELSE '{K.SUMMARY_FELL}' END || ' ' "
+            f"|| {_one_dec(x)} || '%{suffix}.' END")
 
 
 def _move_pts(label: str, x: str) -> str:
-    return (f"CASE WHEN {x} IS NULL THEN '{label} não tem base anterior comparável.' "
-            f"WHEN abs({x}) < 0.05 THEN '{label} permaneceu estável.' "
-            f"ELSE '{label} ' || CASE WHEN {x} > 0 THEN 'subiu' ELSE 'caiu' END || ' ' || {_one_dec(x)} || ' p.p.' END")
+    return (_no_base_or_stable(label, x) +
+            f"ELSE '{label} ' || CASE WHEN {x} > 0 THEN '{K.SUMMARY_WENT_UP}' ELSE '{K.SUMMARY_FELL}' END || ' ' "
+            f"|| {_one_dec(x)} || '{K.SUMMARY_POINTS}' END")
 
 
 def _move_dur(label: str, x: str) -> str:
-    return (f"CASE WHEN {x} IS NULL THEN '{label} não tem base anterior comparável.' "
-            f"WHEN abs({x}) < 0.05 THEN '{label} permaneceu estável.' "
-            f"ELSE '{label} ficou ' || {_one_dec(x)} || '% ' || CASE WHEN {x} > 0 THEN 'mais lento' ELSE 'mais rápido' END || '.' END")
+    return (_no_base_or_stable(label, x) +
+            f"ELSE '{label} {K.SUMMARY_BECAME} ' || {_one_dec(x)} || '% ' || CASE WHEN {x} > 0 "
+            f"THEN '{K.SUMMARY_SLOWER}' ELSE '{K.SUMMARY_FASTER}' END || '.' END")
 
 
+def _pts_text(label: str, x: str) -> str:
+    return (f"'{label} ' || CASE WHEN {x} > 0 THEN '{K.SUMMARY_WENT_UP}' ELSE '{K.SUMMARY_FELL}' END || ' ' "
+            f"|| {_one_dec(x)} || '{K.SUMMARY_POINTS}'")
+
+
+RESP_TEXT = (f"'{K.ALERT_FIRST_RESPONSE} ' || {_one_dec('first_response_change_percent')} || '% ' || "
+             f"CASE WHEN first_response_change_percent > 0 THEN '{K.ALERT_SLOWER}' ELSE '{K.ALERT_FASTER}' END || '.'")
 SUMMARY_CTES = dict(COMPARISON_CTES)
 SUMMARY_CTES.update(TOPIC_CTES)
-SUMMARY_CTES["cands"] = """
-  SELECT 'alert' AS kind, abs(resolution_change_points) AS m,
-         'Resolução ' || CASE WHEN resolution_change_points > 0 THEN 'subiu' ELSE 'caiu' END || ' '
-           || printf('%.1f', abs(resolution_change_points)) || ' p.p.' AS t
-    FROM metrics WHERE resolution_change_points IS NOT NULL AND resolution_change_points <= 0
-  UNION ALL
-  SELECT 'improvement', abs(resolution_change_points),
-         'Resolução subiu ' || printf('%.1f', abs(resolution_change_points)) || ' p.p.'
-    FROM metrics WHERE resolution_change_points > 0
+SUMMARY_CTES["cands"] = f"""
+  SELECT CASE WHEN resolution_change_points > 0 THEN 'improvement' ELSE 'alert' END AS kind,
+         abs(resolution_change_points) AS m, {_pts_text(K.ALERT_RESOLUTION, 'resolution_change_points')} AS t
+    FROM metrics WHERE resolution_change_points IS NOT NULL
   UNION ALL
   SELECT CASE WHEN first_response_change_percent > 0 THEN 'alert' ELSE 'improvement' END,
-         abs(first_response_change_percent),
-         'Primeira resposta ficou ' || printf('%.1f', abs(first_response_change_percent)) || '% '
-           || CASE WHEN first_response_change_percent > 0 THEN 'mais lenta' ELSE 'mais rápida' END || '.'
+         abs(first_response_change_percent), {RESP_TEXT}
     FROM metrics WHERE first_response_change_percent IS NOT NULL
   UNION ALL
   SELECT CASE WHEN satisfaction_change_points > 0 THEN 'improvement' ELSE 'alert' END,
-         abs(satisfaction_change_points),
-         'Satisfação ' || CASE WHEN satisfaction_change_points > 0 THEN 'subiu' ELSE 'caiu' END || ' '
-           || printf('%.1f', abs(satisfaction_change_points)) || ' p.p.'
+         abs(satisfaction_change_points), {_pts_text(K.ALERT_SATISFACTION, 'satisfaction_change_points')}
     FROM metrics WHERE satisfaction_change_points IS NOT NULL"""
 
 register("dashboard_summary", "D13 Q4 X16", with_model(f"""
 SELECT
-  concat_ws(' ', {_move('O volume', 'm.ticket_volume_change_percent', True)},
-                 {_move_pts('A taxa de resolução', 'm.resolution_change_points')},
-                 {_move_dur('O tempo médio até a primeira resposta', 'm.first_response_change_percent')}) AS headline,
+  concat_ws(' ', {_move(K.SUMMARY_VOLUME, 'm.ticket_volume_change_percent', True)},
+                 {_move_pts(K.SUMMARY_RESOLUTION, 'm.resolution_change_points')},
+                 {_move_dur(K.SUMMARY_FIRST_RESPONSE, 'm.first_response_change_percent')}) AS headline,
   coalesce((SELECT t FROM cands WHERE kind = 'alert' ORDER BY m DESC, t DESC LIMIT 1),
-           'Nenhuma deterioração relevante foi detectada.') AS primary_alert,
+           '{K.SUMMARY_NO_ALERT}') AS primary_alert,
   coalesce((SELECT t FROM cands WHERE kind = 'improvement' ORDER BY m DESC, t DESC LIMIT 1),
-           'Nenhuma melhora relevante foi detectada.') AS primary_improvement,
+           '{K.SUMMARY_NO_IMPROVEMENT}') AS primary_improvement,
   (SELECT tag FROM topics WHERE rank = 1) AS top_driver_label,
   (SELECT ticket_count FROM topics WHERE rank = 1) AS top_driver_ticket_count,
   (SELECT share FROM topics WHERE rank = 1) AS top_driver_share,
