@@ -225,9 +225,11 @@ SELECT priority AS label, count(*) AS value FROM m_tickets WHERE {P} GROUP BY 1"
     lambda m: C.priority_distribution(D.priority_aggregates(m, PERIOD)))
 
 
-BUCKET_DOMAIN = """SELECT * FROM (VALUES (1, 'up_to_15m', 'Até 15 min'), (2, '15_to_30m', '15 a 30 min'),
-  (3, '30_to_60m', '30 a 60 min'), (4, '1_to_4h', '1 a 4 h'), (5, 'over_4h', 'Acima de 4 h'),
-  (6, 'unanswered', 'Sem resposta válida')) v(bucket_order, bucket, label)"""
+from ..constants import RESPONSE_BUCKETS  # noqa: E402
+
+BUCKET_DOMAIN = ("SELECT * FROM (VALUES " + ", ".join(
+    f"({i}, '{code}', '{label}')" for i, (code, label, _) in enumerate(RESPONSE_BUCKETS, start=1))
+    + ") v(bucket_order, bucket, label)")
 
 register("response_distribution", "D11 A7 J9 D1", with_model(f"""
 SELECT d.bucket, d.label, coalesce(c.n, 0) AS ticket_count,

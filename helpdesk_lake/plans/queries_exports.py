@@ -9,6 +9,7 @@ from ..functions import expressions as X
 from ..operators import exports as E
 from .catalog import PERIOD, period_sql, register
 from .oracle_model import with_model
+from .. import constants as K
 
 P = period_sql(PERIOD, "t.source_created_at")
 
@@ -74,8 +75,9 @@ M_COLS = ("scope_type, scope_id, scope_label, metric_code, metric_label, value,
           "denominator, sample_size, dimension, rank")
 
 
-def _mrow(code: str, label: str, unit: str, value: str, num="NULL", den="NULL", ss="NULL", dim="NULL",
-          rank="NULL", scope="'overall', 'all', 'Visão geral'") -> str:
+def _mrow(code: str, value: str, num="NULL", den="NULL", ss="NULL", dim="NULL", rank="NULL",
+          scope=f"'overall', '{K.OVERALL_SCOPE_ID}', '{K.OVERALL_SCOPE_LABEL}'") -> str:
+    label, unit = K.METRIC_LABELS[code], K.METRIC_UNITS[code]
     return (f"SELECT {scope}, '{code}', '{label}', CAST({value} AS DOUBLE), '{unit}', CAST({num} AS BIGINT), "
             f"CAST({den} AS BIGINT), CAST({ss} AS BIGINT), CAST({dim} AS VARCHAR), CAST({rank} AS INTEGER), {PS}")
 
@@ -98,14 +100,14 @@ OVERALL_CTES = {
 }
 register("metrics_overall", "E5 E7 U1 W3", with_model(f"""
 SELECT {M_COLS}, period_start, period_end FROM (
-  {_mrow('ticket_volume', 'Volume de tickets', 'tickets', 's.total')} FROM s
-  UNION ALL {_mrow('average_recurrence_seconds', 'Frequência média', 'seconds', 'rc.rec', ss='rc.n')} FROM rc
-  UNION ALL {_mrow('resolution_rate', 'Taxa de resolução', 'ratio', _rate('s.resolved', 's.total'), 's.resolved', 's.total')} FROM s
-  UNION ALL {_mrow('satisfaction_rate', 'Índice de satisfação', 'ratio', _rate('s.good', 's.good + s.bad'), 's.good',
+  {_mrow('ticket_volume', 's.total')} FROM s
+  UNION ALL {_mrow('average_recurrence_seconds', 'rc.rec', ss='rc.n')} FROM rc
+  UNION ALL {_mrow('resolution_rate', _rate('s.resolved', 's.total'), 's.resolved', 's.total')} FROM s
+  UNION ALL {_mrow('satisfaction_rate', _rate('s.good', 's.good + s.bad'), 's.good',
                    's.good + s.bad', 's.good + s.bad')} FROM s
-  UNION ALL {_mrow('average_first_response_seconds', 'Tempo médio até a primeira resposta', 'seconds', 's.resp',
+  UNION ALL {_mrow('average_first_response_seconds', 's.resp',
                    ss='s.responded')} FROM s
-  UNION ALL {_mrow('top_topics', 'Assuntos principais', 'tickets', 'tp.n', dim='tp.tag', rank='tp.rk')} FROM tp
+  UNION ALL {_mrow('top_topics', 'tp.n', dim='tp.tag', rank='tp.rk')} FROM tp
 ) u(scope_type, scope_id, scope_label, metric_code, metric_label, value, unit, numerator, denominator, sample_size,
     dimension, rank, period_start, period_end)""", OVERALL_CTES))(
     lambda m: E.metrics_overall(m, PERIOD, top_topics_limit=5))
@@ -136,24 +138,24 @@ CUSTOMER_CTES = {
 }
 register("metrics_by_customer", "E6 E7 U1 X15 Q9 D15", with_model(f"""
 SELECT {M_COLS}, period_start, period_end FROM (
-  {_mrow('ticket_volume', 'Volume de tickets', 'tickets', 'a.vol', scope=CUST_SCOPE)} FROM a
-  UNION ALL {_mrow('average_recurrence_seconds', 'Frequência média', 'seconds', 'a.rec', ss='a.vol - 1', scope=CUST_SCOPE)} FROM a
-  UNION ALL {_mrow('resolution_rate', 'Taxa de resolução', 'ratio', _rate('a.resolved', 'a.vol'), 'a.resolved', 'a.vol',
+  {_mrow('ticket_volume', 'a.vol', scope=CUST_SCOPE)} FROM a
+  UNION ALL {_mrow('average_recurrence_seconds', 'a.rec', ss='a.vol - 1', scope=CUST_SCOPE)} FROM a
+  UNION ALL {_mrow('resolution_rate', _rate('a.resolved', 'a.vol'), 'a.resolved', 'a.vol',
                    scope=CUST_SCOPE)} FROM a
-  UNION ALL {_mrow('satisfaction_rate', 'Índice de satisfação', 'ratio', _rate('a.good', 'a.good + a.bad'), 'a.good',
+  UNION ALL {_mrow('satisfaction_rate', _rate('a.good', 'a.good + a.bad'), 'a.good',
                    'a.good + a.bad', 'a.good + a.bad', scope=CUST_SCOPE)} FROM a
-  UNION ALL {_mrow('average_first_response_seconds', 'Tempo médio até a primeira resposta', 'seconds', 'a.resp',
+  UNION ALL {_mrow('average_first_response_seconds', 'a.resp',
                    scope=CUST_SCOPE)} FROM a
-  UNION ALL {_mrow('top_topics', 'Assuntos principais', 'tickets', 'ct.n', dim='ct.tag', rank='ct.rk',
+  UNION ALL {_mrow('top_topics', 'ct.n', dim='ct.tag', rank='ct.rk',
                    scope=CUST_SCOPE)} FROM ct JOIN a ON a.customer_id = ct.customer_id
 ) u(scope_type, scope_id, scope_label, metric_code, metric_label, value, unit, numerator, denominator, sample_size,
     dimension, rank, period_start, period_end)""", CUSTOMER_CTES))(
     lambda m: E.metrics_by_customer(m, PERIOD, top_topics_limit=3))
 
 
-register("assignee_options", "S7 A16 U2", with_model("""
+register("assignee_options", "S7 A16 U2", with_model(f"""
 SELECT DISTINCT assignee_external_id AS external_id,
-       coalesce(nullif(assignee_name, ''), 'Responsável ' || CAST(assignee_external_id AS VARCHAR)) AS name
+       coalesce(nullif(assignee_name, ''), '{K.ASSIGNEE_FALLBACK_PREFIX}' || CAST(assignee_external_id AS VARCHAR)) AS name
 FROM m_tickets WHERE assignee_external_id IS NOT NULL"""))(lambda m: E.assignee_options(m))
 
 register("tag_options", "S7", with_model("SELECT tag_id AS id, name FROM m_tags"))(lambda m: E.tag_options(m))
