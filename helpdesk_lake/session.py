@@ -71,3 +71,42 @@ def ensure_utc(spark: SparkSession) -> None:
 
 def default_parallelism_hint() -> int:
     return int(os.environ.get("BENCH_CPUS", "8"))
+
+
+def scale_conf(input_bytes: int, executor_cores: int = 4, executors: int = 1000,
+               target_partition_bytes: int = 256 << 20) -> dict[str, str]:
+    """Settings for a run over ``input_bytes`` of Parquet input.
+
+    * scan splits of ``target_partition_bytes`` (256 MiB) keep a task's
+      decoded batch well inside an executor core's memory share;
+    * the initial shuffle partition count is sized so that a shuffle moving
+      as much as the input lands near the target per partition, at least two
+      waves of the cluster's cores; AQE then coalesces small partitions to
+      the advisory size and splits skewed ones (a partition 5x the median
+      and over 1 GiB);
+    * joins become broadcasts only below 64 MiB as measured at run time.
+    """
+    cores = executor_cores * executors
+    partitions = max(2 * cores, -(-input_bytes // target_partition_bytes))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(1 << 30),
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 << 20),
+        "spark.sql.session.timeZone": "UTC",
+    }
+
+
+def apply_missing(spark: SparkSession, conf: dict[str, str]) -> None:
+    """Set only the keys the cluster has not set (its own settings win).
+    ``spark.sql.shuffle.partitions`` always has a default, so it is applied
+    only when still at Spark's default of 200."""
+    for key, value in conf.items():
+        current = spark.conf.get(key, None)
+        if current is None or (key == "spark.sql.shuffle.partitions" and current == "200"):
+            spark.conf.set(key, value)
