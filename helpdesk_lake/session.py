@@ -102,11 +102,13 @@ def scale_conf(input_bytes: int, executor_cores: int = 4, executors: int = 1000,
     }
 
 
-def apply_missing(spark: SparkSession, conf: dict[str, str]) -> None:
-    """Set only the keys the cluster has not set (its own settings win).
-    ``spark.sql.shuffle.partitions`` always has a default, so it is applied
-    only when still at Spark's default of 200."""
+def apply_missing(spark: SparkSession, conf: dict[str, str]) -> list[str]:
+    """Set only the keys absent from the launch configuration (the cluster's
+    spark-defaults and submit flags win); returns the keys that were set."""
+    launched = spark.sparkContext.getConf()
+    applied = []
     for key, value in conf.items():
-        current = spark.conf.get(key, None)
-        if current is None or (key == "spark.sql.shuffle.partitions" and current == "200"):
+        if not launched.contains(key):
             spark.conf.set(key, value)
+            applied.append(key)
+    return applied
