@@ -144,6 +144,10 @@ ALERT_FASTER = "mais rápida"
 ALERT_SATISFACTION = "Satisfação"
 STABLE_THRESHOLD = 0.05
 
+# --- fixed values: period presets (days back from now) ---------------------
+DASHBOARD_PERIODS = {"today": 0, "7d": 7, "30d": 30, "90d": 90, "custom": None}
+EXPORT_PERIODS = {"7d": 7, "30d": 30, "90d": 90, "all": None, "custom": None}
+
 # --- fixed values: argument limits -----------------------------------------
 TOP_TOPICS_LIMIT = (1, 50, 10)       # min, max, default (dashboard, exports)
 TIMELINE_LIMIT = (1, 366, 90)

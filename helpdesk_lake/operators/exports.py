@@ -180,6 +180,11 @@ def _period(filters: AnalyticsFilters):
             filters.to_at.isoformat() if filters.to_at else None)
 
 
+def _check_topics(k: int) -> None:
+    if not 1 <= k <= 50:
+        raise ValueError("top_topics_limit must be within 1..50")
+
+
 def _metrics(metrics) -> list[str]:
     if isinstance(metrics, str):
         metrics = [m.strip() for m in metrics.split(",") if m.strip()]
@@ -195,6 +200,7 @@ def _metrics(metrics) -> list[str]:
 def metrics_overall(model: TicketModel, filters: AnalyticsFilters, metrics=None,
                     top_topics_limit: int = 10) -> DataFrame:
     """One row per selected metric, one per ranked topic (overall scope)."""
+    _check_topics(top_topics_limit)
     chosen = _metrics(metrics)
     period = _period(filters)
     st, sid, slabel = F.lit("overall"), F.lit(OVERALL_SCOPE_ID), F.lit(OVERALL_SCOPE_LABEL)
@@ -240,6 +246,7 @@ def metrics_by_customer(model: TicketModel, filters: AnalyticsFilters, metrics=N
     """Per-customer metric rows for every customer (no paging): one job that
     explodes an array of row structs per customer (Q9: no sample size on the
     customer response-time row)."""
+    _check_topics(top_topics_limit)
     chosen = _metrics(metrics)
     period = _period(filters)
     args = CustomerMetricsArgs(filters=filters, page_size=100, top_topics_limit=top_topics_limit)

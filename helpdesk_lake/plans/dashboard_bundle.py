@@ -18,7 +18,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..filters import AnalyticsFilters
+from ..constants import TIMELINE_LIMIT, TOP_TOPICS_LIMIT
+from ..filters import AnalyticsFilters, check_limit
 from ..functions import expressions as X
 from ..model import TicketModel
 from ..operators import comparison as C
@@ -76,6 +77,8 @@ def dashboard_overview(model: TicketModel, filters: AnalyticsFilters, top_topics
 
     The grouped rows are cached: they are small (one row per label and
     window, days bounded by the period) and every chart below reads them."""
+    check_limit(top_topics_limit, TOP_TOPICS_LIMIT, "top_topics_limit")
+    check_limit(timeline_limit, TIMELINE_LIMIT, "timeline_limit")
     rows = grouped_rows(model, filters).cache()
     cur = rows.filter("is_current")
     comparable = filters.previous() is not None

@@ -389,3 +389,25 @@ def test_metric_rows_and_report_formats(spark, tmp_path, comparison_model):
     header = next((tmp_path / "csv").glob("part-*.csv")).read_text(encoding="utf-8").splitlines()[0]
     assert header.split(",") == ["ticket_id", "subject", "status", "priority", "requester_name", "assignee_name",
                                  "created_at", "first_response_at", "tags", "satisfaction_rating"]
+
+
+def test_argument_rules():
+    from helpdesk_lake.filters import period_preset
+    now = datetime(2026, 8, 15, 14, 30)
+    assert period_preset("today", now) == (datetime(2026, 8, 15), now)
+    assert period_preset("7d", now) == (datetime(2026, 8, 8, 14, 30), now)
+    assert period_preset("30d", now, scope="export") == (datetime(2026, 7, 16), now)
+    assert period_preset("all", now, scope="export") == (None, None)
+    assert period_preset("custom", now, scope="export", custom_from="2026-08-01", custom_to="2026-08-02") == \
+        (datetime(2026, 8, 1), datetime(2026, 8, 2, 23, 59, 59, 999000))
+    with pytest.raises(ValueError):
+        period_preset("all", now)  # not a dashboard preset
+    from helpdesk_lake.plans.dashboard_bundle import dashboard_overview
+    with pytest.raises(ValueError):
+        dashboard_overview(None, AnalyticsFilters(), top_topics_limit=51)
+    with pytest.raises(ValueError):
+        dashboard_overview(None, AnalyticsFilters(), timeline_limit=0)
+    with pytest.raises(ValueError):
+        E.metrics_overall(None, AnalyticsFilters(), top_topics_limit=0)
+    with pytest.raises(ValueError):
+        L.ticket_page(None, statuses=["unknown"])
