@@ -41,6 +41,38 @@ def period_summary(model: TicketModel, filters: AnalyticsFilters) -> DataFrame:
     return filtered_tickets(model, filters, with_score=True).agg(*summary_aggs())
 
 
+def period_snapshot(model: TicketModel, filters: AnalyticsFilters) -> DataFrame:
+    """A1 and A2 in one pass: per-customer partial sums (one shuffle, partial
+    aggregation), then one row. Same values as ``period_summary`` and
+    ``recurrence``; recurrence uses the telescoping gaps (last - first over
+    n - 1 intervals per customer)."""
+    t = filtered_tickets(model, filters, with_score=True)
+    per = t.groupBy("customer_id").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(X.flag(X.is_resolved())).alias("resolved"),
+        F.sum(X.valid_response_seconds()).alias("resp_sum"),
+        F.count(X.valid_response_seconds()).alias("resp_n"),
+        F.sum(X.flag(X.is_good())).alias("good"),
+        F.sum(X.flag(X.is_bad())).alias("bad"),
+        F.min("source_created_at").alias("first_at"),
+        F.max("source_created_at").alias("last_at"),
+    )
+    multi = F.col("n") > 1
+    gaps = F.sum(F.when(multi, X.seconds_between("last_at", "first_at")))
+    intervals = F.sum(F.when(multi, F.col("n") - 1))
+    return per.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("total_tickets"),
+        F.coalesce(F.sum("resolved"), F.lit(0)).cast("long").alias("resolved_tickets"),
+        X.round2(F.try_divide(F.sum("resp_sum"), F.sum("resp_n"))).alias("average_first_response_seconds"),
+        F.coalesce(F.sum("resp_n"), F.lit(0)).cast("long").alias("responded_tickets"),
+        F.coalesce(F.sum("good"), F.lit(0)).cast("long").alias("good_ratings"),
+        F.coalesce(F.sum("bad"), F.lit(0)).cast("long").alias("bad_ratings"),
+        X.round2(F.try_divide(gaps, intervals)).alias("average_recurrence_seconds"),
+        F.coalesce(intervals, F.lit(0)).cast("long").alias("recurrence_sample_intervals"),
+        F.count(F.when(multi, F.lit(1))).alias("customers_with_recurrence"),
+    )
+
+
 # W1 / A2 / A11 ---------------------------------------------------------------
 def customer_spans(tickets: DataFrame) -> DataFrame:
     """Per customer: ticket count and first/last creation instant.

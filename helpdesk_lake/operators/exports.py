@@ -26,7 +26,7 @@ from ..filters import AnalyticsFilters, CustomerMetricsArgs
 from ..functions import expressions as X
 from ..model import TicketModel
 from . import customers as CM
-from .dashboard import period_summary, recurrence, topic_aggregates
+from .dashboard import period_snapshot, topic_aggregates
 from .filtering import apply_filters
 
 
@@ -204,8 +204,8 @@ def metrics_overall(model: TicketModel, filters: AnalyticsFilters, metrics=None,
     chosen = _metrics(metrics)
     period = _period(filters)
     st, sid, slabel = F.lit("overall"), F.lit(OVERALL_SCOPE_ID), F.lit(OVERALL_SCOPE_LABEL)
-    summary = period_summary(model, filters)
-    rec = recurrence(model, filters)
+    summary = period_snapshot(model, filters)  # A1 + A2 in one per-customer pass
+    rec = summary
     parts: list[DataFrame] = []
     if "ticket_volume" in chosen:
         parts.append(summary.select(*_metric_row(st, sid, slabel, "ticket_volume", F.col("total_tickets"),

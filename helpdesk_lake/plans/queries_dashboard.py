@@ -19,6 +19,21 @@ SELECT count(*) AS total_tickets,
 FROM m_rated WHERE {P}"""))(lambda m: D.period_summary(m, PERIOD))
 
 
+register("period_snapshot", "A1 A2 A17", with_model(f"""
+SELECT s.*, r.* FROM
+ (SELECT count(*) AS total_tickets, CAST(coalesce(sum({RESOLVED}), 0) AS BIGINT) AS resolved_tickets,
+         round(avg({VALID_SECONDS}), 2) AS average_first_response_seconds,
+         CAST(coalesce(sum(CASE WHEN {VALID_RESPONSE} THEN 1 ELSE 0 END), 0) AS BIGINT) AS responded_tickets,
+         CAST(coalesce(sum({GOOD}), 0) AS BIGINT) AS good_ratings, CAST(coalesce(sum({BAD}), 0) AS BIGINT) AS bad_ratings
+  FROM m_rated WHERE {P}) s,
+ (SELECT round(avg({secs('current_at', 'previous_at')}), 2) AS average_recurrence_seconds,
+         CAST(count(previous_at) AS BIGINT) AS recurrence_sample_intervals,
+         count(DISTINCT customer_id) AS customers_with_recurrence
+  FROM (SELECT customer_id, source_created_at AS current_at,
+               lag(source_created_at) OVER (PARTITION BY customer_id ORDER BY source_created_at, ticket_id) AS previous_at
+        FROM m_tickets WHERE {P}) x WHERE previous_at IS NOT NULL) r"""))(lambda m: D.period_snapshot(m, PERIOD))
+
+
 register("recurrence", "A2 W1 X1", with_model(f"""
 SELECT round(avg({secs('current_at', 'previous_at')}), 2) AS average_recurrence_seconds,
        CAST(count(previous_at) AS BIGINT) AS recurrence_sample_intervals,
