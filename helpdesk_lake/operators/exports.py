@@ -204,29 +204,33 @@ def metrics_overall(model: TicketModel, filters: AnalyticsFilters, metrics=None,
     chosen = _metrics(metrics)
     period = _period(filters)
     st, sid, slabel = F.lit("overall"), F.lit(OVERALL_SCOPE_ID), F.lit(OVERALL_SCOPE_LABEL)
-    summary = period_snapshot(model, filters)  # A1 + A2 in one per-customer pass
-    rec = summary
-    parts: list[DataFrame] = []
+    # A1 + A2 in one per-customer pass; the five scalar metrics are one row
+    # exploded into metric rows, so the snapshot appears once in the plan
+    summary = period_snapshot(model, filters)
+    rated = F.col("good_ratings") + F.col("bad_ratings")
+    scalar_rows: list[Column] = []
     if "ticket_volume" in chosen:
-        parts.append(summary.select(*_metric_row(st, sid, slabel, "ticket_volume", F.col("total_tickets"),
+        scalar_rows.append(F.struct(*_metric_row(st, sid, slabel, "ticket_volume", F.col("total_tickets"),
                                                  period=period)))
     if "average_recurrence_seconds" in chosen:
-        parts.append(rec.select(*_metric_row(st, sid, slabel, "average_recurrence_seconds",
-                                             F.col("average_recurrence_seconds"),
-                                             sample_size=F.col("recurrence_sample_intervals"), period=period)))
+        scalar_rows.append(F.struct(*_metric_row(st, sid, slabel, "average_recurrence_seconds",
+                                                 F.col("average_recurrence_seconds"),
+                                                 sample_size=F.col("recurrence_sample_intervals"), period=period)))
     if "resolution_rate" in chosen:
-        parts.append(summary.select(*_metric_row(
+        scalar_rows.append(F.struct(*_metric_row(
             st, sid, slabel, "resolution_rate", X.rate("resolved_tickets", "total_tickets"),
             numerator=F.col("resolved_tickets"), denominator=F.col("total_tickets"), period=period)))
     if "satisfaction_rate" in chosen:
-        rated = F.col("good_ratings") + F.col("bad_ratings")
-        parts.append(summary.select(*_metric_row(
+        scalar_rows.append(F.struct(*_metric_row(
             st, sid, slabel, "satisfaction_rate", X.rate("good_ratings", rated),
             numerator=F.col("good_ratings"), denominator=rated, sample_size=rated, period=period)))
     if "average_first_response_seconds" in chosen:
-        parts.append(summary.select(*_metric_row(
+        scalar_rows.append(F.struct(*_metric_row(
             st, sid, slabel, "average_first_response_seconds", F.col("average_first_response_seconds"),
             sample_size=F.col("responded_tickets"), period=period)))
+    parts: list[DataFrame] = []
+    if scalar_rows:
+        parts.append(summary.select(F.inline(F.array(*scalar_rows))))
     if "top_topics" in chosen:
         topics = topic_aggregates(model, filters, top_topics_limit)
         from pyspark.sql import Window
