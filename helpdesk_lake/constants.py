@@ -37,6 +37,15 @@ METRICS = (
     ("average_first_response_seconds", "Tempo médio até a primeira resposta", "seconds"),
 )
 METRIC_CODES = tuple(code for code, _, _ in METRICS)
+# order in which the metric export writes its rows (topics last)
+METRIC_EXPORT_ORDER = (
+    "ticket_volume",
+    "average_recurrence_seconds",
+    "resolution_rate",
+    "satisfaction_rate",
+    "average_first_response_seconds",
+    "top_topics",
+)
 METRIC_LABELS = {code: label for code, label, _ in METRICS}
 METRIC_UNITS = {code: unit for code, _, unit in METRICS}
 

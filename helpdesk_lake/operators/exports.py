@@ -17,6 +17,7 @@ from ..constants import (
     EXPORT_FIELDS,
     EXPORT_PRESETS,
     METRIC_CODES,
+    METRIC_EXPORT_ORDER,
     METRIC_LABELS,
     METRIC_UNITS,
     OVERALL_SCOPE_ID,
@@ -26,7 +27,7 @@ from ..filters import AnalyticsFilters, CustomerMetricsArgs
 from ..functions import expressions as X
 from ..model import TicketModel
 from . import customers as CM
-from .dashboard import period_snapshot, topic_aggregates
+from .dashboard import period_summary, recurrence, topic_aggregates
 from .filtering import apply_filters
 
 
@@ -204,33 +205,34 @@ def metrics_overall(model: TicketModel, filters: AnalyticsFilters, metrics=None,
     chosen = _metrics(metrics)
     period = _period(filters)
     st, sid, slabel = F.lit("overall"), F.lit(OVERALL_SCOPE_ID), F.lit(OVERALL_SCOPE_LABEL)
-    # A1 + A2 in one per-customer pass; the five scalar metrics are one row
-    # exploded into metric rows, so the snapshot appears once in the plan
-    summary = period_snapshot(model, filters)
+    # A1 as one global aggregate row exploded into its metric rows, A2 as one
+    # per-customer pass; each appears once in the plan
+    summary = period_summary(model, filters)
+    rec = recurrence(model, filters)
     rated = F.col("good_ratings") + F.col("bad_ratings")
-    scalar_rows: list[Column] = []
+    summary_rows: list[Column] = []
+    parts: list[DataFrame] = []
     if "ticket_volume" in chosen:
-        scalar_rows.append(F.struct(*_metric_row(st, sid, slabel, "ticket_volume", F.col("total_tickets"),
-                                                 period=period)))
+        summary_rows.append(F.struct(*_metric_row(st, sid, slabel, "ticket_volume", F.col("total_tickets"),
+                                                  period=period)))
     if "average_recurrence_seconds" in chosen:
-        scalar_rows.append(F.struct(*_metric_row(st, sid, slabel, "average_recurrence_seconds",
-                                                 F.col("average_recurrence_seconds"),
-                                                 sample_size=F.col("recurrence_sample_intervals"), period=period)))
+        parts.append(rec.select(*_metric_row(st, sid, slabel, "average_recurrence_seconds",
+                                             F.col("average_recurrence_seconds"),
+                                             sample_size=F.col("recurrence_sample_intervals"), period=period)))
     if "resolution_rate" in chosen:
-        scalar_rows.append(F.struct(*_metric_row(
+        summary_rows.append(F.struct(*_metric_row(
             st, sid, slabel, "resolution_rate", X.rate("resolved_tickets", "total_tickets"),
             numerator=F.col("resolved_tickets"), denominator=F.col("total_tickets"), period=period)))
     if "satisfaction_rate" in chosen:
-        scalar_rows.append(F.struct(*_metric_row(
+        summary_rows.append(F.struct(*_metric_row(
             st, sid, slabel, "satisfaction_rate", X.rate("good_ratings", rated),
             numerator=F.col("good_ratings"), denominator=rated, sample_size=rated, period=period)))
     if "average_first_response_seconds" in chosen:
-        scalar_rows.append(F.struct(*_metric_row(
+        summary_rows.append(F.struct(*_metric_row(
             st, sid, slabel, "average_first_response_seconds", F.col("average_first_response_seconds"),
             sample_size=F.col("responded_tickets"), period=period)))
-    parts: list[DataFrame] = []
-    if scalar_rows:
-        parts.append(summary.select(F.inline(F.array(*scalar_rows))))
+    if summary_rows:
+        parts.insert(0, summary.select(F.inline(F.array(*summary_rows))))
     if "top_topics" in chosen:
         topics = topic_aggregates(model, filters, top_topics_limit)
         from pyspark.sql import Window
@@ -241,7 +243,9 @@ def metrics_overall(model: TicketModel, filters: AnalyticsFilters, metrics=None,
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    # export order, topics last by rank (at most 5 + 50 rows)
+    position = F.array_position(F.array(*[F.lit(c) for c in METRIC_EXPORT_ORDER]), F.col("metric_code"))
+    return out.orderBy(position, F.col("rank").asc_nulls_first())
 
 
 # E6 -------------------------------------------------------------------------
