@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash_forest, quality_rules
+from . import decontaminate, minhash_forest, quality_rules, secret_scan
 from .common import table
 
 
@@ -16,12 +16,65 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_quality)}
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.find_secrets(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_quality, op6_decontamination, op10_secrets)}
 
 _WORDS = r"""
 low AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
 tok AS (SELECT doc_id, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM low)"""
 
+_ALPHABETS = "\n".join(f"WHEN regexp_full_match(v, '{p[1:-1]}') THEN '{a}'" for p, a in secret_scan.ENCODINGS[:-1])
+_SECRETS = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+m AS (
+  SELECT doc_id, 0 AS k, string_split_regex(t, $p${secret_scan.ASSIGN}$p$) AS ps, regexp_extract_all(t, $p${secret_scan.ASSIGN}$p$, 0) AS ms,
+         regexp_extract_all(t, $p${secret_scan.ASSIGN}$p$, 1) AS vs FROM d
+  UNION ALL SELECT doc_id, 1, string_split_regex(t, 'AKIA[A-Z0-9]+'), regexp_extract_all(t, 'AKIA[A-Z0-9]+'), regexp_extract_all(t, 'AKIA[A-Z0-9]+') FROM d
+  UNION ALL SELECT doc_id, 2, string_split_regex(t, '[0-9a-f]+'), regexp_extract_all(t, '[0-9a-f]+'), regexp_extract_all(t, '[0-9a-f]+') FROM d
+  UNION ALL SELECT doc_id, 3, string_split_regex(t, '{secret_scan.LONG}'), regexp_extract_all(t, '{secret_scan.LONG}'), regexp_extract_all(t, '{secret_scan.LONG}') FROM d),
+one AS (SELECT doc_id, k, unnest(list_transform(ps[:len(ms)], lambda x: length(x))) AS p, unnest(list_transform(ms, lambda x: length(x))) AS n,
+               unnest(vs) AS v, unnest(range(1, len(ms) + 1)) AS i FROM m),
+span AS (SELECT doc_id, k, v, e - n AS s, e FROM (
+           SELECT *, sum(p + n) OVER (PARTITION BY doc_id, k ORDER BY i) AS e FROM one)
+         WHERE length(v) >= CASE k WHEN 0 THEN 12 WHEN 1 THEN 18 WHEN 2 THEN 16 ELSE 20 END),
+base AS (SELECT doc_id, k, CAST(s AS BIGINT) AS s, CAST(e AS BIGINT) AS e FROM span WHERE k < 3),
+cand AS (SELECT doc_id, CAST(s AS BIGINT) AS s, CAST(e AS BIGINT) AS e, translate(v, '-_', '+/') AS w, CAST(length(v) AS DOUBLE) AS n,
+                CASE {_ALPHABETS} ELSE '{secret_scan.ENCODINGS[-1][1]}' END AS abc FROM span WHERE k = 3),
+sym AS (SELECT doc_id, s, i, n, CAST(length(abc) AS DOUBLE) AS k, CAST(instr(abc, substr(w, i, 1)) - 1 AS DOUBLE) AS x,
+               CASE WHEN substr(w, i, 1) BETWEEN 'A' AND 'Z' THEN 'U' WHEN substr(w, i, 1) BETWEEN 'a' AND 'z' THEN 'L'
+                    WHEN substr(w, i, 1) BETWEEN '0' AND '9' THEN 'D' ELSE 'S' END AS c
+        FROM (SELECT *, unnest(range(1, CAST(n AS BIGINT) + 1)) AS i FROM cand)),
+sq AS (SELECT doc_id, s, sum(q * q) AS q FROM (SELECT doc_id, s, x, count(*) AS q FROM sym GROUP BY ALL) GROUP BY ALL),
+pre AS (SELECT *, lag(x) OVER w AS y, lag(c) OVER w AS b, avg(x) OVER (PARTITION BY doc_id, s) AS mu FROM sym WINDOW w AS (PARTITION BY doc_id, s ORDER BY i)),
+agg AS (SELECT doc_id, s, any_value(n) AS n, any_value(k) AS k, CAST(sum(CASE WHEN x >= k / 2 THEN 1 ELSE 0 END) AS DOUBLE) AS ones,
+               CAST(sum(CASE WHEN y IS NOT NULL AND (x >= k / 2) <> (y >= k / 2) THEN 1 ELSE 0 END) AS DOUBLE) AS flips,
+               CAST(sum(CASE WHEN b IS NOT NULL AND b <> c THEN 1 ELSE 0 END) AS DOUBLE) AS ch,
+               sum((x - mu) * (x - mu)) AS var, sum(coalesce((x - mu) * (y - mu), 0)) AS lagged FROM pre GROUP BY doc_id, s),
+z AS (SELECT doc_id, s, n, ch / (n - 1) AS rate, greatest((k / n * q - n - (k - 1)) / sqrt(2 * (k - 1) * (n - 1) / n), 0) AS z1,
+             CASE WHEN 2 * ones * (n - ones) * (2 * ones * (n - ones) - n) > 0 THEN (flips - 2 * ones * (n - ones) / n)
+               / sqrt(2 * ones * (n - ones) * (2 * ones * (n - ones) - n) / (n * n * (n - 1))) ELSE 30 END AS z2,
+             CASE WHEN var > 0 THEN (lagged / var + 1 / n) * sqrt(n) ELSE 30 END AS z3 FROM agg JOIN sq USING (doc_id, s)),
+top AS (SELECT doc_id, s, greatest(least(abs(z1), 30), least(abs(z2), 30), least(abs(z3), 30)) AS a,
+               CASE WHEN rate > 0.1 THEN exp(-(n - 1) * (rate * ln(greatest(rate, 1e-9) / 0.1) + (1 - rate) * ln(greatest(1 - rate, 1e-9) / 0.9))) ELSE 1 END AS p FROM z),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY p, s) AS r, count(*) OVER (PARTITION BY doc_id) AS size FROM top),
+last AS (SELECT doc_id, max(r) AS r FROM ranked WHERE p <= 0.001 * r / size GROUP BY doc_id),
+extra AS (SELECT c.doc_id, 3 AS k, c.s, c.e FROM ranked x JOIN last l ON l.doc_id = x.doc_id AND x.r <= l.r JOIN cand c ON c.doc_id = x.doc_id AND c.s = x.s
+          WHERE 3 * 2 / (1 + exp(1.5976 * a + 0.07056 * a * a * a)) >= 0.001
+            AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = c.doc_id AND b.s < c.e AND c.s < b.e)),
+said AS (SELECT doc_id, k, s, e, concat_ws(':', CASE k WHEN 0 THEN 'assign' WHEN 1 THEN 'access' WHEN 2 THEN 'hex' ELSE 'random' END, s, e) AS w
+         FROM (SELECT * FROM base UNION ALL SELECT * FROM extra))
+SELECT d.doc_id, CAST(count(*) FILTER (k = 0) AS BIGINT) AS n_assign, CAST(count(*) FILTER (k = 1) AS BIGINT) AS n_access,
+       CAST(count(*) FILTER (k = 2) AS BIGINT) AS n_hex, sha256(coalesce(string_agg(w, ',' ORDER BY s, k) FILTER (k < 3), '')) AS base_sha256,
+       coalesce(string_agg(w, ',' ORDER BY s, k), '') AS spans
+FROM d LEFT JOIN said USING (doc_id) GROUP BY d.doc_id"""
+
 ORACLES = {
     "op1_minhash_dedup": f"""
 WITH RECURSIVE {_WORDS},
@@ -35,4 +88,5 @@ edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
 walk(v, r) AS (SELECT doc_id, doc_id FROM size UNION SELECT edge.b, walk.r FROM walk JOIN edge ON edge.a = walk.v)
 SELECT size.doc_id, CAST(n AS BIGINT) AS n_shingles, min(r) AS component_id, size.doc_id = min(r) AS kept
 FROM size JOIN walk ON walk.v = size.doc_id GROUP BY size.doc_id, n""",
+    "op10_secrets": _SECRETS,
 }
