@@ -82,3 +82,10 @@ def training_rows(labels: DataFrame, id_col: str, label_col: str, parts: int, pa
            .where(F.col("_id").isNotNull() & F.col("_label").isNotNull() & ~held_out(F.col("_id"), parts, part))
            .groupBy("_id").agg(F.max("_label").alias("_label")))
     return one.orderBy(F.xxhash64("_id"), "_id").limit(bound)
+
+
+def tokenizer_path(name: str) -> str:
+    """The place of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
