@@ -33,8 +33,8 @@ from pyspark.sql.window import Window
 
 from .common import stored
 
-SAMPLE, NEIGHBOURS, PART_ROWS, MOST_PARTS = 8_192, 10, 1_024, 64
-EXACT_ROWS, TARGET, MIN_ROWS = 2_048, 0.98, 256
+SAMPLE, NEIGHBOURS, PART_ROWS, MOST_PARTS = 8_192, 10, 64, 64
+EXACT_ROWS, TARGET, MIN_ROWS = 200, 0.95, 128
 BLOCK_ROWS, BLOCK_QUERIES = 4_096, 1_024
 HIDDEN, EPOCHS, RATE = 64, 30, 0.003
 
@@ -201,7 +201,7 @@ def search(rows: DataFrame, every: int = 100, k: int = 10, id_col: str = "vec_id
     total = vectors.count()
     got = vectors.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect() if total else []
     parts = 1
-    while total > EXACT_ROWS and parts < MOST_PARTS and len(got) >= 2 * parts * NEIGHBOURS * 8 and parts * PART_ROWS < total:
+    while total > EXACT_ROWS and parts < MOST_PARTS and 2 * parts * PART_ROWS <= len(got):
         parts *= 2
     sample = np.array([r[1] for r in got]) if got else np.zeros((1, 1))
     router = fit_router(sample, parts)
