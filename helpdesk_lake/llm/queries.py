@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, graph_ann, minhash_forest, quality_rules, secret_scan, token_counts, toxic_cnn, word_bpe
+from . import decontaminate, graph_ann, lm_bloom, minhash_forest, quality_rules, secret_scan, token_counts, toxic_cnn, word_bpe
 from .common import table, tokenizer_path
 
 
@@ -33,6 +33,10 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_bloom.language_scores(table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxic_cnn.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -45,8 +49,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_quality, op4_ann, op5_token_counts, op6_decontamination, op7_bpe, op9_toxicity,
-                                 op10_secrets, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_quality, op4_ann, op5_token_counts, op6_decontamination, op7_bpe, op8_lm_scores,
+                                 op9_toxicity, op10_secrets, pipeline)}
 
 _WORDS = r"""
 low AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
