@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, graph_ann, lm_bloom, minhash_forest, quality_rules, secret_scan, token_counts, toxic_cnn, word_bpe
+from . import decontaminate, graph_ann, lm_bloom, minhash_forest, passage_chains, quality_rules, secret_scan, token_counts, toxic_cnn, word_bpe
 from .common import table, tokenizer_path
 
 
@@ -17,6 +17,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passage_chains.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph_ann.search(table(spark, sf_dir, "embeddings"))
 
@@ -49,8 +53,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_quality, op4_ann, op5_token_counts, op6_decontamination, op7_bpe, op8_lm_scores,
-                                 op9_toxicity, op10_secrets, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_quality, op3_repeated_passages, op4_ann, op5_token_counts, op6_decontamination,
+                                 op7_bpe, op8_lm_scores, op9_toxicity, op10_secrets, pipeline)}
 
 _WORDS = r"""
 low AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
