@@ -9,17 +9,20 @@ Documents are sets of distinct five-word shingles; two are linked when
 2. the forest: tree t orders the sets by the minimum hashes from 3t on (wrapping
    around). Sets whose labels share at least ``LEAF`` hashes are neighbours. A
    region (common prefix) of up to ``REGION`` sets makes all its pairs; a denser
-   region goes deeper, to the depth at which it is small again, and at every
-   depth each member is paired with one leader of the region. So the candidates
-   grow with the sets, not with the squares of the regions.
+   region goes deeper, and at every depth each member is paired with one leader
+   of its region. So the candidates grow with the sets, not with the squares of
+   the regions.
 3. candidates are confirmed on the full shingle sets; links are contracted to
    components.
 4. what adaptive depth may have lost: in a dense region whose members are not
-   one component yet, all pairs of different components are found exactly, by
-   prefix filtering (two such sets must share one of their rarest shingles).
+   one component yet, pairs of different components are looked for without
+   regard to regions, by prefix filtering: two such sets must share one of their
+   rarest shingles. Sketches of ``SKETCH`` one-bit minimum hashes drop most pairs
+   that are far from the threshold inside that join.
 
 A pair at the threshold shares a label of three hashes in one of 20 trees but
-for a chance of (1 - 0.85**3)**20 = 5e-9. Shingles are 64-bit hashes.
+for a chance of (1 - 0.85**3)**20 = 5e-9; its sketches differ in more than
+``DIFFER`` bits with a chance of 1e-7. Shingles are 64-bit hashes.
 
 Edge cases: a null or wordless text has the empty set (size 0) and is linked
 with nothing; one to four words are one shingle; rows with a null id are
@@ -51,6 +54,9 @@ REGION = 48
 #: Ids that select texts are broadcast up to so many rows (8 bytes each), and joined by a shuffle beyond.
 BROADCAST_IDS = 1_000_000
 
+#: Bits of a sketch; at the threshold 7.5 % of them differ in the mean.
+SKETCH, DIFFER = 2048, 225
+
 _A = (mixed(np.arange(1, HASHES + 1, dtype=np.uint64)) | np.uint64(1))[:, None]
 _B = mixed(np.arange(1001, HASHES + 1001, dtype=np.uint64))[:, None]
 
@@ -71,6 +77,18 @@ def signature(found: np.ndarray) -> np.ndarray:
     return low.astype(np.uint32).view(np.int32)
 
 
+_SA = (mixed(np.arange(2001, SKETCH + 2001, dtype=np.uint64)) | np.uint64(1))[:, None]
+_SB = mixed(np.arange(5001, SKETCH + 5001, dtype=np.uint64))[:, None]
+
+
+def sketch(found: np.ndarray) -> np.ndarray:
+    """One bit of the minimum of each of SKETCH hash functions, as 64-bit words."""
+    low = np.full(SKETCH, 0xFFFFFFFF, np.uint64)
+    for at in range(0, len(found), 512):
+        low = np.minimum(low, ((found[at:at + 512][None, :] * _SA + _SB) >> np.uint64(32)).min(axis=1))
+    return np.packbits((low & np.uint64(1)).astype(np.uint8)).view(np.int64)
+
+
 def fingerprint(found: np.ndarray) -> bytes:
     return b"".join(int(mixed(found ^ np.uint64(k)).sum(dtype=np.uint64)).to_bytes(8, "big") for k in (0x51, 0xC3))
 
@@ -107,9 +125,12 @@ def _pairs(rows: DataFrame) -> DataFrame:
 
 
 def _stars(rows: DataFrame) -> DataFrame:
-    """Each set with the leader of its region."""
-    lead = rows.groupBy("node").agg(F.min(F.struct(F.xxhash64("fp", "node").alias("h"), F.col("fp").alias("gp"), F.col("n").alias("m"))).alias("l"))
-    return (rows.join(lead.select("node", "l.gp", "l.m"), "node").where((F.col("fp") != F.col("gp")) & _near())
+    """Each set with two leaders of its region: the first in one order over all sets, on which regions of like sets
+    agree, and the first in the region's own order."""
+    first = lambda *by: F.min(F.struct(F.xxhash64(*by).alias("h"), F.col("fp").alias("gp"), F.col("n").alias("m")))
+    lead = rows.groupBy("node").agg(F.array(first("fp"), first("fp", "node")).alias("leads"))
+    both = rows.join(lead, "node").select("fp", "n", F.explode("leads").alias("l")).select("fp", "n", "l.gp", "l.m")
+    return (both.where((F.col("fp") != F.col("gp")) & _near())
             .select(F.least("fp", "gp").alias("fp"), F.greatest("fp", "gp").alias("gp")))
 
 
@@ -124,7 +145,7 @@ def candidates(sets: DataFrame, region: int = REGION) -> tuple[DataFrame, DataFr
     label = F.concat("sig", F.slice("sig", 1, max(DEEPER)))
     def nodes(depth: int):
         return F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.xxhash64(t, F.slice(label, t * LEAF + 1, depth)))
-    top = stored(_counted(sets.select(F.explode(F.transform(nodes(LEAF), lambda x: x)).alias("node"), "fp", "n")), "regions")
+    top = stored(_counted(sets.select(F.explode(nodes(LEAF)).alias("node"), "fp", "n")), "regions")
     dense = top.where(F.col("c") > region)
     found = _pairs(top.where(F.col("c") <= region))
     deep = dense.select("node", "fp", "n").withColumnRenamed("node", "top")
@@ -134,8 +155,7 @@ def candidates(sets: DataFrame, region: int = REGION) -> tuple[DataFrame, DataFr
         rows = (with_sig.select("fp", "n", F.explode(F.arrays_zip(nodes(LEAF).alias("top"), nodes(depth).alias("node"))).alias("z"))
                 .select("fp", "n", F.col("z.top").alias("top"), F.col("z.node").alias("node"))
                 .join(deep.select("top", "fp"), ["top", "fp"]).select("node", "fp", "n"))
-        rows = stored(_counted(rows), f"regions{depth}")
-        found = found.union(_pairs(rows.where(F.col("c") <= region))).union(_stars(rows.where(F.col("c") > region)))
+        found = found.union(_stars(stored(_counted(rows), f"regions{depth}")))
     found = found.union(_stars(dense))
     return found.distinct(), dense.select("node", "fp")
 
@@ -198,6 +218,12 @@ def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([fp] * len(x), pa.binary()), pa.array(x, pa.int64())], ["fp", "item"])
 
 
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        made = [sketch(np.frombuffer(x, np.uint64)) for x in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.int64()))], ["fp", "bits"])
+
+
 def exact_pairs(rest: DataFrame, items: DataFrame) -> DataFrame:
     """Pairs of different components among ``rest`` that may reach the threshold: each shares one of the rarest
     ``n - ceil(0.85 n) + 1`` shingles of both sides. The largest component is only looked up, never paired with itself."""
@@ -205,13 +231,18 @@ def exact_pairs(rest: DataFrame, items: DataFrame) -> DataFrame:
     often = each.groupBy("item").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
     ranked = each.join(often, "item", "left").select("fp", "item", F.coalesce("often", F.lit(1)).alias("often"))
     order = F.row_number().over(Window.partitionBy("fp").orderBy("often", "item"))
+    # a pair is emitted at the first rare shingle that it shares
     first = (ranked.withColumn("k", order).join(rest, "fp").where(F.col("k") <= F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1)
-             .where("often > 1").select("fp", "item", "root", "n"))
-    first = stored(first, "prefixes")
+             .where("often > 1").groupBy("fp", "root", "n").agg(F.sort_array(F.collect_list(F.struct("often", "item"))).alias("rare"))
+             .select("fp", "root", "n", F.transform("rare", lambda x: x["item"]).alias("rare")))
+    bits = stored(items.join(rest.select("fp"), "fp", "left_semi").mapInArrow(_sketches, "fp binary, bits array<bigint>"), "sketches")
+    first = stored(first, "prefixes").join(bits, "fp").select("*", F.explode("rare").alias("item"))
     top = rest.groupBy("root").count().orderBy(F.desc("count"), "root").limit(1).select("root")
     left = first.join(F.broadcast(top), "root", "left_anti")
-    right = first.select("item", F.col("fp").alias("gp"), F.col("root").alias("goot"), F.col("n").alias("m"))
-    return (left.join(right, "item").where((F.col("root") != F.col("goot")) & _near())
+    right = first.select("item", F.col("fp").alias("gp"), F.col("root").alias("goot"), F.col("n").alias("m"), F.col("rare").alias("sare"), F.col("bits").alias("cits"))
+    differ = sum((F.bit_count(F.col("bits")[k].bitwiseXOR(F.col("cits")[k])) for k in range(1, SKETCH // 64)), F.bit_count(F.col("bits")[0].bitwiseXOR(F.col("cits")[0])))
+    return (left.join(right, "item").where((F.col("root") != F.col("goot")) & _near() & (differ <= DIFFER)
+                                    & (F.array_intersect("rare", "sare")[0] == F.col("item")))
             .select(F.least("fp", "gp").alias("fp"), F.greatest("fp", "gp").alias("gp")).distinct())
 
 
