@@ -87,6 +87,11 @@ def _tested(span: Column) -> Column:
                     codes.alias("x"), kinds.alias("c"))
 
 
+def _with_mean(t: Column) -> Column:
+    """The mean as a field of its own: inside a lambda it would be summed up again for every symbol."""
+    return F.struct(*[t[f].alias(f) for f in ("s", "e", "n", "k", "x", "c")], (_sum(t["x"]) / t["n"]).alias("mean"))
+
+
 def _judged(t: Column) -> Column:
     """struct<p, s, e, ok>: the p-value against ordinary text, and whether the battery does not reject randomness."""
     n, k, x = t["n"], t["k"], t["x"]
@@ -98,7 +103,7 @@ def _judged(t: Column) -> Column:
     both = 2 * ones * (n - ones)
     runs_var = both * (both - n) / (n * n * (n - 1))
     runs = F.when(runs_var > 0, (flips + 1 - both / n - 1) / F.sqrt(F.when(runs_var > 0, runs_var).otherwise(1.0))).otherwise(F.lit(30.0))
-    mean = _sum(x) / n
+    mean = t["mean"]
     var = _sum(F.transform(x, lambda v: (v - mean) * (v - mean)))
     lag = _sum(F.zip_with(F.slice(x, 1, F.size(x) - 1), next_x, lambda a, b: (a - mean) * (b - mean)))
     serial = F.when(var > 0, (lag / F.when(var > 0, var).otherwise(1.0) + 1 / n) * F.sqrt(n)).otherwise(F.lit(30.0))
@@ -119,6 +124,7 @@ def scanned(docs: DataFrame, text_col: str = "text") -> DataFrame:
         _spans(F.col("_t"), ACCESS, 1), _spans(F.col("_t"), HEX, 2))).alias("_b"), _spans(F.col("_t"), LONG, 3).alias("_r"))
     narrow = lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"))
     step = step.select(*kept, F.transform("_b", narrow).alias("_base"), F.transform("_r", _tested).alias("_r"))
+    step = step.select(*kept, "_base", F.transform("_r", _with_mean).alias("_r"))
     step = step.select(*kept, "_base", F.array_sort(F.transform("_r", _judged)).alias("_r"))
     # Benjamini-Hochberg: the last rank whose p-value is low enough, and all before it
     size = F.size("_r")
