@@ -76,19 +76,24 @@ def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
 
 
-def _tested(span: Column) -> Column:
-    """A candidate with its length, alphabet size, symbol codes and character classes."""
-    s = F.translate(span["v"], "-_", "+/")
+# What a lambda over the symbols uses must be a field already: an expression would be worked out again for every symbol.
+
+
+def _spelled(span: Column) -> Column:
+    """A candidate with its text in the standard alphabet and the alphabet of its encoding."""
     alphabet = F.coalesce(*[F.when(span["v"].rlike(p) if p else F.lit(True), F.lit(a)) for p, a in ENCODINGS])
-    letters = F.split(s, "")
-    codes = F.transform(letters, lambda c: (F.position(c, alphabet) - 1).cast("double"))
-    kinds = F.split(F.translate(s, UPPER + LOWER + DIGITS + "+/", "U" * 26 + "L" * 26 + "D" * 10 + "SS"), "")
-    return F.struct(span["s"].alias("s"), span["e"].alias("e"), F.length(s).cast("double").alias("n"), F.length(alphabet).cast("double").alias("k"),
+    return F.struct(span["s"].alias("s"), span["e"].alias("e"), F.translate(span["v"], "-_", "+/").alias("w"), alphabet.alias("abc"))
+
+
+def _coded(t: Column) -> Column:
+    """A candidate with its length, alphabet size, symbol codes and character classes."""
+    codes = F.transform(F.split(t["w"], ""), lambda c: (F.position(c, t["abc"]) - 1).cast("double"))
+    kinds = F.split(F.translate(t["w"], UPPER + LOWER + DIGITS + "+/", "U" * 26 + "L" * 26 + "D" * 10 + "SS"), "")
+    return F.struct(t["s"].alias("s"), t["e"].alias("e"), F.length(t["w"]).cast("double").alias("n"), F.length(t["abc"]).cast("double").alias("k"),
                     codes.alias("x"), kinds.alias("c"))
 
 
 def _with_mean(t: Column) -> Column:
-    """The mean as a field of its own: inside a lambda it would be summed up again for every symbol."""
     return F.struct(*[t[f].alias(f) for f in ("s", "e", "n", "k", "x", "c")], (_sum(t["x"]) / t["n"]).alias("mean"))
 
 
@@ -123,7 +128,8 @@ def scanned(docs: DataFrame, text_col: str = "text") -> DataFrame:
         F.filter(_spans(F.col("_t"), ASSIGN, 0, 1), lambda x: F.length(x["v"]) >= MIN_VALUE),
         _spans(F.col("_t"), ACCESS, 1), _spans(F.col("_t"), HEX, 2))).alias("_b"), _spans(F.col("_t"), LONG, 3).alias("_r"))
     narrow = lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"))
-    step = step.select(*kept, F.transform("_b", narrow).alias("_base"), F.transform("_r", _tested).alias("_r"))
+    step = step.select(*kept, F.transform("_b", narrow).alias("_base"), F.transform("_r", _spelled).alias("_r"))
+    step = step.select(*kept, "_base", F.transform("_r", _coded).alias("_r"))
     step = step.select(*kept, "_base", F.transform("_r", _with_mean).alias("_r"))
     step = step.select(*kept, "_base", F.array_sort(F.transform("_r", _judged)).alias("_r"))
     # Benjamini-Hochberg: the last rank whose p-value is low enough, and all before it
