@@ -65,6 +65,7 @@ CUSTOMER_OBSERVATION = T.StructType([
 
 INGEST_LOG = T.StructType([
     T.StructField("batch_id", T.LongType()),
+    T.StructField("attempt", T.StringType()),
     T.StructField("state", T.StringType()),
     T.StructField("records", T.LongType()),
     T.StructField("customers_created", T.LongType()),

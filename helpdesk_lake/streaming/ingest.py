@@ -1,10 +1,11 @@
 """The incremental feed as a Structured Streaming query.
 
 New feed files in a folder are picked up by the file source (whole file per
-row), parsed (S1) and applied to the store in ``foreachBatch`` keyed by the
-micro-batch id. The streaming checkpoint is the cursor; the store's log makes
-a re-run of the same micro-batch a no-op, so the pair gives exactly-once
-effects after a failure or a lost executor.
+row), parsed (S1) and applied to the store in ``foreachBatch``. The store notes
+the files of every committed batch (path, size, time), so a micro-batch that runs
+again, or a stream that starts anew with a fresh checkpoint, applies each file
+once: files already committed are left out, the others become a new batch. The
+default checkpoint lies in the store's own folder, the same in every process.
 """
 
 from __future__ import annotations
@@ -13,16 +14,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..session import scratch_path
 from ..sources.json_feed import parse_feed_text
-from .store import ingest_batch, init_store
+from .store import FILE_SCHEMA, ingest_batch, init_store, new_files, next_batch_id
 
 
 def feed_stream(spark: SparkSession, source_dir: str, max_files_per_trigger: int = 100) -> DataFrame:
     return (spark.readStream.format("text").option("wholetext", True)
             .option("maxFilesPerTrigger", max_files_per_trigger)
             .load(source_dir)
-            .select(F.col("_metadata.file_path").alias("source_file"), "value"))
+            .select(F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_size").alias("size"),
+                    F.col("_metadata.file_modification_time").alias("modified"), "value"))
 
 
 def start_ingestion(spark: SparkSession, source_dir: str, root: str, *, checkpoint: str | None = None,
@@ -32,11 +33,19 @@ def start_ingestion(spark: SparkSession, source_dir: str, root: str, *, checkpoi
     and stops (tests, scheduled runs); otherwise a fixed-interval trigger
     mirrors the reference's polling cycle."""
     init_store(spark, root)
-    ckpt = checkpoint or scratch_path(spark, f"ingest-checkpoint-{abs(hash(root)) % 10**8}")
+    ckpt = checkpoint or f"{root.rstrip('/')}/stream-checkpoint"
+    names = [f.name for f in FILE_SCHEMA.fields]
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        parsed = parse_feed_text(batch, expected_count)
-        ingest_batch(batch.sparkSession, parsed, root, int(batch_id), strict=strict)
+        session = batch.sparkSession
+        fresh = new_files(session, root, batch).persist()
+        try:
+            if fresh.isEmpty():
+                return
+            parsed = parse_feed_text(batch.join(fresh, names, "left_semi").select("source_file", "value"), expected_count)
+            ingest_batch(session, parsed, root, next_batch_id(session, root), strict=strict, files=fresh)
+        finally:
+            fresh.unpersist()
 
     writer = (feed_stream(spark, source_dir, max_files_per_trigger).writeStream
               .foreachBatch(apply).option("checkpointLocation", ckpt))
