@@ -48,9 +48,11 @@ from .components import components
 SHINGLE, PERCENT = 5, 85
 TREES, LEAF = 20, 3
 HASHES = TREES * LEAF
-DEEPER = (6, 9, 12)
+DEPTHS = (LEAF, 6, 12)
 #: A region of at most so many sets makes all its pairs.
 REGION = 48
+#: Equal minimum hashes below which a member and its leader are not compared (at the threshold: a chance of 2e-7).
+LIKELY = 33
 #: Ids that select texts are broadcast up to so many rows (8 bytes each), and joined by a shuffle beyond.
 BROADCAST_IDS = 1_000_000
 
@@ -127,10 +129,11 @@ def _pairs(rows: DataFrame) -> DataFrame:
 def _stars(rows: DataFrame) -> DataFrame:
     """Each set with two leaders of its region: the first in one order over all sets, on which regions of like sets
     agree, and the first in the region's own order."""
-    first = lambda *by: F.min(F.struct(F.xxhash64(*by).alias("h"), F.col("fp").alias("gp"), F.col("n").alias("m")))
+    first = lambda *by: F.min(F.struct(F.xxhash64(*by).alias("h"), F.col("fp").alias("gp"), F.col("n").alias("m"), F.col("sig").alias("tig")))
     lead = rows.groupBy("node").agg(F.array(first("fp"), first("fp", "node")).alias("leads"))
-    both = rows.join(lead, "node").select("fp", "n", F.explode("leads").alias("l")).select("fp", "n", "l.gp", "l.m")
-    return (both.where((F.col("fp") != F.col("gp")) & _near())
+    both = rows.join(lead, "node").select("fp", "n", "sig", F.explode("leads").alias("l")).select("fp", "n", "sig", "l.gp", "l.m", "l.tig")
+    alike = F.size(F.filter(F.zip_with("sig", "tig", lambda a, b: a == b), lambda same: same))
+    return (both.where((F.col("fp") != F.col("gp")) & _near() & (alike >= LIKELY))
             .select(F.least("fp", "gp").alias("fp"), F.greatest("fp", "gp").alias("gp")))
 
 
@@ -141,8 +144,8 @@ def _counted(rows: DataFrame) -> DataFrame:
 
 
 def candidates(sets: DataFrame, region: int = REGION) -> tuple[DataFrame, DataFrame]:
-    """Candidate pairs (fp, gp), and the (node, fp) rows of dense regions."""
-    label = F.concat("sig", F.slice("sig", 1, max(DEEPER)))
+    """Candidate pairs (u, v), and the (node, fp) rows of dense regions."""
+    label = F.concat("sig", F.slice("sig", 1, max(DEPTHS)))
     def nodes(depth: int):
         return F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.xxhash64(t, F.slice(label, t * LEAF + 1, depth)))
     top = stored(_counted(sets.select(F.explode(nodes(LEAF)).alias("node"), "fp", "n")), "regions")
@@ -150,14 +153,13 @@ def candidates(sets: DataFrame, region: int = REGION) -> tuple[DataFrame, DataFr
     found = _pairs(top.where(F.col("c") <= region))
     deep = dense.select("node", "fp", "n").withColumnRenamed("node", "top")
     with_sig = sets.join(deep.select("fp").distinct(), "fp")
-    for depth in DEEPER:
+    for depth in DEPTHS:
         # the region of a set at this depth, only below dense regions of the same tree
-        rows = (with_sig.select("fp", "n", F.explode(F.arrays_zip(nodes(LEAF).alias("top"), nodes(depth).alias("node"))).alias("z"))
-                .select("fp", "n", F.col("z.top").alias("top"), F.col("z.node").alias("node"))
-                .join(deep.select("top", "fp"), ["top", "fp"]).select("node", "fp", "n"))
+        rows = (with_sig.select("fp", "n", "sig", F.explode(F.arrays_zip(nodes(LEAF).alias("top"), nodes(depth).alias("node"))).alias("z"))
+                .select("fp", "n", "sig", F.col("z.top").alias("top"), F.col("z.node").alias("node"))
+                .join(deep.select("top", "fp"), ["top", "fp"]).select("node", "fp", "n", "sig"))
         found = found.union(_stars(stored(_counted(rows), f"regions{depth}")))
-    found = found.union(_stars(dense))
-    return found.distinct(), dense.select("node", "fp")
+    return found.select(F.col("fp").alias("u"), F.col("gp").alias("v")).distinct(), dense.select("node", "fp")
 
 
 def _text_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,9 +196,9 @@ def set_items(docs: DataFrame, sets: DataFrame, wanted: DataFrame, id_col: str,
 
 
 def confirmed(pairs: DataFrame, items: DataFrame) -> DataFrame:
-    """The pairs (fp, gp) that hold on the full sets, as (u, v)."""
-    other = items.select(F.col("fp").alias("gp"), F.col("items").alias("jtems"))
-    return stored(pairs.join(items, "fp").join(other, "gp").select("fp", "gp", "items", "jtems")
+    """The pairs (u, v) that hold on the full sets."""
+    one, other = (items.select(F.col("fp").alias(end), F.col("items").alias(name)) for end, name in (("u", "x"), ("v", "y")))
+    return stored(pairs.join(one, "u").join(other, "v").select("u", "v", "x", "y")
                   .mapInArrow(_confirm, "u binary, v binary"), "links")
 
 
@@ -243,7 +245,7 @@ def exact_pairs(rest: DataFrame, items: DataFrame) -> DataFrame:
     differ = sum((F.bit_count(F.col("bits")[k].bitwiseXOR(F.col("cits")[k])) for k in range(1, SKETCH // 64)), F.bit_count(F.col("bits")[0].bitwiseXOR(F.col("cits")[0])))
     return (left.join(right, "item").where((F.col("root") != F.col("goot")) & _near() & (differ <= DIFFER)
                                     & (F.array_intersect("rare", "sare")[0] == F.col("item")))
-            .select(F.least("fp", "gp").alias("fp"), F.greatest("fp", "gp").alias("gp")).distinct())
+            .select(F.least("fp", "gp").alias("u"), F.greatest("fp", "gp").alias("v")).distinct())
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", region: int = REGION) -> DataFrame:
@@ -256,7 +258,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # an id that repeats with other texts ties its sets together
     tied = named.groupBy("id").agg(F.min("fp").alias("u"), F.max("fp").alias("w")).where("u != w")
     tied = named.join(tied, "id").where("fp != u").select("u", F.col("fp").alias("v"))
-    items = set_items(docs, sets, pairs.select("fp").union(pairs.select("gp")), id_col, text_col)
+    items = set_items(docs, sets, pairs.select(F.col("u").alias("fp")).union(pairs.select("v")), id_col, text_col)
     links = stored(confirmed(pairs, items).union(tied), "all-links")
     roots = _roots(sets, components(links))
     rest = stored(_rest(dense, roots), "rest")
