@@ -124,7 +124,6 @@ EXPORT_PRESETS = {
 FORMULA_PREFIXES = ("=", "+", "-", "@")
 
 # --- fixed values: report names and fallbacks ------------------------------
-DATA_EXPORT_SHEET = "Tickets"
 METRICS_EXPORT_SHEET = "Metricas"
 DEFAULT_SHEET_NAME = "Relatorio"
 ASSIGNEE_FALLBACK_PREFIX = "Responsável "
@@ -133,24 +132,19 @@ SUMMARY_NO_ALERT = "Nenhuma deterioração relevante foi detectada."
 SUMMARY_NO_IMPROVEMENT = "Nenhuma melhora relevante foi detectada."
 
 # --- fixed values: narrative summary texts (D13) ----------------------------
-SUMMARY_VOLUME = "O volume"
-SUMMARY_RESOLUTION = "A taxa de resolução"
-SUMMARY_FIRST_RESPONSE = "O tempo médio até a primeira resposta"
-SUMMARY_NO_COMPARABLE = "não tem base anterior comparável."
-SUMMARY_STABLE = "permaneceu estável."
-SUMMARY_ROSE = "aumentou"
-SUMMARY_FELL = "caiu"
-SUMMARY_WENT_UP = "subiu"
-SUMMARY_IN_PERIOD = " no período"
-SUMMARY_POINTS = " p.p."
-SUMMARY_BECAME = "ficou"
-SUMMARY_SLOWER = "mais lento"
-SUMMARY_FASTER = "mais rápido"
-ALERT_RESOLUTION = "Resolução"
-ALERT_FIRST_RESPONSE = "Primeira resposta ficou"
-ALERT_SLOWER = "mais lenta"
-ALERT_FASTER = "mais rápida"
-ALERT_SATISFACTION = "Satisfação"
+# without a base, unchanged, risen, fallen; {} is the change with one decimal
+HEADLINE_VOLUME = ("O volume não tem base anterior comparável.", "O volume permaneceu estável.",
+                   "O volume aumentou {}%.", "O volume caiu {}%.")
+HEADLINE_RESOLUTION = ("A taxa de resolução não tem base anterior comparável.", "A taxa de resolução permaneceu estável.",
+                       "A taxa de resolução subiu {} p.p.", "A taxa de resolução caiu {} p.p.")
+HEADLINE_FIRST_RESPONSE = ("O tempo médio até a primeira resposta não tem base anterior comparável.",
+                           "O tempo médio até a primeira resposta permaneceu estável.",
+                           "O tempo médio até a primeira resposta ficou {}% mais lento.",
+                           "O tempo médio até a primeira resposta ficou {}% mais rápido.")
+# risen, otherwise
+ALERT_RESOLUTION = ("Resolução subiu {} p.p.", "Resolução caiu {} p.p.")
+ALERT_FIRST_RESPONSE = ("Primeira resposta ficou {}% mais lenta.", "Primeira resposta ficou {}% mais rápida.")
+ALERT_SATISFACTION = ("Satisfação subiu {} p.p.", "Satisfação caiu {} p.p.")
 STABLE_THRESHOLD = 0.05
 
 # --- fixed values: period presets (days back from now) ---------------------
@@ -160,12 +154,8 @@ EXPORT_PERIODS = {"7d": 7, "30d": 30, "90d": 90, "all": None, "custom": None}
 # --- fixed values: argument limits -----------------------------------------
 TOP_TOPICS_LIMIT = (1, 50, 10)       # min, max, default (dashboard, exports)
 TIMELINE_LIMIT = (1, 366, 90)
-PAGE_SIZE_LIMIT = (1, 100, 25)
-PREVIEW_LIMIT = (1, 100, 50)
-SEARCH_MAX_CHARS = 200
 SEARCH_MAX_TERMS = 10
 TOP_CUSTOMERS = 5
-ERROR_TEXT_MAX = 2000
 
 # --- fixed values: ingestion validation ------------------------------------
 SUBJECT_MAX = 500

@@ -260,57 +260,33 @@ def _one_dec(x: str) -> str:
     return f"printf('%.1f', abs({x}))"
 
 
-def _no_base_or_stable(label: str, x: str) -> str:
-    return (f"CASE WHEN {x} IS NULL THEN '{label} {K.SUMMARY_NO_COMPARABLE}' "
-            f"WHEN abs({x}) < {K.STABLE_THRESHOLD} THEN '{label} {K.SUMMARY_STABLE}' ")
+def _told(sentences: tuple, x: str) -> str:
+    rise = f"WHEN {x} > 0 THEN replace('{sentences[-2]}', '{{}}', {_one_dec(x)}) ELSE replace('{sentences[-1]}', '{{}}', {_one_dec(x)}) END"
+    if len(sentences) == 2:
+        return f"CASE {rise}"
+    return f"CASE WHEN {x} IS NULL THEN '{sentences[0]}' WHEN abs({x}) < {K.STABLE_THRESHOLD} THEN '{sentences[1]}' {rise}"
 
 
-def _move(label: str, x: str, neutral: bool = False) -> str:
-    suffix = "" if neutral else K.SUMMARY_IN_PERIOD
-    return (_no_base_or_stable(label, x) +
-            f"ELSE '{label} ' || CASE WHEN {x} > 0 THEN '{K.SUMMARY_ROSE}' ELSE '{K.SUMMARY_FELL}' END || ' ' "
-            f"|| {_one_dec(x)} || '%{suffix}.' END")
-
-
-def _move_pts(label: str, x: str) -> str:
-    return (_no_base_or_stable(label, x) +
-            f"ELSE '{label} ' || CASE WHEN {x} > 0 THEN '{K.SUMMARY_WENT_UP}' ELSE '{K.SUMMARY_FELL}' END || ' ' "
-            f"|| {_one_dec(x)} || '{K.SUMMARY_POINTS}' END")
-
-
-def _move_dur(label: str, x: str) -> str:
-    return (_no_base_or_stable(label, x) +
-            f"ELSE '{label} {K.SUMMARY_BECAME} ' || {_one_dec(x)} || '% ' || CASE WHEN {x} > 0 "
-            f"THEN '{K.SUMMARY_SLOWER}' ELSE '{K.SUMMARY_FASTER}' END || '.' END")
-
-
-def _pts_text(label: str, x: str) -> str:
-    return (f"'{label} ' || CASE WHEN {x} > 0 THEN '{K.SUMMARY_WENT_UP}' ELSE '{K.SUMMARY_FELL}' END || ' ' "
-            f"|| {_one_dec(x)} || '{K.SUMMARY_POINTS}'")
-
-
-RESP_TEXT = (f"'{K.ALERT_FIRST_RESPONSE} ' || {_one_dec('first_response_change_percent')} || '% ' || "
-             f"CASE WHEN first_response_change_percent > 0 THEN '{K.ALERT_SLOWER}' ELSE '{K.ALERT_FASTER}' END || '.'")
 SUMMARY_CTES = dict(COMPARISON_CTES)
 SUMMARY_CTES.update(TOPIC_CTES)
 SUMMARY_CTES["cands"] = f"""
   SELECT CASE WHEN resolution_change_points > 0 THEN 'improvement' ELSE 'alert' END AS kind,
-         abs(resolution_change_points) AS m, {_pts_text(K.ALERT_RESOLUTION, 'resolution_change_points')} AS t
+         abs(resolution_change_points) AS m, {_told(K.ALERT_RESOLUTION, 'resolution_change_points')} AS t
     FROM metrics WHERE resolution_change_points IS NOT NULL
   UNION ALL
   SELECT CASE WHEN first_response_change_percent > 0 THEN 'alert' ELSE 'improvement' END,
-         abs(first_response_change_percent), {RESP_TEXT}
+         abs(first_response_change_percent), {_told(K.ALERT_FIRST_RESPONSE, 'first_response_change_percent')}
     FROM metrics WHERE first_response_change_percent IS NOT NULL
   UNION ALL
   SELECT CASE WHEN satisfaction_change_points > 0 THEN 'improvement' ELSE 'alert' END,
-         abs(satisfaction_change_points), {_pts_text(K.ALERT_SATISFACTION, 'satisfaction_change_points')}
+         abs(satisfaction_change_points), {_told(K.ALERT_SATISFACTION, 'satisfaction_change_points')}
     FROM metrics WHERE satisfaction_change_points IS NOT NULL"""
 
 register("dashboard_summary", "D13 Q4 X16", with_model(f"""
 SELECT
-  concat_ws(' ', {_move(K.SUMMARY_VOLUME, 'm.ticket_volume_change_percent', True)},
-                 {_move_pts(K.SUMMARY_RESOLUTION, 'm.resolution_change_points')},
-                 {_move_dur(K.SUMMARY_FIRST_RESPONSE, 'm.first_response_change_percent')}) AS headline,
+  concat_ws(' ', {_told(K.HEADLINE_VOLUME, 'm.ticket_volume_change_percent')},
+                 {_told(K.HEADLINE_RESOLUTION, 'm.resolution_change_points')},
+                 {_told(K.HEADLINE_FIRST_RESPONSE, 'm.first_response_change_percent')}) AS headline,
   coalesce((SELECT t FROM cands WHERE kind = 'alert' ORDER BY m DESC, t DESC LIMIT 1),
            '{K.SUMMARY_NO_ALERT}') AS primary_alert,
   coalesce((SELECT t FROM cands WHERE kind = 'improvement' ORDER BY m DESC, t DESC LIMIT 1),

@@ -19,7 +19,7 @@ from helpdesk_lake.operators import exports as E
 from helpdesk_lake.operators import ingestion as I
 from helpdesk_lake.operators import listings as L
 from helpdesk_lake.operators import maintenance as M
-from helpdesk_lake.sinks.reports import column_letter, sheet_name, write_csv, write_xlsx_parts
+from helpdesk_lake.sinks.reports import last_column, sheet_title, write_csv, write_xlsx_parts
 from helpdesk_lake.sources.json_feed import read_feed
 
 TICKET_SCHEMA = ("ticket_id long, customer_id long, status string, priority string, assignee_external_id long, "
@@ -208,17 +208,19 @@ def test_feed_file_shape_rejects(spark, tmp_path):
 def test_csv_and_xlsx_writers(spark, tmp_path):
     df = spark.createDataFrame([(1, "Cliente A"), (2, 'Cliente "B", x'), (3, " lead\nline ")], "id long, name string")
     write_csv(df.coalesce(1), str(tmp_path / "csv"))
-    text = "".join(p.read_text(encoding="utf-8") for p in sorted((tmp_path / "csv").glob("part-*.csv")))
-    assert text.splitlines()[0] == "id,name"
-    assert '"Cliente ""B"", x"' in text and '" lead\nline "' in text
+    text = "".join(p.read_bytes().decode("utf-8") for p in sorted((tmp_path / "csv").glob("part-*.csv")))
+    assert text.startswith("\ufeffid,name\r\n1,Cliente A\r\n")
+    assert '"Cliente ""B"", x"' in text and '" lead\r\nline "' in text
     manifest = write_xlsx_parts(df, str(tmp_path / "xlsx"), partitions=1).collect()
     assert sum(r.rows for r in manifest) == 3
     with zipfile.ZipFile(manifest[0].path) as zf:
         sheet = zf.read("xl/worksheets/sheet1.xml").decode()
         assert "xl/workbook.xml" in zf.namelist()
     assert sheet.count("<row") == 4 and 'autoFilter ref="A1:B1"' in sheet
-    assert sheet_name("a[b]:c*?/d\\e" * 5) == ("a_b__c___d_e" * 5)[:31]
-    assert column_letter(1) == "A" and column_letter(28) == "AB"
+    assert sheet_title("a[b]:c*?/d\\e" * 5) == ("a_b__c___d_e" * 5)[:31]
+    assert [last_column(k) for k in (1, 26, 27, 28, 702, 703)] == ["A", "Z", "AA", "AB", "ZZ", "AAA"]
+    split = write_xlsx_parts(df, str(tmp_path / "xlsx"), partitions=1, sheet_limit=2).collect()
+    assert [r.rows for r in split] == [1, 1, 1]  # a header and one row each
 
 
 def test_maintenance_rules(spark):
@@ -386,7 +388,7 @@ def test_metric_rows_and_report_formats(spark, tmp_path, comparison_model):
                             str(tmp_path / "xlsx"), sheet="Tickets", partitions=1).collect()
     assert sum(r.rows for r in manifest) == 2
     write_report(E.data_export(comparison_model, CUR, preset="essential"), "csv", str(tmp_path / "csv"), partitions=1)
-    header = next((tmp_path / "csv").glob("part-*.csv")).read_text(encoding="utf-8").splitlines()[0]
+    header = next((tmp_path / "csv").glob("part-*.csv")).read_text(encoding="utf-8-sig").splitlines()[0]
     assert header.split(",") == ["ticket_id", "subject", "status", "priority", "requester_name", "assignee_name",
                                  "created_at", "first_response_at", "tags", "satisfaction_rating"]
 
