@@ -98,11 +98,21 @@ def round2(x: str | Column) -> Column:
     return F.round(_c(x).cast("double"), 2)
 
 
+# X6 -------------------------------------------------------------------------
+#: Unicode white space and the four separators that count as such in texts.
+OUTER_SPACE = r"\A[\p{IsWhite_Space}\x1c-\x1f]+|[\p{IsWhite_Space}\x1c-\x1f]+\z"
+
+
+def strip_space(text: str | Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(_c(text), OUTER_SPACE, "")
+
+
 # X7 -------------------------------------------------------------------------
 def normalize_tag_array(tags: str | Column) -> Column:
     """Trim, drop blanks, distinct, sort (null array -> empty array)."""
     trimmed = F.transform(F.coalesce(_c(tags), F.array().cast("array<string>")),
-                          lambda t: F.trim(t))
+                          lambda t: strip_space(t))
     kept = F.filter(trimmed, lambda t: t.isNotNull() & (t != F.lit("")))
     return F.array_sort(F.array_distinct(kept))
 
@@ -143,6 +153,22 @@ def iso_z(ts: str | Column) -> Column:
                  .otherwise(F.lit("")), F.lit("Z")))
 
 
+def iso_text(ts: str | Column) -> Column:
+    """ISO-8601 text of a naive timestamp; fractional seconds only when present."""
+    c = _c(ts)
+    micros = F.date_format(c, "SSSSSS")
+    return F.concat(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss"),
+                    F.when(micros != "000000", F.concat(F.lit("."), micros)).otherwise(F.lit("")))
+
+
+def double_text(x: str | Column) -> Column:
+    """Shortest text of a double, without an exponent between 1e-4 and 1e16."""
+    c = _c(x).cast("double")
+    plain = F.rtrim(c.cast("string").cast("decimal(38,20)").cast("string"), F.lit("0"))
+    plain = F.when(plain.endswith("."), F.concat(plain, F.lit("0"))).otherwise(plain)
+    return F.when((F.abs(c) >= 1e-4) & (F.abs(c) < 1e16), plain).otherwise(c.cast("string"))
+
+
 # X10 ------------------------------------------------------------------------
 def compact_json(x: str | Column) -> Column:
     """Compact JSON keeping null fields (the default drops them)."""
@@ -167,7 +193,9 @@ def cell_text(x: Column, data_type) -> Column:
     if isinstance(data_type, (T.ArrayType, T.StructType, T.MapType)):
         rendered = compact_json(x)
     elif isinstance(data_type, (T.TimestampType, T.TimestampNTZType)):
-        rendered = F.date_format(x, "yyyy-MM-dd'T'HH:mm:ss")
+        rendered = iso_text(x)
+    elif isinstance(data_type, (T.DoubleType, T.FloatType)):
+        rendered = double_text(x)
     elif isinstance(data_type, T.DateType):
         rendered = F.date_format(x, "yyyy-MM-dd")
     elif isinstance(data_type, T.BooleanType):
@@ -198,11 +226,6 @@ def one_decimal_abs(x: str | Column) -> Column:
     return F.regexp_replace(F.format_number(F.abs(_c(x).cast("double")), 1), ",", "")
 
 
-# X17 ------------------------------------------------------------------------
-def truncate_text(x: str | Column, n: int = 2000) -> Column:
-    return F.substring(_c(x), 1, n)
-
-
 # X18 ------------------------------------------------------------------------
 def duration_text(seconds: str | Column) -> Column:
     """Compact duration: '45s', '12 min', '3h', '3h 5min', '2d', '2d 4h'; null -> '—'."""

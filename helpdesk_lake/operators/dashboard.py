@@ -7,6 +7,8 @@ is combined inside each map task before the shuffle.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -15,6 +17,7 @@ from ..constants import TOP_CUSTOMERS
 from ..filters import AnalyticsFilters
 from ..functions import expressions as X
 from ..model import TicketModel
+from ..session import scratch_path
 from .filtering import apply_filters
 
 
@@ -102,6 +105,10 @@ def recurrence(model: TicketModel, filters: AnalyticsFilters) -> DataFrame:
     )
 
 
+#: Most slices of ``ticket_gaps``; one broadcast row each.
+SLICES = 20_000
+
+
 def ticket_gaps(tickets: DataFrame, partitions: int | None = None) -> DataFrame:
     """W1 per ticket: the previous creation instant of the same customer by
     (source_created_at, ticket_id), and the gap in seconds.
@@ -111,13 +118,18 @@ def ticket_gaps(tickets: DataFrame, partitions: int | None = None) -> DataFrame:
     slices instead of one task. The lag is taken inside each (slice,
     customer) group; the first row of a group then takes the last row of the
     nearest earlier non-empty slice when that row belongs to the same
-    customer. The boundary frame has one row per slice (bounded by
-    ``partitions``), so it is broadcast."""
+    customer. The sliced rows are written once to the shared folder: both
+    branches then read the same slices, whatever the planner reuses. The
+    boundary frame has one row per slice (``SLICES`` at most), so it is
+    broadcast."""
     spark = tickets.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = min(SLICES, partitions or int(spark.conf.get("spark.sql.shuffle.partitions")))
     keys = ["customer_id", "source_created_at", "ticket_id"]
     ranged = (tickets.select(*keys).repartitionByRange(n, *keys)
               .withColumn("slice", F.spark_partition_id()))
+    path = scratch_path(spark, f"gaps-{uuid.uuid4().hex}")
+    ranged.write.parquet(path)
+    ranged = spark.read.schema(ranged.schema).parquet(path)
     w = Window.partitionBy("slice", "customer_id").orderBy("source_created_at", "ticket_id")
     local = ranged.withColumn("previous_at", F.lag("source_created_at").over(w))
     last_of_slice = ranged.groupBy("slice").agg(

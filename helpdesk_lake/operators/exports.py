@@ -121,8 +121,13 @@ def data_export(model: TicketModel, filters: AnalyticsFilters, fields=None, pres
 # X12 ------------------------------------------------------------------------
 def report_cells(df: DataFrame) -> DataFrame:
     """Every column rendered as report text (null -> '', JSON for nested,
-    formula guard); the frame handed to a CSV/XLSX sink."""
-    return df.select(*[X.cell_text(F.col(f.name), f.dataType).alias(f.name) for f in df.schema.fields])
+    formula guard); the frame handed to a CSV/XLSX sink. The value of a metric
+    that counts tickets is a whole number."""
+    cells = {f.name: X.cell_text(F.col(f.name), f.dataType) for f in df.schema.fields}
+    if {"metric_code", "value"} <= set(df.columns):
+        whole = F.col("metric_code").isin("ticket_volume", "top_topics")
+        cells["value"] = F.when(whole, F.coalesce(F.col("value").cast("long").cast("string"), F.lit(""))).otherwise(cells["value"])
+    return df.select(*[c.alias(name) for name, c in cells.items()])
 
 
 # E3 / A15 ---------------------------------------------------------------------
@@ -135,7 +140,7 @@ def export_preview(model: TicketModel, filters: AnalyticsFilters, fields=None, p
     total = apply_filters(model, filters).select(F.count(F.lit(1))).scalar()
     first = export_records(model, filters, limit=limit)
     out = serialize_records(first, chosen if "ticket_id" in chosen else chosen + ["ticket_id"])
-    return out.withColumn("total_matching", total)
+    return out.withColumn("total_matching", total).orderBy("ticket_id")  # the text join keeps no order
 
 
 # E7 -------------------------------------------------------------------------
@@ -293,7 +298,8 @@ def metrics_by_customer(model: TicketModel, filters: AnalyticsFilters, metrics=N
                                             dimension=tpc["tag"], rank=i + 1, period=period)))
         rows.append(topic_rows)
     all_rows = F.flatten(F.array(*rows)) if len(rows) > 1 else rows[0]
-    return cust.select(F.explode(all_rows).alias("r")).select("r.*")
+    ranked = cust.select("ticket_volume", "requester_name", "customer_id", F.posexplode(all_rows).alias("_pos", "r"))
+    return ranked.orderBy(F.desc("ticket_volume"), "requester_name", "customer_id", "_pos").select("r.*")
 
 
 # S7 / A16 ---------------------------------------------------------------------

@@ -21,6 +21,7 @@ from pyspark.sql import Window
 from ..constants import (
     EMAIL_MAX,
     EMAIL_MIN,
+    COMMENT_MAX,
     NAME_MAX,
     PRIORITIES,
     SCORES,
@@ -83,6 +84,8 @@ def validate(src: DataFrame) -> DataFrame:
         (c("raw_first_response").isNotNull() & c("first_resp").isNull(), "first_response_at: invalid datetime"),
         (c("has_rating") & F.coalesce(~c("score").isin(*SCORES), F.lit(True)),
          "satisfaction_rating.score: invalid value"),
+        (c("has_rating") & (F.char_length("comment") > COMMENT_MAX), "satisfaction_rating.comment: at most 1000 characters"),
+        (F.exists(F.coalesce(c("tags"), F.array().cast("array<string>")), lambda t: F.char_length(X.strip_space(t)) > NAME_MAX), "tags: at most 255 characters each"),
         (c("has_rating") & c("raw_offered").isNotNull() & c("offered").isNull(),
          "satisfaction_rating.offered_at: invalid"),
         (c("has_rating") & c("raw_rated").isNotNull() & c("rated").isNull(), "satisfaction_rating.rated_at: invalid"),
@@ -95,7 +98,7 @@ def validate(src: DataFrame) -> DataFrame:
         "seq", "ticket_id", "subject", "description", "status", "priority",
         c("requester_id").alias("external_requester_id"),
         "requester_name",
-        F.lower(F.trim(c("raw_email"))).alias("requester_email"),
+        F.lower(X.strip_space(c("raw_email"))).alias("requester_email"),
         c("assignee_id").alias("assignee_external_id"),
         "assignee_name",
         c("created").alias("source_created_at"),
@@ -125,8 +128,8 @@ def identity_conflicts(valid: DataFrame, stored_customers: DataFrame | None = No
     if stored_customers is None:
         return inside
     by_id = stored_customers.select(F.col("external_requester_id").alias("_sid"),
-                                    F.lower(F.trim("requester_email")).alias("_email_of_id"))
-    by_email = stored_customers.select(F.lower(F.trim("requester_email")).alias("_semail"),
+                                    F.lower(X.strip_space("requester_email")).alias("_email_of_id"))
+    by_email = stored_customers.select(F.lower(X.strip_space("requester_email")).alias("_semail"),
                                        F.col("external_requester_id").alias("_id_of_email"))
     j = (obs.join(by_id, obs["external_requester_id"] == by_id["_sid"], "left")
          .join(by_email, F.col("requester_email") == by_email["_semail"], "left"))
@@ -189,7 +192,7 @@ def new_tags(flagged: DataFrame, stored_tags: DataFrame | None = None) -> DataFr
     """Distinct tag names of applied records not known yet (a version that is
     applied and later superseded in the same batch still creates its tags)."""
     names = (flagged.filter("applied").select(F.explode("tags").alias("name"))
-             .select(F.trim("name").alias("name")).filter(F.col("name") != "").distinct())
+             .select(X.strip_space("name").alias("name")).filter(F.col("name") != "").distinct())
     if stored_tags is not None:
         names = names.join(stored_tags.select("name"), "name", "left_anti")
     return names
@@ -225,7 +228,7 @@ def batch_checks(records: DataFrame, expected_count, customer_pool: tuple[int, i
     aggs = [
         F.count(F.lit(1)).alias("records"),
         F.count_distinct("ticket_id").alias("distinct_tickets"),
-        F.count_distinct(F.lower(F.trim("requester_email"))).alias("distinct_customers"),
+        F.count_distinct(F.lower(X.strip_space("requester_email"))).alias("distinct_customers"),
         F.count_distinct(F.upper("status")).alias("distinct_statuses"),
         F.count_distinct(F.upper("priority")).alias("distinct_priorities"),
         F.sum(X.flag(~F.upper("status").isin(*STATUSES))).alias("foreign_statuses"),

@@ -73,13 +73,13 @@ def delete_tags(model: TicketModel, tag_ids: DataFrame) -> dict[str, DataFrame]:
 
 def refused_customer_deletes(model: TicketModel, customer_ids: DataFrame) -> DataFrame:
     """RESTRICT: customers that still have tickets cannot be deleted."""
-    return customer_ids.select("customer_id").join(model.tickets.select("customer_id"), "customer_id", "left_semi")
+    return customer_ids.select("customer_id").join(model.tickets.select("customer_id").distinct(), "customer_id", "left_semi")
 
 
 def delete_customers(model: TicketModel, customer_ids: DataFrame) -> DataFrame:
     """Customers after deleting those of ``customer_ids`` that have no tickets."""
     allowed = customer_ids.select("customer_id").join(
-        model.tickets.select("customer_id"), "customer_id", "left_anti")
+        model.tickets.select("customer_id").distinct(), "customer_id", "left_anti")
     return model.customers.join(allowed, "customer_id", "left_anti")
 
 

@@ -117,7 +117,7 @@ def _token_roundtrip(m):
     from ..functions import expressions as X
 
     t = m.tickets.select("ticket_id", "source_created_at")
-    tok = X.page_token(L.iso_text("source_created_at"), F.col("ticket_id").cast("string"),
+    tok = X.page_token(X.iso_text("source_created_at"), F.col("ticket_id").cast("string"),
                        names=["source_created_at", "id"])
     with_tok = t.select("ticket_id", tok.alias("token"))
     decoded = X.decode_page_token(F.col("token"), L.TICKET_CURSOR_SCHEMA)

@@ -7,7 +7,6 @@ checkpoint directory, time zone) win.
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -45,12 +44,15 @@ def build_session(master: str | None = None, app_name: str = "helpdesk-lake",
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and staged tables.
 
-    Read from ``spark.checkpoint.dir``; only when the session has none (local
-    tests) a fresh scratch folder is created and registered.
+    Read from ``spark.checkpoint.dir``. A single-process session without one
+    (tests) gets a fresh scratch folder; on a cluster it must be set, since a
+    folder of the driver's machine is not seen by the executors.
     """
     configured = spark.conf.get(CHECKPOINT_CONF, None)
     if configured:
         return configured
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError(f"set {CHECKPOINT_CONF} to a folder that the whole cluster shares")
     local = tempfile.mkdtemp(prefix="helpdesk-lake-ckpt-")
     spark.conf.set(CHECKPOINT_CONF, local)
     spark.sparkContext.setCheckpointDir(local)
@@ -63,14 +65,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}"
 
 
-def ensure_utc(spark: SparkSession) -> None:
-    """Reports render naive timestamps as UTC; the session zone must agree."""
-    if spark.conf.get("spark.sql.session.timeZone", "UTC") != "UTC":
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
-
-
-def default_parallelism_hint() -> int:
-    return int(os.environ.get("BENCH_CPUS", "8"))
+MAX_SHUFFLE_PARTITIONS = 20_000
 
 
 def scale_conf(input_bytes: int, executor_cores: int = 4, executors: int = 1000,
@@ -87,7 +82,8 @@ def scale_conf(input_bytes: int, executor_cores: int = 4, executors: int = 1000,
     * joins become broadcasts only below 64 MiB as measured at run time.
     """
     cores = executor_cores * executors
-    partitions = max(2 * cores, -(-input_bytes // target_partition_bytes))
+    # map tasks times partitions is the number of shuffle blocks: keep it within reason
+    partitions = min(MAX_SHUFFLE_PARTITIONS, max(2 * cores, -(-input_bytes // target_partition_bytes)))
     return {
         "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
         "spark.sql.shuffle.partitions": str(partitions),
