@@ -96,21 +96,28 @@ class LogBloom:
             return out.astype(float)
         base = (mixed(keys) % np.uint64(blocks)).astype(np.int64) * BLOCK_BITS
         for j in range(1, LEVELS):
-            places = bit_places(keys[left], j)
-            there = np.ones(len(left), bool)
-            for p in places:
-                at = base[left] + p
-                there &= (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
-            left = left[there]
+            h = _level_hash(keys[left], j)
+            for i in range(PROBES):  # most misses show at the first probe
+                at = base[left] + _place(h, i)
+                there = (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+                left, h = left[there], h[there]
             if not len(left):
                 break
             out[left] = j
         return np.where(out > 0, cutoff * 1.5 * 2.0 ** (out - 1), 0.0) if cutoff > 1 else np.where(out > 1, 1.5 * 2.0 ** (out - 1), out.astype(float))
 
 
+def _level_hash(keys: np.ndarray, level: int) -> np.ndarray:
+    return mixed(keys ^ np.uint64(0x9E3779B97F4A7C15 * level % 2**64))
+
+
+def _place(h: np.ndarray, probe: int) -> np.ndarray:
+    return ((h >> np.uint64(20 * probe)) & np.uint64(BLOCK_BITS - 1)).astype(np.int64)
+
+
 def bit_places(keys: np.ndarray, level: int) -> list[np.ndarray]:
-    h = mixed(keys ^ np.uint64(0x9E3779B97F4A7C15 * level % 2**64))
-    return [((h >> np.uint64(20 * i)) & np.uint64(BLOCK_BITS - 1)).astype(np.int64) for i in range(PROBES)]
+    h = _level_hash(keys, level)
+    return [_place(h, i) for i in range(PROBES)]
 
 
 def _cutoff(histogram: dict[int, int], start: int, most_bits: int) -> tuple[int, int]:
@@ -175,8 +182,9 @@ class Model:
     def base_log(self, c):
         return np.log10((c + 0.5) / (self.total + 0.5 * (self.distinct + 1)))
 
-    def log_probabilities(self, tokens: np.ndarray) -> np.ndarray:
-        one = self.bloom.level(tokens, self.bloom.cutoffs[0])
+    def log_probabilities(self, tokens: np.ndarray, words_of: np.ndarray, which: np.ndarray) -> np.ndarray:
+        """Of each token after the one before; ``words_of[which]`` are the tokens, each word looked up once."""
+        one = self.bloom.level(words_of, self.bloom.cutoffs[0])[which]
         end = self.bloom.level(np.array([END], np.uint64), self.bloom.cutoffs[0])
         context = np.concatenate([end, one[:-1]])
         pair = np.minimum(self.bloom.level(pair_hashes(tokens), self.bloom.cutoffs[1]), np.minimum(one, context))
@@ -206,27 +214,34 @@ def score(docs: DataFrame, model: Model, rare: DataFrame, id_col: str = "doc_id"
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema[id_col].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scored(ids: pa.Array, each: list[np.ndarray]) -> pa.RecordBatch:
         m = shared.value
+        tokens, sizes = np.concatenate(each), np.array([len(t) for t in each])
+        first = np.cumsum(sizes) - sizes
+        words_of, which = np.unique(tokens, return_inverse=True)
+        here, known = np.zeros(len(words_of), bool), np.zeros(len(words_of))
+        if len(m.often):
+            near = np.minimum(np.searchsorted(m.often, words_of), len(m.often) - 1)
+            here = m.often[near] == words_of
+            known = np.where(here, m.often_log[near], 0.0)
+        here, known = here[which], known[which]
+        log_p = m.log_probabilities(tokens, words_of, which)
+        rest = [np.unique(t[~here[a:a + len(t)]], return_counts=True) for t, a in zip(each, first)]
+        return pa.RecordBatch.from_arrays([
+            ids, pa.array(sizes, pa.int64()), pa.array(np.add.reduceat(here.astype(np.int64), first)),
+            pa.array(np.add.reduceat(known, first)), pa.array(np.add.reduceat(log_p, first)),
+            pa.array([r[0].view(np.int64) for r in rest], pa.list_(pa.int64())), pa.array([r[1].astype(np.int32) for r in rest], pa.list_(pa.int32()))],
+            ["id", "n_tokens", "known", "base", "score", "keys", "times"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
-                each = [token_hashes(t) for t in part.column(1).to_pylist()]
-                tokens, sizes = np.concatenate(each), np.array([len(t) for t in each])
-                first = np.cumsum(sizes) - sizes
-                if len(m.often):
-                    near = np.minimum(np.searchsorted(m.often, tokens), len(m.often) - 1)
-                    here = m.often[near] == tokens
-                    known = np.where(here, m.often_log[near], 0.0)
-                else:
-                    here, known = np.zeros(len(tokens), bool), np.zeros(len(tokens))
-                log_p = m.log_probabilities(tokens)
-                rest = [np.unique(t[~here[a:a + len(t)]], return_counts=True) for t, a in zip(each, first)]
-                yield pa.RecordBatch.from_arrays([
-                    part.column(0), pa.array(sizes, pa.int64()), pa.array(np.add.reduceat(here.astype(np.int64), first)),
-                    pa.array(np.add.reduceat(known, first)), pa.array(np.add.reduceat(log_p, first)),
-                    pa.array([r[0].view(np.int64) for r in rest], pa.list_(pa.int64())), pa.array([r[1].astype(np.int32) for r in rest], pa.list_(pa.int32()))],
-                    ["id", "n_tokens", "known", "base", "score", "keys", "times"])
+            at, each, size = 0, [], 0
+            for k in range(batch.num_rows):
+                each.append(token_hashes(batch.column(1)[k].as_py()))
+                size += len(each[-1])
+                if size >= RUN // 8 or k + 1 == batch.num_rows:
+                    yield scored(batch.column(0).slice(at, len(each)), each)
+                    at, each, size = k + 1, [], 0
 
     rows = docs.select(id_col, text_col).mapInArrow(
         run, f"id {kind}, n_tokens bigint, known bigint, base double, score double, keys array<bigint>, times array<int>")
