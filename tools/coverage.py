@@ -64,7 +64,7 @@ WHERE = {
     "X11": "functions/expressions.py: formula_guard", "X12": "functions/expressions.py: cell_text; exports.report_cells",
     "X13": "operators/listings.py: search_terms; expressions.word_tokens", "X14": "operators/exports.py: export_records",
     "X15": "functions/expressions.py: requester_label", "X16": "functions/expressions.py: one_decimal_abs",
-    "X17": "functions/expressions.py: truncate_text; streaming/store.py: _write_log",
+    "X17": "streaming/store.py: ingest_batch (error_chars)",
     "X18": "functions/expressions.py: duration_text", "X19": "functions/expressions.py: whole_minutes_between",
     "D1": "functions/expressions.py: rate", "D2": "functions/expressions.py: change_percent",
     "D3": "functions/expressions.py: change_points", "D4": "operators/comparison.py: metrics_comparison",
