@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import held_out, training_rows
 
-SAMPLE_ROWS, SAMPLE_WORDS, FEW = 8_000, 5_000, 20
+SAMPLE_ROWS, SAMPLE_WORDS, FEW = 6_000, 5_000, 20
 BUCKETS, SIZE, FILTERS, WIDTHS = 1 << 16, 16, 16, (1, 2, 3)
 STEMS = (4, 5)
 EPOCHS, BATCH, RATE = 6, 32, 0.05
