@@ -91,7 +91,7 @@ def dashboard_overview(model: TicketModel, filters: AnalyticsFilters, top_topics
     status = (dim("status").join(prev_counts, "label", "left")
               .select("label", F.col("ticket_count").alias("value"),
                       (F.coalesce("prev", F.lit(0)) if comparable else F.lit(None).cast("long")).alias("previous_value")))
-    status = status.withColumn("change_percent", X.change_percent("value", "previous_value"))
+    status = status.withColumn("change_percent", X.change_percent("value", "previous_value")).orderBy(F.desc("value"), "label")
     days = (dim("day").orderBy(F.desc("label")).limit(timeline_limit)
             .select(F.to_date("label").alias("date"), F.col("ticket_count").alias("opened"),
                     F.col("resolved_tickets").alias("resolved"), "average_first_response_seconds",
@@ -113,7 +113,8 @@ def dashboard_overview(model: TicketModel, filters: AnalyticsFilters, top_topics
                         "average_first_response_seconds",
                         (F.coalesce("prev", F.lit(0)) if comparable else F.lit(None).cast("long"))
                         .alias("previous_ticket_count"))
-                .withColumn("change_percent", X.change_percent("ticket_count", "previous_ticket_count")))
+                .withColumn("change_percent", X.change_percent("ticket_count", "previous_ticket_count"))
+                .orderBy(F.desc("ticket_count"), "priority"))
     return {
         "grouped": rows,
         "metrics": metrics,
