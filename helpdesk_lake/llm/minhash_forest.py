@@ -34,13 +34,12 @@ of them); an empty table gives no rows. Extra columns are ignored, or kept by
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import gram_hashes, mixed, stored, word_hashes, words
 from .components import components
@@ -58,6 +57,8 @@ BROADCAST_IDS = 1_000_000
 
 #: Bits of a sketch; at the threshold 7.5 % of them differ in the mean.
 SKETCH, DIFFER = 2048, 225
+#: Hash buckets whose counts order the shingles of the exact step (their counts reach the driver).
+BUCKETS = 1 << 18
 
 _A = (mixed(np.arange(1, HASHES + 1, dtype=np.uint64)) | np.uint64(1))[:, None]
 _B = mixed(np.arange(1001, HASHES + 1001, dtype=np.uint64))[:, None]
@@ -213,32 +214,43 @@ def _rest(dense: DataFrame, roots: DataFrame) -> DataFrame:
     return roots.join(rows.join(mixed_up, "node", "left_semi").select("fp").distinct(), "fp", "left_semi").select("fp", "root", "n")
 
 
-def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(BUCKETS, np.int64)
     for batch in batches:
-        for fp, items in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            x = np.frombuffer(items, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([fp] * len(x), pa.binary()), pa.array(x, pa.int64())], ["fp", "item"])
-
-
-def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        made = [sketch(np.frombuffer(x, np.uint64)) for x in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.int64()))], ["fp", "bits"])
+        for items in batch.column(0).to_pylist():
+            np.add.at(total, (np.frombuffer(items, np.uint64) % np.uint64(BUCKETS)).astype(np.int64), 1)
+    held = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(total[held])], ["bucket", "c"])
+
+
+def _prefixes(often: np.ndarray) -> Callable:
+    """(fp, bits, rare): a set's sketch and its rarest shingles, by the counts of their buckets; those alone in a bucket are left out."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits, rare = [], []
+            for raw in batch.column(1).to_pylist():
+                items = np.frombuffer(raw, np.uint64)
+                c = often[(items % np.uint64(BUCKETS)).astype(np.int64)]
+                first = np.lexsort((items, c))[:len(items) - -(-len(items) * PERCENT // 100) + 1]
+                bits.append(sketch(items))
+                rare.append(items[first[c[first] > 1]].view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.list_(pa.int64())), pa.array(rare, pa.list_(pa.int64()))], ["fp", "bits", "rare"])
+    return run
 
 
 def exact_pairs(rest: DataFrame, items: DataFrame) -> DataFrame:
     """Pairs of different components among ``rest`` that may reach the threshold: each shares one of the rarest
-    ``n - ceil(0.85 n) + 1`` shingles of both sides. The largest component is only looked up, never paired with itself."""
-    each = stored(items.join(rest.select("fp"), "fp", "left_semi").mapInArrow(_unpack, "fp binary, item bigint"), "rest-items")
-    often = each.groupBy("item").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
-    ranked = each.join(often, "item", "left").select("fp", "item", F.coalesce("often", F.lit(1)).alias("often"))
-    order = F.row_number().over(Window.partitionBy("fp").orderBy("often", "item"))
-    # a pair is emitted at the first rare shingle that it shares
-    first = (ranked.withColumn("k", order).join(rest, "fp").where(F.col("k") <= F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1)
-             .where("often > 1").groupBy("fp", "root", "n").agg(F.sort_array(F.collect_list(F.struct("often", "item"))).alias("rare"))
-             .select("fp", "root", "n", F.transform("rare", lambda x: x["item"]).alias("rare")))
-    bits = stored(items.join(rest.select("fp"), "fp", "left_semi").mapInArrow(_sketches, "fp binary, bits array<bigint>"), "sketches")
-    first = stored(first, "prefixes").join(bits, "fp").select("*", F.explode("rare").alias("item"))
+    ``n - ceil(0.85 n) + 1`` shingles of both sides. Any one order of all shingles will do; it is by the counts of
+    ``BUCKETS`` hash buckets, so that what many sets share comes last. A pair is emitted at the first rare shingle that
+    it shares. The largest component is only looked up, never paired with itself."""
+    own = items.join(rest.select("fp"), "fp", "left_semi").select("fp", "items")
+    counts = own.select("items").mapInArrow(_bucket_counts, "bucket bigint, c bigint").groupBy("bucket").agg(F.sum("c").alias("c")).toArrow()
+    often = np.zeros(BUCKETS, np.int64)
+    often[counts.column("bucket").to_numpy()] = counts.column("c").to_numpy()
+    ready = stored(own.mapInArrow(_prefixes(often), "fp binary, bits array<bigint>, rare array<bigint>"), "prefixes")
+    first = ready.join(rest, "fp").select("*", F.explode("rare").alias("item"))
+    shared = first.groupBy("item").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("item")
+    first = first.join(shared, "item", "left_semi")
     top = rest.groupBy("root").count().orderBy(F.desc("count"), "root").limit(1).select("root")
     left = first.join(F.broadcast(top), "root", "left_anti")
     right = first.select("item", F.col("fp").alias("gp"), F.col("root").alias("goot"), F.col("n").alias("m"), F.col("rare").alias("sare"), F.col("bits").alias("cits"))
