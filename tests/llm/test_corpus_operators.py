@@ -351,6 +351,23 @@ def test_repeated_passages(spark):
     assert {112, 113} <= caught  # runs of one word
 
 
+@pytest.mark.parametrize("gap", [22, 40, 100, 200])
+def test_passages_close_together_are_both_found(spark, gap):
+    one, two = made(60, 71), made(60, 72)
+    texts = [made(150, 73) + one + made(gap, 74) + two + made(150, 75), made(90, 76) + one + made(gap, 77) + two + made(90, 78)]
+    out = passage_chains.repeated_passages(frame(spark, [" ".join(t) for t in texts])).where("doc_id = 1").collect()
+    for first in (90, 150 + gap):
+        assert any(r.first_word <= first and first + 60 <= r.end_word for r in out)
+    assert all(r.similarity >= 0.8 for r in out) and (gap < 40 or len(out) == 2)
+
+
+def test_a_fragment_is_cut_at_its_worst_gap():
+    x, gap = np.arange(102), np.arange(40, 62)
+    y = x.copy()
+    y[gap] += 1000
+    assert passage_chains.passages(x, y, np.array([[0, 102, 0, 102]])) == [(0, 40, 0, 40, 40), (62, 102, 62, 102, 40)]
+
+
 def test_chains_equal_plain_dynamic_programming():
     rng = np.random.default_rng(5)
     for _ in range(30):
