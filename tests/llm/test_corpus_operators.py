@@ -361,6 +361,14 @@ def test_passages_close_together_are_both_found(spark, gap):
     assert all(r.similarity >= 0.8 for r in out) and (gap < 40 or len(out) == 2)
 
 
+def test_passages_of_frequent_lines_meet_beyond_the_holders(spark):
+    one, two = made(30, 81), made(30, 82)
+    texts = {k: made(100, 300 + k) + line + made(100, 400 + k) for k, line in {0: one, 1: two, 2: one + two, 3: one + two, 4: one, 5: two}.items()}
+    out = passage_chains.repeated_passages(frame(spark, [" ".join(t) for t in texts.values()], [*texts])).collect()
+    assert {(r.doc_id, r.other_id) for r in out} == {(2, 3), (3, 2)}
+    assert all(r.first_word <= 100 and r.end_word >= 160 for r in out)
+
+
 def test_a_fragment_is_cut_at_its_worst_gap():
     x, gap = np.arange(102), np.arange(40, 62)
     y = x.copy()
