@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from helpdesk_lake.llm import decontaminate, minhash_forest, quality_rules, secret_scan, word_bpe
 from helpdesk_lake.llm.common import stored, table, tokenizer_path
 
+#: Documents that share this part of their five-word shingles are near copies here; op1's contract has its own.
+NEAR_PERCENT = 80
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
@@ -21,7 +24,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, the one with the smallest id."""
-    return minhash_forest.keep_one(docs)
+    return minhash_forest.keep_one(docs, percent=NEAR_PERCENT)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

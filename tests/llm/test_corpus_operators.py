@@ -99,6 +99,24 @@ def test_keep_one_keeps_columns_and_one_row(spark):
     assert sorted((r.doc_id for r in kept.collect()), key=str) == [0, 3, 4, 5, None]
 
 
+def test_limits_follow_the_percentage():
+    thin, wide = minhash_forest.Limits(), minhash_forest.Limits(80)
+    assert (thin.percent, thin.trees, thin.likely, thin.differ) == (85, 20, 33, 225)
+    assert (1 - 0.8**3) ** wide.trees <= minhash_forest.MISS and wide.likely < 0.8 * wide.hashes and wide.differ > 225
+
+
+def test_pipeline_drops_near_copies_from_80_percent(spark):
+    import corpus_pipeline
+
+    base = made(124, 91)  # 120 shingles; other words at both ends leave 108 of 132
+    texts = [" ".join(base), " ".join([*(f"p{k}" for k in range(6)), *base[6:118], *(f"q{k}" for k in range(6))])]
+    a, b = (set(minhash_forest.shingles(t).tolist()) for t in texts)
+    assert 0.80 <= len(a & b) / len(a | b) < 0.85
+    docs = frame(spark, [*texts, " ".join(made(90, 92))])
+    assert [r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").orderBy("doc_id").collect()] == [0, 2]
+    assert minhash_forest.keep_one(docs).count() == 3
+
+
 # --- empty tables --------------------------------------------------------------
 def test_empty_tables(spark):
     docs = frame(spark, [])
