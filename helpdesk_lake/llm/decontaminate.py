@@ -4,10 +4,11 @@
    training texts finds their hits (document, item, seed, position). Up to
    ``BROADCAST_SEEDS`` seeds go to the workers (16 bytes each); beyond that the
    texts' n-grams are joined with them by a shuffle.
-2. A seed is common when it strays: when it hits more than ``STRAY`` of the
-   documents without the company of other seeds of its item. Copies of a leaked
-   passage bring its seeds together, so they don't make a seed common. Only rare
-   seeds count from here on.
+2. A seed is common when it strays: when its hits in documents without another
+   seed of the item (such documents are never aligned) stand among more different
+   words than ``STRAY`` of the documents. Copies of a leaked passage bring
+   ``MIN_SEEDS`` seeds together and copies of one text are one stray, so neither
+   makes a seed common. Only rare seeds count from here on.
 3. Where ``MIN_SEEDS`` different rare seeds of an item lie near each other, the
    surrounding window is aligned with the item: Smith-Waterman over words, match
    +1, mismatch and gap -1. A score of ``LEAST`` of the item's words and
@@ -33,11 +34,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gram_hashes, stored, word_hashes
+from .common import gram_hashes, mixed, stored, word_hashes
 
 SEED, MIN_SEEDS, MIN_MATCHES, LEAST = 3, 2, 6, 0.45
-#: A seed may stray in this share of the documents, or in STRAY_ROWS of them, and still counts as rare.
+#: A seed may stray among so many different words (a share of the documents, or STRAY_ROWS) and still counts as rare.
 STRAY, STRAY_ROWS = 0.001, 50
+#: Grams on either side of a hit that tell one surrounding from another.
+AROUND = 3
 BROADCAST_SEEDS = 1_000_000
 BROADCAST_IDS = 1_000_000
 #: The items go to the workers up to so many characters in all, and are joined by a shuffle beyond.
@@ -98,7 +101,8 @@ def _seed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _finder(grams: np.ndarray) -> Callable:
-    """Emits (id, pos, gram) of the words of each text that start a gram of ``grams`` (all grams if it is None)."""
+    """Emits (id, pos, gram, around) of the words of each text that start a gram of ``grams`` (all grams if it is None);
+    around: a hash of the words near it."""
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sieve = None
         if grams is not None:
@@ -107,7 +111,7 @@ def _finder(grams: np.ndarray) -> Callable:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                rows, spots, found = [], [], []
+                rows, spots, found, near_by = [], [], [], []
                 for k, text in enumerate(part.column(1).to_pylist()):
                     h = _grams(plain_words(text))
                     if sieve is not None:
@@ -121,14 +125,16 @@ def _finder(grams: np.ndarray) -> Callable:
                         rows.append(np.full(len(spot), k))
                         spots.append(spot)
                         found.append(h[spot])
+                        near_by.append(mixed(mixed(h[np.maximum(spot - AROUND, 0)]) ^ mixed(h[spot] ^ h[np.minimum(spot + AROUND, len(h) - 1)])))
                 if rows:
                     yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(np.concatenate(rows))), pa.array(np.concatenate(spots), pa.int32()),
-                                                      pa.array(np.concatenate(found).view(np.int64), pa.int64())], ["id", "pos", "gram"])
+                                                      pa.array(np.concatenate(found).view(np.int64), pa.int64()), pa.array(np.concatenate(near_by).view(np.int64), pa.int64())],
+                                                     ["id", "pos", "gram", "around"])
     return find
 
 
 def seed_hits(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_col: str, item_text: str, bound: int) -> DataFrame:
-    """(id, item, place, pos): word ``pos`` of the document starts the seed at word ``place`` of the item."""
+    """(id, item, place, pos, around): word ``pos`` of the document starts the seed at word ``place`` of the item."""
     item_type = items.schema[item_col].dataType.simpleString()
     seeds = stored(items.where(F.col(item_col).isNotNull()).select(F.col(item_col).alias("item"), F.col(item_text).alias("t"))
                    .mapInArrow(_seed_rows, f"gram bigint, item {item_type}, place int"), "seeds")
@@ -137,14 +143,14 @@ def seed_hits(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, ite
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
     if few and not len(grams):
         texts = texts.limit(0)
-    hits = texts.mapInArrow(_finder(grams), f"id {docs.schema[id_col].dataType.simpleString()}, pos int, gram bigint")
-    return stored(hits.join(F.broadcast(seeds) if few else seeds, "gram").select("id", "item", "place", "pos"), "hits")
+    hits = texts.mapInArrow(_finder(grams), f"id {docs.schema[id_col].dataType.simpleString()}, pos int, gram bigint, around bigint")
+    return stored(hits.join(F.broadcast(seeds) if few else seeds, "gram").select("id", "item", "place", "pos", "around"), "hits")
 
 
 def rare_groups(hits: DataFrame, documents: int) -> DataFrame:
     """(id, item, hits): the hits of rare seeds, for documents and items that share MIN_SEEDS of them."""
     pair = hits.groupBy("id", "item").agg(F.countDistinct("place").alias("seeds"))
-    stray = (hits.select("id", "item", "place").distinct().join(pair.where(F.col("seeds") <= MIN_SEEDS), ["id", "item"])
+    stray = (hits.join(pair.where(F.col("seeds") < MIN_SEEDS), ["id", "item"]).select("item", "place", "around").distinct()
              .groupBy("item", "place").agg(F.count(F.lit(1)).alias("strays")))
     common = stray.where(F.col("strays") > max(STRAY_ROWS, STRAY * documents)).select("item", "place")
     rare = hits.join(common, ["item", "place"], "left_anti")

@@ -176,6 +176,25 @@ def test_leaks(spark, bound):
     assert kept.columns == docs.columns and kept.count() == docs.count() - 4
 
 
+def test_copies_of_a_leak_with_two_seeds_are_found(spark):
+    item, at = made(16, 95), iter(range(1000))
+    leak, k = [], 0
+    for run in (2, 2, 2, 3, 3):  # 12 of 16 words in runs, two of them whole seeds
+        leak += [*item[k:k + run], f"n{next(at)}"]
+        k += run + 1
+    docs = frame(spark, [" ".join([*made(40, 500 + n), *leak, *made(20, 600 + n)]) for n in range(60)])
+    items = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    assert decontaminate.leaks(docs, items).count() == 60
+
+
+def test_copies_of_a_text_are_one_stray(spark):
+    item = made(16, 95)
+    copy = " ".join([*made(20, 96), *item[:3], *made(20, 97)])
+    other = " ".join([*made(20, 98), *item[:3], "x", *item[4:7], "y", *item[8:10], "z", *item[11:13], "v", *item[14:]])
+    items = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    assert [r.doc_id for r in decontaminate.leaks(frame(spark, [copy] * 60 + [other]), items).collect()] == [60]
+
+
 def test_alignment_equals_plain_dynamic_programming():
     rng = random.Random(3)
     for _ in range(60):
