@@ -73,15 +73,18 @@ def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def labelled_rows(labels: DataFrame, id_col: str, label_col: str, parts: int, part: int) -> DataFrame:
+    """(``_id``, ``_label``) of all labelled ids outside the held-out fold. Null
+    ids and null labels teach nothing; of repeated ids the larger label holds."""
+    return (labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label"))
+            .where(F.col("_id").isNotNull() & F.col("_label").isNotNull() & ~held_out(F.col("_id"), parts, part))
+            .groupBy("_id").agg(F.max("_label").alias("_label")))
+
+
 def training_rows(labels: DataFrame, id_col: str, label_col: str, parts: int, part: int, bound: int) -> DataFrame:
-    """(``_id``, ``_label``) of at most ``bound`` labelled ids outside the held-out
-    fold: those whose hashed id is smallest, so the choice depends on nothing
-    but the ids. Null ids and null labels teach nothing; of repeated ids the
-    larger label holds."""
-    one = (labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label"))
-           .where(F.col("_id").isNotNull() & F.col("_label").isNotNull() & ~held_out(F.col("_id"), parts, part))
-           .groupBy("_id").agg(F.max("_label").alias("_label")))
-    return one.orderBy(F.xxhash64("_id"), "_id").limit(bound)
+    """At most ``bound`` of the ``labelled_rows``: those whose hashed id is
+    smallest, so the choice depends on nothing but the ids."""
+    return labelled_rows(labels, id_col, label_col, parts, part).orderBy(F.xxhash64("_id"), "_id").limit(bound)
 
 
 def tokenizer_path(name: str) -> str:

@@ -9,8 +9,9 @@ a very long document.
 
 The fit reads at most ``SAMPLE_ROWS`` labelled rows (their word buckets go to the
 driver; rows of more than ``SAMPLE_WORDS`` words are passed over for training,
-never for scoring). Thresholds are calibrated per language on the training rows:
-the ``flagged`` column is the score against its language's threshold, or against
+never for scoring). Thresholds are calibrated per language on all labelled rows
+outside the fold, by counts of (language, score bucket, label) made in Spark: the
+``flagged`` column is the score against its language's threshold, or against
 the overall one for languages with under ``FEW`` labels of either class. The
 language chooses a threshold only; it is no input of the score.
 
@@ -24,7 +25,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
 
 import numpy as np
@@ -33,12 +34,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, training_rows
+from .common import held_out, labelled_rows, stored, training_rows
 
 SAMPLE_ROWS, SAMPLE_WORDS, FEW = 6_000, 5_000, 20
 BUCKETS, SIZE, FILTERS, WIDTHS = 1 << 16, 16, 16, (1, 2, 3)
 STEMS = (4, 5)
 EPOCHS, BATCH, RATE = 6, 32, 0.05
+#: Score buckets to one unit of log odds, for the thresholds.
+FINE = 100
 #: Words whose responses are held at a time.
 BLOCK = 8_192
 #: Words whose buckets a worker remembers.
@@ -110,7 +113,7 @@ class ToxicModel:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def fit(texts: list[np.ndarray], y: np.ndarray, langs: list[str | None]) -> ToxicModel:
+def fit(texts: list[np.ndarray], y: np.ndarray) -> ToxicModel:
     """Adagrad over the logistic loss with classes weighted alike; the gradient of a pooled value reaches its own words only."""
     share = (y.sum() + 0.5) / (len(y) + 1) if len(y) else 0.5
     model = ToxicModel(None, [], np.zeros(0), np.zeros(0), float(np.log(share / (1 - share))), {})
@@ -161,23 +164,33 @@ def fit(texts: list[np.ndarray], y: np.ndarray, langs: list[str | None]) -> Toxi
                 g = np.stack([g_words[k] for k in touched])
                 state["words"][touched] += g * g
                 model.words[touched] -= RATE * g / np.sqrt(state["words"][touched])
-    scores = np.array([model.score(t) for t in texts])
-    model.threshold = _threshold(scores, y)
-    for lang in sorted({x for x in langs if x is not None}):
-        own = np.array([x == lang for x in langs])
-        if min((y[own] == 1).sum(), (y[own] == 0).sum()) >= FEW:
-            model.thresholds[lang] = _threshold(scores[own], y[own])
     return model
 
 
-def _threshold(scores: np.ndarray, y: np.ndarray) -> float:
-    """The score in the middle of the widest gap among those with the best F1."""
-    order = np.argsort(-scores, kind="stable")
-    s, hit = scores[order], np.cumsum(y[order] == 1)
-    f1 = 2 * hit / (np.arange(1, len(s) + 1) + (y == 1).sum())
-    last = np.append(s[1:] < s[:-1], True)
-    k = int(np.argmax(np.where(last, f1, -1)))
-    return float((s[k] + (s[k + 1] if k + 1 < len(s) else 0.0)) / 2)
+def _threshold(counts: dict[int, tuple[int, int]]) -> float:
+    """The score in the middle between the last bucket of the best F1 and the next one; counts: (negatives, positives) by bucket."""
+    places = sorted(counts, reverse=True)
+    hit, rows = np.cumsum([counts[k][1] for k in places]), np.cumsum([sum(counts[k]) for k in places])
+    k = int(np.argmax(2 * hit / (rows + hit[-1])))
+    odds = lambda x: float(1 / (1 + np.exp(-x / FINE)))
+    return (odds(places[k]) + (odds(places[k + 1] + 1) if k + 1 < len(places) else 0.0)) / 2
+
+
+def calibrate(model: ToxicModel, scored: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "toxic", parts: int = 4, part: int = 2) -> ToxicModel:
+    """The model with thresholds from all labelled rows of ``scored`` (id, lang, score) outside the fold."""
+    bucket = F.floor(F.log(F.col("score") / (1 - F.col("score"))) * FINE).cast("int")
+    rows = scored.join(labelled_rows(labels, id_col, label_col, parts, part), F.col("id") == F.col("_id"))
+    found = rows.groupBy("lang", bucket.alias("bucket")).agg(F.sum(1 - F.col("_label")).alias("no"), F.sum("_label").alias("yes")).collect()
+    by_lang: dict[str | None, dict[int, tuple[int, int]]] = {}
+    for r in found:
+        by_lang.setdefault(r["lang"], {})[r["bucket"]] = (r["no"], r["yes"])
+    every: dict[int, tuple[int, int]] = {}
+    for counts in by_lang.values():
+        for k, (no, yes) in counts.items():
+            every[k] = (every.get(k, (0, 0))[0] + no, every.get(k, (0, 0))[1] + yes)
+    sums = lambda counts: [sum(c[k] for c in counts.values()) for k in (0, 1)]
+    whole = _threshold(every) if every and min(sums(every)) else model.threshold
+    return replace(model, threshold=whole, thresholds={k: _threshold(c) for k, c in by_lang.items() if k is not None and min(sums(c)) >= FEW})
 
 
 def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,7 +210,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
            .join(F.broadcast(rows), "_id").select(F.col("_id").alias("id"), F.col("_label").alias("label"), "lang", "text")
            .mapInArrow(_sample, f"id {kind}, label int, lang string, tokens binary").collect())
     got = sorted(got, key=lambda r: (r[0], r[1], r[3]))[:bound]
-    return fit([np.frombuffer(r[3], np.int64) for r in got], np.array([r[1] for r in got], float), [r[2] for r in got])
+    return fit([np.frombuffer(r[3], np.int64) for r in got], np.array([r[1] for r in got], float))
 
 
 def with_toxicity(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -224,6 +237,7 @@ def flagged(model: ToxicModel, lang: str = "lang", score: str = "score") -> Colu
 def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted (score >= 0.3) and flagged (threshold of the language) for every document."""
     model = fit_toxicity(docs, labels)
-    scored = with_toxicity(docs, model)
+    scored = stored(with_toxicity(docs, model), "scored")
+    model = calibrate(model, scored, labels)
     return scored.select(F.col("id").alias("doc_id"), held_out(F.col("id"), 4, 2).alias("held_out"), "score",
                          (F.col("score") >= 0.3).cast("int").alias("predicted"), flagged(model).alias("flagged"))

@@ -349,6 +349,22 @@ def test_toxicity(spark):
     assert np.mean([r.predicted == truth[r.doc_id] for r in held]) > 0.93
 
 
+def test_thresholds_cover_all_labelled_rows(spark, monkeypatch):
+    monkeypatch.setattr(toxic_cnn.fit_toxicity, "__defaults__", (*toxic_cnn.fit_toxicity.__defaults__[:-1], 200))  # the fit's sample
+    rng = random.Random(4)
+    texts = [[*made(rng.randint(5, 20), k), *(["vilest"] if k % 3 == 0 else [])] for k in range(800)]
+    rows = [(k, " ".join(t), "rare" if k % 16 < 2 else "en") for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(800)], "doc_id long, toxic int")
+    model = toxic_cnn.fit_toxicity(docs, labels)
+    scored = toxic_cnn.with_toxicity(docs, model).cache()
+    model = toxic_cnn.calibrate(model, scored, labels)
+    assert set(model.thresholds) == {"rare", "en"}  # the sample holds under FEW toxic rows of the rare language
+    own = [(r.score, r.id % 3 == 0) for r in scored.where("lang = 'rare'").collect() if zlib.crc32(str(r.id).encode()) % 4 != 2]
+    f1 = lambda t: 2 * sum(y and s >= t for s, y in own) / (sum(s >= t for s, _ in own) + sum(y for _, y in own))
+    assert f1(model.thresholds["rare"]) >= max(f1(s) for s, _ in own) - 0.02
+
+
 # --- nearest neighbours --------------------------------------------------------------------------
 def test_nearest_neighbours(spark):
     rng = np.random.default_rng(3)
