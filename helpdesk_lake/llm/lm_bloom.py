@@ -8,9 +8,11 @@ after level until a probe misses. The filter is blocked: all bits of an n-gram
 lie in the block that its hash names, so blocks are built side by side, each by
 one task, from its own n-grams.
 
-The filter is broadcast. It has at most ``FILTER_BYTES``; the cutoff starts at 1
-for words and 2 for pairs and doubles until the levels fit at ``BITS`` bits each,
-so rarer n-grams fall back on smoothing when the corpus outgrows the filter.
+There are as many blocks as all levels of all n-grams ask for at ``BITS`` bits
+each. One filter holds the words and the pairs seen twice or more, a second one
+the pairs seen once. Up to ``FILTER_BYTES`` they are broadcast; beyond that the
+blocks stay a table, the distinct n-grams of the texts are probed in the block of
+each, and the estimates are joined with the texts by a shuffle: the same model.
 
 Model: tokens are the words of a text and one end; every text starts after an
 end. P(w | u) = g * c(u, w) / c(u) + (1 - g) * (c(w) + 0.5) / (N + 0.5 * (V + 1)),
@@ -29,7 +31,7 @@ columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -76,9 +78,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def counts(texts: DataFrame) -> DataFrame:
-    """(key, c) of the single string column of ``texts``: every word (key >= 0), and the pairs seen twice or more (key < 0)."""
+    """(key, c) of the single string column of ``texts``: every word (key >= 0) and every pair (key < 0)."""
     parts = texts.mapInArrow(_count, "key bigint, c bigint")
-    return stored(parts.groupBy("key").agg(F.sum("c").alias("c")).where("key >= 0 or c >= 2"), "counts")
+    return stored(parts.groupBy("key").agg(F.sum("c").alias("c")), "counts")
 
 
 @dataclass
@@ -130,16 +132,21 @@ def _cutoff(histogram: dict[int, int], start: int, most_bits: int) -> tuple[int,
         at += 1
 
 
-def build_filter(table: DataFrame, filter_bytes: int = FILTER_BYTES) -> LogBloom:
-    """Blocks are made by the tasks; at most ``filter_bytes`` reach the driver."""
+def _plan(table: DataFrame, starts: tuple[int, int], filter_bytes: int | None = None) -> tuple[tuple[int, int], int]:
+    """(cutoffs, blocks) of a filter: the cutoffs that are asked for, unless ``filter_bytes`` bound it."""
     level = F.floor(F.log2(F.col("c").cast("double"))).cast("int")
     found = table.groupBy((F.col("key") < 0).alias("pair"), level.alias("level")).count().collect()
     histograms = [{r["level"]: r["count"] for r in found if r["pair"] == pair} for pair in (False, True)]
-    (low_1, bits_1), (low_2, bits_2) = (_cutoff(h, start, filter_bytes * 4) for h, start in zip(histograms, (1, 2)))
+    most = float("inf") if filter_bytes is None else filter_bytes * 4
+    (low_1, bits_1), (low_2, bits_2) = (_cutoff(h, start, most) for h, start in zip(histograms, starts))
+    blocks = -(-(bits_1 + bits_2) // BLOCK_BITS)
     # blocks of an even number fit the bound; a block never fills up, its bits only grow denser
-    blocks = min(filter_bytes * 8 // BLOCK_BITS, -(-(bits_1 + bits_2) // BLOCK_BITS))
-    if not blocks:
-        return LogBloom(np.zeros(0, np.uint8), (low_1, low_2))
+    return (low_1, low_2), blocks if filter_bytes is None else min(filter_bytes * 8 // BLOCK_BITS, blocks)
+
+
+def _block_rows(table: DataFrame, cutoffs: tuple[int, int], blocks: int) -> DataFrame:
+    """(block, bits): the blocks that hold anything, each made by one task from its own n-grams."""
+    low_1, low_2 = cutoffs
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: dict[int, np.ndarray] = {}
@@ -164,20 +171,33 @@ def build_filter(table: DataFrame, filter_bytes: int = FILTER_BYTES) -> LogBloom
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((mixed(keys) % np.uint64(blocks)).astype(np.int64))], ["key", "c", "block"])
 
     held = table.where(F.col("c") >= F.when(F.col("key") < 0, F.lit(low_2)).otherwise(F.lit(low_1))).mapInArrow(named, "key bigint, c bigint, block bigint")
-    rows = held.repartition("block").select("key", "c").mapInArrow(build, "block bigint, bits binary").collect()
+    return held.repartition("block").select("key", "c").mapInArrow(build, "block bigint, bits binary")
+
+
+def _collected(table: DataFrame, cutoffs: tuple[int, int], blocks: int) -> LogBloom:
+    rows = _block_rows(table, cutoffs, blocks).collect() if blocks else []
     bits = np.zeros(blocks * BLOCK_BITS // 8, np.uint8)
     for k, b in rows:
         bits[k * BLOCK_BITS // 8:(k + 1) * BLOCK_BITS // 8] = np.frombuffer(b, np.uint8)
-    return LogBloom(bits, (low_1, low_2))
+    return LogBloom(bits, cutoffs)
+
+
+def build_filter(table: DataFrame, filter_bytes: int | None = None) -> LogBloom:
+    """A filter on the driver, of at most ``filter_bytes`` if that is given (rarer n-grams are left out then)."""
+    return _collected(table, *_plan(table, (1, 2), filter_bytes))
 
 
 @dataclass
 class Model:
-    bloom: LogBloom
+    """``bloom`` and ``once`` are None where ``spread`` holds the blocks as tables instead: [(block rows, cutoffs, blocks)] of both."""
+
+    bloom: LogBloom | None
+    once: LogBloom | None
     total: int
     distinct: int
     often: np.ndarray
     often_log: np.ndarray
+    spread: list | None = None
 
     def base_log(self, c):
         return np.log10((c + 0.5) / (self.total + 0.5 * (self.distinct + 1)))
@@ -187,7 +207,11 @@ class Model:
         one = self.bloom.level(words_of, self.bloom.cutoffs[0])[which]
         end = self.bloom.level(np.array([END], np.uint64), self.bloom.cutoffs[0])
         context = np.concatenate([end, one[:-1]])
-        pair = np.minimum(self.bloom.level(pair_hashes(tokens), self.bloom.cutoffs[1]), np.minimum(one, context))
+        keys = pair_hashes(tokens)
+        pair = self.bloom.level(keys, self.bloom.cutoffs[1])
+        none = np.flatnonzero(pair == 0)
+        pair[none] = np.minimum(self.once.level(keys[none], 1), 1)
+        pair = np.minimum(pair, np.minimum(one, context))
         g = np.where(context > 0, PAIR_WEIGHT, 0.0)
         unigram = (one + 0.5) / (self.total + 0.5 * (self.distinct + 1))
         return np.log10(g * pair / np.maximum(context, 1.0) + (1 - g) * unigram)
@@ -204,14 +228,74 @@ def fit(texts: DataFrame, filter_bytes: int = FILTER_BYTES, frequent: int = FREQ
         least -= 1
         held += levels.get(least, 0)
     often = sorted((r[0], r[1]) for r in own.where(F.col("c") >= 2**least).collect())
-    model = Model(build_filter(table, filter_bytes), int(total or 0), int(distinct), np.array([k for k, _ in often], np.uint64), np.zeros(0))
+    parts = [table.where("key >= 0 or c >= 2"), table.where("key < 0 and c = 1")]
+    plans = [_plan(t, starts) for t, starts in zip(parts, ((1, 2), (1, 1)))]
+    if sum(blocks for _, blocks in plans) * BLOCK_BITS // 8 <= filter_bytes:
+        blooms, spread = [_collected(t, *plan) for t, plan in zip(parts, plans)], None
+    else:
+        blooms, spread = [None, None], [(stored(_block_rows(t, *plan), "blocks") if plan[1] else None, *plan) for t, plan in zip(parts, plans)]
+    model = Model(*blooms, int(total or 0), int(distinct), np.array([k for k, _ in often], np.uint64), np.zeros(0), spread)
     model.often_log = model.base_log(np.array([c for _, c in often], float))
     return model, own.where(F.col("c") < 2**least)
 
 
+def _probed(keys: DataFrame, blocks: DataFrame | None, cutoffs: tuple[int, int], count: int, name: str) -> DataFrame:
+    """(key, name): the estimates of distinct keys by the filter's blocks, only those that are in."""
+    if blocks is None:
+        return keys.select("key", F.lit(0.0).alias(name)).limit(0)
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array((mixed(k) % np.uint64(count)).astype(np.int64))], ["key", "block"])
+
+    def probe(asked: pa.Table, held: pa.Table) -> pa.Table:
+        if not asked.num_rows:  # a block that no text asks for
+            return pa.table({"key": pa.array([], pa.int64()), name: pa.array([], pa.float64())})
+        k = asked.column("key").to_numpy().view(np.uint64)
+        out = np.zeros(len(k))
+        if held.num_rows:
+            bloom, pairs = LogBloom(np.frombuffer(held.column("bits")[0].as_py(), np.uint8), cutoffs), k >= _TOP
+            for own, cutoff in zip((~pairs, pairs), cutoffs):
+                out[own] = bloom.level(k[own], cutoff)
+        return pa.table({"key": pa.array(k[out > 0].view(np.int64)), name: pa.array(out[out > 0])})
+
+    return (keys.mapInArrow(named, "key bigint, block bigint").groupBy("block").cogroup(blocks.groupBy("block"))
+            .applyInArrow(probe, f"key bigint, {name} double"))
+
+
+def _spread_scores(docs: DataFrame, model: Model) -> DataFrame:
+    """(row, score) where the filters are tables; docs: row, text."""
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                w = token_hashes(batch.column(1)[k].as_py())
+                u = np.concatenate([[END], w[:-1]]).astype(np.uint64)
+                pairs, at, times = np.unique(pair_hashes(w), return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.full(len(at), k))), *[pa.array(x.view(np.int64)) for x in (u[at], w[at], pairs)],
+                                                  pa.array(times, pa.int64())], ["row", "u", "w", "pair", "times"])
+
+    rows = stored(docs.mapInArrow(grams, "row bigint, u bigint, w bigint, pair bigint, times bigint"), "grams")
+    keys = rows.select(F.explode(F.array("u", "w", "pair")).alias("key")).distinct()
+    (main, once) = model.spread
+    known = stored(_probed(keys, *main, "est"), "estimates")
+    single = stored(_probed(keys.where("key < 0"), *once, "est"), "singles")
+    for side in ("u", "w", "pair"):
+        rows = rows.join(known.select(F.col("key").alias(side), F.col("est").alias(f"{side}_c")), side, "left")
+    rows = rows.join(single.select(F.col("key").alias("pair"), F.least("est", F.lit(1.0)).alias("once_c")), "pair", "left")
+    u, w = (F.coalesce(f"{side}_c", F.lit(0.0)) for side in ("u", "w"))
+    pair = F.least(F.coalesce("pair_c", "once_c", F.lit(0.0)), u, w)
+    g = F.when(u > 0, F.lit(PAIR_WEIGHT)).otherwise(F.lit(0.0))
+    log_p = F.log10(g * pair / F.greatest(u, F.lit(1.0)) + (1 - g) * (w + 0.5) / (model.total + 0.5 * (model.distinct + 1)))
+    return rows.groupBy("row").agg(F.sum(F.col("times") * log_p).alias("score"))
+
+
 def score(docs: DataFrame, model: Model, rare: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, n_known, train_tokens, base_score, score) per row; ``rare``: exact counts of the words not in the broadcast table."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    source = docs.select(id_col, text_col)
+    if model.spread is not None:  # rows keep their number, the filters' tables stay here
+        source = stored(source.withColumn("row", F.monotonically_increasing_id()), "numbered")
+    shared = docs.sparkSession.sparkContext.broadcast(replace(model, spread=None))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def scored(ids: pa.Array, each: list[np.ndarray]) -> pa.RecordBatch:
@@ -225,7 +309,7 @@ def score(docs: DataFrame, model: Model, rare: DataFrame, id_col: str = "doc_id"
             here = m.often[near] == words_of
             known = np.where(here, m.often_log[near], 0.0)
         here, known = here[which], known[which]
-        log_p = m.log_probabilities(tokens, words_of, which)
+        log_p = m.log_probabilities(tokens, words_of, which) if m.bloom is not None else np.zeros(len(tokens))
         rest = [np.unique(t[~here[a:a + len(t)]], return_counts=True) for t, a in zip(each, first)]
         return pa.RecordBatch.from_arrays([
             ids, pa.array(sizes, pa.int64()), pa.array(np.add.reduceat(here.astype(np.int64), first)),
@@ -243,9 +327,13 @@ def score(docs: DataFrame, model: Model, rare: DataFrame, id_col: str = "doc_id"
                     yield scored(batch.column(0).slice(at, len(each)), each)
                     at, each, size = k + 1, [], 0
 
-    rows = docs.select(id_col, text_col).mapInArrow(
-        run, f"id {kind}, n_tokens bigint, known bigint, base double, score double, keys array<bigint>, times array<int>")
-    rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "scored")
+    columns = "n_tokens bigint, known bigint, base double, score double, keys array<bigint>, times array<int>"
+    if model.spread is None:
+        rows = source.mapInArrow(run, f"id {kind}, {columns}")
+        rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "scored")
+    else:
+        rows = source.select("row", text_col).mapInArrow(run, f"id bigint, {columns}").withColumnRenamed("id", "row").drop("score")
+        rows = stored(rows.join(_spread_scores(source.select("row", text_col), model), "row").join(source.select("row", F.col(id_col).alias("id")), "row"), "scored")
     tail = rows.select("row", F.explode(F.arrays_zip("keys", "times")).alias("z")).select("row", F.col("z.keys").alias("key"), F.col("z.times").alias("times"))
     seen = tail.join(rare, "key").groupBy("row").agg(
         F.sum("times").alias("more"), F.sum(F.col("times") * (F.log10(F.col("c") + 0.5) - float(np.log10(0.5)))).alias("gain"))

@@ -330,6 +330,23 @@ def test_filter_stays_within_its_bound(spark):
     assert len(bloom.bits) <= 1 << 15 and bloom.cutoffs[0] > 1
 
 
+def test_filter_grows_and_keeps_pairs_seen_once(spark):
+    texts = frame(spark, ["uno dos tres cuatro"] + [" ".join(made(200, 800 + k)) for k in range(30)] + ODD).select("doc_id", "text")
+    held = lm_bloom.fit(texts.select("text"))
+    once = lm_bloom.pair_hashes(lm_bloom.token_hashes("uno dos tres cuatro"))[1:4]
+    assert (held[0].once.level(once, 1) == 1).all()
+    apart = lm_bloom.fit(texts.select("text"), filter_bytes=0)  # nothing may be broadcast
+    assert held[0].spread is None and apart[0].bloom is None
+    one, other = ({r.doc_id: r for r in lm_bloom.score(texts, *m).withColumnRenamed("id", "doc_id").collect()} for m in (held, apart))
+    assert one.keys() == other.keys() and len(one) == texts.count()
+    for k, r in one.items():
+        assert (r.n_tokens, r.n_known) == (other[k].n_tokens, other[k].n_known)
+        assert math.isclose(r.score, other[k].score, rel_tol=1e-9) and math.isclose(r.base_score, other[k].base_score, rel_tol=1e-9)
+    rows = spark.range(40_000).select((F.xxhash64("id").bitwiseAND((1 << 62) - 1)).alias("key"), F.lit(1).cast("long").alias("c"))
+    sizes = [len(lm_bloom.build_filter(rows.where(F.col("key") % part == 0)).bits) for part in (4, 1)]
+    assert sizes[1] >= 2 * sizes[0]
+
+
 # --- toxicity ---------------------------------------------------------------------------------
 def test_toxicity(spark):
     rng = random.Random(1)
