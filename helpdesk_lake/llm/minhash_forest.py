@@ -6,15 +6,15 @@ Documents are sets of distinct five-word shingles; two are linked when
 1. one pass over the texts: set size, a 128-bit fingerprint of the set and
    ``trees * LEAF`` minimum hashes. Rows with equal fingerprints are one set
    (a vertex); copies are never compared.
-2. the forest: tree t orders the sets by the minimum hashes from 3t on (wrapping
-   around). Sets whose labels share at least ``LEAF`` hashes are neighbours. A
-   region (common prefix) of up to ``REGION`` sets makes all its pairs; a denser
-   region goes deeper, and at every depth each member is paired with one leader
-   of its region. So the candidates grow with the sets, not with the squares of
+2. the forest, as banded prefixes in place of sorted orders: tree t labels a set by
+   the minimum hashes from 3t on (wrapping around) and groups the sets by a hash of
+   the first ``DEPTHS`` of them. A region (common prefix) of up to ``REGION`` sets
+   makes all its pairs; in a denser region each member is paired with two leaders
+   of its region at all the depths, which are fixed. So the candidates grow with the sets, not with the squares of
    the regions.
 3. candidates are confirmed on the full shingle sets; links are contracted to
    components.
-4. what adaptive depth may have lost: in a dense region whose members are not
+4. what the leaders may have missed: in a dense region whose members are not
    one component yet, pairs of different components are looked for without
    regard to regions, by prefix filtering: two such sets must share one of their
    rarest shingles. Sketches of ``SKETCH`` one-bit minimum hashes drop most pairs
