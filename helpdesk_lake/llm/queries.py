@@ -5,7 +5,8 @@ from __future__ import annotations
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, graph_ann, lm_bloom, minhash_forest, passage_chains, quality_rules, secret_scan, token_counts, toxic_cnn, word_bpe
+from . import (decontaminate, graph_ann, lm_bloom, merkle_manifest, minhash_forest, passage_chains, quality_rules, secret_scan, token_counts, toxic_cnn,
+               word_bpe)
 from .common import table, tokenizer_path
 
 
@@ -49,12 +50,16 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest.verified_documents(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
 QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_quality, op3_repeated_passages, op4_ann, op5_token_counts, op6_decontamination,
-                                 op7_bpe, op8_lm_scores, op9_toxicity, op10_secrets, pipeline)}
+                                 op7_bpe, op8_lm_scores, op9_toxicity, op10_secrets, op11_merkle_manifest, pipeline)}
 
 _WORDS = r"""
 low AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
@@ -105,6 +110,39 @@ SELECT d.doc_id, CAST(count(*) FILTER (k = 0) AS BIGINT) AS n_assign, CAST(count
        coalesce(string_agg(w, ',' ORDER BY s, k), '') AS spans
 FROM d LEFT JOIN said USING (doc_id) GROUP BY d.doc_id"""
 
+# level by level: a run's nodes joined give the node above; `part` 0 is a source's tree, 1 the tree over all subroots
+_MERKLE = """
+WITH RECURSIVE f AS (
+  SELECT doc_id, source, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low, text,
+         coalesce(octet_length(encode(CAST(doc_id AS VARCHAR))) || ':' || doc_id, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-')
+         || coalesce(octet_length(encode(lang)) || ':' || lang, '-') || coalesce(octet_length(encode(CAST(n_chars AS VARCHAR))) || ':' || n_chars, '-') AS head,
+         xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+           lambda ch: [CAST(ascii(ch) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+           lambda x, e: CASE WHEN e < 0 THEN xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END) ELSE xor(x, e) END)) AS crc FROM documents),
+h AS (SELECT *, sha256(head || coalesce(octet_length(encode(text)) || ':' || text, '-')) AS leaf,
+             CASE WHEN crc % 5 = 0 THEN sha256(head || coalesce(octet_length(encode(low)) || ':' || low, '-')) END AS bad FROM f),
+d AS (SELECT doc_id, leaf, coalesce(bad, leaf) AS claimed, row_number() OVER (ORDER BY source NULLS FIRST, doc_id NULLS FIRST, leaf) AS id,
+             row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p, count(*) OVER (PARTITION BY source) AS n,
+             dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS t FROM h),
+low AS (SELECT t, 0 AS l, p AS i, leaf AS h, n FROM d
+        UNION ALL SELECT t, l + 1, i // 16, sha256(string_agg(h, '' ORDER BY i)), (n + 15) // 16 FROM low WHERE n > 1 GROUP BY t, l, i // 16, n),
+sub AS (SELECT t, h AS subroot FROM low WHERE n = 1),
+high AS (SELECT -1 AS t, 0 AS l, t AS i, subroot AS h, count(*) OVER () AS n FROM sub
+         UNION ALL SELECT t, l + 1, i // 16, sha256(string_agg(h, '' ORDER BY i)), (n + 15) // 16 FROM high WHERE n > 1 GROUP BY t, l, i // 16, n),
+top AS (SELECT h AS root FROM high WHERE n = 1),
+node AS (SELECT 0 AS part, * FROM low WHERE n > 1 UNION ALL SELECT 1, * FROM high WHERE n > 1),
+place AS (SELECT d.id, v.part, v.l, v.t, CASE v.part WHEN 0 THEN d.p ELSE d.t END // (CAST(1 AS BIGINT) << (4 * v.l)) AS own
+          FROM d JOIN (SELECT DISTINCT part, t, l FROM node) v ON v.t = CASE v.part WHEN 0 THEN d.t ELSE -1 END),
+step AS (SELECT e.id, e.part, e.l, coalesce(string_agg(h, '' ORDER BY i) FILTER (i < own), '') AS a, coalesce(string_agg(h, '' ORDER BY i) FILTER (i > own), '') AS b
+         FROM place e JOIN node ON node.part = e.part AND node.t = e.t AND node.l = e.l AND node.i // 16 = e.own // 16 GROUP BY e.id, e.part, e.l),
+way AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY part, l) AS k, count(*) OVER (PARTITION BY id) AS ks FROM step),
+fold AS (SELECT id, CAST(1 AS BIGINT) AS k, claimed AS h FROM d
+         UNION ALL SELECT fold.id, fold.k + 1, sha256(a || fold.h || b) FROM fold JOIN way ON way.id = fold.id AND way.k = fold.k),
+done AS (SELECT id, arg_max(h, k) AS folded FROM fold GROUP BY id),
+proof AS (SELECT id, string_agg(a || b, '' ORDER BY k) AS s FROM way GROUP BY id)
+SELECT doc_id, leaf, subroot, root, sha256(coalesce(s, '')) AS proof_sha256, folded AS folded_root, folded = root AS verified
+FROM d JOIN sub USING (t) JOIN done USING (id) LEFT JOIN proof USING (id), top"""
+
 ORACLES = {
     "op1_minhash_dedup": f"""
 WITH RECURSIVE {_WORDS},
@@ -119,4 +157,5 @@ walk(v, r) AS (SELECT doc_id, doc_id FROM size UNION SELECT edge.b, walk.r FROM
 SELECT size.doc_id, CAST(n AS BIGINT) AS n_shingles, min(r) AS component_id, size.doc_id = min(r) AS kept
 FROM size JOIN walk ON walk.v = size.doc_id GROUP BY size.doc_id, n""",
     "op10_secrets": _SECRETS,
+    "op11_merkle_manifest": _MERKLE,
 }
