@@ -5,8 +5,8 @@ from __future__ import annotations
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import (decontaminate, graph_ann, lm_bloom, merkle_manifest, minhash_forest, passage_chains, quality_rules, secret_scan, token_counts, toxic_cnn,
-               word_bpe)
+from . import (decontaminate, graph_ann, lm_bloom, merkle_manifest, minhash_forest, passage_chains, phrase_stripes, quality_rules, secret_scan,
+               token_counts, toxic_cnn, vector_packing, word_bpe)
 from .common import table, tokenizer_path
 
 
@@ -54,12 +54,21 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest.verified_documents(table(spark, sf_dir, "documents"))
 
 
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_stripes.collocations(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
 QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_quality, op3_repeated_passages, op4_ann, op5_token_counts, op6_decontamination,
-                                 op7_bpe, op8_lm_scores, op9_toxicity, op10_secrets, op11_merkle_manifest, pipeline)}
+                                 op7_bpe, op8_lm_scores, op9_toxicity, op10_secrets, op11_merkle_manifest, op12_packing, op13_collocations,
+                                 pipeline)}
 
 _WORDS = r"""
 low AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
@@ -158,4 +167,21 @@ SELECT size.doc_id, CAST(n AS BIGINT) AS n_shingles, min(r) AS component_id, siz
 FROM size JOIN walk ON walk.v = size.doc_id GROUP BY size.doc_id, n""",
     "op10_secrets": _SECRETS,
     "op11_merkle_manifest": _MERKLE,
+    "op13_collocations": r"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT id, lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece, generate_subscripts(string_split_regex(t, '[.,;:!?\x0A-\x0D]'), 1) AS q FROM d),
+w AS (SELECT id, lang, q, unnest(regexp_extract_all(piece, '[^\x20\x09]+')) AS x, generate_subscripts(regexp_extract_all(piece, '[^\x20\x09]+'), 1) AS i FROM p),
+v AS (SELECT lang, x, lead(x) OVER o AS y, lead(x, 2) OVER o AS z FROM w WINDOW o AS (PARTITION BY id, q ORDER BY i)),
+g AS (SELECT lang, 1 AS k, [x] AS g FROM v UNION ALL SELECT lang, 2, [x, y] FROM v WHERE y IS NOT NULL UNION ALL SELECT lang, 3, [x, y, z] FROM v WHERE z IS NOT NULL),
+f AS (SELECT lang, k, g, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(f) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, g, f AS a FROM f WHERE k > 1 AND f >= 10),
+cut AS (SELECT c.lang, c.g, c.a, s.k AS cut, x.f AS l, y.f AS r, CAST(1000000 AS HUGEINT) * c.a * c.a // (CAST(x.f AS HUGEINT) * y.f) AS score
+        FROM c JOIN (VALUES (1), (2)) s(k) ON s.k < c.k JOIN f x ON x.lang = c.lang AND x.g = c.g[:s.k] JOIN f y ON y.lang = c.lang AND y.g = c.g[s.k + 1:]),
+best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) = 1),
+longer AS (SELECT lang, g, max(a) AS a FROM (SELECT lang, unnest([g[1:2], g[2:3]]) AS g, a FROM c WHERE k = 3) GROUP BY lang, g),
+kept AS (SELECT best.*, array_to_string(g, ' ') AS phrase FROM best WHERE NOT EXISTS (
+           SELECT 1 FROM longer o WHERE o.lang = best.lang AND o.g = best.g AND 100 * o.a >= 50 * best.a)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM ranked JOIN n USING (lang) WHERE rank <= 2000""",
 }
