@@ -99,22 +99,25 @@ def round2(x: str | Column) -> Column:
 
 
 # X6 -------------------------------------------------------------------------
-#: Unicode white space and the four separators that count as such in texts.
-OUTER_SPACE = r"\A[\p{IsWhite_Space}\x1c-\x1f]+|[\p{IsWhite_Space}\x1c-\x1f]+\z"
+#: Unicode white space and the four separators that count as such in texts (fixed values).
+OUTER_SPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+               "\u2028\u2029\u202f\u205f\u3000")
 
 
 def strip_space(text: str | Column) -> Column:
     """Without white space of any kind at either end."""
-    return F.regexp_replace(_c(text), OUTER_SPACE, "")
+    return F.btrim(_c(text), F.lit(OUTER_SPACE))
 
 
 # X7 -------------------------------------------------------------------------
 def normalize_tag_array(tags: str | Column) -> Column:
     """Trim, drop blanks, distinct, sort (null array -> empty array)."""
-    trimmed = F.transform(F.coalesce(_c(tags), F.array().cast("array<string>")),
-                          lambda t: strip_space(t))
-    kept = F.filter(trimmed, lambda t: t.isNotNull() & (t != F.lit("")))
-    return F.array_sort(F.array_distinct(kept))
+    return distinct_tags(F.transform(F.coalesce(_c(tags), F.array().cast("array<string>")), strip_space))
+
+
+def distinct_tags(trimmed: str | Column) -> Column:
+    """The sorted distinct non-blank names of an array of trimmed ones."""
+    return F.array_sort(F.array_distinct(F.filter(_c(trimmed), lambda t: t.isNotNull() & (t != F.lit("")))))
 
 
 # X8 -------------------------------------------------------------------------

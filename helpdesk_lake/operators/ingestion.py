@@ -6,7 +6,7 @@ columns (``seq`` = position of the record in the feed):
 
 * I4 newest wins: a record applies iff its updated_at is strictly greater
   than both the stored version and every earlier record of the same ticket
-  in the batch — a running max over earlier rows (ties keep the first).
+  in the batch (ties keep the first) — a running maximum in slices.
 * I2 customer name: the last name in feed order wins (``max_by``).
 * I3 identity conflicts: an id seen with two e-mails or an e-mail with two
   ids, inside the batch or against stored customers (two equi joins).
@@ -14,6 +14,8 @@ columns (``seq`` = position of the record in the feed):
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -29,6 +31,7 @@ from ..constants import (
     SUBJECT_MAX,
 )
 from ..functions import expressions as X
+from ..session import scratch_path
 
 
 def _len_between(c: Column, low: int, high: int | None) -> Column:
@@ -51,7 +54,8 @@ def validate(src: DataFrame) -> DataFrame:
     extra = [c for c in ("record_error", "file_error") if c in src.columns]
     parsed = src.select(
         "seq", "ticket_id", "subject", "description", "requester_id", "requester_name",
-        F.col("requester_email").alias("raw_email"), "assignee_id", "assignee_name", "tags",
+        F.col("requester_email").alias("raw_email"), "assignee_id", "assignee_name",
+        F.transform(F.coalesce(F.col("tags"), F.array().cast("array<string>")), X.strip_space).alias("tags"),
         F.upper("status").alias("status"),
         F.upper("priority").alias("priority"),
         F.col("first_response_at").alias("raw_first_response"),
@@ -85,7 +89,7 @@ def validate(src: DataFrame) -> DataFrame:
         (c("has_rating") & F.coalesce(~c("score").isin(*SCORES), F.lit(True)),
          "satisfaction_rating.score: invalid value"),
         (c("has_rating") & (F.char_length("comment") > COMMENT_MAX), "satisfaction_rating.comment: at most 1000 characters"),
-        (F.exists(F.coalesce(c("tags"), F.array().cast("array<string>")), lambda t: F.char_length(X.strip_space(t)) > NAME_MAX), "tags: at most 255 characters each"),
+        (F.exists("tags", lambda t: F.char_length(t) > NAME_MAX), "tags: at most 255 characters each"),
         (c("has_rating") & c("raw_offered").isNotNull() & c("offered").isNull(),
          "satisfaction_rating.offered_at: invalid"),
         (c("has_rating") & c("raw_rated").isNotNull() & c("rated").isNull(), "satisfaction_rating.rated_at: invalid"),
@@ -104,7 +108,7 @@ def validate(src: DataFrame) -> DataFrame:
         c("created").alias("source_created_at"),
         c("updated").alias("source_updated_at"),
         c("first_resp").alias("first_response_at"),
-        X.normalize_tag_array("tags").alias("tags"),
+        X.distinct_tags("tags").alias("tags"),
         rating.alias("rating"),
         errors.alias("errors"),
     ).withColumn("is_valid", F.size("errors") == 0)
@@ -115,16 +119,21 @@ def identity_conflicts(valid: DataFrame, stored_customers: DataFrame | None = No
     """Rows (external_requester_id, requester_email, reason) that break the
     one-id-one-email rule, inside the batch or against stored customers.
 
-    Inside the batch: over the distinct (id, e-mail) pairs, an id with more
-    than one e-mail or an e-mail with more than one id (two window counts).
+    Inside the batch: an id whose smallest and largest e-mail differ, or an
+    e-mail whose smallest and largest id differ. Both are partial aggregates
+    over the distinct pairs, so an id or e-mail that many records share is no
+    hot group; the few that conflict are joined back.
     Against stored customers: two left equi joins — by id and by e-mail —
     never one OR-join."""
     obs = valid.select("external_requester_id", "requester_email").distinct()
-    counted = (obs.withColumn("_emails", F.count(F.lit(1)).over(Window.partitionBy("external_requester_id")))
-               .withColumn("_ids", F.count(F.lit(1)).over(Window.partitionBy("requester_email"))))
-    inside = (counted.filter((F.col("_emails") > 1) | (F.col("_ids") > 1))
-              .select("external_requester_id", "requester_email",
-                      F.lit("conflicting identity inside the batch").alias("reason")))
+
+    def torn(key: str, partner: str) -> DataFrame:
+        ends = obs.groupBy(key).agg(F.min(partner).alias("_low"), F.max(partner).alias("_high"))
+        return obs.join(ends.filter(F.col("_low") != F.col("_high")).select(key), key, "left_semi")
+
+    inside = (torn("external_requester_id", "requester_email")
+              .unionByName(torn("requester_email", "external_requester_id")).distinct()
+              .withColumn("reason", F.lit("conflicting identity inside the batch")))
     if stored_customers is None:
         return inside
     by_id = stored_customers.select(F.col("external_requester_id").alias("_sid"),
@@ -157,42 +166,76 @@ def customer_upserts(valid: DataFrame, stored_customers: DataFrame | None = None
 
 
 # I4 -------------------------------------------------------------------------
-def apply_flags(valid: DataFrame, stored_versions: DataFrame | None = None) -> DataFrame:
-    """Add ``stored_updated_at``, ``applied`` and ``created`` to every valid
-    record (sequential newest-wins rule, ties keep the first)."""
-    df = valid
-    if stored_versions is not None:
-        current = (stored_versions.join(valid.select("ticket_id").distinct(), "ticket_id", "left_semi")
-                   .groupBy("ticket_id").agg(F.max("source_updated_at").alias("stored_updated_at")))
-        df = df.join(current, "ticket_id", "left")
-    else:
-        df = df.withColumn("stored_updated_at", F.lit(None).cast("timestamp_ntz"))
-    earlier = Window.partitionBy("ticket_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    bar = F.greatest(F.col("stored_updated_at"), F.max("source_updated_at").over(earlier))
-    applied = F.coalesce(F.col("source_updated_at") > bar, F.lit(True))
-    first_in_batch = F.row_number().over(Window.partitionBy("ticket_id").orderBy("seq")) == 1
-    return (df.withColumn("applied", applied)
-            .withColumn("created", first_in_batch & F.col("stored_updated_at").isNull()))
-
-
-def latest_versions(flagged: DataFrame) -> DataFrame:
-    """Final state per changed ticket: its last applied record (applied
-    records of a ticket strictly increase in updated_at, so the last one in
-    feed order is also the newest). A second window over the same ticket
-    partitioning marks it — no extra shuffle, no wide aggregation buffer."""
-    drop = ("applied", "created", "stored_updated_at", "errors", "is_valid", "_last")
-    last = F.max(F.when(F.col("applied"), F.col("seq"))).over(Window.partitionBy("ticket_id"))
-    marked = flagged.withColumn("_last", last)
-    return marked.filter(F.col("seq") == F.col("_last")).select(
-        *[c for c in flagged.columns if c not in drop])
+#: Most slices of ``apply_flags``; two broadcast rows each.
+SLICES = 20_000
+
+
+def _stored_versions(versions: DataFrame | None, valid: DataFrame) -> DataFrame | None:
+    """(ticket_id, stored_updated_at) of the stored tickets that the batch touches."""
+    if versions is None:
+        return None
+    return (versions.join(valid.select("ticket_id").distinct(), "ticket_id", "left_semi")
+            .groupBy("ticket_id").agg(F.max("source_updated_at").alias("stored_updated_at")))
+
+
+def _with_stored(df: DataFrame, current: DataFrame | None) -> DataFrame:
+    if current is None:
+        return df.withColumn("stored_updated_at", F.lit(None).cast("timestamp_ntz"))
+    return df.join(current, "ticket_id", "left")
+
+
+def apply_flags(valid: DataFrame, stored_versions: DataFrame | None = None, slices: int | None = None) -> DataFrame:
+    """(ticket_id, seq, source_updated_at, stored_updated_at, applied, created) of every valid record: the sequential
+    newest-wins rule (ties keep the first) as a segmented running maximum.
+
+    Only these narrow columns move. They are range-partitioned on (ticket,
+    seq) and written once, so a ticket with a third of all records spans many
+    slices. The maximum runs inside each (slice, ticket); what a slice's first
+    ticket brings along from earlier slices is the running maximum over one
+    row per slice and border ticket (at most ``SLICES`` times two, broadcast)."""
+    spark = valid.sparkSession
+    n = min(SLICES, slices or int(spark.conf.get("spark.sql.shuffle.partitions")))
+    keys = ["ticket_id", "seq"]
+    ranged = valid.select(*keys, "source_updated_at").repartitionByRange(n, *keys).withColumn("slice", F.spark_partition_id())
+    path = scratch_path(spark, f"flags-{uuid.uuid4().hex}")
+    ranged.write.parquet(path)
+    ranged = spark.read.schema(ranged.schema).parquet(path)
+    earlier = Window.partitionBy("slice", "ticket_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    local = ranged.withColumn("before", F.max("source_updated_at").over(earlier))
+    ends = ranged.groupBy("slice").agg(F.min("ticket_id").alias("low"), F.max(F.struct("ticket_id", "source_updated_at")).alias("high"))
+    borders = (ends.select("slice", F.inline(F.array(
+        F.struct(F.col("low").alias("ticket_id"), F.lit(None).cast("timestamp_ntz").alias("top")),
+        F.struct(F.col("high.ticket_id").alias("ticket_id"), F.col("high.source_updated_at").alias("top")))))
+        .groupBy("ticket_id", "slice").agg(F.max("top").alias("top")))
+    passed = Window.partitionBy("ticket_id").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    carried = borders.withColumn("carried", F.max("top").over(passed)).filter(F.col("carried").isNotNull()).drop("top")
+    df = _with_stored(local.join(F.broadcast(carried), ["slice", "ticket_id"], "left"), _stored_versions(stored_versions, ranged))
+    in_batch = F.greatest("before", "carried")
+    bar = F.greatest("stored_updated_at", in_batch)
+    return df.select(*keys, "source_updated_at", "stored_updated_at",
+                     F.coalesce(F.col("source_updated_at") > bar, F.lit(True)).alias("applied"),
+                     (in_batch.isNull() & F.col("stored_updated_at").isNull()).alias("created"))
+
+
+def latest_versions(valid: DataFrame, stored_versions: DataFrame | None = None) -> DataFrame:
+    """Final state per changed ticket: its last applied record, which is the
+    first of its newest ones, if newer than the stored version. Winners are one
+    partial aggregate over (ticket, updated, seq); the full record is joined
+    for them only."""
+    newest = (valid.select("ticket_id", "seq", "source_updated_at").groupBy("ticket_id")
+              .agg(F.max(F.struct("source_updated_at", (-F.col("seq")).alias("back"))).alias("top")))
+    won = _with_stored(newest, _stored_versions(stored_versions, newest))
+    won = won.filter(F.coalesce(F.col("top.source_updated_at") > F.col("stored_updated_at"), F.lit(True)))
+    won = won.select("ticket_id", (-F.col("top.back")).alias("seq"))
+    return valid.drop("errors", "is_valid").join(won, ["ticket_id", "seq"], "left_semi")
 
 
 # I5 -------------------------------------------------------------------------
-def new_tags(flagged: DataFrame, stored_tags: DataFrame | None = None) -> DataFrame:
+def new_tags(valid: DataFrame, flags: DataFrame, stored_tags: DataFrame | None = None) -> DataFrame:
     """Distinct tag names of applied records not known yet (a version that is
     applied and later superseded in the same batch still creates its tags)."""
-    names = (flagged.filter("applied").select(F.explode("tags").alias("name"))
-             .select(X.strip_space("name").alias("name")).filter(F.col("name") != "").distinct())
+    applied = valid.select("ticket_id", "seq", "tags").join(flags.filter("applied"), ["ticket_id", "seq"], "left_semi")
+    names = applied.select(F.explode("tags").alias("name")).distinct()  # the names are normalised already
     if stored_tags is not None:
         names = names.join(stored_tags.select("name"), "name", "left_anti")
     return names

@@ -26,9 +26,8 @@ def _validated(spark, sf_dir):
     return I.validate(fixture_feed(spark, sf_dir))
 
 
-def _flagged(spark, sf_dir):
-    v = _validated(spark, sf_dir)
-    return I.apply_flags(v.filter("is_valid"))
+def _valid(spark, sf_dir):
+    return _validated(spark, sf_dir).filter("is_valid")
 
 
 def _iso(c: str) -> str:
@@ -85,7 +84,7 @@ register_feed("ingest_latest", "I4", with_model(f"""
 SELECT ticket_id, version, upper(status) AS status, subject, requester_name,
        {_iso('updated')} AS updated_at, array_to_string(tags, ',') AS tags, upper(score) AS score
 FROM f_latest""", FEED_CTES))(
-    lambda spark, d: I.latest_versions(_flagged(spark, d)).select(
+    lambda spark, d: I.latest_versions(_valid(spark, d)).select(
         "ticket_id", F.shiftright("seq", 32).cast("int").alias("version"), "status", "subject", "requester_name",
         F.date_format("source_updated_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("updated_at"),
         F.array_join("tags", ",").alias("tags"), F.col("rating.score").alias("score")))
@@ -96,14 +95,14 @@ SELECT ticket_id, version,
                                              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), TRUE) AS applied,
        row_number() OVER (PARTITION BY ticket_id ORDER BY version) = 1 AS created
 FROM f_valid WHERE is_valid""", FEED_CTES))(
-    lambda spark, d: _flagged(spark, d).select(
+    lambda spark, d: I.apply_flags(_valid(spark, d)).select(
         "ticket_id", F.shiftright("seq", 32).cast("int").alias("version"), "applied", "created"))
 
 register_feed("ingest_customers", "I2 Q10", with_model("""
 SELECT customer_id AS external_requester_id, arg_min(email, version * 4294967296 + ticket_id) AS requester_email,
        arg_max(requester_name, version * 4294967296 + ticket_id) AS requester_name, TRUE AS created
 FROM f_valid WHERE is_valid GROUP BY customer_id""", FEED_CTES))(
-    lambda spark, d: I.customer_upserts(_validated(spark, d).filter("is_valid")).select(
+    lambda spark, d: I.customer_upserts(_valid(spark, d)).select(
         "external_requester_id", "requester_email", "requester_name", "created"))
 
 CONFLICT_CTES = dict(FEED_CTES)
@@ -119,7 +118,7 @@ SELECT DISTINCT * FROM (
   UNION ALL
   SELECT id, email, 'identity conflicts with an existing customer' FROM obs JOIN stored ON s_email = email WHERE s_id <> id
 ) x""", CONFLICT_CTES))(
-    lambda spark, d: I.identity_conflicts(_validated(spark, d).filter("is_valid"),
+    lambda spark, d: I.identity_conflicts(_valid(spark, d),
                                           fixture_model(spark, d).customers))
 
 register_feed("ingest_new_tags", "I5", with_model("""
@@ -127,11 +126,11 @@ SELECT DISTINCT unnest(tags) AS name FROM (
   SELECT tags, coalesce(updated > max(updated) OVER (PARTITION BY ticket_id ORDER BY version
                          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), TRUE) AS applied
   FROM f_valid WHERE is_valid) x WHERE applied""", FEED_CTES))(
-    lambda spark, d: I.new_tags(_flagged(spark, d)))
+    lambda spark, d: I.new_tags(_valid(spark, d), I.apply_flags(_valid(spark, d))))
 
 register_feed("ingest_links", "I6", with_model(
     "SELECT ticket_id, unnest(tags) AS tag_id FROM f_latest", FEED_CTES))(
-    lambda spark, d: I.replaced_links(I.latest_versions(_flagged(spark, d))))
+    lambda spark, d: I.replaced_links(I.latest_versions(_valid(spark, d))))
 
 register_feed("ingest_ratings", "I7", with_model(f"""
 SELECT ticket_id, upper(score) AS score,
@@ -139,7 +138,7 @@ SELECT ticket_id, upper(score) AS score,
        CASE WHEN score IN ('good', 'bad') THEN {_iso("source_created_at + INTERVAL 45 MINUTE")} END AS rated_at,
        '' AS comment
 FROM f_latest WHERE score IS NOT NULL""", FEED_CTES))(
-    lambda spark, d: I.synced_ratings(I.latest_versions(_flagged(spark, d))).select(
+    lambda spark, d: I.synced_ratings(I.latest_versions(_valid(spark, d))).select(
         "ticket_id", "score", F.date_format("offered_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("offered_at"),
         F.date_format("rated_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("rated_at"), "comment"))
 

@@ -249,11 +249,11 @@ def ingest_batch(spark: SparkSession, parsed: DataFrame, root: str, batch_id: in
         if clash is not None:
             raise IngestionError(f"Requester identity conflict: {clash[0]}")
         versions = _committed(spark, root, "versions").select("ticket_id", "source_updated_at")
-        flagged = I.apply_flags(valid.withColumn("customer_id", F.col("external_requester_id")), versions).persist()
-        put(I.latest_versions(flagged), "versions")
+        flagged = I.apply_flags(valid, versions).persist()
+        put(I.latest_versions(valid.withColumn("customer_id", F.col("external_requester_id")), versions), "versions")
         customers = I.customer_upserts(valid, stored.customers)
         put(customers, "customers")
-        put(I.new_tags(flagged, stored.tags), "tags")
+        put(I.new_tags(valid, flagged, stored.tags), "tags")
         if files is not None:
             put(files, "files")
         stats = flagged.agg(
