@@ -46,8 +46,8 @@ from .common import mixed, stored, word_hashes
 
 LEAST, TOP, SUBSUMED = 10, 2000, 50
 SEGMENT, HOT_WORDS = 1 << 18, 1 << 18
-#: Bytes of text hashed at once, words per flush, elements merged at once, buckets of the first ranking step.
-SLAB, FLUSH, MERGE, BUCKETS = 1 << 20, 1 << 21, 1 << 20, 16
+#: Bytes of text hashed at once, words whose stripes are made together, elements merged at once, buckets of the first ranking step.
+SLAB, FLUSH, MERGE, BUCKETS = 1 << 20, 1 << 20, 1 << 19, 16
 UNKNOWN = "und"
 #: A-Z in lower case; all piece ends as full stops, all spaces as spaces (these bytes occur in no other character).
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ,;:!?\n\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz......... ")

@@ -12,10 +12,7 @@ a power of two, where no padding is needed; so a task's last sequences are few
 and short, and what is padded does not depend on the number of tasks. Nothing is
 shuffled and no sequence spans tasks, so a lost task is simply run again.
 
-Texts become ids by the byte-level BPE of a public tokenizer file. White space
-followed by anything else always starts a new piece of its split pattern, so
-white-space-free chunks with the white space before them are encoded one by
-one, and workers remember the ids of ``REMEMBERED`` short chunks. The merges run
+Texts become ids by the byte-level BPE of a public tokenizer file. Its merges run
 in tiktoken, with ranks that are read from the same file.
 
 Edge cases: a null or empty text is the end id alone; a null id is carried along;
@@ -30,6 +27,7 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -42,16 +40,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .word_bpe import SPACES, byte_letters, read_spec
+from .word_bpe import byte_letters, read_spec
 
-#: Open pieces of a task; chunks that a worker remembers, and the longest of them.
-POOL, REMEMBERED, LONG_CHUNK = 512, 250_000, 200
+#: Open pieces of a task.
+POOL = 512
 END_ID = 1
 #: Sequence numbers of a task start at its partition number times this.
 NUMBERS = 1 << 36
-#: The split pattern of byte-level BPE files (a fixed value of the format).
-SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_CHUNK = re.compile(f"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+")
+#: The split pattern of byte-level BPE files (a fixed value of the format; possessive runs keep it from backtracking).
+SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 
 
 @dataclass(frozen=True)
@@ -80,10 +77,6 @@ class ByteBpe:
         self.bpe = tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
         self.special = {t: np.array([i], "<u4").tobytes() for t, i in special.items()}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
-        self.short = lru_cache(REMEMBERED)(self.chunk)
-
-    def chunk(self, text: str) -> bytes:
-        return np.array(self.bpe.encode_ordinary(text), "<u4").tobytes()
 
     def encode(self, text: str | None) -> bytes:
         """The ids, 32 bits each, little-endian."""
@@ -92,11 +85,7 @@ class ByteBpe:
             if part in self.special:
                 out.append(self.special[part])
             elif part:
-                chunks = _CHUNK.findall(part)
-                if max(map(len, chunks)) <= LONG_CHUNK:
-                    out += map(self.short, chunks)
-                else:
-                    out += [self.short(c) if len(c) <= LONG_CHUNK else self.chunk(c) for c in chunks]
+                out.append(array("I", self.bpe.encode_ordinary(part)).tobytes())
         return b"".join(out)
 
 
