@@ -51,7 +51,7 @@ def small(spark):
 
 
 # --- near copies -------------------------------------------------------------
-def plain_components(rows):
+def plain_components(rows, percent=85):
     def shingle(t):
         w = words(t)
         return {tuple(w[i:i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
@@ -66,7 +66,7 @@ def plain_components(rows):
 
     for a, (i, x) in enumerate(sets):
         for j, y in sets[:a]:
-            if x and y and 100 * len(x & y) >= 85 * len(x | y):
+            if x and y and 100 * len(x & y) >= percent * len(x | y):
                 r, s = sorted((find(i), find(j)))
                 parent[s] = r
     return {i: find(i) for i in parent}, {(i, len(x)) for i, x in sets}
@@ -469,7 +469,7 @@ def test_pipeline_stages(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_dedup", "decontamination", "secrets", "token_ids"]
     scores = {r.doc_id: r.predicted for r in quality_rules.quality_scores(docs, spark.read.parquet(f"{sf}/labels.parquet")).collect()}
     want = {r.doc_id: r.text for r in docs.collect() if scores[r.doc_id]}
-    component, _ = plain_components(list(want.items()))
+    component, _ = plain_components(list(want.items()), corpus_pipeline.NEAR_PERCENT)
     want = {i: t for i, t in want.items() if component[i] == i}
     leaky = {r.doc_id for r in decontaminate.leaks(docs.where(F.col("doc_id").isin(list(want))), spark.read.parquet(f"{sf}/benchmark.parquet")).collect()}
     want = {i: t for i, t in want.items() if i not in leaky}
