@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import ingestion as I
+from ..session import scratch_path
 from ..sources.feed import fixture_feed
 from ..sources.fixtures import fixture_model
+from ..sources.json_feed import read_feed, write_feed
+from ..streaming.latest import latest, start_latest
+from ..streaming.store import ingest_batch, ingest_log, ingestion_state, init_store, set_enabled
 from .catalog import QuerySpec, REGISTRY
 from .oracle_model import with_model
 
@@ -162,3 +168,131 @@ SELECT * FROM (VALUES
     lambda spark, d: I.batch_checks(
         fixture_feed(spark, d).filter(F.shiftright("seq", 32) == 1),
         expected_count=spark.read.parquet(f"{d}/orders.parquet").select(F.count(F.lit(1))).scalar()))
+
+
+# --- files, cycles and streams -------------------------------------------------
+FEED_FILES = 8
+
+
+def _feed_files(spark, sf_dir):
+    """The whole feed written as array files and read back; then the same files with a wrong count, all of whose records
+    must be refused."""
+    folder = scratch_path(spark, f"feed-{uuid.uuid4().hex}")
+    write_feed(fixture_feed(spark, sf_dir), folder, FEED_FILES)
+    back = I.validate(read_feed(spark, folder))
+    counted = I.validate(read_feed(spark, folder, expected_count=-1))
+    refused = counted.agg(F.count_if(F.exists("errors", lambda e: e.startswith("file must contain exactly"))).alias("refused"))
+    kinds = back.groupBy("status", "is_valid").agg(
+        F.count(F.lit(1)).alias("records"), F.count_distinct("ticket_id").alias("tickets"), F.count_distinct("seq").alias("places"),
+        F.sum(F.size("tags")).alias("tags"), F.count("rating.score").alias("ratings"), F.min("source_updated_at").alias("first_update"),
+        F.max("source_updated_at").alias("last_update"))
+    one = F.lit(1).alias("one")
+    return (kinds.select("*", one).join(refused.select("*", one), "one").drop("one")
+            .withColumn("first_update", F.date_format("first_update", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+            .withColumn("last_update", F.date_format("last_update", "yyyy-MM-dd'T'HH:mm:ss'Z'")))
+
+
+register_feed("feed_files", "S1", with_model(f"""
+SELECT upper(status) AS status, is_valid, count(*) AS records, count(DISTINCT ticket_id) AS tickets, count(*) AS places,
+       CAST(sum(len(tags)) AS BIGINT) AS tags, count(score) AS ratings, {_iso("min(updated)")} AS first_update, {_iso("max(updated)")} AS last_update,
+       (SELECT count(*) FROM f_valid) AS refused
+FROM f_valid GROUP BY upper(status), is_valid""", FEED_CTES))(_feed_files)
+
+#: Cycles of the store: all records of a version are one batch.
+VERSIONS = (1, 2, 3, 4)
+
+
+def _cycles(spark, sf_dir):
+    root = scratch_path(spark, f"store-{uuid.uuid4().hex}")
+    init_store(spark, root)
+    feed = fixture_feed(spark, sf_dir)
+    for v in VERSIONS:
+        ingest_batch(spark, feed.filter(F.col("version") == v), root, v, strict=False)
+    return root
+
+
+def _cycle_log(spark, sf_dir):
+    """The log after four batches, the last of them sent twice."""
+    root = _cycles(spark, sf_dir)
+    ingest_batch(spark, fixture_feed(spark, sf_dir).filter(F.col("version") == VERSIONS[-1]), root, VERSIONS[-1], strict=False)
+    return ingest_log(spark, root).select("batch", "state", "records", "rejected", "customers_created", "tickets_created", "tickets_updated",
+                                          "tickets_unchanged", "next_cursor")
+
+
+CYCLE_CTES = dict(FEED_CTES)
+CYCLE_CTES |= {
+    "early": "SELECT DISTINCT customer_id AS id, email FROM f_valid WHERE is_valid AND version < 3",
+    "known": "SELECT id, min(email) AS email FROM early GROUP BY id",
+    "third": "SELECT DISTINCT customer_id AS id, email FROM f_valid WHERE is_valid AND version = 3",
+    "torn": """SELECT id, email FROM third WHERE id IN (SELECT id FROM third GROUP BY id HAVING count(*) > 1)
+                  OR email IN (SELECT email FROM third GROUP BY email HAVING count(*) > 1)
+               UNION SELECT t.id, t.email FROM third t JOIN known k ON k.id = t.id WHERE k.email <> t.email
+               UNION SELECT t.id, t.email FROM third t JOIN known k ON k.email = t.email WHERE k.id <> t.id""",
+    "judged": """SELECT *, is_valid AND NOT (version = 3 AND EXISTS (SELECT 1 FROM torn WHERE torn.id = customer_id AND torn.email = f_valid.email)) AS kept
+                 FROM f_valid""",
+    "steps": """SELECT version, ticket_id, coalesce(updated > max(updated) OVER w, TRUE) AS applied, row_number() OVER o = 1 AS created
+                FROM judged WHERE kept
+                WINDOW w AS (PARTITION BY ticket_id ORDER BY version ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+                       o AS (PARTITION BY ticket_id ORDER BY version)""",
+    "seen": "SELECT customer_id, min(version) AS version FROM judged WHERE kept GROUP BY customer_id",
+}
+register_feed("ingest_cycles", "I8 I11 S2", with_model("""
+SELECT CAST(v.version AS VARCHAR) AS batch, 'SUCCESS' AS state, v.records, v.rejected,
+       (SELECT count(*) FROM seen WHERE seen.version = v.version) AS customers_created,
+       (SELECT count(*) FROM steps s WHERE s.version = v.version AND applied AND created) AS tickets_created,
+       (SELECT count(DISTINCT ticket_id) FROM steps s WHERE s.version = v.version AND applied AND NOT created) AS tickets_updated,
+       (SELECT count(*) FROM steps s WHERE s.version = v.version AND NOT applied) AS tickets_unchanged,
+       CAST(sum(v.records) OVER (ORDER BY v.version) AS BIGINT) AS next_cursor
+FROM (SELECT version, count(*) AS records, count(*) FILTER (NOT kept) AS rejected FROM judged GROUP BY version) v""", CYCLE_CTES))(_cycle_log)
+
+
+def _control(spark, sf_dir):
+    """The control row after a good batch, after a failed one, switched off, and switched on again."""
+    root = scratch_path(spark, f"store-{uuid.uuid4().hex}")
+    init_store(spark, root)
+    feed = fixture_feed(spark, sf_dir).filter(F.col("version") == 1)
+    rows = []
+
+    def note(step: str) -> None:
+        r = ingestion_state(spark, root).first()
+        rows.append((step, r.enabled, r.worker_state, r.cursor_position, r.last_success_at is not None, (r.last_error or "").split(":")[-1].strip() or None))
+
+    ingest_batch(spark, feed, root, 1, strict=False)
+    note("1 ingested")
+    try:
+        ingest_batch(spark, feed, root, 2)
+    except RuntimeError:
+        note("2 failed")
+    set_enabled(spark, root, False)
+    note("3 switched off")
+    set_enabled(spark, root, True)
+    ingest_batch(spark, feed, root, 3, strict=False)
+    note("4 ingested again")
+    return spark.createDataFrame(rows, "step string, enabled boolean, worker_state string, cursor_position long, succeeded boolean, last_error string")
+
+
+register_feed("ingest_control", "I9 X17", with_model("""
+SELECT step, enabled, worker_state, n * (SELECT count(*) FROM f_valid WHERE version = 1) AS cursor_position, TRUE AS succeeded,
+       CASE WHEN n > 1 OR step <> '1 ingested' THEN 'length must be 1..500' END AS last_error
+FROM (VALUES ('1 ingested', TRUE, 'IDLE', 1), ('2 failed', TRUE, 'ERROR', 1), ('3 switched off', FALSE, 'DISABLED', 1),
+             ('4 ingested again', TRUE, 'IDLE', 2)) t(step, enabled, worker_state, n)""", FEED_CTES))(_control)
+
+EVENT_COLUMNS = ["event_type", "value"]
+
+
+def _stream_latest(spark, sf_dir):
+    """§2.13: the events as a stream of versions of their user; the newest of each."""
+    path, ckpt = (scratch_path(spark, f"{kind}-{uuid.uuid4().hex}") for kind in ("latest", "latest-checkpoint"))
+    source = f"{sf_dir}/events.parquet*"  # a pattern, as a stream takes no single file
+    schema = spark.read.parquet(source).schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(source)
+    start_latest(stream, path, ckpt, "user_id", "ts", "event_id", EVENT_COLUMNS).awaitTermination()
+    kinds = {f.name: f.dataType.simpleString() for f in schema}
+    wanted = ", ".join(f"{c} {kinds[c]}" for c in ("user_id", "ts", "event_id", *EVENT_COLUMNS))
+    return latest(spark, path, wanted, "user_id", "ts", "event_id", EVENT_COLUMNS).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+register_feed("stream_latest", "S2 I4", """
+SELECT user_id, CAST(ts AS TIMESTAMP) AS ts, event_id, event_type, value FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS rk FROM events
+  WHERE user_id IS NOT NULL AND ts IS NOT NULL AND event_id IS NOT NULL) x WHERE rk = 1""")(_stream_latest)

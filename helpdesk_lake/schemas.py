@@ -39,9 +39,12 @@ RATING = T.StructType([
     T.StructField("comment", T.StringType()),
 ])
 
-TICKET_VERSION = T.StructType([
-    T.StructField("ticket_id", T.LongType(), False),
-    T.StructField("customer_id", T.LongType()),
+# One record of an ingested batch.
+BATCH_RECORD = T.StructType([
+    T.StructField("ticket_id", T.LongType()),
+    T.StructField("external_requester_id", T.LongType()),
+    T.StructField("requester_name", T.StringType()),
+    T.StructField("requester_email", T.StringType()),
     T.StructField("subject", T.StringType()),
     T.StructField("description", T.StringType()),
     T.StructField("status", T.StringType()),
@@ -54,25 +57,18 @@ TICKET_VERSION = T.StructType([
     T.StructField("tags", T.ArrayType(T.StringType())),
     T.StructField("rating", RATING),
     T.StructField("seq", T.LongType()),
+    T.StructField("errors", T.ArrayType(T.StringType())),
+    T.StructField("is_valid", T.BooleanType()),
+    T.StructField("applied", T.BooleanType()),
+    T.StructField("created", T.BooleanType()),
+    T.StructField("known", T.BooleanType()),
+    T.StructField("ingested_at", T.TimestampNTZType()),
+    T.StructField("batch", T.StringType()),
 ])
 
-CUSTOMER_OBSERVATION = T.StructType([
-    T.StructField("external_requester_id", T.LongType()),
-    T.StructField("requester_email", T.StringType()),
-    T.StructField("requester_name", T.StringType()),
-    T.StructField("seq", T.LongType()),
-])
-
-INGEST_LOG = T.StructType([
-    T.StructField("batch_id", T.LongType()),
-    T.StructField("attempt", T.StringType()),
-    T.StructField("state", T.StringType()),
-    T.StructField("records", T.LongType()),
-    T.StructField("customers_created", T.LongType()),
-    T.StructField("tickets_created", T.LongType()),
-    T.StructField("tickets_updated", T.LongType()),
-    T.StructField("tickets_unchanged", T.LongType()),
-    T.StructField("next_cursor", T.LongType()),
+CONTROL_EVENT = T.StructType([
+    T.StructField("at", T.TimestampNTZType()),
+    T.StructField("event", T.StringType()),
+    T.StructField("batch", T.StringType()),
     T.StructField("error", T.StringType()),
-    T.StructField("finished_at", T.StringType()),
 ])

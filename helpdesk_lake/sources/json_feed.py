@@ -1,66 +1,105 @@
-"""Ticket feed files — each file is one JSON array of nested records.
+"""Ticket feed files through Spark's JSON source.
 
-The file is read whole (``wholetext``), split into elements with their
-position, and each element parsed against the explicit source schema with a
-corrupt-record column, so one bad element flags only itself. A file that is
-not an array, or whose element count differs from ``expected_count``, is
-flagged on every one of its rows.
+``read_feed`` takes files that hold one JSON array of nested records each
+(multi-line mode; such a file can't be split). ``read_feed_lines`` takes one
+record a line, which Spark splits into blocks. Both read every field as text,
+so a value of a wrong type spoils its record only; the nested parts and the
+numbers are parsed from that text, and what fails is listed in ``record_error``.
+A file that is no JSON at all gives one row with ``file_error``, and so does a
+file whose record count differs from ``expected_count`` (on each of its rows). A
+lone object counts as an array of one; an empty array gives no rows, so its
+count can't be told from a missing file's.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 from pyspark.sql import types as T
 
 from ..schemas import TICKET_SOURCE
 
 CORRUPT = "_corrupt_record"
-SEQ_FILE_SHIFT = 1 << 32  # seq = file rank * 2^32 + position in the file
+#: seq = number of the file among the names in order, times this, plus the place in the file.
+SEQ_FILE_SHIFT = 1 << 40
+TEXT_SCHEMA = T.StructType([T.StructField(f.name, T.StringType()) for f in TICKET_SOURCE.fields] + [T.StructField(CORRUPT, T.StringType())])
 
 
-def _with_corrupt(schema: T.StructType) -> T.StructType:
-    return T.StructType(list(schema.fields) + [T.StructField(CORRUPT, T.StringType())])
+def _typed(field: T.StructField) -> Column:
+    text = F.col(field.name)
+    if isinstance(field.dataType, T.StringType):
+        return text
+    if isinstance(field.dataType, T.LongType):
+        return text.try_cast("long")
+    return F.when(text.startswith("{" if isinstance(field.dataType, T.StructType) else "["), F.from_json(text, field.dataType))
 
 
-def parse_feed_text(files: DataFrame, expected_count: int | None = None) -> DataFrame:
-    """``files``: (source_file, value) with one row per whole file.
+def _records(placed: DataFrame, pos: Column, file_error: Column, record_error: Column | None = None) -> DataFrame:
+    """``placed``: text columns, source_file and file_rank."""
+    fields = TICKET_SOURCE.fields
+    wrong = F.array_compact(F.array(*[F.when(F.col(f.name).isNotNull() & _typed(f).isNull(), F.lit(f.name))
+                                      for f in fields if not isinstance(f.dataType, T.StringType)]))
+    mistyped = F.when(F.size(wrong) > 0, F.concat(F.lit("malformed record: "), F.array_join(wrong, ", ")))
+    return placed.select(
+        "source_file", pos.alias("pos"), (F.col("file_rank") * SEQ_FILE_SHIFT + pos).alias("seq"), *[_typed(f).alias(f.name) for f in fields],
+        (mistyped if record_error is None else F.coalesce(record_error, mistyped)).alias("record_error"), file_error.alias("file_error"))
 
-    Returns one row per element: source_file, pos (1-based), seq (global
-    order inside this batch), the source columns, ``record_error`` (corrupt
-    element) and ``file_error`` (file-level shape problem)."""
-    items = files.select("source_file", F.from_json("value", "array<string>").alias("items"))
-    counted = items.select("source_file", "items", F.size("items").alias("n_items"))
-    exploded = counted.select("source_file", "n_items", (F.col("items").isNull()).alias("not_array"),
-                              F.posexplode_outer("items").alias("pos0", "raw"))
-    parsed = exploded.select(
-        "*", F.from_json("raw", _with_corrupt(TICKET_SOURCE),
-                         {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}).alias("r"))
-    file_error = F.when(F.col("not_array"), F.lit("file is not a JSON array"))
-    if expected_count is not None:
-        file_error = file_error.when(F.col("n_items") != expected_count,
-                                     F.lit(f"file must contain exactly {expected_count} records"))
-    # Rank the files of the batch by name for a global record order (one row
-    # per file: the list the driver already enumerated for the scan). The
-    # join is left to AQE, which broadcasts the list when it is small.
-    file_rank = F.dense_rank().over(Window.orderBy("source_file"))
-    ranked_files = files.select("source_file").distinct().withColumn("file_rank", file_rank)
-    out = parsed.join(ranked_files, "source_file", "inner")
-    return out.select(
-        "source_file",
-        (F.col("pos0") + 1).alias("pos"),
-        (F.col("file_rank").cast("long") * SEQ_FILE_SHIFT + F.col("pos0") + 1).alias("seq"),
-        *[F.col(f"r.{f.name}").alias(f.name) for f in TICKET_SOURCE.fields],
-        F.when(F.col("raw").isNotNull() & (F.col(f"r.{CORRUPT}").isNotNull()
-                                           | ~F.col("raw").startswith("{")),
-               F.lit("malformed record")).alias("record_error"),
-        file_error.alias("file_error"),
-    ).filter(F.col("raw").isNotNull() | F.col("file_error").isNotNull())
+
+def _numbered_files(rows: DataFrame) -> DataFrame:
+    """(source_file, file_rank, first, n) of the files, whose list the driver holds anyway; small enough to broadcast. The ids are
+    read so that every record is really parsed."""
+    found = rows.groupBy("source_file").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n"), F.max("ticket_id")).collect()
+    table = [(r.source_file, k, r.first, r.n) for k, r in enumerate(sorted(found, key=lambda r: r.source_file))]
+    return rows.sparkSession.createDataFrame(table, "source_file string, file_rank long, first long, n long")
 
 
 def read_feed(spark: SparkSession, path: str, expected_count: int | None = None) -> DataFrame:
-    """Batch read of one or more feed files (a file, folder or glob)."""
-    files = (spark.read.option("wholetext", True).text(path)
-             .select(F.col("_metadata.file_path").alias("source_file"), "value"))
-    return parse_feed_text(files, expected_count)
+    """Batch read of array files (a file, folder or glob)."""
+    raw = spark.read.schema(TEXT_SCHEMA).option("multiLine", True).json(path)
+    return feed_records(raw.select("*", F.col("_metadata.file_path").alias("source_file")), expected_count)
+
+
+def feed_records(raw: DataFrame, expected_count: int | None = None) -> DataFrame:
+    """``raw``: rows of the JSON source in multi-line mode with their ``source_file``. A file lies in one partition, so row numbers
+    rise through it without gaps."""
+    rows = raw.withColumn("row", F.monotonically_increasing_id())
+    placed = rows.join(F.broadcast(_numbered_files(rows)), "source_file")
+    file_error = F.when(F.col(CORRUPT).isNotNull(), F.lit("file is not a JSON array of records"))
+    if expected_count is not None:
+        file_error = file_error.when(F.col("n") != expected_count, F.lit(f"file must contain exactly {expected_count} records"))
+    return _records(placed, F.col("row") - F.col("first") + 1, file_error)
+
+
+def read_feed_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Batch read of line-delimited files, in blocks of any number; a broken line is a ``record_error`` of its own."""
+    raw = spark.read.schema(TEXT_SCHEMA).json(path)
+    rows = (raw.select("*", F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("block"))
+            .withColumn("row", F.monotonically_increasing_id()))
+    starts = rows.groupBy("source_file", "block").agg(F.min("row").alias("block_first"), F.max("ticket_id").alias("_id")).drop("_id")
+    placed = rows.join(F.broadcast(_numbered_files(rows)), "source_file").join(starts, ["source_file", "block"])
+    # a record takes two bytes at least, so the block's start plus the row within the block rises through the file
+    pos = F.col("block") + F.col("row") - F.col("block_first") + 1
+    return _records(placed, pos, F.lit(None).cast("string"), F.when(F.col(CORRUPT).isNotNull(), F.lit("malformed record: not JSON")))
+
+
+def write_feed(records: DataFrame, path: str, files: int) -> None:
+    """Source-shaped records as array files through Spark's text sink, ``files`` at most, in order of ``seq``."""
+    body = F.to_json(F.struct(*[f.name for f in TICKET_SOURCE.fields]), {"ignoreNullFields": "false"})
+    lines = records.repartitionByRange(files, "seq").sortWithinPartitions("seq").select(body.alias("value"))
+    lines.mapInArrow(_as_array, "value string").write.mode("overwrite").text(path)
+
+
+def _as_array(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lines of a partition as those of one array; none for an empty partition."""
+    mark = "["
+    for b in batches:
+        if b.num_rows:
+            lines = pc.binary_join_element_wise(pa.array([mark] + [","] * (b.num_rows - 1)), b.column(0), "")
+            yield pa.RecordBatch.from_arrays([lines], ["value"])
+            mark = ","
+    if mark == ",":
+        yield pa.RecordBatch.from_arrays([pa.array(["]"])], ["value"])

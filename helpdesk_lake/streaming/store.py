@@ -1,315 +1,206 @@
-"""Ingested tables (I8, I9, I11): append-only batch partitions plus a log.
-
-Layout under ``root`` (a folder on storage every executor can reach)::
-
-    versions/batch_id=N/attempt=A/   final applied version of each ticket changed by N
-    customers/batch_id=N/attempt=A/  one row per requester seen in N (identity, last name)
-    tags/batch_id=N/attempt=A/       tag names first created by N
-    files/batch_id=N/attempt=A/      feed files that N read (path, size, time)
-    rejects/batch_id=N/attempt=A/    invalid records that a lenient batch left out
-    log/batch-N/                     one row: state, attempt, counts, cursor, error (written last)
-    snapshots/A/                     versions, customers, tags folded together, and the batches covered
-    log/snapshot-A/                  one row that makes the snapshot count
-
-Every attempt writes to folders of its own; a batch is visible only through the
-attempt that its ``SUCCESS`` log row names, so a failed, half-written or
-repeated attempt leaves nothing behind. A snapshot names the batches that it
-covers: readers take the latest one and every committed batch outside it, so a
-batch committed at any time, under any number, stays visible. Current state is
-derived on read; the winning version of a ticket is chosen on narrow columns,
-and wide ones are fetched for the winners only when they are asked for.
+"""Ingested records (I8, I9, I11): one Parquet table, one partition a batch.
+
+    records/batch=B/   every record of batch B, normalised, with its flags; rejected ones too
+    control/           appended rows: enabled, disabled, failed
+
+A batch is one write with dynamic partition overwrite, so it replaces its own
+partition and nothing else: a failed batch leaves nothing behind, a repeated one
+changes nothing. All tables are read from the records: a ticket's state is its
+newest valid record (of equally new ones the first), chosen on narrow columns
+and joined to the wide ones for the winners only.
 """
 
 from __future__ import annotations
 
-import uuid
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..model import TicketModel
+from ..model import TICKET_CORE_COLUMNS, TicketModel
 from ..operators import ingestion as I
-from ..schemas import CUSTOMER_OBSERVATION, INGEST_LOG, TICKET_VERSION
-
-TAG_SCHEMA = T.StructType([T.StructField("name", T.StringType())])
-FILE_SCHEMA = T.StructType([T.StructField("source_file", T.StringType()), T.StructField("size", T.LongType()),
-                            T.StructField("modified", T.TimestampType())])
-REJECT_SCHEMA = T.StructType([T.StructField("seq", T.LongType()), T.StructField("ticket_id", T.LongType()),
-                              T.StructField("record", T.StringType()), T.StructField("errors", T.ArrayType(T.StringType()))])
-TABLES = {
-    "versions": TICKET_VERSION,
-    "customers": CUSTOMER_OBSERVATION,
-    "tags": TAG_SCHEMA,
-    "files": FILE_SCHEMA,
-    "rejects": REJECT_SCHEMA,
-    "log": INGEST_LOG,
-}
-FOLDED = ("versions", "customers", "tags")
-#: Rows of a snapshot count as older than those of any batch.
-SNAPSHOT_BATCH = -(1 << 62)
+from ..schemas import BATCH_RECORD, CONTROL_EVENT
 
 
 class IngestionError(RuntimeError):
     pass
 
 
-def _with_batch(schema: T.StructType) -> T.StructType:
-    return T.StructType(list(schema.fields) + [T.StructField("batch_id", T.LongType()), T.StructField("attempt", T.StringType())])
+class IngestionDisabled(IngestionError):
+    pass
 
 
 def init_store(spark: SparkSession, root: str) -> None:
-    """Create every table folder (empty, with its schema)."""
-    for name, schema in TABLES.items():
-        path = f"{root}/{name}"
-        empty = spark.createDataFrame([], _with_batch(schema) if name != "log" else schema)
-        if name == "log":
-            empty.write.mode("ignore").parquet(path)
-        else:
-            empty.write.mode("ignore").partitionBy("batch_id", "attempt").parquet(path)
+    """The empty tables, where they do not exist."""
+    spark.createDataFrame([], BATCH_RECORD).write.mode("ignore").partitionBy("batch").parquet(f"{root}/records")
+    spark.createDataFrame([], CONTROL_EVENT).write.mode("ignore").parquet(f"{root}/control")
 
 
-def _read(spark: SparkSession, root: str, name: str) -> DataFrame:
-    schema = TABLES[name]
-    if name == "log":  # one folder per batch attempt, batch_id inside the rows
-        return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{root}/log")
-    return spark.read.schema(_with_batch(schema)).parquet(f"{root}/{name}")
+def records(spark: SparkSession, root: str, without: str | None = None) -> DataFrame:
+    """All records, or those of all batches but one."""
+    found = spark.read.schema(BATCH_RECORD).parquet(f"{root}/records")
+    return found if without is None else found.filter(F.col("batch") != without)
 
 
-def ingest_log(spark: SparkSession, root: str) -> DataFrame:
-    """One row per attempted batch (latest attempt wins)."""
-    return _read(spark, root, "log")
+# I9 -------------------------------------------------------------------------
+def _note(spark: SparkSession, root: str, event: str, batch: str | None = None, error: str | None = None) -> None:
+    row = (datetime.now(timezone.utc).replace(tzinfo=None), event, batch, error)
+    spark.createDataFrame([row], CONTROL_EVENT).write.mode("append").parquet(f"{root}/control")
 
 
-def ingestion_state(spark: SparkSession, root: str) -> DataFrame:
-    """I9 control state as one row: the latest attempt decides the state
-    (IDLE after a success, ERROR after a failure), the cursor counts the
-    committed records, plus the last success time and the last error."""
-    log = ingest_log(spark, root)
-    ok = F.col("state").isin("SUCCESS", "SNAPSHOT")
-    return log.agg(
-        F.max_by("state", "finished_at").alias("last_state"),
-        F.coalesce(F.sum(F.when(ok, F.col("records"))), F.lit(0)).cast("long").alias("cursor_position"),
-        F.max(F.when(ok, F.col("finished_at"))).alias("last_success_at"),
-        F.max_by(F.col("error"), F.when(F.col("state") == "ERROR", F.col("finished_at"))).alias("last_error"),
-        F.max("finished_at").alias("last_heartbeat_at"),
-    ).select(
-        F.when(F.col("last_state") == "ERROR", F.lit("ERROR")).otherwise(F.lit("IDLE")).alias("worker_state"),
-        "cursor_position", "last_success_at", "last_error", "last_heartbeat_at")
-
-
-def _snapshot(spark: SparkSession, root: str) -> str | None:
-    """The attempt of the latest snapshot."""
-    return ingest_log(spark, root).filter(F.col("state") == "SNAPSHOT").agg(F.max_by("attempt", "finished_at")).first()[0]
-
-
-def _open_batches(spark: SparkSession, root: str, snapshot: str | None) -> DataFrame:
-    """(batch_id, attempt) of the committed batches that the snapshot does not cover."""
-    done = ingest_log(spark, root).filter(F.col("state") == "SUCCESS").select("batch_id", "attempt")
-    if snapshot is None:
-        return done
-    covered = spark.read.schema("batch_id long, attempt string").parquet(f"{root}/snapshots/{snapshot}/covers")
-    return done.join(covered, ["batch_id", "attempt"], "left_anti")
-
-
-def _committed(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """Rows of the latest snapshot and of every committed batch outside it."""
-    snapshot = _snapshot(spark, root) if name in FOLDED else None
-    rows = _read(spark, root, name).join(_open_batches(spark, root, snapshot), ["batch_id", "attempt"], "left_semi").drop("attempt")
-    if snapshot is None:
-        return rows
-    folded = spark.read.schema(TABLES[name]).parquet(f"{root}/snapshots/{snapshot}/{name}")
-    return rows.unionByName(folded.withColumn("batch_id", F.lit(SNAPSHOT_BATCH)))
-
-
-def current_versions(spark: SparkSession, root: str, columns: list[str] | None = None) -> DataFrame:
-    """Latest applied version per ticket (applied versions of one ticket have
-    strictly increasing updated_at, across and inside batches). Winners are
-    found on (ticket_id, source_updated_at); only ``columns`` are read for
-    them, so a status count never touches a text."""
-    cols = columns or [f.name for f in TICKET_VERSION.fields]
-    v = _committed(spark, root, "versions")
-    if set(cols) <= {"ticket_id", "source_updated_at"}:
-        return v.groupBy("ticket_id").agg(F.max("source_updated_at").alias("source_updated_at")).select(*cols)
-    best = v.groupBy("ticket_id").agg(F.max("source_updated_at").alias("source_updated_at"))
-    wanted = list(dict.fromkeys(["ticket_id", "source_updated_at", *cols]))
-    return v.select(*wanted).join(best, ["ticket_id", "source_updated_at"], "left_semi").select(*cols)
-
-
-def current_customers(spark: SparkSession, root: str) -> DataFrame:
-    c = _committed(spark, root, "customers")
-    order = F.struct("batch_id", "seq")
-    return c.groupBy("external_requester_id").agg(
-        F.min_by("requester_email", order).alias("requester_email"),
-        F.max_by("requester_name", order).alias("requester_name"),
-    ).select(F.col("external_requester_id").alias("customer_id"), "external_requester_id",
-             "requester_name", "requester_email")
+def set_enabled(spark: SparkSession, root: str, enabled: bool) -> None:
+    """Switch ingestion on or off; off, batches are refused and streams stop before they read on."""
+    _note(spark, root, "ENABLED" if enabled else "DISABLED")
 
 
-def store_model(spark: SparkSession, root: str) -> TicketModel:
-    """The ingested tables as a ``TicketModel`` (all analytics run on it)."""
+def control_events(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.schema(CONTROL_EVENT).parquet(f"{root}/control")
 
-    core = ["ticket_id", "customer_id", "status", "priority", "assignee_external_id",
-            "assignee_name", "source_created_at", "source_updated_at", "first_response_at"]
 
-    def versions(*columns: str) -> DataFrame:
-        return current_versions(spark, root, list(columns))
+def is_enabled(spark: SparkSession, root: str) -> bool:
+    switch = control_events(spark, root).filter(F.col("event").isin("ENABLED", "DISABLED"))
+    return switch.agg(F.max_by("event", "at")).first()[0] != "DISABLED"
 
-    def tickets() -> DataFrame:
-        return versions(*core)
 
-    def ticket_text() -> DataFrame:
-        return versions("ticket_id", "subject", "description")
+def ingestion_state(spark: SparkSession, root: str) -> DataFrame:
+    """I9 as one row: DISABLED when switched off, else ERROR or IDLE by the
+    latest attempt; the cursor counts the records of all batches."""
+    done = records(spark, root).agg(F.count(F.lit(1)).alias("cursor_position"), F.max("ingested_at").alias("last_success_at"))
+    failed, switch = F.col("event") == "ERROR", F.col("event").isin("ENABLED", "DISABLED")
+    events = control_events(spark, root).agg(
+        F.max_by("event", F.when(switch, F.col("at"))).alias("switch"), F.max(F.when(failed, F.col("at"))).alias("failed_at"),
+        F.max_by("error", F.when(failed, F.col("at"))).alias("last_error"), F.max("at").alias("noted_at"))
+    enabled = F.coalesce(F.col("switch") != "DISABLED", F.lit(True))
+    state = (F.when(~enabled, F.lit("DISABLED")).when(F.coalesce(F.col("failed_at") > F.col("last_success_at"), F.col("failed_at").isNotNull()), F.lit("ERROR"))
+             .otherwise(F.lit("IDLE")))
+    one = F.lit(1).alias("one")  # both sides are one row
+    return done.select("*", one).join(events.select("*", one), "one").select(
+        enabled.alias("enabled"), state.alias("worker_state"), "cursor_position", "last_success_at", "last_error",
+        F.greatest("last_success_at", "noted_at").alias("last_heartbeat_at"))
+
+
+# I11 ------------------------------------------------------------------------
+def ingest_log(spark: SparkSession, root: str) -> DataFrame:
+    """One row per batch, in the order of ingestion: what it did, and the cursor after it; failed attempts follow from the control
+    table with their error."""
+    r = records(spark, root)
+    applied = F.col("is_valid") & F.col("applied")
+    per = r.groupBy("batch").agg(
+        F.max("ingested_at").alias("finished_at"), F.count(F.lit(1)).alias("records"),
+        F.count_if(~F.col("is_valid")).alias("rejected"), F.count_if(applied & F.col("created")).alias("tickets_created"),
+        F.count_distinct(F.when(applied & F.col("known"), F.col("ticket_id"))).alias("tickets_updated"),
+        F.count_if(F.col("is_valid") & ~F.col("applied")).alias("tickets_unchanged"))
+    first_seen = (r.filter("is_valid").groupBy("external_requester_id").agg(F.min_by("batch", "ingested_at").alias("batch"))
+                  .groupBy("batch").agg(F.count(F.lit(1)).alias("customers_created")))
+    before = F.sum("records").over(Window.orderBy("finished_at", "batch"))  # one row a batch
+    done = per.join(first_seen, "batch", "left").select(
+        "batch", F.lit("SUCCESS").alias("state"), "records", "rejected", F.coalesce("customers_created", F.lit(0).cast("long")).alias("customers_created"),
+        "tickets_created", "tickets_updated", "tickets_unchanged", before.alias("next_cursor"), F.lit(None).cast("string").alias("error"), "finished_at")
+    zero = F.lit(None).cast("long")
+    failed = control_events(spark, root).filter("event = 'ERROR'").select(
+        "batch", F.lit("ERROR").alias("state"), *[zero.alias(c) for c in done.columns[2:9]], "error", F.col("at").alias("finished_at"))
+    return done.unionByName(failed)
+
+
+# current tables ---------------------------------------------------------------
+def current_versions(spark: SparkSession, root: str, columns: list[str], without: str | None = None) -> DataFrame:
+    """``columns`` of the newest valid record of each ticket. The choice reads the ticket, its update time and the record's place."""
+    r = records(spark, root, without).filter("is_valid")
+    place = F.struct("source_updated_at", (-F.unix_micros(F.col("ingested_at").cast("timestamp"))).alias("age"), (-F.col("seq")).alias("back"))
+    newest = r.groupBy("ticket_id").agg(F.max(place).alias("top"))
+    if set(columns) <= {"ticket_id", "source_updated_at"}:
+        return newest.select("ticket_id", F.col("top.source_updated_at").alias("source_updated_at")).select(*columns)
+    keys = ["ticket_id", "source_updated_at", "age", "back"]
+    at = r.withColumn("age", -F.unix_micros(F.col("ingested_at").cast("timestamp"))).withColumn("back", -F.col("seq"))
+    wanted = list(dict.fromkeys([*keys, *columns]))
+    return at.select(*wanted).join(newest.select("ticket_id", "top.*"), keys, "left_semi").select(*columns)
+
+
+def current_customers(spark: SparkSession, root: str, without: str | None = None) -> DataFrame:
+    """Each requester's first e-mail and latest name."""
+    order = F.struct("ingested_at", "seq")
+    per = records(spark, root, without).filter("is_valid").groupBy("external_requester_id").agg(
+        F.min_by("requester_email", order).alias("requester_email"), F.max_by("requester_name", order).alias("requester_name"))
+    return per.select(F.col("external_requester_id").alias("customer_id"), "external_requester_id", "requester_name", "requester_email")
 
-    def ratings() -> DataFrame:
-        return versions("ticket_id", "rating").filter(F.col("rating").isNotNull()).select("ticket_id", "rating.*")
+
+def store_model(spark: SparkSession, root: str) -> TicketModel:
+    """The ingested tables as a ``TicketModel`` (all analytics run on it)."""
+    core = list(TICKET_CORE_COLUMNS)
+
+    def versions(*columns: str) -> DataFrame:
+        stored = [("external_requester_id" if c == "customer_id" else c) for c in columns]
+        found = current_versions(spark, root, stored)
+        return found.withColumnRenamed("external_requester_id", "customer_id") if "customer_id" in columns else found
 
     def tags() -> DataFrame:
-        names = _committed(spark, root, "tags").select("name").distinct()
+        names = records(spark, root).filter("is_valid AND applied").select(F.explode("tags").alias("name")).distinct()
         return names.select(F.col("name").alias("tag_id"), "name")
 
-    def ticket_tags() -> DataFrame:
-        return versions("ticket_id", "tags").select("ticket_id", F.explode("tags").alias("tag_id"))
-
     def rated_tickets(*more: str) -> DataFrame:
         return versions(*core, "rating", *more).select(
             *core, F.col("rating.score").alias("score"), F.col("rating.offered_at").alias("offered_at"),
             F.col("rating.rated_at").alias("rated_at"), F.col("rating.comment").alias("comment"), *more)
 
-    def full_tickets() -> DataFrame:
-        return rated_tickets("subject", "description")
-
     return TicketModel(sources={
         "customers": lambda: current_customers(spark, root),
-        "tickets": tickets,
-        "ticket_text": ticket_text,
-        "ratings": ratings,
+        "tickets": lambda: versions(*core),
+        "ticket_text": lambda: versions("ticket_id", "subject", "description"),
+        "ratings": lambda: versions("ticket_id", "rating").filter(F.col("rating").isNotNull()).select("ticket_id", "rating.*"),
         "tags": tags,
-        "ticket_tags": ticket_tags,
+        "ticket_tags": lambda: versions("ticket_id", "tags").select("ticket_id", F.explode("tags").alias("tag_id")),
         "rated_tickets": rated_tickets,
-        "full_tickets": full_tickets,
+        "full_tickets": lambda: rated_tickets("subject", "description"),
     }, tag_ids_are_names=True)
 
 
-def _write_log(spark: SparkSession, root: str, name: str, **values) -> None:
-    row = {f.name: None for f in INGEST_LOG.fields} | values
-    row["finished_at"] = datetime.now(timezone.utc).replace(tzinfo=None).isoformat()
-    spark.createDataFrame([row], INGEST_LOG).write.mode("overwrite").parquet(f"{root}/log/{name}")
-
-
-def committed_batch(spark: SparkSession, root: str, batch_id: int) -> bool:
-    return ingest_log(spark, root).filter(
-        (F.col("batch_id") == batch_id) & (F.col("state") == "SUCCESS")).limit(1).count() > 0
-
-
-def next_batch_id(spark: SparkSession, root: str) -> int:
-    """A number that no batch of the log has (one writer at a time)."""
-    last = ingest_log(spark, root).agg(F.max("batch_id")).first()[0]
-    return 0 if last is None else int(last) + 1
-
-
-def new_files(spark: SparkSession, root: str, files: DataFrame) -> DataFrame:
-    """The (source_file, size, modified) rows that no committed batch has read."""
-    names = [f.name for f in FILE_SCHEMA.fields]
-    return files.select(*names).distinct().join(_committed(spark, root, "files").select(*names), names, "left_anti")
-
-
-def ingest_batch(spark: SparkSession, parsed: DataFrame, root: str, batch_id: int,
-                 strict: bool = True, files: DataFrame | None = None, error_chars: int = 2000) -> dict:
-    """Apply one batch of parsed feed records to the store.
-
-    ``strict`` follows the reference: any invalid record or identity
-    conflict fails the whole batch, which then leaves nothing visible. A
-    lenient batch keeps its invalid records in the ``rejects`` table.
-    ``files`` are noted with the batch as read; the log keeps ``error_chars``
-    characters of an error's text."""
-    if committed_batch(spark, root, batch_id):
-        return {"batch_id": batch_id, "state": "SKIPPED"}
-    attempt = uuid.uuid4().hex
+# I8 -------------------------------------------------------------------------
+def _with_conflicts(validated: DataFrame, conflicts: DataFrame) -> DataFrame:
+    """Valid records whose identity conflicts become rejects that say so."""
+    pair = ["external_requester_id", "requester_email"]
+    reasons = conflicts.groupBy(*pair).agg(F.min("reason").alias("reason"))
+    joined = validated.join(reasons, pair, "left")
+    bad = F.col("is_valid") & F.col("reason").isNotNull()
+    errors = F.when(bad, F.array_append("errors", F.col("reason"))).otherwise(F.col("errors"))
+    return joined.withColumn("errors", errors).withColumn("is_valid", ~bad & F.col("is_valid")).drop("reason")
+
+
+def ingest_batch(spark: SparkSession, parsed: DataFrame, root: str, batch: int | str,
+                 strict: bool = True, error_chars: int = 2000) -> dict:
+    """Apply one batch of feed records (I1-I8, I11) and return its log row.
+
+    ``strict`` follows the reference: any invalid record or identity conflict
+    fails the whole batch. Otherwise such records are kept as rejects. The
+    control table keeps ``error_chars`` characters of an error's text (X17)."""
+    if not is_enabled(spark, root):
+        raise IngestionDisabled("ingestion is switched off")
+    batch = str(batch)
+    now = datetime.now(timezone.utc).replace(tzinfo=None)
     validated = I.validate(parsed).persist()
-    flagged = None
-
-    def put(df: DataFrame, name: str) -> None:
-        df.select(*[f.name for f in TABLES[name].fields]).write.parquet(f"{root}/{name}/batch_id={batch_id}/attempt={attempt}")
-
     try:
-        n_records, n_invalid = validated.agg(
-            F.count(F.lit(1)), F.sum(F.when(~F.col("is_valid"), 1).otherwise(0))).first()
-        n_invalid = n_invalid or 0
-        if strict and n_invalid:
-            sample = validated.filter(~F.col("is_valid")).select(F.array_join("errors", "; ")).first()[0]
-            raise IngestionError(f"{n_invalid} invalid record(s): {sample}")
-        valid = validated.filter("is_valid")
-        if n_invalid:
-            put(validated.filter(~F.col("is_valid")).withColumn("record", F.to_json(F.struct(*validated.columns))), "rejects")
-        stored = store_model(spark, root)
-        conflicts = I.identity_conflicts(valid, stored.customers)
-        clash = conflicts.select("reason").first()
-        if clash is not None:
-            raise IngestionError(f"Requester identity conflict: {clash[0]}")
-        versions = _committed(spark, root, "versions").select("ticket_id", "source_updated_at")
-        flagged = I.apply_flags(valid, versions).persist()
-        put(I.latest_versions(valid.withColumn("customer_id", F.col("external_requester_id")), versions), "versions")
-        customers = I.customer_upserts(valid, stored.customers)
-        put(customers, "customers")
-        put(I.new_tags(valid, flagged, stored.tags), "tags")
-        if files is not None:
-            put(files, "files")
-        stats = flagged.agg(
-            F.sum(F.when(F.col("created") & F.col("applied"), 1).otherwise(0)).alias("created"),
-            F.count_distinct(F.when(F.col("applied") & F.col("stored_updated_at").isNotNull(), F.col("ticket_id")))
-            .alias("updated"),
-            F.sum(F.when(~F.col("applied"), 1).otherwise(0)).alias("unchanged"),
-        ).first()
-        customers_created = customers.filter("created").count()
-        prior = ingest_log(spark, root).filter(
-            (F.col("state") == "SUCCESS") & (F.col("batch_id") != batch_id)).agg(F.sum("records")).first()[0] or 0
-        result = dict(state="SUCCESS", records=int(n_records), customers_created=int(customers_created),
-                      tickets_created=int(stats["created"] or 0), tickets_updated=int(stats["updated"] or 0),
-                      tickets_unchanged=int(stats["unchanged"] or 0), next_cursor=int(prior + n_records))
-        _write_log(spark, root, f"batch-{batch_id}", batch_id=batch_id, attempt=attempt, **result)
-        return {"batch_id": batch_id, **result}
+        if strict:
+            wrong = validated.filter(~F.col("is_valid")).agg(F.count(F.lit(1)).alias("n"), F.min_by(F.array_join("errors", "; "), "seq").alias("first")).first()
+            if wrong.n:
+                raise IngestionError(f"{wrong.n} invalid record(s): {wrong.first}")
+        conflicts = I.identity_conflicts(validated.filter("is_valid"), current_customers(spark, root, without=batch))
+        if strict:
+            clash = conflicts.select("reason").first()
+            if clash is not None:
+                raise IngestionError(f"Requester identity conflict: {clash[0]}")
+        kept = validated if strict else _with_conflicts(validated, conflicts)
+        valid = kept.filter("is_valid")
+        stored = current_versions(spark, root, ["ticket_id", "source_updated_at"], without=batch)
+        flags = I.apply_flags(valid, stored).select("seq", "applied", "created", F.col("stored_updated_at").isNotNull().alias("known"))
+        rows = kept.join(flags, "seq", "left").withColumn("ingested_at", F.lit(now)).withColumn("batch", F.lit(batch))
+        for name in ("applied", "created", "known"):
+            rows = rows.withColumn(name, F.coalesce(name, F.lit(False)))
+        (rows.select(*[f.name for f in BATCH_RECORD.fields]).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("batch").parquet(f"{root}/records"))
     except Exception as exc:
-        _write_log(spark, root, f"batch-{batch_id}", batch_id=batch_id, attempt=attempt, state="ERROR",
-                   error=(str(exc) or type(exc).__name__)[:error_chars])
+        _note(spark, root, "ERROR", batch, (str(exc) or type(exc).__name__)[:error_chars])
         raise
     finally:
         validated.unpersist()
-        if flagged is not None:
-            flagged.unpersist()
-
-
-def compact(spark: SparkSession, root: str) -> str:
-    """Fold the committed batches into a snapshot in a folder of its own and
-    return its name. The list of covered batches is read once, before the
-    data: a batch that commits meanwhile is not in it and stays visible."""
-    attempt, before = uuid.uuid4().hex, _snapshot(spark, root)
-    target = f"{root}/snapshots/{attempt}"
-    _open_batches(spark, root, before).write.parquet(f"{target}/fresh")
-    fresh = spark.read.schema("batch_id long, attempt string").parquet(f"{target}/fresh")
-
-    def rows(name: str) -> DataFrame:
-        new = _read(spark, root, name).join(fresh, ["batch_id", "attempt"], "left_semi").drop("attempt")
-        if before is None:
-            return new
-        return new.unionByName(spark.read.schema(TABLES[name]).parquet(f"{root}/snapshots/{before}/{name}")
-                               .withColumn("batch_id", F.lit(SNAPSHOT_BATCH)))
-
-    versions = rows("versions")
-    best = versions.groupBy("ticket_id").agg(F.max("source_updated_at").alias("source_updated_at"))
-    versions = versions.join(best, ["ticket_id", "source_updated_at"], "left_semi")
-    order = F.struct("batch_id", "seq")
-    customers = rows("customers").groupBy("external_requester_id").agg(
-        F.min_by("requester_email", order).alias("requester_email"), F.max_by("requester_name", order).alias("requester_name"), F.max("seq").alias("seq"))
-    tags = rows("tags").select("name").distinct()
-    for name, df in (("versions", versions), ("customers", customers), ("tags", tags)):
-        # a column that folding drops (a flag of the batch) is null
-        cols = [F.col(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in TABLES[name].fields]
-        df.select(*cols).write.parquet(f"{target}/{name}")
-    covers = fresh
-    if before is not None:
-        covers = covers.union(spark.read.schema("batch_id long, attempt string").parquet(f"{root}/snapshots/{before}/covers"))
-    covers.write.parquet(f"{target}/covers")
-    _write_log(spark, root, f"snapshot-{attempt}", attempt=attempt, state="SNAPSHOT", records=0)
-    return attempt
+    row = ingest_log(spark, root).filter((F.col("batch") == batch) & (F.col("state") == "SUCCESS")).first()
+    return row.asDict() if row else {"batch": batch, "state": "SUCCESS", "records": 0}
+
