@@ -17,6 +17,7 @@ from ..filters import CustomerMetricsArgs
 from ..functions import expressions as X
 from ..model import TicketModel
 from .filtering import apply_filters
+from .paging import offset_page
 
 
 # A10 ------------------------------------------------------------------------
@@ -116,23 +117,22 @@ def _order():
 def customer_metrics_page(model: TicketModel, args: CustomerMetricsArgs) -> DataFrame:
     """One offset page of customer metrics with top topics, plus page flags.
 
-    The page (at most 100 customers) is cut first; topics are then computed
-    only for those customers through a semi join, as the reference does."""
+    The aggregates are computed once, in the order of the pages
+    (``OrderedRows``), which gives the total and the page (at most 100
+    customers); topics are then computed only for those customers through a
+    semi join, as the reference does."""
     aggs = apply_metric_ranges(customer_aggregates(model, args), args)
-    total = aggs.select(F.count(F.lit(1))).scalar()
-    offset = (args.page - 1) * args.page_size
-    page = aggs.orderBy(*_order()).offset(offset).limit(args.page_size)
+    page, total = offset_page(aggs, list(_order()), args.page, args.page_size)
     topics = customer_top_topics(model, args, page)
     empty_topics = F.array().cast("array<struct<tag:string,ticket_count:bigint>>")
     enriched = page.join(topics, "customer_id", "left").withColumn(
         "top_topics", F.coalesce(F.col("top_topics"), empty_topics))
-    items_on_page = F.count(F.lit(1)).over(Window.partitionBy())
     return enriched.select(
         "*",
-        total.alias("total"),
-        (F.lit(offset) + items_on_page < total).alias("has_next"),
+        F.lit(total).cast("long").alias("total"),
+        F.lit(args.page * args.page_size < total).alias("has_next"),
         F.lit(args.page > 1).alias("has_previous"),
-    ).orderBy(*_order())
+    ).orderBy("place").drop("place")
 
 
 def customer_metrics_all(model: TicketModel, args: CustomerMetricsArgs) -> DataFrame:

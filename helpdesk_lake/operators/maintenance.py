@@ -31,15 +31,10 @@ def insert_violations(existing: DataFrame, new_rows: DataFrame, key: list[str],
     return out.distinct()
 
 
-def insert_rows(existing: DataFrame, new_rows: DataFrame) -> DataFrame:
-    """Rows after an insert already checked with ``insert_violations``."""
-    return existing.unionByName(new_rows.select(*existing.columns))
-
-
 # M2 -------------------------------------------------------------------------
 def patch_rows(base: DataFrame, patch: DataFrame, key: str) -> DataFrame:
-    """Null in the patch means "keep"; ids absent from the base are ignored
-    here and reported by ``unknown_patch_ids``."""
+    """Null in the patch means "keep"; ids absent from the base are reported
+    by ``unknown_patch_ids`` (``sinks.maintain.patch_tickets`` fails on them)."""
     cols = [c for c in patch.columns if c != key]
     p = patch.select(key, *[F.col(c).alias(f"_p_{c}") for c in cols])
     joined = base.join(p, key, "left")

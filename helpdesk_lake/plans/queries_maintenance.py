@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
 from ..operators import maintenance as M
 from ..operators.filtering import apply_filters
+from ..session import scratch_path
+from ..sinks import maintain
+from ..sources.tables import parquet_model, write_model
 from .catalog import PERIOD, period_sql, register
 from .oracle_model import with_model
 
@@ -91,6 +96,49 @@ SELECT DISTINCT * FROM (
     AND customer_id + 1000000000 NOT IN (SELECT customer_id FROM m_customers)) x"""))(_insert_check)
 
 
+NEW_IDS = 10**9
+
+
+def _applied(m):
+    """The tables after all four: urgent tickets of the period inserted again under new ids, solved ones closed and handed to agent
+    9100, low ones deleted with their ratings and links, one tag unlinked."""
+    spark = m.tickets.sparkSession
+    root = scratch_path(spark, f"tables-{uuid.uuid4().hex}")
+    kept = ("tickets", "ratings", "tags", "ticket_tags", "customers")
+    write_model(m, root, tables=kept)
+    now = lambda: parquet_model(spark, root)
+    urgent = apply_filters(now(), PERIOD).filter(F.col("priority") == "URGENT")
+    maintain.insert_tickets(spark, root, urgent.withColumn("ticket_id", F.col("ticket_id") + NEW_IDS))
+    solved = apply_filters(now(), PERIOD).filter(F.col("status") == "SOLVED")
+    maintain.patch_tickets(spark, root, solved.select("ticket_id", F.lit("CLOSED").alias("status"), F.lit(9100).cast("long").alias("assignee_external_id"),
+                                                      F.lit(None).cast("string").alias("assignee_name")))
+    low = apply_filters(now(), PERIOD).filter(F.col("priority") == "LOW").select("ticket_id")
+    maintain.delete_tickets(spark, root, low, ("tickets", "ratings", "ticket_tags"))
+    maintain.unlink(spark, root, apply_filters(now(), PERIOD).select("ticket_id").withColumn("tag_id", F.lit("brand#13")))
+    after = now()
+    rated = after.rated_tickets(("score",)).groupBy("status", "priority").agg(
+        F.count(F.lit(1)).alias("tickets"), F.count_if(F.col("assignee_external_id") == 9100).alias("handed"), F.count("score").alias("ratings"),
+        F.sum("ticket_id").alias("id_sum"), F.count("assignee_name").alias("named"))
+    links = (after.ticket_tags.join(after.tickets.select("ticket_id", "status", "priority"), "ticket_id")
+             .groupBy("status", "priority").agg(F.count(F.lit(1)).alias("links"), F.count_if(F.col("tag_id") == "brand#13").alias("of_tag")))
+    return rated.join(links, ["status", "priority"], "left")
+
+
+register("maintenance_applied", "M1 M2 M3 M4", with_model("""
+SELECT a.status, a.priority, tickets, handed, ratings, id_sum, named, links, of_tag
+FROM (SELECT status, priority, count(*) AS tickets, count(*) FILTER (assignee_external_id = 9100) AS handed, count(score) AS ratings,
+             CAST(sum(ticket_id) AS BIGINT) AS id_sum, count(assignee_name) AS named FROM after_t LEFT JOIN m_ratings USING (ticket_id) GROUP BY 1, 2) a
+LEFT JOIN (SELECT status, priority, count(*) AS links, count(*) FILTER (tag_id = 'brand#13') AS of_tag
+           FROM after_t JOIN (SELECT ticket_id, tag_id, in_period FROM m_ticket_tags JOIN flagged USING (ticket_id)) l USING (ticket_id)
+           WHERE NOT (tag_id = 'brand#13' AND l.in_period) GROUP BY 1, 2) b USING (status, priority)""", {
+    "flagged": f"SELECT ticket_id, ({P}) AS in_period FROM m_tickets",
+    "more": f"""SELECT ticket_id, status, priority, assignee_external_id, assignee_name, ({P}) AS in_period FROM m_tickets
+                UNION ALL SELECT ticket_id + 1000000000, status, priority, assignee_external_id, assignee_name, TRUE FROM m_tickets
+                WHERE {P} AND priority = 'URGENT'""",
+    "after_t": """SELECT ticket_id, CASE WHEN in_period AND status = 'SOLVED' THEN 'CLOSED' ELSE status END AS status, priority,
+                         CASE WHEN in_period AND status = 'SOLVED' THEN 9100 ELSE assignee_external_id END AS assignee_external_id, assignee_name
+                  FROM more WHERE NOT (in_period AND priority = 'LOW')"""}))(_applied)
+
 register("duration_text", "X18 X19 X1", with_model(f"""
 SELECT ticket_id,
   CASE WHEN first_response_at IS NULL THEN '—'
