@@ -117,7 +117,7 @@ def normalize_tag_array(tags: str | Column) -> Column:
 
 def distinct_tags(trimmed: str | Column) -> Column:
     """The sorted distinct non-blank names of an array of trimmed ones."""
-    return F.array_sort(F.array_distinct(F.filter(_c(trimmed), lambda t: t.isNotNull() & (t != F.lit("")))))
+    return F.array_sort(F.array_except(_c(trimmed), F.array(F.lit(""), F.lit(None).cast("string"))))
 
 
 # X8 -------------------------------------------------------------------------

@@ -7,7 +7,6 @@ is combined inside each map task before the shuffle.
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +16,7 @@ from ..constants import TOP_CUSTOMERS
 from ..filters import AnalyticsFilters
 from ..functions import expressions as X
 from ..model import TicketModel
-from ..session import scratch_path
+from ..session import staged
 from .filtering import apply_filters
 
 
@@ -127,9 +126,7 @@ def ticket_gaps(tickets: DataFrame, partitions: int | None = None) -> DataFrame:
     keys = ["customer_id", "source_created_at", "ticket_id"]
     ranged = (tickets.select(*keys).repartitionByRange(n, *keys)
               .withColumn("slice", F.spark_partition_id()))
-    path = scratch_path(spark, f"gaps-{uuid.uuid4().hex}")
-    ranged.write.parquet(path)
-    ranged = spark.read.schema(ranged.schema).parquet(path)
+    ranged = staged(ranged, "gaps")
     w = Window.partitionBy("slice", "customer_id").orderBy("source_created_at", "ticket_id")
     local = ranged.withColumn("previous_at", F.lag("source_created_at").over(w))
     last_of_slice = ranged.groupBy("slice").agg(

@@ -14,8 +14,6 @@ columns (``seq`` = position of the record in the feed):
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -31,7 +29,7 @@ from ..constants import (
     SUBJECT_MAX,
 )
 from ..functions import expressions as X
-from ..session import scratch_path
+from ..session import staged
 
 
 def _len_between(c: Column, low: int, high: int | None) -> Column:
@@ -94,7 +92,8 @@ def validate(src: DataFrame) -> DataFrame:
          "satisfaction_rating.offered_at: invalid"),
         (c("has_rating") & c("raw_rated").isNotNull() & c("rated").isNull(), "satisfaction_rating.rated_at: invalid"),
     ]
-    errors = F.array_compact(F.array(*[F.when(cond, F.lit(msg)) for cond, msg in checks], *[c(e) for e in extra]))
+    errors = F.array_remove(F.array(*[F.when(cond, F.lit(msg)).otherwise(F.lit("")) for cond, msg in checks],
+                                    *[F.coalesce(c(e), F.lit("")) for e in extra]), "")
     rating = F.when(c("has_rating"), F.struct(
         c("score").alias("score"), c("offered").alias("offered_at"), c("rated").alias("rated_at"),
         c("comment").alias("comment")))
@@ -125,7 +124,7 @@ def identity_conflicts(valid: DataFrame, stored_customers: DataFrame | None = No
     hot group; the few that conflict are joined back.
     Against stored customers: two left equi joins — by id and by e-mail —
     never one OR-join."""
-    obs = valid.select("external_requester_id", "requester_email").distinct()
+    obs = staged(valid.select("external_requester_id", "requester_email").distinct(), "identities")
 
     def torn(key: str, partner: str) -> DataFrame:
         ends = obs.groupBy(key).agg(F.min(partner).alias("_low"), F.max(partner).alias("_high"))
@@ -197,9 +196,7 @@ def apply_flags(valid: DataFrame, stored_versions: DataFrame | None = None, slic
     n = min(SLICES, slices or int(spark.conf.get("spark.sql.shuffle.partitions")))
     keys = ["ticket_id", "seq"]
     ranged = valid.select(*keys, "source_updated_at").repartitionByRange(n, *keys).withColumn("slice", F.spark_partition_id())
-    path = scratch_path(spark, f"flags-{uuid.uuid4().hex}")
-    ranged.write.parquet(path)
-    ranged = spark.read.schema(ranged.schema).parquet(path)
+    ranged = staged(ranged, "flags")
     earlier = Window.partitionBy("slice", "ticket_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     local = ranged.withColumn("before", F.max("source_updated_at").over(earlier))
     ends = ranged.groupBy("slice").agg(F.min("ticket_id").alias("low"), F.max(F.struct("ticket_id", "source_updated_at")).alias("high"))

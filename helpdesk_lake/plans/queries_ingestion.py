@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import ingestion as I
-from ..session import scratch_path
+from ..session import scratch_path, staged
 from ..sources.feed import fixture_feed
 from ..sources.fixtures import fixture_model
 from ..sources.json_feed import read_feed, write_feed
@@ -36,6 +36,11 @@ def _valid(spark, sf_dir):
     return _validated(spark, sf_dir).filter("is_valid")
 
 
+def _staged(spark, sf_dir):
+    """The batch's valid records, validated once for all that reads them."""
+    return staged(_validated(spark, sf_dir), "batch").filter("is_valid").drop("errors")
+
+
 def _iso(c: str) -> str:
     return f"strftime({c}, '%Y-%m-%dT%H:%M:%SZ')"
 
@@ -90,7 +95,7 @@ register_feed("ingest_latest", "I4", with_model(f"""
 SELECT ticket_id, version, upper(status) AS status, subject, requester_name,
        {_iso('updated')} AS updated_at, array_to_string(tags, ',') AS tags, upper(score) AS score
 FROM f_latest""", FEED_CTES))(
-    lambda spark, d: I.latest_versions(_valid(spark, d)).select(
+    lambda spark, d: I.latest_versions(_staged(spark, d)).select(
         "ticket_id", F.shiftright("seq", 32).cast("int").alias("version"), "status", "subject", "requester_name",
         F.date_format("source_updated_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("updated_at"),
         F.array_join("tags", ",").alias("tags"), F.col("rating.score").alias("score")))
@@ -132,11 +137,11 @@ SELECT DISTINCT unnest(tags) AS name FROM (
   SELECT tags, coalesce(updated > max(updated) OVER (PARTITION BY ticket_id ORDER BY version
                          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), TRUE) AS applied
   FROM f_valid WHERE is_valid) x WHERE applied""", FEED_CTES))(
-    lambda spark, d: I.new_tags(_valid(spark, d), I.apply_flags(_valid(spark, d))))
+    lambda spark, d: (lambda valid: I.new_tags(valid, I.apply_flags(valid)))(_staged(spark, d)))
 
 register_feed("ingest_links", "I6", with_model(
     "SELECT ticket_id, unnest(tags) AS tag_id FROM f_latest", FEED_CTES))(
-    lambda spark, d: I.replaced_links(I.latest_versions(_valid(spark, d))))
+    lambda spark, d: I.replaced_links(I.latest_versions(_staged(spark, d))))
 
 register_feed("ingest_ratings", "I7", with_model(f"""
 SELECT ticket_id, upper(score) AS score,
@@ -144,7 +149,7 @@ SELECT ticket_id, upper(score) AS score,
        CASE WHEN score IN ('good', 'bad') THEN {_iso("source_created_at + INTERVAL 45 MINUTE")} END AS rated_at,
        '' AS comment
 FROM f_latest WHERE score IS NOT NULL""", FEED_CTES))(
-    lambda spark, d: I.synced_ratings(I.latest_versions(_valid(spark, d))).select(
+    lambda spark, d: I.synced_ratings(I.latest_versions(_staged(spark, d))).select(
         "ticket_id", "score", F.date_format("offered_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("offered_at"),
         F.date_format("rated_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("rated_at"), "comment"))
 

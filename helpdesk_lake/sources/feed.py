@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import spread
 from .fixtures import map_priority, read_table, tickets_from_orders
 
 SEQ_SHIFT = 1 << 32  # global order = version * 2^32 + ticket id
@@ -34,7 +35,7 @@ def _iso_z(c):
 def fixture_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = read_table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority")
-    base = tickets_from_orders(orders, keep=("o_orderstatus", "o_orderpriority"))
+    base = tickets_from_orders(spread(orders, "o_orderkey"), keep=("o_orderstatus", "o_orderpriority"))
     customers = read_table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("customer_id"), F.col("c_name"))
     base = base.join(customers, "customer_id", "inner")

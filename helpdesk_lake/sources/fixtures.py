@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import TicketModel
+from ..session import spread
 
 # --- fixed values: fixture mapping constants ------------------------------
 CREATED_MULTIPLIER = 7919          # created = orderdate + (k * 7919) % 86400 s
@@ -111,12 +112,12 @@ def fixture_model(spark: SparkSession, sf_dir: str) -> TicketModel:
     """Build the lazily-evaluated model over the driver's tables."""
 
     def orders() -> DataFrame:
-        return read_table(spark, sf_dir, "orders").select(
-            "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority")
+        return spread(read_table(spark, sf_dir, "orders").select(
+            "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority"), "o_orderkey")
 
     def lineitem() -> DataFrame:
-        return read_table(spark, sf_dir, "lineitem").select(
-            "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag")
+        return spread(read_table(spark, sf_dir, "lineitem").select(
+            "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag"), "l_orderkey")
 
     def part() -> DataFrame:
         return read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_brand")
