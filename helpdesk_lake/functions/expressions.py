@@ -6,6 +6,8 @@ whole-stage codegen; nothing here runs Python per row.
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -109,6 +111,16 @@ def strip_space(text: str | Column) -> Column:
     return F.btrim(_c(text), F.lit(OUTER_SPACE))
 
 
+def _accents() -> tuple[str, str]:
+    letters = [(c, unicodedata.normalize("NFD", c)) for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)])]
+    pairs = [(c.lower(), d[0].lower()) for c, d in letters if len(d) > 1 and len(c.lower()) == 1]
+    return "".join(c for c, _ in pairs), "".join(d for _, d in pairs)
+
+
+#: Lower-case Latin letters with accents, and the letters that they are without (the first part of their decomposition).
+ACCENTS = _accents()
+
+
 # X7 -------------------------------------------------------------------------
 def normalize_tag_array(tags: str | Column) -> Column:
     """Trim, drop blanks, distinct, sort (null array -> empty array)."""

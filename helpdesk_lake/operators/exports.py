@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..constants import (
     ASSIGNEE_FALLBACK_PREFIX,
@@ -25,7 +24,8 @@ from ..constants import (
 )
 from ..filters import AnalyticsFilters, CustomerMetricsArgs
 from ..functions import expressions as X
-from ..model import TicketModel
+from ..model import TICKET_CORE_COLUMNS, TicketModel
+from ..session import staged
 from . import customers as CM
 from .dashboard import period_summary, recurrence, topic_aggregates
 from .filtering import apply_filters
@@ -48,10 +48,11 @@ def resolve_fields(fields=None, preset: str | None = None) -> list[str]:
 
 
 # J8 -------------------------------------------------------------------------
-def ticket_tag_names(model: TicketModel) -> DataFrame:
-    """(ticket_id, tags) with the ticket's tag names sorted."""
-    return (model.topic_links().groupBy("ticket_id")
-            .agg(F.array_sort(F.collect_list("tag")).alias("tags")))
+def ticket_tag_names(model: TicketModel, tickets: DataFrame | None = None) -> DataFrame:
+    """(ticket_id, tags) with the ticket's tag names sorted; of the given
+    tickets only, if any are given (the bridge is restricted before it is built)."""
+    links = model.topic_links() if tickets is None else model.links_for(tickets.select("ticket_id"))
+    return links.groupBy("ticket_id").agg(F.array_sort(F.collect_list("tag")).alias("tags"))
 
 
 # E1 -------------------------------------------------------------------------
@@ -61,12 +62,16 @@ def export_records(model: TicketModel, filters: AnalyticsFilters, limit: int | N
     The narrow record (ticket, rating, customer, sorted tags) is assembled
     first and the text (subject, whole description) is attached last, so the
     wide text column crosses one shuffle instead of one per join."""
-    t = apply_filters(model, filters, model.rated_tickets(("score", "offered_at", "rated_at", "comment")))
+    rating_columns = ("score", "offered_at", "rated_at", "comment")
+    if limit is None:
+        t = apply_filters(model, filters, model.rated_tickets(rating_columns))
+    else:  # preview: the first rows are cut on narrow columns, and everything else is joined to them only
+        first = staged(apply_filters(model, filters).select(*TICKET_CORE_COLUMNS).orderBy("ticket_id").limit(limit), "preview")
+        t = first.join(model.ratings.select("ticket_id", *rating_columns).join(first.select("ticket_id"), "ticket_id", "left_semi"), "ticket_id", "left")
     customers = model.customers.select("customer_id", "external_requester_id",
                                        "requester_name", "requester_email")
-    narrow = t.join(customers, "customer_id", "inner").join(ticket_tag_names(model), "ticket_id", "left")
-    if limit is not None:  # preview: cut the first rows before any text is attached
-        narrow = narrow.orderBy("ticket_id").limit(limit)
+    tagged = ticket_tag_names(model, None if limit is None and filters == AnalyticsFilters() else t)
+    narrow = t.join(customers, "customer_id", "inner").join(tagged, "ticket_id", "left")
     joined = model.attach_text(narrow)
     rating = F.when(F.col("score").isNotNull(), F.struct(
         F.col("score"), F.col("offered_at"), F.col("rated_at"),
@@ -144,24 +149,6 @@ def export_preview(model: TicketModel, filters: AnalyticsFilters, fields=None, p
 
 
 # E7 -------------------------------------------------------------------------
-METRIC_ROW_SCHEMA = T.StructType([
-    T.StructField("scope_type", T.StringType()),
-    T.StructField("scope_id", T.StringType()),
-    T.StructField("scope_label", T.StringType()),
-    T.StructField("metric_code", T.StringType()),
-    T.StructField("metric_label", T.StringType()),
-    T.StructField("value", T.DoubleType()),
-    T.StructField("unit", T.StringType()),
-    T.StructField("numerator", T.LongType()),
-    T.StructField("denominator", T.LongType()),
-    T.StructField("sample_size", T.LongType()),
-    T.StructField("dimension", T.StringType()),
-    T.StructField("rank", T.IntegerType()),
-    T.StructField("period_start", T.StringType()),
-    T.StructField("period_end", T.StringType()),
-])
-
-
 def _metric_row(scope_type: Column, scope_id: Column, scope_label: Column, code: str, value: Column, *,
                 numerator: Column | None = None, denominator: Column | None = None,
                 sample_size: Column | None = None, dimension: Column | None = None,
@@ -298,8 +285,8 @@ def metrics_by_customer(model: TicketModel, filters: AnalyticsFilters, metrics=N
                                             dimension=tpc["tag"], rank=i + 1, period=period)))
         rows.append(topic_rows)
     all_rows = F.flatten(F.array(*rows)) if len(rows) > 1 else rows[0]
-    ranked = cust.select("ticket_volume", "requester_name", "customer_id", F.posexplode(all_rows).alias("_pos", "r"))
-    return ranked.orderBy(F.desc("ticket_volume"), "requester_name", "customer_id", "_pos").select("r.*")
+    ordered = cust.orderBy(F.desc("ticket_volume"), "requester_name", "customer_id")  # customers are sorted, not their rows
+    return ordered.select(F.inline(all_rows))
 
 
 # S7 / A16 ---------------------------------------------------------------------

@@ -1,27 +1,29 @@
 """Report sinks (S4 CSV, S5 XLSX, S6 JSON snapshot).
 
-All writers run on the executors and have written when they return; no report
-passes through the driver. CSV and JSON go through Spark's file systems; XLSX
-folders must be a path that every executor has mounted.
+All writers are Spark's own file sinks, so they reach every file system that
+Spark does, and a failed or repeated task leaves nothing behind. They have
+written when they return; no report passes through the driver.
 """
 
 from __future__ import annotations
 
-import os
+import io
 import re
 import string
 import uuid
 import zipfile
+from datetime import datetime, timezone
 from itertools import chain, islice, product
 from typing import Iterator
 from xml.sax.saxutils import quoteattr
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import DEFAULT_SHEET_NAME
 from ..operators.exports import report_cells
+from ..session import staged
 
 
 # S4 -------------------------------------------------------------------------
@@ -32,7 +34,7 @@ def write_csv(df: DataFrame, path: str, columns: list[str] | None = None, mode:
     nulls are '' and nested values JSON."""
     cols = columns or df.columns
     if not cols:
-        raise ValueError("CSV report requires at least one column")
+        raise ValueError("no columns to write")
     cells = report_cells(df.select(*cols))
     cells = cells.withColumnRenamed(cols[0], "\ufeff" + cols[0])
     (cells.write.mode(mode).option("lineSep", "\r\n")
@@ -80,10 +82,14 @@ def sheet_rows(cells: DataFrame) -> DataFrame:
     return cells.select(F.concat(F.lit("<row>"), *[_cell(F.col(f"`{c}`")) for c in cells.columns], F.lit("</row>")).alias("row"))
 
 
-def write_workbook(path: str, header: str, rows: Iterator[str], width: int, sheet: str) -> int:
-    """Zip one workbook around ready row XML; the header gets a filter. Returns the number of data rows."""
-    count = 0
-    with zipfile.ZipFile(path, "w", compression=zipfile.ZIP_DEFLATED) as book:
+#: The archive's end record announces a comment of one byte: the line end that the text sink adds.
+COMMENT = b"\n"
+
+
+def workbook(header: str, rows: Iterator[str], width: int, sheet: str) -> tuple[bytes, int]:
+    """One workbook around ready row XML, without the last byte of its archive comment, and its data rows; the header gets a filter."""
+    count, held = 0, io.BytesIO()
+    with zipfile.ZipFile(held, "w", compression=zipfile.ZIP_DEFLATED) as book:
         for name, text in PACKAGE.items():
             book.writestr(name, text)
         book.writestr("xl/workbook.xml", f'{XML}<workbook xmlns="{MAIN}" xmlns:r="{OPEN_XML}/officeDocument/2006/relationships"><sheets>'
@@ -94,7 +100,8 @@ def write_workbook(path: str, header: str, rows: Iterator[str], width: int, shee
                 out.write(row.encode())
                 count += 1
             out.write(f'</sheetData><autoFilter ref="A1:{last_column(width)}1"/></worksheet>'.encode())
-    return count
+        book.comment = COMMENT
+    return held.getvalue()[:-len(COMMENT)], count
 
 
 def last_column(width: int) -> str:
@@ -106,53 +113,103 @@ def last_column(width: int) -> str:
 
 def write_xlsx_parts(df: DataFrame, folder: str, columns: list[str] | None = None,
                      sheet: str = "Relatorio", partitions: int | None = None, sheet_limit: int = SHEET_ROWS) -> DataFrame:
-    """S5 re-aimed: workbooks of at most ``sheet_limit`` rows, written by the
-    executors at once into a fresh folder under ``folder`` (a path that all of
-    them have mounted); returns the manifest (path, rows). Retried and
-    speculative attempts write files of their own; only those of the
-    successful attempts are in the manifest."""
+    """S5 re-aimed: a workbook per partition, in a fresh folder under
+    ``folder``; returns the manifest (path, rows). Partitions are cut so that
+    none passes ``sheet_limit`` rows, its header included, and hold up to
+    that many in memory, zipped. Spark's text sink writes the bytes: one
+    value a file, its line end being the archive's comment, under the sink's
+    commit protocol. The committed files then get their names."""
     cols = columns or df.columns
     if not cols:
-        raise ValueError("XLSX report requires at least one column")
+        raise ValueError("no columns to write")
+    spark = df.sparkSession
     cells = report_cells(df.select(*cols))
+    names = spark.createDataFrame([tuple(cols)], ", ".join(f"c{k} string" for k in range(len(cols))))
+    header = sheet_rows(names).first()[0]
+    target = f"{folder.rstrip('/')}/run-{uuid.uuid4().hex}"
     if partitions:
         cells = cells.repartition(partitions)
-    target = f"{folder.rstrip('/')}/run-{uuid.uuid4().hex}"
-    names = df.sparkSession.createDataFrame([tuple(cols)], ", ".join(f"c{k} string" for k in range(len(cols))))
-    header = sheet_rows(names).first()[0]
+    rows = staged(sheet_rows(cells).withColumn("id", F.monotonically_increasing_id()), "sheet")
+    # the rows of a partition in pieces of a sheet each, in order
+    book = F.concat_ws("-", F.shiftright("id", 33).cast("string"), F.floor(F.col("id").bitwiseAND(F.lit((1 << 33) - 1)) / (sheet_limit - 1)).cast("string"))
 
     def write_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.makedirs(target, exist_ok=True)
-        rows = (r.as_py() for b in batches for r in b.column(0))
-        first = next(rows, None)
+        pairs = ((b.column(0)[k].as_py(), b.column(1)[k].as_py()) for b in batches for k in range(b.num_rows))
+        first = next(pairs, None)
         while first is not None:
-            path = f"{target}/part-{uuid.uuid4().hex}.xlsx"
-            n = write_workbook(path, header, chain([first], islice(rows, sheet_limit - 2)), len(cols), sheet)
-            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([n], pa.int64())], ["path", "rows"])
-            first = next(rows, None)
-
-    manifest = sheet_rows(cells).mapInArrow(write_part, "path string, rows long").collect()  # a line per workbook
-    return df.sparkSession.createDataFrame(manifest, "path string, rows long")
+            following: list = [None]
+
+            def inside(start: tuple) -> Iterator[str]:
+                yield start[1]
+                for pair in pairs:
+                    if pair[0] != start[0]:
+                        following[0] = pair
+                        return
+                    yield pair[1]
+
+            data, n = workbook(header, inside(first), len(cols), sheet)
+            yield pa.RecordBatch.from_arrays([pa.array([first[0]]), pa.array([n], pa.int64()), pa.array([data], pa.binary())], ["book", "rows", "data"])
+            first = following[0]
+
+    sheets = rows.select(book.alias("book"), "row", "id").repartition("book").sortWithinPartitions("book", "id").select("book", "row")
+    made = staged(sheets.mapInArrow(write_part, "book string, rows long, data binary"), "workbooks")
+    # a value's bytes are written as they are; one folder and file a workbook
+    made.select("book", F.col("data").cast("string").alias("value")).repartition("book").write.partitionBy("book").text(target)
+    counts = {r.book: r.rows for r in made.select("book", "rows").collect()}  # a line per workbook
+    return spark.createDataFrame(sorted((_named(spark, f"{target}/book={b}", f"{target}/{b}.xlsx"), n) for b, n in counts.items()), "path string, rows long")
+
+
+def _named(spark: SparkSession, folder: str, path: str) -> str:
+    """Give the one data file of a committed folder its name."""
+    to = spark._jvm.org.apache.hadoop.fs.Path
+    fs = to(folder).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    part = [f.getPath() for f in fs.listStatus(to(folder)) if f.getPath().getName().startswith("part-")][0]
+    if not fs.rename(part, to(path)):
+        raise OSError(f"{path} cannot be named")
+    fs.delete(to(folder), True)
+    return path
 
 
 # S6 -------------------------------------------------------------------------
-def write_json_snapshot(df: DataFrame, folder: str) -> str:
-    """Write JSON lines into a staging folder, then move it into place with the
-    folder's own file system (an earlier snapshot is kept beside it); returns an
-    order-insensitive digest of the written files: the sum of 64-bit hashes of
-    their lines, so no row passes through one task."""
-    spark, place = df.sparkSession, folder.rstrip("/")
-    staging = f"{place}.staging-{uuid.uuid4().hex}"
-    df.write.json(staging)
-    lines = spark.read.text(staging)
-    digest = lines.agg(F.sum(F.xxhash64("value").cast("decimal(38,0)")).alias("d"), F.count(F.lit(1)).alias("n")).first()
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = path(place).getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(path(place)) and not fs.rename(path(place), path(f"{place}.previous-{uuid.uuid4().hex}")):
-        raise OSError(f"the earlier snapshot at {place} cannot be moved")
-    if not fs.rename(path(staging), path(place)):
-        raise OSError(f"the snapshot cannot be moved to {place}")
-    return f"{int(digest['d'] or 0) & ((1 << 64) - 1):016x}-{digest['n']}"
+POINTER = "at timestamp_ntz, folder string, digest string, rows long"
+
+
+def tree_digest(spark: SparkSession, folder: str) -> str:
+    """SHA-256 over the lines "name digest" of a folder's data files, by name; files are hashed where they lie."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder)
+    lines = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("digest"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", "digest"))), lambda f: F.concat(f["name"], F.lit(" "), f["digest"])), "\n")
+    return lines.agg(F.sha2(joined, 256)).first()[0]  # a line per file
+
+
+def write_json_snapshot(df: DataFrame, root: str, rows_per_file: int = 1_000_000) -> str:
+    """Write JSON lines to a folder of their own under ``root``, then append
+    a pointer to it: readers take the newest pointer, so they find the old
+    snapshot or the new one whole, never a gap. Returns the tree digest."""
+    spark, place = df.sparkSession, root.rstrip("/")
+    folder = f"{place}/data-{uuid.uuid4().hex}"
+    df.write.option("maxRecordsPerFile", rows_per_file).json(folder)
+    digest = tree_digest(spark, folder)
+    rows = spark.read.text(folder).count()
+    now = datetime.now(timezone.utc).replace(tzinfo=None)
+    spark.createDataFrame([(now, folder, digest, rows)], POINTER).write.mode("append").parquet(f"{place}/pointers")
+    return digest
+
+
+def current_snapshot(spark: SparkSession, root: str):
+    """The newest pointer: (at, folder, digest, rows)."""
+    return spark.read.schema(POINTER).parquet(f"{root.rstrip('/')}/pointers").orderBy(F.desc("at"), F.desc("folder")).first()
+
+
+def read_json_snapshot(spark: SparkSession, root: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).json(current_snapshot(spark, root).folder)
+
+
+def expire_snapshots(spark: SparkSession, root: str, keep: int = 2) -> int:
+    """Delete the data of all but the newest ``keep`` snapshots; returns how many went."""
+    old = spark.read.schema(POINTER).parquet(f"{root.rstrip('/')}/pointers").orderBy(F.desc("at"), F.desc("folder")).collect()[keep:]
+    to = spark._jvm.org.apache.hadoop.fs.Path
+    return sum(to(r.folder).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(to(r.folder), True) for r in old)
 
 
 # The report format is an argument (no writer registry) ----------------

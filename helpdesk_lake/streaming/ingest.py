@@ -1,8 +1,9 @@
 """The incremental feed as a Structured Streaming query.
 
-New array files in a folder are picked up by Spark's JSON file source, whose
-checkpoint remembers which were read, and each micro-batch is applied to the
-store in ``foreachBatch``. Its partition is named after the checkpoint and the
+The stream is one of file names: Spark's file source finds new array files in
+a folder and its checkpoint remembers which were read; no content passes
+through it. Each micro-batch reads its files (S1) and is applied to the store
+in ``foreachBatch``. Its partition is named after the checkpoint and the
 micro-batch, so one that runs again replaces its own partition. A stream with
 another checkpoint reads all files again as batches of its own; re-sent
 records change nothing (I4).
@@ -16,13 +17,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..sources.json_feed import TEXT_SCHEMA, feed_records
+from ..sources.json_feed import read_feed
 from .store import IngestionDisabled, ingest_batch, init_store, is_enabled
 
+#: The columns of the binary file source.
+FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
+
 
 def feed_stream(spark: SparkSession, source_dir: str, max_files_per_trigger: int = 100) -> DataFrame:
-    return (spark.readStream.schema(TEXT_SCHEMA).option("multiLine", True).option("maxFilesPerTrigger", max_files_per_trigger)
-            .json(source_dir).select("*", F.col("_metadata.file_path").alias("source_file")))
+    """(source_file) of the files as they come."""
+    return (spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("maxFilesPerTrigger", max_files_per_trigger)
+            .load(source_dir).select(F.col("_metadata.file_path").alias("source_file")))
 
 
 def start_ingestion(spark: SparkSession, source_dir: str, root: str, *, checkpoint: str | None = None,
@@ -38,13 +43,11 @@ def start_ingestion(spark: SparkSession, source_dir: str, root: str, *, checkpoi
     ckpt = checkpoint or f"{root.rstrip('/')}/stream-checkpoint"
     stream = hashlib.sha256(ckpt.encode()).hexdigest()[:12]
 
-    def apply(rows: DataFrame, batch_id: int) -> None:
-        rows = rows.persist()
-        try:
-            if not rows.isEmpty():
-                ingest_batch(rows.sparkSession, feed_records(rows, expected_count), root, f"{stream}-{batch_id:012d}", strict=strict)
-        finally:
-            rows.unpersist()
+    def apply(names: DataFrame, batch_id: int) -> None:
+        files = sorted(r.source_file for r in names.collect())  # at most max_files_per_trigger
+        if files:
+            session = names.sparkSession
+            ingest_batch(session, read_feed(session, files, expected_count), root, f"{stream}-{batch_id:012d}", strict=strict)
 
     writer = (feed_stream(spark, source_dir, max_files_per_trigger).writeStream
               .foreachBatch(apply).option("checkpointLocation", ckpt))

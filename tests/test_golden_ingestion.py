@@ -282,7 +282,7 @@ def test_feed_reader_errors_stay_with_their_record(spark, tmp_path):
     assert [r.record_error for r in rows if r.file_error is None] == [None, "malformed record: ticket_id", "malformed record: tags, satisfaction_rating", None]
     assert {r.source_file.rsplit("/", 1)[1] for r in rows if r.file_error} == {"b.json"}
     wrong = read_feed(spark, str(feed), expected_count=3).where("file_error IS NOT NULL").collect()
-    assert {r.source_file.rsplit("/", 1)[1] for r in wrong} == {"b.json", "d%20e.json"}
+    assert {r.source_file.rsplit("/", 1)[1] for r in wrong} == {"b.json", "c.json", "d%20e.json"}
     lines = tmp_path / "lines"
     lines.mkdir()
     (lines / "x.jsonl").write_text("\n".join([json.dumps(GOLDEN[0]), "{broken", json.dumps(GOLDEN[2])] * 40), encoding="utf-8")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import re
 import zipfile
 from datetime import datetime
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -221,6 +224,18 @@ def test_csv_and_xlsx_writers(spark, tmp_path):
     assert [last_column(k) for k in (1, 26, 27, 28, 702, 703)] == ["A", "Z", "AA", "AB", "ZZ", "AAA"]
     split = write_xlsx_parts(df, str(tmp_path / "xlsx"), partitions=1, sheet_limit=2).collect()
     assert [r.rows for r in split] == [1, 1, 1]  # a header and one row each
+    for r in split:  # archives like any other, and nothing else in their folder
+        with zipfile.ZipFile(r.path) as zf:
+            assert zf.testzip() is None and zf.comment == b"\n"
+    assert {p.suffix for p in Path(split[0].path).parent.iterdir() if not p.name.startswith((".", "_"))} == {".xlsx"}
+    many = spark.range(2500).select("id", F.concat(F.lit("é<&>"), F.col("id").cast("string")).alias("t"))
+    sheets = write_xlsx_parts(many, str(tmp_path / "xlsx"), partitions=3, sheet_limit=301).collect()
+    assert sum(r.rows for r in sheets) == 2500 and max(r.rows for r in sheets) == 300
+    texts = []
+    for r in sheets:
+        with zipfile.ZipFile(r.path) as zf:
+            texts += re.findall("é&lt;&amp;&gt;[0-9]+", zf.read("xl/worksheets/sheet1.xml").decode())
+    assert len(set(texts)) == 2500
 
 
 def test_maintenance_rules(spark):
@@ -293,15 +308,24 @@ def test_dashboard_bundle_matches_operators(spark):
 
 
 def test_json_snapshot_and_ordered_scan(spark, tmp_path):
-    from helpdesk_lake.sinks.reports import write_json_snapshot
-    df = spark.createDataFrame([(i, f"n{i}", None) for i in range(50)], "id long, name string, x string")
+    from helpdesk_lake.sinks.reports import current_snapshot, expire_snapshots, read_json_snapshot, write_json_snapshot
+    schema = "id long, name string, x string"
+    df = spark.createDataFrame([(i, f"n{i}", None) for i in range(50)], schema)
     target = str(tmp_path / "snap")
-    d1 = write_json_snapshot(df, target)
-    d2 = write_json_snapshot(df.orderBy(F.desc("id")), target)
-    assert d1 == d2 and d1.endswith("-50")  # order-insensitive digest
-    back = spark.read.json(target)
-    assert back.count() == 50
-    assert len(list(tmp_path.glob("snap.previous-*"))) == 1  # previous snapshot kept aside, not deleted
+    first = write_json_snapshot(df.repartition(4), target)
+    folder = current_snapshot(spark, target).folder
+    # the digest again, from the files themselves
+    parts = sorted(p for p in Path(folder).glob("part-*") if p.suffix != ".crc")
+    lines = "\n".join(f"{p.name} {hashlib.sha256(p.read_bytes()).hexdigest()}" for p in parts)
+    assert first == hashlib.sha256(lines.encode()).hexdigest() and len(parts) > 1
+    second = write_json_snapshot(df.limit(30), target)
+    assert second != first and current_snapshot(spark, target).rows == 30
+    assert read_json_snapshot(spark, target, schema).count() == 30
+    assert Path(folder).exists()  # readers of the earlier snapshot go on
+    write_json_snapshot(df.limit(0), target)
+    assert read_json_snapshot(spark, target, schema).count() == 0
+    assert expire_snapshots(spark, target, keep=1) == 2 and not Path(folder).exists()
+    assert read_json_snapshot(spark, target, schema).count() == 0
     ordered = L.ordered_scan(df.select("id").repartition(7), "id", partitions=4)
     parts = ordered.rdd.glom().map(lambda rows: [r.id for r in rows]).collect()
     flat = [i for p in parts for i in p]
