@@ -34,6 +34,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def aside(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with its columns as x0, x1, ..., and each column's name there: helper columns then clash with none."""
+    names = {c: f"x{k}" for k, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
 def fold(doc_id: Column, parts: int) -> Column:
     """crc32 of the id's decimal text, modulo ``parts``; a null id gives null."""
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(parts)

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gram_hashes, mixed, stored, word_hashes
+from .common import aside, gram_hashes, mixed, stored, word_hashes
 
 SEED, MIN_SEEDS, MIN_MATCHES, LEAST = 3, 2, 6, 0.45
 #: A seed may stray among so many different words (a share of the documents, or STRAY_ROWS) and still counts as rare.
@@ -223,6 +223,7 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
 
 def drop_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The documents without a leak, with their own columns."""
+    plain, name = aside(docs)
     gone = stored(leaks(docs, items, id_col).select(F.col(id_col).alias("_gone")).distinct(), "leaky")
     few = gone.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if few else gone, docs[id_col] == F.col("_gone"), "left_anti")
+    return plain.join(F.broadcast(gone) if few else gone, F.col(name[id_col]) == F.col("_gone"), "left_anti").toDF(*docs.columns)

@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gram_hashes, mixed, stored, word_hashes, words
+from .common import aside, gram_hashes, mixed, stored, word_hashes, words
 from .components import components
 
 SHINGLE, PERCENT = 5, 85
@@ -224,12 +224,12 @@ def _confirm(percent: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+            for k in range(batch.num_rows):  # the sets are read where they lie in the batch
+                x, y = (np.frombuffer(batch.column(c)[k].as_buffer(), np.uint64) for c in (2, 3))
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            got = batch.filter(pa.array(keep, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([got.column(0), got.column(1)], ["u", "v"])
+            mask = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["u", "v"])
     return run
 
 
@@ -265,8 +265,8 @@ def _rest(dense: DataFrame, roots: DataFrame) -> DataFrame:
 def _bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(BUCKETS, np.int64)
     for batch in batches:
-        for items in batch.column(0).to_pylist():
-            np.add.at(total, (np.frombuffer(items, np.uint64) % np.uint64(BUCKETS)).astype(np.int64), 1)
+        for k in range(batch.num_rows):
+            np.add.at(total, (np.frombuffer(batch.column(0)[k].as_buffer(), np.uint64) % np.uint64(BUCKETS)).astype(np.int64), 1)
     held = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(total[held])], ["bucket", "c"])
 
@@ -276,8 +276,8 @@ def _prefixes(often: np.ndarray, percent: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bits, rare = [], []
-            for raw in batch.column(1).to_pylist():
-                items = np.frombuffer(raw, np.uint64)
+            for k in range(batch.num_rows):
+                items = np.frombuffer(batch.column(1)[k].as_buffer(), np.uint64)
                 c = often[(items % np.uint64(BUCKETS)).astype(np.int64)]
                 first = np.lexsort((items, c))[:len(items) - -(-len(items) * percent // 100) + 1]
                 bits.append(sketch(items))
@@ -338,12 +338,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """The columns of ``docs`` for one document of each group of near copies; rows that repeat a kept id whole stay one row."""
-    found = stored(near_duplicates(docs, id_col, text_col, percent=percent), "near")
-    gone = found.where(~F.col("kept")).select(F.col(id_col).alias("_gone")).distinct()
-    again = found.groupBy(id_col).count().where("count > 1").select(F.col(id_col).alias("_gone")).where(F.col("_gone").isNotNull())
+    plain, name = aside(docs)
+    key = name[id_col]
+    found = stored(near_duplicates(plain, key, name[text_col], percent=percent), "near")
+    gone = found.where(~F.col("kept")).select(F.col(key).alias("_gone")).distinct()
+    again = found.groupBy(key).count().where("count > 1").select(F.col(key).alias("_gone")).where(F.col("_gone").isNotNull())
     few = gone.count() <= BROADCAST_IDS
-    left = docs.join(F.broadcast(gone) if few else gone, docs[id_col] == F.col("_gone"), "left_anti")
+    left = plain.join(F.broadcast(gone) if few else gone, F.col(key) == F.col("_gone"), "left_anti")
     if again.limit(1).count():
-        once = left.join(again, left[id_col] == F.col("_gone"), "left_semi").dropDuplicates([id_col])
-        left = left.join(again, left[id_col] == F.col("_gone"), "left_anti").union(once)
-    return left
+        once = left.join(again, F.col(key) == F.col("_gone"), "left_semi").dropDuplicates([key])
+        left = left.join(again, F.col(key) == F.col("_gone"), "left_anti").union(once)
+    return left.toDF(*docs.columns)

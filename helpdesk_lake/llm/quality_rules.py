@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import held_out, training_rows
+from .common import aside, held_out, training_rows
 
 #: Most labelled rows that the fit reads (their statistics go to the driver).
 SAMPLE_ROWS = 20_000
@@ -189,5 +189,6 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the classifier does not reject, with their own columns."""
-    scored = with_quality(docs, fit_quality(docs, labels), score_col="_quality_score")
-    return scored.where(F.col("_quality_score") >= 0.5).select(*[F.col(f"`{c}`") for c in docs.columns])
+    plain, name = aside(docs)
+    scored = with_quality(plain, fit_quality(docs, labels), name["text"], "_score")
+    return scored.where(F.col("_score") >= 0.5).drop("_score").toDF(*docs.columns)

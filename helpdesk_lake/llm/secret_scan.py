@@ -30,6 +30,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import aside
+
 #: The names and patterns of the base kinds.
 NAMES = ("password", "passwd", "secret", "token", "api_?key")
 VALUE = """["']?\\x20*[:=]\\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -156,7 +158,8 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def masked(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """``docs`` with every span of the text replaced by ``MASK`` (overlapping spans by one), and the length brought up to date."""
-    text = F.col(f"`{text_col}`")
+    plain, name = aside(docs)
+    text = F.col(name[text_col])
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
     def step(acc, x):
         fresh = x["s"] >= acc["at"]
@@ -164,13 +167,13 @@ def masked(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_
         out = F.when(fresh, F.concat(acc["out"], F.substr(text, (acc["at"] + 1).cast("int"), (x["s"] - acc["at"]).cast("int")), F.lit(MASK))).otherwise(acc["out"])
         return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), out.alias("out"))
     done = F.aggregate("_all", start, step, lambda acc: F.concat(acc["out"], F.substr(text, (acc["at"] + 1).cast("int"))))
-    step1 = scanned(docs, text_col).withColumn("_new", F.when(F.size("_all") > 0, done).otherwise(text))
+    step1 = scanned(plain, name[text_col]).withColumn("_new", F.when(F.size("_all") > 0, done).otherwise(text))
     cols = []
-    for c in docs.columns:
+    for c, own in name.items():
         if c == text_col:
             cols.append(F.col("_new").alias(c))
         elif c == length_col:
-            cols.append(F.when(F.size("_all") > 0, F.length("_new").cast(docs.schema[c].dataType)).otherwise(F.col(f"`{c}`")).alias(c))
+            cols.append(F.when(F.size("_all") > 0, F.length("_new").cast(docs.schema[c].dataType)).otherwise(F.col(own)).alias(c))
         else:
-            cols.append(F.col(f"`{c}`"))
+            cols.append(F.col(own).alias(c))
     return step1.select(*cols)

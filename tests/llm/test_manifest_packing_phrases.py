@@ -255,3 +255,40 @@ def test_long_text_is_cut_between_words_only(monkeypatch):
 def test_exact_scores_beyond_64_bits(spark):
     df = spark.createDataFrame([(3 * 10 ** 12, 4 * 10 ** 12 + 1, 5 * 10 ** 12)], "a long, l long, r long")
     assert df.select(phrase_stripes._score("a", "l", "r")).first()[0] == 10 ** 6 * 9 * 10 ** 24 // ((4 * 10 ** 12 + 1) * 5 * 10 ** 12)
+
+
+# --- pipeline stages and columns of any name --------------------------------------
+def test_stages_keep_columns_of_any_name(spark):
+    """The stages' own helper columns are names that a table may have too."""
+    from helpdesk_lake.llm import decontaminate, minhash_forest, quality_rules, secret_scan
+
+    helpers = ["_t", "_b", "_r", "_base", "_all", "_new", "_gone", "_stats", "_score", "_quality_score", "x0", "x1", "id", "fp"]
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(40).selectExpr("*", *[f"7 AS {c}" for c in helpers])
+    tables = {n: spark.read.parquet(f"/root/testdata/sf0.001/{n}.parquet") for n in ("labels", "benchmark")}
+    rows = {r.doc_id: r for r in docs.collect()}
+    for out in (quality_rules.keep_good(docs, tables["labels"]), minhash_forest.keep_one(docs, percent=80),
+                decontaminate.drop_leaks(docs, tables["benchmark"]), secret_scan.masked(docs)):
+        assert out.columns == docs.columns
+        got = out.collect()
+        assert got and all(r[c] == 7 for r in got for c in helpers) and {r.doc_id for r in got} <= set(rows)
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Null ids and texts, empty texts, repeated rows and an empty table go through all stages."""
+    import corpus_pipeline
+
+    base = "/root/testdata/sf0.001"
+    schema = spark.read.parquet(f"{base}/documents.parquet").schema
+    clean = spark.read.parquet(f"{base}/documents.parquet").orderBy("doc_id").limit(30)
+    odd = spark.createDataFrame([(None, "a null id with some words of its own", "en", "s", 5), (9001, None, None, None, None), (9002, "", "en", "s", 0), (9002, "", "en", "s", 0)], schema)
+    for n in ("labels", "benchmark"):
+        spark.read.parquet(f"{base}/{n}.parquet").write.parquet(f"{tmp_path}/{n}.parquet")
+    clean.union(odd).union(clean.limit(3)).write.parquet(f"{tmp_path}/documents.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.columns == ["doc_id", "n_tokens", "ids"]
+    ids = [r.doc_id for r in out.collect()]
+    assert len(ids) == len(set(ids))  # repeated rows stay one
+    none = tmp_path / "none"
+    for n in ("labels", "benchmark", "documents"):
+        spark.read.parquet(f"{tmp_path}/{n}.parquet").limit(0).write.parquet(f"{none}/{n}.parquet")
+    assert corpus_pipeline.run(spark, str(none)).collect() == []
