@@ -9,8 +9,9 @@ The reference issues up to 17 sequential statements per dashboard. Here:
    behaviour (``metrics_comparison`` and ``customer_behavior``);
 3. one pass over the tag bridge gives the topic breakdown.
 
-The grouped result of (1) is small (one row per label per window), so every
-chart built from it is a cheap projection; callers may ``cache()`` it.
+The grouped result of (1) is small (one row per label per window). It is written
+once to the shared folder, so every chart built from it is a cheap projection
+and nothing stays cached. ``dashboard_bundle`` nests it all in one row.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from ..model import TicketModel
 from ..operators import comparison as C
 from ..operators import dashboard as D
 from ..operators import exports as E
+from ..session import staged
 
 DIMENSIONS = ("status", "priority", "day", "bucket")
 
@@ -71,15 +73,56 @@ def grouped_rows(model: TicketModel, filters: AnalyticsFilters) -> DataFrame:
     )
 
 
+def scope(model: TicketModel, filters: AnalyticsFilters) -> DataFrame:
+    """One row: the window asked for, the one it is compared with, and whether there is one."""
+    before = filters.previous()
+    times = {"from_at": filters.from_at, "to_at": filters.to_at, "previous_from_at": before and before.from_at, "previous_to_at": before and before.to_at}
+    return model.tickets.sparkSession.range(1).select(
+        *[F.lit(t).cast("timestamp_ntz").alias(name) for name, t in times.items()],
+        F.lit(before is not None).alias("is_comparable"), F.lit("UTC").alias("timezone"))
+
+
+#: Charts of several rows, and the order of their rows. Customers, which no bound holds, stay a frame of their own.
+ORDERS = {
+    "status_distribution": lambda: (-F.col("value"), F.col("label")),
+    "priority_breakdown": lambda: (-F.col("ticket_count"), F.col("priority")),
+    "priority_distribution": lambda: (-F.col("value"), F.col("label")),
+    "top_topics": lambda: (F.col("rank"),),
+    "operation_timeseries": lambda: (F.col("date"),),
+    "tickets_over_time": lambda: (F.col("date"),),
+    "first_response_distribution": lambda: (F.col("bucket_order"),),
+    "top_customers": lambda: (-F.col("ticket_count"), F.col("requester_name"), F.col("customer_id")),
+    "tag_options": lambda: (F.col("name"), F.col("id")),
+    "assignee_options": lambda: (F.col("name"), F.col("external_id")),
+}
+
+
+def dashboard_bundle(model: TicketModel, filters: AnalyticsFilters, top_topics_limit: int = 10, timeline_limit: int = 90) -> DataFrame:
+    """The dashboard as one row: ``scope``, ``metrics``, ``customer_behavior`` and ``summary`` as structs, every chart and the tag
+    and assignee options as ordered arrays of structs."""
+    frames = dashboard_overview(model, filters, top_topics_limit, timeline_limit)
+    key = F.lit(1).alias("one")
+    out = None
+    for name in ("scope", "metrics", "customer_behavior", "summary"):
+        row = frames[name].select(F.struct(*frames[name].columns).alias(name), key)
+        out = row if out is None else out.join(row, "one")
+    for name, order in ORDERS.items():
+        df = frames[name]
+        entry = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order())], F.struct(*df.columns).alias("entry"))
+        rows = df.select(entry.alias("e")).agg(F.transform(F.array_sort(F.collect_list("e")), lambda e: e["entry"]).alias(name))
+        out = out.join(rows.select(name, key), "one")
+    return out.drop("one")
+
+
 def dashboard_overview(model: TicketModel, filters: AnalyticsFilters, top_topics_limit: int = 10,
                        timeline_limit: int = 90) -> dict[str, DataFrame]:
     """Every dashboard result as a named DataFrame (lazy; nothing collected).
 
-    The grouped rows are cached: they are small (one row per label and
+    The grouped rows are staged: they are few (one row per label and
     window, days bounded by the period) and every chart below reads them."""
     check_limit(top_topics_limit, TOP_TOPICS_LIMIT, "top_topics_limit")
     check_limit(timeline_limit, TIMELINE_LIMIT, "timeline_limit")
-    rows = grouped_rows(model, filters).cache()
+    rows = staged(grouped_rows(model, filters), "dashboard")
     cur = rows.filter("is_current")
     comparable = filters.previous() is not None
 
@@ -116,6 +159,7 @@ def dashboard_overview(model: TicketModel, filters: AnalyticsFilters, top_topics
                 .withColumn("change_percent", X.change_percent("ticket_count", "previous_ticket_count"))
                 .orderBy(F.desc("ticket_count"), "priority"))
     return {
+        "scope": scope(model, filters),
         "grouped": rows,
         "metrics": metrics,
         "status_distribution": status,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..operators import dashboard as D
 from .catalog import NO_FILTER, PERIOD, period_sql, register
 from .oracle_model import BAD, BUCKET, GOOD, RESOLVED, VALID_RESPONSE, VALID_SECONDS, secs, with_model
@@ -108,7 +110,7 @@ ORDER BY x.ticket_count DESC, c.requester_name ASC, c.customer_id ASC LIMIT 5"""
 
 # --- period comparison (D4-D13) ----------------------------------------------
 from ..operators import comparison as C  # noqa: E402
-from .catalog import COMPARE  # noqa: E402
+from .catalog import COMPARE, ts_sql  # noqa: E402
 
 CUR = period_sql(COMPARE)
 PREV = period_sql(COMPARE.previous())
@@ -339,3 +341,73 @@ register("dashboard_single_pass", "D14 A1 A3 A4 A6 A7 D5", with_model(
     " UNION ALL ".join([_gs("all", None), _gs("status", "status"), _gs("priority", "priority"),
                         _gs("day", "day"), _gs("bucket", "bucket")]), GS_CTES))(
     lambda m: grouped_rows(m, COMPARE))
+
+
+from .dashboard_bundle import dashboard_bundle  # noqa: E402
+
+
+def _bundle_rows(m):
+    """The nested row unfolded again: (chart, position, label, value, previous_value)."""
+    b = dashboard_bundle(m, COMPARE)
+    none = F.lit(None).cast("long")
+
+    def chart(name, label, value, previous=None):
+        return F.transform(name, lambda e, i: F.struct(
+            F.lit(name).alias("chart"), (i + 1).cast("long").alias("position"), e[label].cast("string").alias("label"),
+            e[value].cast("long").alias("value"), (none if previous is None else e[previous].cast("long")).alias("previous_value")))
+
+    def single(name, label, value):
+        return F.struct(F.lit(name).alias("chart"), F.lit(1).cast("long").alias("position"), label.cast("string").alias("label"),
+                        value.cast("long").alias("value"), none.alias("previous_value"))
+
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    ones = F.array(*[single("scope", F.lit(c), micros(f"scope.{c}")) for c in ("from_at", "to_at", "previous_from_at", "previous_to_at")],
+                   single("scope", F.lit("is_comparable"), F.col("scope.is_comparable").cast("int")),
+                   single("metrics", F.lit("ticket_volume"), F.col("metrics.ticket_volume")),
+                   single("customer_behavior", F.lit("unique_customers"), F.col("customer_behavior.unique_customers")),
+                   single("summary", F.col("summary.top_driver_label"), F.col("summary.top_driver_ticket_count")))
+    return b.select(F.inline(F.concat(
+        ones, chart("status_distribution", "label", "value", "previous_value"), chart("priority_breakdown", "priority", "ticket_count", "previous_ticket_count"),
+        chart("priority_distribution", "label", "value"), chart("top_topics", "tag", "ticket_count", "previous_ticket_count"),
+        chart("operation_timeseries", "date", "resolved"), chart("tickets_over_time", "date", "value"),
+        chart("first_response_distribution", "bucket", "ticket_count"), chart("top_customers", "requester_email", "ticket_count"),
+        F.transform("tag_options", lambda e, i: F.struct(F.lit("tag_options").alias("chart"), (i + 1).cast("long").alias("position"), e["name"].alias("label"),
+                                                         none.alias("value"), none.alias("previous_value"))),
+        chart("assignee_options", "name", "external_id"))))
+
+
+FROM_AT, TO_AT = ts_sql(COMPARE.from_at), ts_sql(COMPARE.to_at)
+BUNDLE_CTES = dict(TOPIC_CTES)
+BUNDLE_CTES |= {
+    "dom": BUCKET_DOMAIN,
+    "days": f"""SELECT * FROM (SELECT CAST(source_created_at AS DATE) AS date, count(*) AS opened, CAST(sum({RESOLVED}) AS BIGINT) AS resolved
+                FROM m_tickets WHERE {CUR} GROUP BY 1 ORDER BY 1 DESC LIMIT 90) x""",
+    "st": f"""SELECT c.status AS label, c.n AS value, coalesce(p.n, 0) AS previous_value
+              FROM (SELECT status, count(*) AS n FROM m_tickets WHERE {CUR} GROUP BY 1) c
+              LEFT JOIN (SELECT status, count(*) AS n FROM m_tickets WHERE {PREV} GROUP BY 1) p ON p.status = c.status""",
+    "pr": f"""SELECT c.priority AS label, c.n AS value, coalesce(p.n, 0) AS previous_value
+              FROM (SELECT priority, count(*) AS n FROM m_tickets WHERE {CUR} GROUP BY 1) c
+              LEFT JOIN (SELECT priority, count(*) AS n FROM m_tickets WHERE {PREV} GROUP BY 1) p ON p.priority = c.priority""",
+    "cu": f"""SELECT c.customer_id, c.requester_name, c.requester_email, x.n FROM (SELECT customer_id, count(*) AS n FROM m_tickets WHERE {CUR} GROUP BY 1) x
+              JOIN m_customers c ON c.customer_id = x.customer_id ORDER BY x.n DESC, c.requester_name, c.customer_id LIMIT 5""",
+}
+register("dashboard_bundle", "D14 D5 S7", with_model(f"""
+SELECT 'scope' AS chart, CAST(1 AS BIGINT) AS position, label, value, CAST(NULL AS BIGINT) AS previous_value FROM (VALUES
+  ('from_at', epoch_us({FROM_AT})), ('to_at', epoch_us({TO_AT})), ('previous_to_at', epoch_us({FROM_AT}) - 1),
+  ('previous_from_at', epoch_us({FROM_AT}) - 1 - (epoch_us({TO_AT}) - epoch_us({FROM_AT}))), ('is_comparable', 1)) v(label, value)
+UNION ALL SELECT 'metrics', 1, 'ticket_volume', (SELECT count(*) FROM m_tickets WHERE {CUR}), NULL
+UNION ALL SELECT 'customer_behavior', 1, 'unique_customers', (SELECT count(DISTINCT customer_id) FROM m_tickets WHERE {CUR}), NULL
+UNION ALL SELECT 'summary', 1, tag, ticket_count, NULL FROM topics WHERE rank = 1
+UNION ALL SELECT 'status_distribution', row_number() OVER (ORDER BY value DESC, label), label, value, previous_value FROM st
+UNION ALL SELECT 'priority_breakdown', row_number() OVER (ORDER BY value DESC, label), label, value, previous_value FROM pr
+UNION ALL SELECT 'priority_distribution', row_number() OVER (ORDER BY value DESC, label), label, value, NULL FROM pr
+UNION ALL SELECT 'top_topics', rank, tag, ticket_count, previous_ticket_count FROM topics
+UNION ALL SELECT 'operation_timeseries', row_number() OVER (ORDER BY date), CAST(date AS VARCHAR), resolved, NULL FROM days
+UNION ALL SELECT 'tickets_over_time', row_number() OVER (ORDER BY date), CAST(date AS VARCHAR), opened, NULL FROM days
+UNION ALL SELECT 'first_response_distribution', d.bucket_order, d.bucket, coalesce(c.n, 0), NULL
+  FROM dom d LEFT JOIN (SELECT {BUCKET} AS bucket, count(*) AS n FROM m_tickets WHERE {CUR} GROUP BY 1) c ON c.bucket = d.bucket
+UNION ALL SELECT 'top_customers', row_number() OVER (ORDER BY n DESC, requester_name, customer_id), requester_email, n, NULL FROM cu
+UNION ALL SELECT 'tag_options', row_number() OVER (ORDER BY name, tag_id), name, NULL, NULL FROM m_tags
+UNION ALL SELECT 'assignee_options', row_number() OVER (ORDER BY name, id), name, id, NULL FROM (
+  SELECT DISTINCT assignee_external_id AS id, coalesce(nullif(assignee_name, ''), '{K.ASSIGNEE_FALLBACK_PREFIX}' || CAST(assignee_external_id AS VARCHAR)) AS name
+  FROM m_tickets WHERE assignee_external_id IS NOT NULL) x""", BUNDLE_CTES))(_bundle_rows)

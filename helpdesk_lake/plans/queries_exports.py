@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..filters import AnalyticsFilters
 from ..functions import expressions as X
 from ..operators import exports as E
+from ..session import scratch_path
+from ..sinks.reports import read_json_snapshot, write_json_snapshot, write_report
 from .catalog import PERIOD, period_sql, register
 from .oracle_model import with_model
 from .. import constants as K
@@ -153,6 +157,63 @@ SELECT {M_COLS}, period_start, period_end FROM (
     lambda m: E.metrics_by_customer(m, PERIOD, top_topics_limit=3))
 
 
+CUSTOMER_CTES_25 = CUSTOMER_CTES | {"ct": CUSTOMER_CTES["ct"].replace("rk <= 3", "rk <= 25")}
+register("metrics_by_customer_topics", "E6 Q8 W2", with_model(f"""
+SELECT {M_COLS}, period_start, period_end FROM ({_mrow('top_topics', 'ct.n', dim='ct.tag', rank='ct.rk', scope=CUST_SCOPE)}
+  FROM ct JOIN a ON a.customer_id = ct.customer_id) u(scope_type, scope_id, scope_label, metric_code, metric_label, value, unit, numerator,
+    denominator, sample_size, dimension, rank, period_start, period_end)""", CUSTOMER_CTES_25))(
+    lambda m: E.metrics_by_customer(m, PERIOD, metrics="top_topics", top_topics_limit=25))
+
+
+FILE_FIELDS = ["ticket_id", "subject", "status", "priority", "requester_name", "assignee_name", "created_at", "tags", "satisfaction_rating"]
+
+
+def _folder(m, kind: str) -> str:
+    return scratch_path(m.tickets.sparkSession, f"{kind}-{uuid.uuid4().hex}")
+
+
+def _csv_file(m):
+    """The urgent tickets written as CSV and read back by Spark's own reader."""
+    path = _folder(m, "csv")
+    write_report(E.data_export(m, URGENT, fields=FILE_FIELDS), "csv", path)
+    schema = ", ".join(f"{f} string" for f in FILE_FIELDS)
+    read = m.tickets.sparkSession.read.schema(schema).option("header", True).option("escape", '"').option("multiLine", True).option("nullValue", "\x00").csv(path)
+    return read.select(*[F.coalesce(f, F.lit("")).alias(f) for f in FILE_FIELDS])
+
+
+register("export_csv_file", "E4 S4 X11 X12", with_model(
+    "SELECT " + ", ".join(f"{_cell(c)} AS {c}" for c in FILE_FIELDS) + f" FROM ({RECORD_SQL} WHERE t.priority = 'URGENT') x"))(_csv_file)
+
+
+SHEET_ROWS = 1001
+
+
+def _xlsx_files(m):
+    """The same as workbooks of at most 1,000 rows and a header each, found again in their folder."""
+    manifest = write_report(E.data_export(m, URGENT, fields=FILE_FIELDS), "xlsx", _folder(m, "xlsx"), sheet_limit=SHEET_ROWS)
+    spark = m.tickets.sparkSession
+    name = F.element_at(F.split("path", "/"), -1).alias("name")
+    found = spark.read.format("binaryFile").load([r.path for r in manifest.collect()])
+    joined = manifest.select(name, "rows").join(found.select(name, (F.hex(F.substring("content", 1, 4)) == "504B0304").alias("archive")), "name")
+    return joined.agg(F.sum("rows").alias("rows"), F.bool_and(F.col("rows") < SHEET_ROWS).alias("within_limit"), F.bool_and("archive").alias("archives"))
+
+
+register("export_xlsx_manifest", "E4 S5", with_model(
+    "SELECT count(*) AS rows, TRUE AS within_limit, TRUE AS archives FROM m_tickets WHERE priority = 'URGENT'"))(_xlsx_files)
+
+
+def _snapshot(m):
+    """Every ticket as a JSON snapshot, twice; what a reader finds after."""
+    spark, root = m.tickets.sparkSession, _folder(m, "snapshot")
+    tickets = m.tickets.select("ticket_id", "status", "priority")
+    write_json_snapshot(tickets.filter("status = 'OPEN'"), root)
+    write_json_snapshot(tickets, root)
+    return read_json_snapshot(spark, root, "ticket_id long, status string, priority string").groupBy("status", "priority").agg(F.count(F.lit(1)).alias("tickets"))
+
+
+register("json_snapshot", "S6", with_model("SELECT status, priority, count(*) AS tickets FROM m_tickets GROUP BY 1, 2"))(_snapshot)
+
+
 register("assignee_options", "S7 A16 U2", with_model(f"""
 SELECT DISTINCT assignee_external_id AS external_id,
        coalesce(nullif(assignee_name, ''), '{K.ASSIGNEE_FALLBACK_PREFIX}' || CAST(assignee_external_id AS VARCHAR)) AS name

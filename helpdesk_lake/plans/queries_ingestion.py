@@ -175,6 +175,23 @@ SELECT * FROM (VALUES
         expected_count=spark.read.parquet(f"{d}/orders.parquet").select(F.count(F.lit(1))).scalar()))
 
 
+POOL, YEAR = (0, 750), 1998
+ALL_CTES = dict(FEED_CTES) | {"r": "SELECT f.*, t.first_response_at FROM f_raw f JOIN m_tickets t USING (ticket_id)"}
+register_feed("batch_checks_all", "I10", with_model(f"""
+SELECT "check", observed = wanted AS passed, observed FROM (
+  SELECT 'exact_count' AS "check", count(*) AS observed, count(*) AS wanted FROM r
+  UNION ALL SELECT 'unique_ticket_ids', count(DISTINCT ticket_id), count(*) FROM r
+  UNION ALL SELECT 'distinct_customers', count(DISTINCT email_name), count(*) FROM r
+  UNION ALL SELECT 'all_statuses', count(DISTINCT upper(status)),
+                   CASE WHEN count(*) FILTER (upper(status) NOT IN ('OPEN','CLOSED','SOLVED','NEW','PENDING','HOLD')) = 0 THEN 6 ELSE -1 END FROM r
+  UNION ALL SELECT 'all_priorities', count(DISTINCT upper(priority)),
+                   CASE WHEN count(*) FILTER (upper(priority) NOT IN ('URGENT','HIGH','NORMAL','LOW')) = 0 THEN 4 ELSE -1 END FROM r
+  UNION ALL SELECT 'customers_in_pool', count(*) FILTER (customer_id < {POOL[0]} OR customer_id >= {POOL[1]}), 0 FROM r
+  UNION ALL SELECT 'timestamps_in_year', count(*) FILTER (year(source_created_at) <> {YEAR} OR year(updated) <> {YEAR}
+                   OR coalesce(year(first_response_at) <> {YEAR}, FALSE)), 0 FROM r) x""", ALL_CTES))(
+    lambda spark, d: (lambda feed: I.batch_checks(feed, feed.select(F.count(F.lit(1))).scalar(), POOL, YEAR))(fixture_feed(spark, d)))
+
+
 # --- files, cycles and streams -------------------------------------------------
 FEED_FILES = 8
 

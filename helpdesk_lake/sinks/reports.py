@@ -217,7 +217,7 @@ REPORT_FORMATS = ("csv", "xlsx")
 
 
 def write_report(df: DataFrame, fmt: str, path: str, columns: list[str] | None = None,
-                 sheet: str = DEFAULT_SHEET_NAME, partitions: int | None = None) -> DataFrame | None:
+                 sheet: str = DEFAULT_SHEET_NAME, partitions: int | None = None, sheet_limit: int = SHEET_ROWS) -> DataFrame | None:
     """Write ``df`` as CSV or XLSX parts under ``path``; an unknown format is
     an error. XLSX returns its manifest frame (path, rows); CSV returns None."""
     fmt = fmt.lower()
@@ -226,4 +226,4 @@ def write_report(df: DataFrame, fmt: str, path: str, columns: list[str] | None =
     if fmt == "csv":
         write_csv(df if not partitions else df.repartition(partitions), path, columns)
         return None
-    return write_xlsx_parts(df, path, columns, sheet=sheet, partitions=partitions)
+    return write_xlsx_parts(df, path, columns, sheet=sheet, partitions=partitions, sheet_limit=sheet_limit)
