@@ -50,22 +50,6 @@ METRIC_LABELS = {code: label for code, label, _ in METRICS}
 METRIC_UNITS = {code: unit for code, _, unit in METRICS}
 
 # --- fixed values: metric export columns -----------------------------------
-METRIC_ROW_COLUMNS = (
-    "scope_type",
-    "scope_id",
-    "scope_label",
-    "metric_code",
-    "metric_label",
-    "value",
-    "unit",
-    "numerator",
-    "denominator",
-    "sample_size",
-    "dimension",
-    "rank",
-    "period_start",
-    "period_end",
-)
 OVERALL_SCOPE_ID = "all"
 OVERALL_SCOPE_LABEL = "Visão geral"
 
@@ -124,7 +108,6 @@ EXPORT_PRESETS = {
 FORMULA_PREFIXES = ("=", "+", "-", "@")
 
 # --- fixed values: report names and fallbacks ------------------------------
-METRICS_EXPORT_SHEET = "Metricas"
 DEFAULT_SHEET_NAME = "Relatorio"
 ASSIGNEE_FALLBACK_PREFIX = "Responsável "
 SUMMARY_NO_BASE = "O período não possui uma base anterior comparável."

@@ -12,12 +12,12 @@ sys.path.insert(0, str(ROOT))
 from helpdesk_lake.plans.catalog import load_all  # noqa: E402
 
 WHERE = {
-    "S1": "sources/json_feed.py: read_feed, parse_feed_text",
-    "S2": "streaming/ingest.py: start_ingestion (file stream + foreachBatch)",
+    "S1": "sources/json_feed.py: read_feed, read_feed_lines, write_feed",
+    "S2": "streaming/ingest.py: start_ingestion (stream of file names + foreachBatch); streaming/latest.py (newest per key)",
     "S3": "sources/fixtures.py: fixture_model; streaming/store.py: store_model (explicit schemas)",
     "S4": "sinks/reports.py: write_csv",
-    "S5": "sinks/reports.py: write_xlsx_parts, write_workbook",
-    "S6": "sinks/reports.py: write_json_snapshot",
+    "S5": "sinks/reports.py: write_xlsx_parts, workbook (Spark's text sink)",
+    "S6": "sinks/reports.py: write_json_snapshot, tree_digest, read_json_snapshot",
     "S7": "operators/exports.py: assignee_options, tag_options, customer_options",
     "F1": "operators/filtering.py: apply_filters", "F2": "operators/filtering.py: period_predicate",
     "F3": "operators/filtering.py: column_predicates", "F4": "operators/filtering.py: apply_filters (left_semi)",
@@ -43,17 +43,17 @@ WHERE = {
     "A7": "operators/dashboard.py: response_buckets", "A8": "operators/dashboard.py: customer_behavior",
     "A9": "operators/dashboard.py: top_customers", "A10": "operators/customers.py: customer_aggregates",
     "A11": "operators/customers.py: customer_aggregates", "A12": "operators/customers.py: customer_topic_counts",
-    "A13": "operators/customers.py: customer_top_topics", "A14": "operators/customers.py: customer_metrics_page",
+    "A13": "operators/customers.py: customer_top_topics", "A14": "operators/paging.py: OrderedRows.total",
     "A15": "operators/exports.py: export_preview", "A16": "operators/exports.py: assignee_options",
     "A17": "operators/dashboard.py: summary_aggs",
     "W1": "operators/dashboard.py: ticket_gaps (range slices + boundary stitch)",
     "W2": "operators/customers.py: customer_top_topics, customer_top_topic_rows",
     "W3": "operators/comparison.py: topic_breakdown; exports.metrics_overall",
     "T1": "operators/dashboard.py: topic_aggregates", "T2": "operators/dashboard.py: timeline",
-    "T3": "operators/dashboard.py: top_customers", "T4": "operators/customers.py: customer_metrics_page",
+    "T3": "operators/dashboard.py: top_customers", "T4": "operators/paging.py: OrderedRows, offset_page; customers.customer_metrics_page",
     "T5": "operators/listings.py: ticket_page", "T6": "operators/listings.py: customer_page",
     "T7": "operators/listings.py: id_page", "T8": "operators/listings.py: ordered_scan",
-    "T9": "functions/expressions.py: page_token, decode_page_token; listings.encode_cursor/decode_cursor",
+    "T9": "functions/expressions.py: page_token, decode_page_token; listings.page_key",
     "T10": "functions/expressions.py: priority_display_rank",
     "U1": "operators/exports.py: metrics_overall, metrics_by_customer", "U2": "operators/exports.py: assignee_options",
     "X1": "functions/expressions.py: seconds_between", "X2": "operators/dashboard.py: timeline (to_date)",
@@ -73,32 +73,32 @@ WHERE = {
     "D8": "operators/comparison.py: topic_breakdown", "D9": "operators/comparison.py: operation_timeseries",
     "D10": "operators/comparison.py: tickets_over_time, priority_distribution",
     "D11": "operators/comparison.py: first_response_distribution", "D12": "operators/dashboard.py: customer_behavior",
-    "D13": "operators/comparison.py: dashboard_summary", "D14": "plans/dashboard_bundle.py: dashboard_overview, grouped_rows",
+    "D13": "operators/comparison.py: dashboard_summary", "D14": "plans/dashboard_bundle.py: dashboard_bundle, dashboard_overview, scope, grouped_rows",
     "D15": "operators/customers.py: customer_metrics_page, customer_metrics_all",
     "D16": "operators/comparison.py: trend_summary", "D17": "operators/comparison.py: label_share",
     "I1": "operators/ingestion.py: validate", "I2": "operators/ingestion.py: customer_upserts",
     "I3": "operators/ingestion.py: identity_conflicts", "I4": "operators/ingestion.py: apply_flags, latest_versions",
     "I5": "operators/ingestion.py: new_tags", "I6": "operators/ingestion.py: replaced_links",
-    "I7": "operators/ingestion.py: synced_ratings", "I8": "streaming/store.py: ingest_batch (commit log, idempotent)",
-    "I9": "streaming/store.py: ingest_log, ingestion_state", "I10": "operators/ingestion.py: batch_checks",
-    "I11": "streaming/store.py: ingest_batch stats",
+    "I7": "operators/ingestion.py: synced_ratings", "I8": "streaming/store.py: ingest_batch (one partition a batch, dynamic overwrite)",
+    "I9": "streaming/store.py: set_enabled, is_enabled, ingestion_state", "I10": "operators/ingestion.py: batch_checks",
+    "I11": "streaming/store.py: ingest_log",
     "E1": "operators/exports.py: export_records", "E2": "operators/exports.py: serialize_records",
     "E3": "operators/exports.py: export_preview", "E4": "operators/exports.py: data_export + sinks/reports.py",
     "E5": "operators/exports.py: metrics_overall", "E6": "operators/exports.py: metrics_by_customer",
-    "E7": "operators/exports.py: _metric_row, METRIC_ROW_SCHEMA",
-    "M1": "operators/maintenance.py: insert_violations, insert_rows", "M2": "operators/maintenance.py: patch_rows",
-    "M3": "operators/maintenance.py: delete_tickets, delete_tags, refused_customer_deletes, delete_customers",
-    "M4": "operators/maintenance.py: unlink",
+    "E7": "operators/exports.py: _metric_row",
+    "M1": "operators/maintenance.py: insert_violations; sinks/maintain.py: insert_tickets", "M2": "operators/maintenance.py: patch_rows; sinks/maintain.py: patch_tickets",
+    "M3": "operators/maintenance.py, sinks/maintain.py: delete_tickets, delete_tags, delete_customers",
+    "M4": "operators/maintenance.py, sinks/maintain.py: unlink",
 }
 TESTS = {
-    "S1": "test_unit_cases::test_feed_file_shape_rejects", "S2": "test_golden_ingestion (stream, replay)",
+    "S1": "test_unit_cases::test_feed_file_shape_rejects; test_golden_ingestion::test_feed_reader_errors_stay_with_their_record", "S2": "test_golden_ingestion (stream, replay, test_newest_of_a_stream)",
     "S4": "test_unit_cases::test_csv_and_xlsx_writers", "S5": "test_unit_cases::test_csv_and_xlsx_writers",
     "S6": "test_unit_cases::test_json_snapshot_and_ordered_scan", "T8": "test_unit_cases::test_json_snapshot_and_ordered_scan",
-    "I8": "test_golden_ingestion::test_conflict_batch_leaves_nothing", "I9": "test_golden_ingestion::test_resend_is_unchanged",
+    "I8": "test_golden_ingestion::test_conflict_batch_leaves_nothing", "I9": "test_golden_ingestion::test_switched_off", "T4": "test_paging_maintenance::test_any_page_reads_its_slices_only", "T9": "test_paging_maintenance::test_page_tokens", "I3": "test_newest_wins::test_hot_email_conflicts", "M1": "test_paging_maintenance::test_refused_changes_write_nothing", "M2": "test_paging_maintenance::test_refused_changes_write_nothing", "M4": "test_paging_maintenance::test_changes_rewrite_their_months_only",
     "I11": "test_golden_ingestion::test_resend_is_unchanged", "W1": "test_unit_cases::test_ticket_gaps_hot_customer_spans_slices",
     "F14": "test_unit_cases::test_index_search_equals_scan_search", "D14": "test_unit_cases::test_dashboard_bundle_matches_operators",
-    "D13": "test_unit_cases::test_topics_previous_and_driver", "M3": "test_unit_cases::test_maintenance_rules",
-    "I4": "test_unit_cases::test_same_batch_versions_and_ties", "I7": "test_golden_ingestion::test_newer_version_replaces_and_rating_removed",
+    "D13": "test_unit_cases::test_topics_previous_and_driver", "M3": "test_paging_maintenance::test_changes_rewrite_their_months_only; test_unit_cases::test_maintenance_rules",
+    "I4": "test_newest_wins::test_hot_ticket_spans_slices; test_unit_cases::test_same_batch_versions_and_ties", "I7": "test_golden_ingestion::test_newer_version_replaces_and_rating_removed",
 }
 
 
@@ -113,11 +113,11 @@ TRAPS = [
     ("Q6", "has_first_response = raw null-ness; responded = valid response", "filtering.column_predicates; "
      "test_negative_response_is_unanswered_but_has_response"),
     ("Q7", "resolved per day = opened that day and now resolved", "dashboard.timeline"),
-    ("Q8", "top_topics_limit 1..50 in both the page and the export", "filters.CustomerMetricsArgs"),
+    ("Q8", "top_topics_limit 1..50 in both the page and the export", "filters.CustomerMetricsArgs; key metrics_by_customer_topics (25)"),
     ("Q9", "no sample size on the customer response-time row", "exports.metrics_by_customer"),
     ("Q10", "customer name updated even when the ticket is unchanged", "ingestion.customer_upserts"),
     ("Q11", "one double for filter and display", "customers.customer_aggregates"),
-    ("Q12", "byte comparison (no collation)", "listings, filtering"),
+    ("Q12", "byte comparison, or without case and accents through a folded index", "listings.fold; keys ticket_search, search_collated"),
     ("Q13", "every token counts (no stop words / min length)", "listings.full_text_match"),
     ("Q14", "negative numbers get the formula quote", "expressions.formula_guard; test_expressions"),
     ("Q15", "topics from an inner join: no zero rows", "dashboard.topic_aggregates"),
