@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schemas import TICKET_SOURCE
+from ..session import apply_missing
 
 CORRUPT = "_corrupt_record"
 #: seq = number of the file among the names in order, times this, plus the place in the file.
@@ -69,6 +70,9 @@ def _openers(spark: SparkSession, paths: list[str]) -> dict[str, str]:
 
 def read_feed(spark: SparkSession, paths: str | list[str], expected_count: int | None = None) -> DataFrame:
     """Batch read of array files (files, folders or globs)."""
+    # by default Spark fetches each number, array and object that is read as text by a read of its own at its place in the file;
+    # without it they come from the parser (a fraction as its shortest numeral)
+    apply_missing(spark, {"spark.sql.json.enableExactStringParsing": "false"})
     paths = [paths] if isinstance(paths, str) else list(paths)
     openers = _openers(spark, paths)
     rank = {name: k for k, name in enumerate(sorted(openers))}
@@ -123,8 +127,14 @@ def read_feed_lines(spark: SparkSession, path: str) -> DataFrame:
     return _records(placed, pos, F.lit(None).cast("string"), F.when(F.col(CORRUPT).isNotNull(), F.lit("malformed record: not JSON")))
 
 
+#: Spark's JSON source holds the records of an array file together, so a file gets no more than about this many.
+FILE_RECORDS = 50_000
+
+
 def write_feed(records: DataFrame, path: str, files: int) -> None:
-    """Source-shaped records as array files through Spark's text sink, ``files`` at most, in order of ``seq``."""
+    """Source-shaped records as array files through Spark's text sink, in order of ``seq``: ``files`` at most, but more where a file
+    would hold over ``FILE_RECORDS``."""
+    files = max(files, -(-records.count() // FILE_RECORDS))
     body = F.to_json(F.struct(*[f.name for f in TICKET_SOURCE.fields]), {"ignoreNullFields": "false"})
     lines = records.repartitionByRange(files, "seq").sortWithinPartitions("seq").select(body.alias("value"))
     lines.mapInArrow(_as_array, "value string").write.mode("overwrite").text(path)
