@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from ..model import TICKET_CORE_COLUMNS, TicketModel
 from ..operators import ingestion as I
 from ..schemas import BATCH_RECORD, CONTROL_EVENT
+from ..session import staged
 
 
 class IngestionError(RuntimeError):
@@ -156,9 +157,10 @@ def store_model(spark: SparkSession, root: str) -> TicketModel:
 
 # I8 -------------------------------------------------------------------------
 def _with_conflicts(validated: DataFrame, conflicts: DataFrame) -> DataFrame:
-    """Valid records whose identity conflicts become rejects that say so."""
+    """Valid records whose identity conflicts become rejects that say so. The reasons are staged, so their size is known when the
+    join is planned: the wide records cross no shuffle for a few of them."""
     pair = ["external_requester_id", "requester_email"]
-    reasons = conflicts.groupBy(*pair).agg(F.min("reason").alias("reason"))
+    reasons = staged(conflicts.groupBy(*pair).agg(F.min("reason").alias("reason")), "reasons")
     joined = validated.join(reasons, pair, "left")
     bad = F.col("is_valid") & F.col("reason").isNotNull()
     errors = F.when(bad, F.array_append("errors", F.col("reason"))).otherwise(F.col("errors"))
