@@ -27,6 +27,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -34,6 +35,8 @@ from pyspark.sql import functions as F
 
 #: Chunks and words whose encodings a worker remembers.
 REMEMBERED = 250_000
+#: The same where only ids are asked for, and the workers of earlier stages still hold memory.
+REMEMBERED_IDS = 65_536
 
 #: White space of the pattern's \\s, as characters.
 SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -52,7 +55,7 @@ def byte_letters() -> list[str]:
 class WordBpe:
     """A tokenizer of the file's kind: NFC, lower case, split pattern, byte letters, BPE with a word-end suffix."""
 
-    def __init__(self, spec: str) -> None:
+    def __init__(self, spec: str, remembered: int = REMEMBERED) -> None:
         data = json.loads(spec)
         model = data["model"]
         if model["type"] != "BPE" or not model["end_of_word_suffix"] or data["decoder"] is not None:
@@ -78,11 +81,11 @@ class WordBpe:
             if i in self.parts or len(key) == 1:
                 self.automaton.add_word(key, (len(key), i))
         self.automaton.make_automaton()
-        self.left_edge = {i: self._edge(i, 0) for i in self.vocab.values()}
-        self.right_edge = {i: self._edge(i, 1) for i in self.vocab.values()}
-        self.compatible = lru_cache(REMEMBERED)(self._compatible)
-        self.word_ids = lru_cache(REMEMBERED)(self._word_ids)
-        self.chunk = lru_cache(REMEMBERED)(self._chunk)
+        self.edges: tuple[dict[int, list[tuple[int, float]]], ...] = ({}, {})
+        self.compatible = lru_cache(remembered)(self._compatible)
+        self.word_ids = lru_cache(remembered)(self._word_ids)
+        self.chunk_ids = lru_cache(remembered)(self._chunk_ids)
+        self.chunk = lru_cache(remembered)(self._chunk)
 
     def _symbols(self, token: str) -> str:
         """One character per symbol; the last of a word has its own."""
@@ -92,17 +95,17 @@ class WordBpe:
         return token
 
     def _edge(self, token: int, side: int) -> list[tuple[int, float]]:
-        """From a token's outermost symbol up: (node, rank of the merge that takes it in)."""
-        found, over = [], float("inf")
+        """From a token's outermost symbol up: (node, rank of the merge that takes it in); kept once made."""
+        start, found, over = token, [], float("inf")
         while True:
             found.append((token, over))
             if token not in self.parts:
-                return found[::-1]
+                return self.edges[side].setdefault(start, found[::-1])
             over = self.rank[self.parts[token]]
             token = self.parts[token][side]
 
     def _compatible(self, left: int, right: int) -> bool:
-        a, b = self.right_edge[left], self.left_edge[right]
+        a, b = self.edges[1].get(left) or self._edge(left, 1), self.edges[0].get(right) or self._edge(right, 0)
         i = j = 0
         while True:
             (x, x_ends), (y, y_ends) = a[i], b[j]
@@ -133,8 +136,11 @@ class WordBpe:
             out.append(token)
         return tuple(out[::-1])
 
+    def _chunk_ids(self, chunk: str) -> tuple[int, ...]:
+        return tuple([i for w in self.pattern.findall(chunk) for i in self.word_ids(w)])
+
     def _chunk(self, chunk: str) -> tuple[tuple[int, ...], str, str]:
-        ids = tuple(i for w in self.pattern.findall(chunk) for i in self.word_ids(w))
+        ids = self._chunk_ids(chunk)
         return ids, " ".join(map(str, ids)), self.decode(ids)
 
     def _chunks(self, text: str) -> list[str]:
@@ -145,9 +151,13 @@ class WordBpe:
         text = text.lower()
         return _CHUNK.findall(text) if _ODD.search(text) else text.split()
 
+    def _parts(self, text: str | None) -> list[str]:
+        """The text cut at special tokens."""
+        return self.cut.split(text or "") if self.cut else [text or ""]
+
     def encoded(self, text: str | None) -> Iterator[tuple[tuple[int, ...], str, str]]:
         """(ids, ids as text, decoded text) of the chunks of a whole text that have tokens."""
-        for part in self.cut.split(text or "") if self.cut else [text or ""]:
+        for part in self._parts(text):
             if part in self.special:
                 yield (self.special[part],), str(self.special[part]), part
             elif part:
@@ -156,7 +166,14 @@ class WordBpe:
                         yield got
 
     def encode(self, text: str | None) -> list[int]:
-        return [i for ids, _, _ in self.encoded(text) for i in ids]
+        out: list[int] = []
+        for part in self._parts(text):
+            if part in self.special:
+                out.append(self.special[part])
+            elif part:
+                for ids in map(self.chunk_ids, self._chunks(part)):
+                    out += ids
+        return out
 
     def decode(self, ids) -> str:
         """The tokens joined by a space, as a tokenizer file without decoder asks for; unknown ids are left out."""
@@ -164,8 +181,8 @@ class WordBpe:
 
 
 @lru_cache(2)
-def tokenizer(spec: str) -> WordBpe:
-    return WordBpe(spec)
+def tokenizer(spec: str, remembered: int = REMEMBERED) -> WordBpe:
+    return WordBpe(spec, remembered)
 
 
 def read_spec(path: str) -> str:
@@ -178,11 +195,12 @@ def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     spec = read_spec(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = tokenizer(spec)
+        t = tokenizer(spec, REMEMBERED_IDS)
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([t.encode(x) for x in part.column(1).to_pylist()], pa.list_(pa.int32()))], ["id", "ids"])
+                ids = [np.array(t.encode(x), np.int32) for x in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], ["id", "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
