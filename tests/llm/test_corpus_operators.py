@@ -439,6 +439,27 @@ def test_passages_of_frequent_lines_meet_beyond_the_holders(spark):
     assert all(r.first_word <= 100 and r.end_word >= 160 for r in out)
 
 
+def test_an_edited_passage_meets_beyond_the_holders_of_its_parts(spark):
+    # both halves of 0..5 are shared by others with smaller and larger ids, and the passage is edited between and within its halves
+    one, two, own = made(24, 91), made(24, 92), [made(100, 500 + k) for k in range(20)]
+    texts = {k: own[2 * k] + half + own[2 * k + 1] for k, half in {0: one, 1: two, 8: one, 9: two}.items()}
+    texts |= {4: own[4] + one + ["gone", "by"] + two + own[5], 5: own[6] + one + ["other", "words", "here"] + two + own[7]}
+    out = passage_chains.repeated_passages(frame(spark, [" ".join(t) for t in texts.values()], [*texts])).collect()
+    assert {(r.doc_id, r.other_id) for r in out} == {(4, 5), (5, 4)}
+    assert all(r.first_word <= 100 and r.end_word >= 148 for r in out)
+
+
+def test_copies_are_matched_with_one_of_their_class_and_different_texts_with_each_other(spark):
+    passage = made(80, 95)
+    versions = [passage, edited(passage, 0.04, 2), edited(passage, 0.04, 3), edited(passage, 0.04, 5)]
+    assert len({tuple(v) for v in versions}) == 4
+    texts = [made(60, 600 + k) + versions[k % 4] + made(60, 700 + k) for k in range(4)] + [passage] * 5
+    out = passage_chains.repeated_passages(frame(spark, [" ".join(t) for t in texts])).collect()
+    pairs = {(r.doc_id, r.other_id) for r in out}
+    assert {(a, b) for a in range(4) for b in range(4) if a != b} <= pairs
+    assert all((k, 0) in pairs or (k, 4) in pairs for k in range(5, 9)) and ((4, 0) in pairs or (5, 4) in pairs)
+
+
 def test_a_fragment_is_cut_at_its_worst_gap():
     x, gap = np.arange(102), np.arange(40, 62)
     y = x.copy()
