@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import maintenance as M
@@ -42,11 +42,12 @@ def _rewrite(spark: SparkSession, root: str, name: str, months: list[str], chang
     old_months = {r[0] for r in old.select("created_month").distinct().collect()}
     if not old_months:
         return
-    new = change(old).select(*old.columns)
     path = f"{root.rstrip('/')}/{name}"
-    kept = {r[0] for r in new.select("created_month").distinct().collect()}
-    (new.repartitionByRange("created_month", "ticket_id").sortWithinPartitions("created_month", "ticket_id").write.mode("overwrite")
+    new = change(old).select(*old.columns).repartitionByRange("created_month", "ticket_id").sortWithinPartitions("created_month", "ticket_id")
+    seen = Observation()  # the months written, told by the write itself: the change is not computed once more for them
+    (new.observe(seen, F.collect_set("created_month").alias("months")).write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy("created_month").parquet(path))
+    kept = set(seen.get["months"] or ())
     for month in old_months - kept:
         folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/created_month={month}")
         folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
