@@ -198,13 +198,13 @@ def candidates(sets: DataFrame, region: int = REGION, limits: Limits = Limits())
     top = stored(_counted(sets.select(F.explode(nodes(LEAF)).alias("node"), "fp", "n")), "regions")
     dense = top.where(F.col("c") > region)
     found = _pairs(top.where(F.col("c") <= region), limits)
-    deep = dense.select("node", "fp", "n").withColumnRenamed("node", "top")
-    with_sig = sets.join(deep.select("fp").distinct(), "fp")
+    # one row per set, with its dense regions: a set that lies in many of them is looked up once
+    deep = dense.groupBy("fp").agg(F.collect_set("node").alias("tops"))
+    members = stored(sets.select("fp", "n", "sig").join(deep, "fp"), "members")
     for depth in DEPTHS:
         # the region of a set at this depth, only below dense regions of the same tree
-        rows = (with_sig.select("fp", "n", "sig", F.explode(F.arrays_zip(nodes(LEAF).alias("top"), nodes(depth).alias("node"))).alias("z"))
-                .select("fp", "n", "sig", F.col("z.top").alias("top"), F.col("z.node").alias("node"))
-                .join(deep.select("top", "fp"), ["top", "fp"]).select("node", "fp", "n", "sig"))
+        below = F.filter(F.arrays_zip(nodes(LEAF).alias("top"), nodes(depth).alias("node")), lambda z: F.array_contains("tops", z["top"]))
+        rows = members.select("fp", "n", "sig", F.explode(below).alias("z")).select("z.node", "fp", "n", "sig")
         found = found.union(_stars(stored(_counted(rows), f"regions{depth}"), limits))
     return found.select(F.col("fp").alias("u"), F.col("gp").alias("v")).distinct(), dense.select("node", "fp")
 
