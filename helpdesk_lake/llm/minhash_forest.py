@@ -43,7 +43,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import aside, gram_hashes, mixed, stored, word_hashes, words
@@ -163,7 +163,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         _sign(limits.hashes), f"id {kind}, n bigint, fp binary, sig array<int>")
 
 
-def _near(limits: Limits, a: str = "n", b: str = "m"):
+def _near(limits: Limits, a: Column | str = "n", b: Column | str = "m"):
     return F.least(a, b) * 100 >= F.greatest(a, b) * limits.percent
 
 
@@ -173,15 +173,14 @@ def _pairs(rows: DataFrame, limits: Limits) -> DataFrame:
     return rows.join(other, "node").where((F.col("fp") < F.col("gp")) & _near(limits)).select("fp", "gp")
 
 
-def _stars(rows: DataFrame, limits: Limits) -> DataFrame:
-    """Each set with two leaders of its region: the first in one order over all sets, on which regions of like sets
-    agree, and the first in the region's own order."""
+def _leaders(rows: DataFrame, limits: Limits) -> DataFrame:
+    """(fp, led) per set and region of at least two: the alike ones of the two leaders of its region, the first in one order over
+    all sets, on which regions of like sets agree, and the first in the region's own order."""
     first = lambda *by: F.min(F.struct(F.xxhash64(*by).alias("h"), F.col("fp").alias("gp"), F.col("n").alias("m"), F.col("sig").alias("tig")))
-    lead = rows.groupBy("node").agg(F.array(first("fp"), first("fp", "node")).alias("leads"))
-    both = rows.join(lead, "node").select("fp", "n", "sig", F.explode("leads").alias("l")).select("fp", "n", "sig", "l.gp", "l.m", "l.tig")
-    alike = F.size(F.filter(F.zip_with("sig", "tig", lambda a, b: a == b), lambda same: same))
-    return (both.where((F.col("fp") != F.col("gp")) & _near(limits) & (alike >= limits.likely))
-            .select(F.least("fp", "gp").alias("fp"), F.greatest("fp", "gp").alias("gp")))
+    lead = rows.groupBy("node").agg(F.count(F.lit(1)).alias("c"), F.array(first("fp"), first("fp", "node")).alias("leads")).where("c > 1").drop("c")
+    same = lambda tig: F.size(F.filter(F.zip_with("sig", tig, lambda a, b: a == b), lambda x: x))
+    fit = lambda l: (F.col("fp") != l["gp"]) & _near(limits, "n", l["m"]) & (same(l["tig"]) >= limits.likely)
+    return rows.join(lead, "node").select("fp", F.transform(F.filter("leads", fit), lambda l: l["gp"]).alias("led")).where(F.size("led") > 0)
 
 
 def _counted(rows: DataFrame) -> DataFrame:
@@ -198,14 +197,16 @@ def candidates(sets: DataFrame, region: int = REGION, limits: Limits = Limits())
     top = stored(_counted(sets.select(F.explode(nodes(LEAF)).alias("node"), "fp", "n")), "regions")
     dense = top.where(F.col("c") > region)
     found = _pairs(top.where(F.col("c") <= region), limits)
-    # one row per set, with its dense regions: a set that lies in many of them is looked up once
     deep = dense.groupBy("fp").agg(F.collect_set("node").alias("tops"))
     members = stored(sets.select("fp", "n", "sig").join(deep, "fp"), "members")
-    for depth in DEPTHS:
-        # the region of a set at this depth, only below dense regions of the same tree
-        below = F.filter(F.arrays_zip(nodes(LEAF).alias("top"), nodes(depth).alias("node")), lambda z: F.array_contains("tops", z["top"]))
-        rows = members.select("fp", "n", "sig", F.explode(below).alias("z")).select("z.node", "fp", "n", "sig")
-        found = found.union(_stars(stored(_counted(rows), f"regions{depth}"), limits))
+    # one row per set and dense region, with the regions below it in the same tree at all depths
+    below = F.filter(F.arrays_zip(*[nodes(depth).alias(f"at{depth}") for depth in DEPTHS]), lambda z: F.array_contains("tops", z[f"at{LEAF}"]))
+    rows = stored(members.select("fp", "n", "sig", F.explode(below).alias("z")).select("z.*", "fp", "n", "sig"), "below")
+    led = [_leaders(rows.select(F.col(f"at{depth}").alias("node"), "fp", "n", "sig"), limits) for depth in DEPTHS]
+    # trees and depths mostly agree on a set's leaders: each is listed once
+    stars = (led[0].union(led[1]).union(led[2]).groupBy("fp").agg(F.array_distinct(F.flatten(F.collect_list("led"))).alias("led"))
+             .select("fp", F.explode("led").alias("gp")).select(F.least("fp", "gp").alias("fp"), F.greatest("fp", "gp").alias("gp")))
+    found = found.union(stars)
     return found.select(F.col("fp").alias("u"), F.col("gp").alias("v")).distinct(), dense.select("node", "fp")
 
 

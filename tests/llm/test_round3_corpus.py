@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from helpdesk_lake.llm import minhash_forest
 from test_corpus_operators import edited, frame, made
@@ -26,3 +27,22 @@ def test_a_set_in_many_dense_regions_is_looked_up_once(spark, monkeypatch, copie
     assert out == {k: 0 for k in range(copies)} | {copies + k: copies + k for k in range(5)} | {copies + 5 + k: 0 for k in range(3)} | {
         k: k for k in (copies + 8, copies + 9)}
     assert seen["members"] == copies and seen["regions"] > 5 * copies
+
+
+def test_dense_regions_are_made_by_one_row_a_set_and_region(spark, monkeypatch):
+    """Not by a row per depth, twice: the regions at all depths travel together, and a set's leaders are listed once for all of them."""
+    seen, held = {}, minhash_forest.stored
+
+    def stored(df, name):
+        out = held(df, name)
+        seen.setdefault(name, out.count())
+        return out
+
+    monkeypatch.setattr(minhash_forest, "stored", stored)
+    base = made(200, 43)
+    docs = frame(spark, [" ".join(base[:150] + edited(base[150:], 0.02, k) + [f"tail{k}"]) for k in range(30)])
+    sets = minhash_forest.signatures(docs, limits=minhash_forest.Limits(80)).select("fp", F.col("id").alias("rep"), "n", "sig")
+    pairs, dense = minhash_forest.candidates(sets, 8, minhash_forest.Limits(80))
+    assert seen["below"] == dense.count() > 30 and not [name for name in seen if name.startswith("regions") and name != "regions"]
+    found = pairs.collect()
+    assert len(found) == len(set(found)) >= 29 and all(r.u < r.v for r in found)
