@@ -23,7 +23,7 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import ahocorasick
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Chunks and words whose encodings a worker remembers.
-REMEMBERED = 250_000
+REMEMBERED = 500_000
 #: The same where only ids are asked for, and the workers of earlier stages still hold memory.
 REMEMBERED_IDS = 65_536
 
@@ -52,6 +52,24 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
 
 
+class Remembered(dict):
+    """Values of ``make`` by key: at most ``bound`` are held, those not asked for lately go."""
+
+    def __init__(self, make: Callable, bound: int) -> None:
+        super().__init__()
+        self.make, self.bound, self.older = make, max(bound // 2, 1), {}
+
+    def __missing__(self, key):
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.bound:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 class WordBpe:
     """A tokenizer of the file's kind: NFC, lower case, split pattern, byte letters, BPE with a word-end suffix."""
 
@@ -67,7 +85,7 @@ class WordBpe:
         self.pattern = regex.compile(pattern.replace("\\s", SPACES))
         self.vocab = model["vocab"]
         self.text_of = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
-        self.letter = byte_letters()
+        self.letters = dict(enumerate(byte_letters()))
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         self.rank: dict[tuple[int, int], int] = {}
         self.parts: dict[int, tuple[int, int]] = {}
@@ -75,17 +93,21 @@ class WordBpe:
             x, y, z = self.vocab[a], self.vocab[b], self.vocab[a + b]
             self.rank.setdefault((x, y), r)
             self.parts.setdefault(z, (x, y))
-        self.automaton = ahocorasick.Automaton()
+        self.automaton, self.single = ahocorasick.Automaton(), {}
         for token, i in self.vocab.items():
             key = self._symbols(token)
-            if i in self.parts or len(key) == 1:
+            if len(key) == 1:
+                self.single[key] = i
+            elif i in self.parts:
                 self.automaton.add_word(key, (len(key), i))
         self.automaton.make_automaton()
         self.edges: tuple[dict[int, list[tuple[int, float]]], ...] = ({}, {})
-        self.compatible = lru_cache(remembered)(self._compatible)
-        self.word_ids = lru_cache(remembered)(self._word_ids)
-        self.chunk_ids = lru_cache(remembered)(self._chunk_ids)
-        self.chunk = lru_cache(remembered)(self._chunk)
+        self.count = max(self.text_of) + 1
+        self.names = {i: str(i) for i in self.text_of}
+        self.compatible = Remembered(lambda pair: self._compatible(*divmod(pair, self.count)), remembered)
+        self.word_ids = Remembered(self._word_ids, remembered)
+        self.chunk_ids = Remembered(self._chunk_ids, remembered)
+        self.chunk = Remembered(self._chunk, remembered)
 
     def _symbols(self, token: str) -> str:
         """One character per symbol; the last of a word has its own."""
@@ -122,26 +144,27 @@ class WordBpe:
 
     def _word_ids(self, word: str) -> tuple[int, ...]:
         """Ids of one piece of the split pattern."""
-        letters = "".join([self.letter[b] for b in word.encode("utf-8", "surrogatepass")])
-        n = len(letters)
-        last: list[tuple[int, int] | None] = [None] * n
-        for end, (size, token) in self.automaton.iter(letters[:-1] + chr(ord(letters[-1]) + 0x1000)):
-            if last[end] is None:
-                start = end - size
-                if start < 0 or (last[start] is not None and self.compatible(last[start][1], token)):
-                    last[end] = (start, token)
-        out, at = [], n - 1
+        letters = word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
+        letters = letters[:-1] + chr(ord(letters[-1]) + 0x1000)
+        # a prefix that no longer token ends compatibly ends with its last symbol alone
+        last = [self.single[x] for x in letters]
+        sizes, compatible, count, done = [1] * len(letters), self.compatible, self.count, -1
+        for end, (size, token) in self.automaton.iter(letters):
+            if end != done and (size > end or compatible[last[end - size] * count + token]):
+                last[end], sizes[end], done = token, size, end
+        out, at = [], len(letters) - 1
         while at >= 0:
-            at, token = last[at]
-            out.append(token)
+            out.append(last[at])
+            at -= sizes[at]
         return tuple(out[::-1])
 
     def _chunk_ids(self, chunk: str) -> tuple[int, ...]:
-        return tuple([i for w in self.pattern.findall(chunk) for i in self.word_ids(w)])
+        found = self.pattern.findall(chunk)
+        return self.word_ids[found[0]] if len(found) == 1 else tuple([i for w in found for i in self.word_ids[w]])
 
     def _chunk(self, chunk: str) -> tuple[tuple[int, ...], str, str]:
         ids = self._chunk_ids(chunk)
-        return ids, " ".join(map(str, ids)), self.decode(ids)
+        return ids, " ".join([self.names[i] for i in ids]), self.decode(ids)
 
     def _chunks(self, text: str) -> list[str]:
         if not text.isascii():
@@ -155,15 +178,15 @@ class WordBpe:
         """The text cut at special tokens."""
         return self.cut.split(text or "") if self.cut else [text or ""]
 
-    def encoded(self, text: str | None) -> Iterator[tuple[tuple[int, ...], str, str]]:
+    def encoded(self, text: str | None) -> list[tuple[tuple[int, ...], str, str]]:
         """(ids, ids as text, decoded text) of the chunks of a whole text that have tokens."""
+        out: list[tuple[tuple[int, ...], str, str]] = []
         for part in self._parts(text):
             if part in self.special:
-                yield (self.special[part],), str(self.special[part]), part
+                out.append(((self.special[part],), str(self.special[part]), part))
             elif part:
-                for got in map(self.chunk, self._chunks(part)):
-                    if got[0]:
-                        yield got
+                out += [got for got in map(self.chunk.__getitem__, self._chunks(part)) if got[0]]
+        return out
 
     def encode(self, text: str | None) -> list[int]:
         out: list[int] = []
@@ -171,7 +194,7 @@ class WordBpe:
             if part in self.special:
                 out.append(self.special[part])
             elif part:
-                for ids in map(self.chunk_ids, self._chunks(part)):
+                for ids in map(self.chunk_ids.__getitem__, self._chunks(part)):
                     out += ids
         return out
 
@@ -230,10 +253,10 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
         for batch in batches:
             counts, ids, texts = [], [], []
             for k in range(batch.num_rows):
-                got = list(t.encoded(batch.column(1)[k].as_py()))
-                counts.append(sum([len(g[0]) for g in got]))
-                ids.append(hashlib.sha256(" ".join([g[1] for g in got]).encode()).hexdigest())
-                texts.append(hashlib.sha256(" ".join([g[2] for g in got]).encode("utf-8", "surrogatepass")).hexdigest())
+                of, names, decoded = list(zip(*t.encoded(batch.column(1)[k].as_py()))) or ((), (), ())
+                counts.append(sum(map(len, of)))
+                ids.append(hashlib.sha256(" ".join(names).encode()).hexdigest())
+                texts.append(hashlib.sha256(" ".join(decoded).encode("utf-8", "surrogatepass")).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids), pa.array(texts)],
                                              ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 

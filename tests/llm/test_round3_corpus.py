@@ -5,7 +5,8 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from helpdesk_lake.llm import minhash_forest
+from helpdesk_lake.llm import minhash_forest, word_bpe
+from helpdesk_lake.llm.common import tokenizer_path
 from test_corpus_operators import edited, frame, made
 
 
@@ -46,3 +47,15 @@ def test_dense_regions_are_made_by_one_row_a_set_and_region(spark, monkeypatch):
     assert seen["below"] == dense.count() > 30 and not [name for name in seen if name.startswith("regions") and name != "regions"]
     found = pairs.collect()
     assert len(found) == len(set(found)) >= 29 and all(r.u < r.v for r in found)
+
+
+def test_bpe_asks_for_longer_tokens_only_and_remembers_a_bounded_number():
+    spec = word_bpe.read_spec(tokenizer_path("word_bpe_49k.json"))
+    small, large = word_bpe.WordBpe(spec, 16), word_bpe.WordBpe(spec)
+    text = " ".join(made(300, 7)) + " Zürich éèê 1984 ßchen \x00 don't, x" + " unterbrechungsfreiheiten" * 3
+    assert small.encode(text) == large.encode(text) == small.encode(text)
+    assert small.encoded(text) == large.encoded(text) and small.encoded("") == small.encoded(None) == []
+    assert [i for got in small.encoded(text) for i in got[0]] == small.encode(text)
+    for held in (small.chunk, small.chunk_ids, small.word_ids, small.compatible):
+        assert len(held) <= 8 and len(held.older) <= 8
+    assert large.compatible and all(pair % large.count in large.parts for pair in large.compatible)
