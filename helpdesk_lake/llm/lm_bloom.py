@@ -10,9 +10,12 @@ one task, from its own n-grams.
 
 There are as many blocks as all levels of all n-grams ask for at ``BITS`` bits
 each. One filter holds the words and the pairs seen twice or more, a second one
-the pairs seen once. Up to ``FILTER_BYTES`` they are broadcast; beyond that the
-blocks stay a table, the distinct n-grams of the texts are probed in the block of
-each, and the estimates are joined with the texts by a shuffle: the same model.
+the pairs seen once. Up to ``FILTER_BYTES`` they are broadcast. Beyond that, the
+blocks are broadcast in groups of that size, at most ``GROUPS`` of them: a task looks
+a run of tokens up in one group after the other and holds one of them at a time, so
+nothing about the texts is written. Still larger filters stay a table, the distinct
+n-grams of the texts are probed in the block of each, and the estimates are joined
+with the texts by a shuffle. All three are the same model.
 
 Model: tokens are the words of a text and one end; every text starts after an
 end. P(w | u) = g * c(u, w) / c(u) + (1 - g) * (c(w) + 0.5) / (N + 0.5 * (V + 1)),
@@ -35,13 +38,15 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import held_out, mixed, stored, word_hashes, words
 
 FILTER_BYTES, BITS, PROBES, BLOCK_BITS, LEVELS = 64 << 20, 8, 3, 1 << 17, 40
 PAIR_WEIGHT, FREQUENT, RUN = 0.4, 1 << 17, 1_000_000
+#: So many groups of blocks are broadcast at most: they lie on every executor's disk.
+GROUPS = 32
 _TOP = np.uint64(1 << 63)
 #: The end token's hash; words are hashed with the top bit cleared, pairs have it set.
 END = np.uint64(0x2545F4914F6CDD1D)
@@ -85,18 +90,27 @@ def counts(texts: DataFrame) -> DataFrame:
 
 @dataclass
 class LogBloom:
-    """``bits``: the blocks' bytes one after another; cutoffs for words and for pairs."""
+    """``bits``: the blocks' bytes one after another; cutoffs for words and for pairs. Of ``blocks`` in all, these begin with ``first``."""
 
     bits: np.ndarray
     cutoffs: tuple[int, int]
+    blocks: int | None = None
+    first: int = 0
+
+    def estimates(self, keys: np.ndarray) -> np.ndarray:
+        """``level`` of words and pairs."""
+        out, pairs = np.zeros(len(keys)), keys >= _TOP
+        for own, cutoff in zip((~pairs, pairs), self.cutoffs):
+            out[own] = self.level(keys[own], cutoff)
+        return out
 
     def level(self, keys: np.ndarray, cutoff: int) -> np.ndarray:
         """Estimated counts: 0, or the middle of the level's range."""
         out, left = np.zeros(len(keys), np.int64), np.arange(len(keys))
-        blocks = len(self.bits) * 8 // BLOCK_BITS
+        blocks = self.blocks or len(self.bits) * 8 // BLOCK_BITS
         if not blocks:
             return out.astype(float)
-        base = (mixed(keys) % np.uint64(blocks)).astype(np.int64) * BLOCK_BITS
+        base = ((mixed(keys) % np.uint64(blocks)).astype(np.int64) - self.first) * BLOCK_BITS
         for j in range(1, LEVELS):
             h = _level_hash(keys[left], j)
             for i in range(PROBES):  # most misses show at the first probe
@@ -109,6 +123,32 @@ class LogBloom:
         return np.where(out > 0, cutoff * 1.5 * 2.0 ** (out - 1), 0.0) if cutoff > 1 else np.where(out > 1, 1.5 * 2.0 ** (out - 1), out.astype(float))
 
 
+@dataclass
+class GroupedBloom:
+    """A filter whose blocks are broadcast in groups of ``size`` (bytes of their bits each); one group is held at a time."""
+
+    groups: list
+    cutoffs: tuple[int, int]
+    blocks: int
+    size: int
+
+    def estimates(self, keys: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(keys))
+        group = (mixed(keys) % np.uint64(max(self.blocks, 1))).astype(np.int64) // self.size
+        for k, shared in enumerate(self.groups):
+            own = np.flatnonzero(group == k)
+            if len(own):
+                bits = np.frombuffer(_read(shared), np.uint8)
+                out[own] = LogBloom(bits, self.cutoffs, self.blocks, k * self.size).estimates(keys[own])
+        return out
+
+
+def _read(shared) -> bytes:
+    """A broadcast's value, read from the executor's disk each time, so that the worker does not keep it."""
+    path = getattr(shared, "_path", None)
+    return shared.load_from_path(path) if path else shared.value
+
+
 def _level_hash(keys: np.ndarray, level: int) -> np.ndarray:
     return mixed(keys ^ np.uint64(0x9E3779B97F4A7C15 * level % 2**64))
 
@@ -175,11 +215,24 @@ def _block_rows(table: DataFrame, cutoffs: tuple[int, int], blocks: int) -> Data
 
 
 def _collected(table: DataFrame, cutoffs: tuple[int, int], blocks: int) -> LogBloom:
-    rows = _block_rows(table, cutoffs, blocks).collect() if blocks else []
-    bits = np.zeros(blocks * BLOCK_BITS // 8, np.uint8)
+    return LogBloom(_bits(_block_rows(table, cutoffs, blocks).collect() if blocks else [], 0, blocks), cutoffs)
+
+
+def _bits(rows: list, first: int, count: int) -> np.ndarray:
+    """The bits of ``count`` blocks from ``first`` on; rows: (block, bits) of those that hold anything."""
+    bits = np.zeros(count * BLOCK_BITS // 8, np.uint8)
     for k, b in rows:
-        bits[k * BLOCK_BITS // 8:(k + 1) * BLOCK_BITS // 8] = np.frombuffer(b, np.uint8)
-    return LogBloom(bits, cutoffs)
+        bits[(k - first) * BLOCK_BITS // 8:(k - first + 1) * BLOCK_BITS // 8] = np.frombuffer(b, np.uint8)
+    return bits
+
+
+def _grouped(spark: SparkSession, table: DataFrame | None, cutoffs: tuple[int, int], blocks: int, size: int) -> GroupedBloom:
+    """The blocks of a table broadcast group by group; the driver holds one group at a time."""
+    groups = []
+    for first in range(0, blocks, size):
+        rows = table.where(F.col("block").between(first, first + size - 1)).collect()
+        groups.append(spark.sparkContext.broadcast(_bits(rows, first, min(size, blocks - first)).tobytes()))
+    return GroupedBloom(groups, cutoffs, blocks, size)
 
 
 def build_filter(table: DataFrame, filter_bytes: int | None = None) -> LogBloom:
@@ -189,7 +242,8 @@ def build_filter(table: DataFrame, filter_bytes: int | None = None) -> LogBloom:
 
 @dataclass
 class Model:
-    """``bloom`` and ``once`` are None where ``spread`` holds the blocks as tables instead: [(block rows, cutoffs, blocks)] of both."""
+    """``bloom`` and ``once`` are None where ``spread`` holds the blocks as tables instead: [(block rows, cutoffs, blocks)] of both.
+    ``group``: so many of those blocks are broadcast at a time; 0 where none are."""
 
     bloom: LogBloom | None
     once: LogBloom | None
@@ -198,19 +252,19 @@ class Model:
     often: np.ndarray
     often_log: np.ndarray
     spread: list | None = None
+    group: int = 0
 
     def base_log(self, c):
         return np.log10((c + 0.5) / (self.total + 0.5 * (self.distinct + 1)))
 
     def log_probabilities(self, tokens: np.ndarray, words_of: np.ndarray, which: np.ndarray) -> np.ndarray:
         """Of each token after the one before; ``words_of[which]`` are the tokens, each word looked up once."""
-        one = self.bloom.level(words_of, self.bloom.cutoffs[0])[which]
-        end = self.bloom.level(np.array([END], np.uint64), self.bloom.cutoffs[0])
-        context = np.concatenate([end, one[:-1]])
         keys = pair_hashes(tokens)
-        pair = self.bloom.level(keys, self.bloom.cutoffs[1])
+        found = self.bloom.estimates(np.concatenate([words_of, np.array([END], np.uint64), keys]))
+        one, end, pair = found[:len(words_of)][which], found[len(words_of):len(words_of) + 1], found[len(words_of) + 1:]
+        context = np.concatenate([end, one[:-1]])
         none = np.flatnonzero(pair == 0)
-        pair[none] = np.minimum(self.once.level(keys[none], 1), 1)
+        pair[none] = np.minimum(self.once.estimates(keys[none]), 1)
         pair = np.minimum(pair, np.minimum(one, context))
         g = np.where(context > 0, PAIR_WEIGHT, 0.0)
         unigram = (one + 0.5) / (self.total + 0.5 * (self.distinct + 1))
@@ -230,15 +284,30 @@ def fit(texts: DataFrame, filter_bytes: int = FILTER_BYTES, frequent: int = FREQ
     often = sorted((r[0], r[1]) for r in own.where(F.col("c") >= 2**least).collect())
     parts = [table.where("key >= 0 or c >= 2"), table.where("key < 0 and c = 1")]
     plans = [_plan(t, starts) for t, starts in zip(parts, ((1, 2), (1, 1)))]
-    if sum(blocks for _, blocks in plans) * BLOCK_BITS // 8 <= filter_bytes:
+    size, group = filter_bytes * 8 // BLOCK_BITS, 0
+    if sum(blocks for _, blocks in plans) <= size:
         blooms, spread = [_collected(t, *plan) for t, plan in zip(parts, plans)], None
     else:
         blooms, spread = [None, None], [(stored(_block_rows(t, *plan), "blocks") if plan[1] else None, *plan) for t, plan in zip(parts, plans)]
-    model = Model(*blooms, int(total or 0), int(distinct), np.array([k for k, _ in often], np.uint64), np.zeros(0), spread)
+        group = size if size and sum(-(-blocks // size) for _, blocks in plans) <= GROUPS else 0
+    model = Model(*blooms, int(total or 0), int(distinct), np.array([k for k, _ in often], np.uint64), np.zeros(0), spread, group)
     model.often_log = model.base_log(np.array([c for _, c in often], float))
     return model, own.where(F.col("c") < 2**least)
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches joined up to about ``RUN`` tokens (of some six bytes), so that a group is read for many texts at once."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= 6 * RUN:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _probed(keys: DataFrame, blocks: DataFrame | None, cutoffs: tuple[int, int], count: int, name: str) -> DataFrame:
     """(key, name): the estimates of distinct keys by the filter's blocks, only those that are in."""
     if blocks is None:
@@ -255,9 +324,7 @@ def _probed(keys: DataFrame, blocks: DataFrame | None, cutoffs: tuple[int, int],
         k = asked.column("key").to_numpy().view(np.uint64)
         out = np.zeros(len(k))
         if held.num_rows:
-            bloom, pairs = LogBloom(np.frombuffer(held.column("bits")[0].as_py(), np.uint8), cutoffs), k >= _TOP
-            for own, cutoff in zip((~pairs, pairs), cutoffs):
-                out[own] = bloom.level(k[own], cutoff)
+            out = LogBloom(np.frombuffer(held.column("bits")[0].as_py(), np.uint8), cutoffs).estimates(k)
         return pa.table({"key": pa.array(k[out > 0].view(np.int64)), name: pa.array(out[out > 0])})
 
     return (keys.mapInArrow(named, "key bigint, block bigint").groupBy("block").cogroup(blocks.groupBy("block"))
@@ -293,13 +360,16 @@ def _spread_scores(docs: DataFrame, model: Model) -> DataFrame:
 def score(docs: DataFrame, model: Model, rare: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, n_known, train_tokens, base_score, score) per row; ``rare``: exact counts of the words not in the broadcast table."""
     source = docs.select(id_col, text_col)
-    if model.spread is not None:  # rows keep their number, the filters' tables stay here
+    spark, joined, grouped = docs.sparkSession, model.spread is not None and not model.group, None
+    if model.group:
+        grouped = [_grouped(spark, *part, model.group) for part in model.spread]
+    if joined:  # rows keep their number, the filters' tables stay here
         source = stored(source.withColumn("row", F.monotonically_increasing_id()), "numbered")
-    shared = docs.sparkSession.sparkContext.broadcast(replace(model, spread=None))
+    shared = spark.sparkContext.broadcast(replace(model, spread=None))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def scored(ids: pa.Array, each: list[np.ndarray]) -> pa.RecordBatch:
-        m = shared.value
+        m = shared.value if grouped is None else replace(shared.value, bloom=grouped[0], once=grouped[1])
         tokens, sizes = np.concatenate(each), np.array([len(t) for t in each])
         first = np.cumsum(sizes) - sizes
         words_of, which = np.unique(tokens, return_inverse=True)
@@ -318,17 +388,17 @@ def score(docs: DataFrame, model: Model, rare: DataFrame, id_col: str = "doc_id"
             ["id", "n_tokens", "known", "base", "score", "keys", "times"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _runs(batches) if grouped else batches:
             at, each, size = 0, [], 0
             for k in range(batch.num_rows):
                 each.append(token_hashes(batch.column(1)[k].as_py()))
                 size += len(each[-1])
-                if size >= RUN // 8 or k + 1 == batch.num_rows:
+                if size >= (RUN if grouped else RUN // 8) or k + 1 == batch.num_rows:
                     yield scored(batch.column(0).slice(at, len(each)), each)
                     at, each, size = k + 1, [], 0
 
     columns = "n_tokens bigint, known bigint, base double, score double, keys array<bigint>, times array<int>"
-    if model.spread is None:
+    if not joined:
         rows = source.mapInArrow(run, f"id {kind}, {columns}")
         rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "scored")
     else:
