@@ -296,12 +296,12 @@ def fit(texts: DataFrame, filter_bytes: int = FILTER_BYTES, frequent: int = FREQ
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches joined up to about ``RUN`` tokens (of some six bytes), so that a group is read for many texts at once."""
+    """Batches joined up to about half of ``RUN`` tokens (of some six bytes), so that a group is read for many texts at once."""
     held, size = [], 0
     for batch in batches:
         held.append(batch)
         size += batch.nbytes
-        if size >= 6 * RUN:
+        if size >= 3 * RUN:
             yield pa.concat_batches(held)
             held, size = [], 0
     if held:
@@ -393,7 +393,7 @@ def score(docs: DataFrame, model: Model, rare: DataFrame, id_col: str = "doc_id"
             for k in range(batch.num_rows):
                 each.append(token_hashes(batch.column(1)[k].as_py()))
                 size += len(each[-1])
-                if size >= (RUN if grouped else RUN // 8) or k + 1 == batch.num_rows:
+                if size >= (RUN // 2 if grouped else RUN // 8) or k + 1 == batch.num_rows:
                     yield scored(batch.column(0).slice(at, len(each)), each)
                     at, each, size = k + 1, [], 0
 
